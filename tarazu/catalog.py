@@ -3,8 +3,382 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import dates, merchants, money, narration
+from .operators import insights, linking, patterns, reconcile, report
+from .plans.query import Period, Query, count, evidence, select, top, total
+from .sinks import export
+from .sources import adapter
+from .streaming import budget
+
+Run = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Run] = {}
 ORACLE: dict[str, str] = {}
+
+JANUARY = Period(date(2024, 1, 5), date(2024, 1, 20), "part of January")
+
+#: The adapter's tables in SQL.
+LEDGER = """e as (select *, cast(json_extract_string(props, '$.k') as bigint) k from events),
+l as (select 'acct-' || user_id statement_id, user_id pos, event_id seq, event_id "row", cast(ts as date) "date",
+  case when event_type in ('signup', 'error') then 'credit' else 'debit' end direction, 'm' || (k % 8) "name", 'c' || (k % 3) category,
+  cast((floor(value / 50) + 1) * 5000 as bigint) amount, cast(round(value * 100) as bigint) exact, user_id % 4 = 0 on_card,
+  case k % 8 when 0 then 'card bill' when 1 then 'person' when 2 then 'unknown' else 'merchant' end kind,
+  case k % 5 when 0 then 'lexicon' when 1 then 'vpa' when 2 then 'prefix' when 3 then 'segmented' else 'raw' end source from e)"""
+BOOKS = (
+    LEDGER
+    + """,
+t as (select *, case when seq % 5 <> 0 then 100000 + cum + case when seq % 97 = 0 then 100 else 0 end end balance from
+  (select statement_id, pos, seq, "row", "date", direction, exact amount, on_card, cast(sum(case when direction = 'credit' then exact else -exact end) over (partition by statement_id order by seq) as bigint) cum from l)),
+s0 as (select statement_id, pos, on_card, cast(coalesce(sum(exact) filter (direction = 'debit'), 0) as bigint) d, cast(coalesce(sum(exact) filter (direction = 'credit'), 0) as bigint) c from l group by all),
+s as (select statement_id, pos, on_card, d, c, cast(100000 as bigint) opening, 100000 + c - d + case when pos % 7 = 0 then 50 else 0 end closing,
+  pos % 2 = 0 and pos % 3 = 0 tautological,
+  case when pos % 3 = 0 then d + case when pos % 11 = 0 then 1 else 0 end end stated_debits, case when pos % 3 = 0 then c + case when pos % 13 = 0 then 1 else 0 end end stated_credits,
+  cast(50000 as bigint) previous, c + case when pos % 17 = 0 then 5 else 0 end payments, case when pos % 19 <> 0 then d end purchases, case when pos % 8 = 0 then cast(0 as bigint) end fees,
+  50000 - c + d + case when pos % 12 = 0 then 60 else 0 end + case when pos % 16 = 0 then 500 else 0 end due from s0)"""
+)
+CHAIN = (
+    BOOKS
+    + """,
+a as (select *, last_value(case when balance is not null then {'b': balance, 'c': cum} end ignore nulls) over (partition by statement_id order by seq rows between unbounded preceding and 1 preceding) anchor from t),
+f as (select statement_id, seq, "row", cast(coalesce(anchor.b - anchor.c, 100000) + cum as bigint) expected, balance from a),
+faults as (select statement_id, seq, "row", expected, cast(balance as bigint) actual, cast(balance - expected as bigint) delta from f where balance <> expected)"""
+)
+REFUNDS = (
+    LEDGER
+    + """,
+cr as (select *, row_number() over (partition by statement_id, "name", amount order by seq) rn from l where direction = 'credit'),
+g as (select statement_id, "name", amount, list({'d': "date", 's': seq} order by "date", seq) ds from l where direction = 'debit' group by all),
+step as (select statement_id, "name", amount, cast(0 as bigint) rn, cast([] as bigint[]) used, cast(null as bigint) debit_seq, cast(null as bigint) credit_seq, cast(null as date) debit_date, cast(null as date) credit_date from g
+  union all
+  select s.statement_id, s."name", s.amount, cr.rn, case when p.pick is null then s.used else list_append(s.used, p.pick.s) end, p.pick.s, cr.seq, p.pick.d, cr."date"
+  from step s join cr on cr.statement_id = s.statement_id and cr."name" = s."name" and cr.amount = s.amount and cr.rn = s.rn + 1
+  join g on g.statement_id = s.statement_id and g."name" = s."name" and g.amount = s.amount,
+  lateral (select list_filter(g.ds, lambda x: not list_contains(s.used, x.s) and date_diff('day', x.d, cr."date") between 0 and 90)[1] pick) p),
+refunds as (select statement_id, "name", amount, debit_seq, credit_seq, debit_date, credit_date, cast(date_diff('day', debit_date, credit_date) as integer) lag_days from step where debit_seq is not null)"""
+)
+DUPLICATES = (
+    REFUNDS
+    + """,
+db as (select l.*, case when date_diff('day', lag("date") over w, "date") <= 3 then 0 else 1 end nw from l where direction = 'debit' window w as (partition by statement_id, "name", amount order by "date", seq)),
+cl as (select *, sum(nw) over (partition by statement_id, "name", amount order by "date", seq) cluster from db),
+duplicates as (select cl.statement_id, cl."name", cl.amount, count(*) n, min("date") first_date, max("date") last_date, count(r.debit_seq) refunded,
+  cast(cl.amount * greatest(count(*) - 1 - count(r.debit_seq), 0) as bigint) exposure
+  from cl left join refunds r on r.statement_id = cl.statement_id and r.debit_seq = cl.seq group by cl.statement_id, cl."name", cl.amount, cl.cluster having count(*) >= 2)"""
+)
+RECURRING = (
+    LEDGER
+    + """,
+ao as (select statement_id, max("date") as_of from l group by 1),
+pr as (select statement_id, "name", count(*) n, min(amount) least, max(amount) most, cast(round_even(median(amount), 0) as bigint) typical, arg_min(category, "row") category from l where direction = 'debit' group by 1, 2),
+dd as (select distinct statement_id, "name", "date" from l where direction = 'debit'),
+gp as (select *, date_diff('day', lag("date") over (partition by statement_id, "name" order by "date"), "date") gap from dd),
+pc as (select statement_id, "name", count(*) nd, cast(round_even(median(gap), 0) as integer) spacing, min(gap) shortest, max(gap) longest, max("date") last_date from gp group by 1, 2),
+recurring as (select statement_id, "name", category, n, typical, spacing,
+  case when abs(spacing - 7) <= 3 then 'weekly' when abs(spacing - 14) <= 3 then 'fortnightly' when abs(spacing - 30) <= 6 then 'monthly' when abs(spacing - 91) <= 18.2 then 'quarterly' when abs(spacing - 365) <= 73 then 'yearly' else 'every ' || spacing || 'd' end cadence,
+  last_date, date_diff('day', last_date, as_of) <= 1.5 * spacing active, cast(round_even(typical * 365 / spacing, 0) as bigint) annualised
+  from pc join pr using (statement_id, "name") join ao using (statement_id)
+  where nd >= 3 and spacing > 0 and abs(shortest - spacing) <= greatest(4, spacing * 0.25) and abs(longest - spacing) <= greatest(4, spacing * 0.25) and case when least = 0 then most = 0 else most <= least * 1.25 end)"""
+)
+
+
+def _pairs(name: str, outs: str, ins: str, low: int, high: int, across: bool) -> str:
+    """Greedy nearest pairing as a recursive query; outs and ins are conditions, their orders stand after 'order by'."""
+    other = "and x.i <> o.statement_id" if across else ""
+    return f"""
+{name}_o as (select *, row_number() over (partition by exact {outs.split('|')[1]}) rn from l where {outs.split('|')[0]}),
+{name}_g as (select exact, list({{'i': statement_id, 's': seq, 'd': "date"}} {ins.split('|')[1]}) xs from l where {ins.split('|')[0]} group by exact),
+{name}_p as (select exact, cast(0 as bigint) rn, cast([] as bigint[]) used, cast(null as varchar) o_id, cast(null as bigint) o_seq, cast(null as varchar) i_id, cast(null as bigint) i_seq, cast(null as bigint) lag from {name}_g
+  union all
+  select p.exact, o.rn, case when m.best is null then p.used else list_append(p.used, m.best.s) end, o.statement_id, o.seq, m.best.i, m.best.s, cast(date_diff('day', o."date", m.best.d) as bigint)
+  from {name}_p p join {name}_o o on o.exact = p.exact and o.rn = p.rn + 1 join {name}_g g on g.exact = p.exact,
+  lateral (select list_min([{{'k': abs(date_diff('day', o."date", g.xs[j].d)), 'j': j, 'i': g.xs[j].i, 's': g.xs[j].s, 'd': g.xs[j].d}} for j in range(1, len(g.xs) + 1)
+    if list_contains(list_transform([g.xs[j]], lambda x: not list_contains(p.used, x.s) and date_diff('day', o."date", x.d) between {low} and {high} {other}), true)]) best) m),
+{name} as (select o_id, o_seq, i_id, i_seq, exact amount, cast(lag as integer) lag_days from {name}_p where i_seq is not null)"""
+
+
+TRANSFERS = LEDGER + "," + _pairs("transfers", "direction = 'debit' and not on_card|order by \"date\", \"row\", pos, seq", "direction = 'credit' and not on_card|order by pos, seq", 0, 3, True)
+REPAYMENTS = TRANSFERS + "," + _pairs("repayments", "direction = 'debit' and not on_card and kind = 'card bill'|order by pos, \"date\", \"row\", seq", "direction = 'credit' and on_card|order by pos, seq", -2, 7, False)
+
+
+def query(sql: str | None = None, recursive: bool = False) -> Callable[[Run], Run]:
+    def keep(f: Run) -> Run:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = ("with recursive " if recursive else "with ") + sql
+        return f
+
+    return keep
+
+
+# selection and aggregates
+
+
+@query(LEDGER + """ select cast(sum(amount) as bigint) amount, count(*) n from l where "name" = 'm3' and direction = 'debit' and "date" between '2024-01-05' and '2024-01-20'""")
+def total_by_filter(spark, sf_dir):
+    return total(adapter.ledger(spark, sf_dir), Query("total", merchant="m3", direction="debit", period=JANUARY))
+
+
+@query(LEDGER + """ select cast(coalesce(sum(amount), 0) as bigint) amount, count(*) n from l where category = 'c1' and direction = 'credit'""")
+def count_by_filter(spark, sf_dir):
+    return count(adapter.ledger(spark, sf_dir), Query("count", category="c1", direction="credit"))
+
+
+@query(LEDGER + """ select "name", cast(sum(amount) as bigint) amount, count(*) n from l where direction = 'debit' group by 1 order by 2 desc, min({'d': "date", 's': statement_id, 'r': "row", 'q': seq}) limit 5""")
+def top_merchants(spark, sf_dir):
+    return top(adapter.ledger(spark, sf_dir), Query("top", direction="debit"))
+
+
+@query(LEDGER + """ select statement_id, seq, "name", amount from l where category = 'c2' and on_card and direction = 'debit'""")
+def select_rows(spark, sf_dir):
+    return select(adapter.ledger(spark, sf_dir), Query("total", category="c2", on_card=True, direction="debit")).select("statement_id", "seq", "name", "amount")
+
+
+@query(LEDGER + """, t5 as (select "name" from l where direction = 'debit' group by 1 order by sum(amount) desc limit 5) select statement_id, seq from l where direction = 'debit' and "name" in (select "name" from t5)""")
+def evidence_semi(spark, sf_dir):
+    return evidence(adapter.ledger(spark, sf_dir), Query("top", direction="debit")).select("statement_id", "seq")
+
+
+ROLLUP = LEDGER + """, r as (select "name", cast(coalesce(sum(amount) filter (direction = 'debit'), 0) as bigint) debits, cast(coalesce(sum(amount) filter (direction = 'credit'), 0) as bigint) credits,
+count(*) n, count(*) filter (direction = 'debit') n_debits, arg_min(category, {'d': "date", 's': statement_id, 'r': "row", 'q': seq}) category from l group by 1),
+c as (select category, cast(sum(debits) as bigint) debits, cast(sum(credits) as bigint) credits, cast(sum(n) as bigint) n, cast(sum(n_debits) as bigint) n_debits, count(*) merchants from r group by 1)"""
+
+
+@query(ROLLUP + " select *, debits + credits turnover, credits - debits net from r")
+def merchant_rollup(spark, sf_dir):
+    return insights.merchant_rollup(adapter.ledger(spark, sf_dir))
+
+
+@query(LEDGER + """ select "name", source, count(*) n from l group by 1, 2""")
+def merchant_sources(spark, sf_dir):
+    return insights.merchant_sources(adapter.ledger(spark, sf_dir))
+
+
+@query(ROLLUP + " select * from c")
+def category_rollup(spark, sf_dir):
+    return insights.category_rollup(adapter.ledger(spark, sf_dir))
+
+
+@query(ROLLUP + " select category, debits, n_debits n, cast(debits * 100 // (select sum(debits) from c) as bigint) percent from c where debits > 0")
+def category_share(spark, sf_dir):
+    return insights.category_share(adapter.ledger(spark, sf_dir))
+
+
+@query(LEDGER + " select kind, count(*) n, count(*) filter (source in ('lexicon', 'vpa', 'prefix')) confident, count(*) filter (kind <> 'unknown') classified from l group by 1")
+def coverage_by_kind(spark, sf_dir):
+    return insights.coverage(adapter.ledger(spark, sf_dir))
+
+
+@query(LEDGER + """ select statement_id account, "date", "row", seq, direction, amount, "name" from l where not on_card""")
+def merged_ledger(spark, sf_dir):
+    return linking.merged(adapter.ledger(spark, sf_dir))
+
+
+# reconciliation
+
+
+def _books(spark, sf_dir):
+    rows = adapter.ledger(spark, sf_dir)
+    return adapter.transactions(rows), adapter.statements(rows)
+
+
+@query(BOOKS + " select statement_id, opening, cast(closing as bigint) closing, c credits, d debits, cast(opening + c - d as bigint) computed, cast(closing - (opening + c - d) as bigint) delta from s")
+def reconcile_totals(spark, sf_dir):
+    return reconcile.totals(*_books(spark, sf_dir))
+
+
+@query(CHAIN + " select * from faults")
+def chain_faults(spark, sf_dir):
+    return reconcile.chain_faults(*_books(spark, sf_dir))
+
+
+STATED = """ (select statement_id, 'stated-debits' kind, d expected, cast(stated_debits as bigint) actual from s where stated_debits <> d union all select statement_id, 'stated-credits', c, cast(stated_credits as bigint) from s where stated_credits <> c)"""
+
+
+@query(BOOKS + " select * from " + STATED)
+def stated_totals_check(spark, sf_dir):
+    return reconcile.stated_totals(*_books(spark, sf_dir))
+
+
+@query(BOOKS + """, x as (select statement_id, 'summary' kind, previous - payments + purchases + coalesce(fees, 0) expected, due actual from s where on_card
+union all select statement_id, 'rows-debit', purchases + coalesce(fees, 0), d from s where on_card union all select statement_id, 'rows-credit', payments, c from s where on_card)
+select statement_id, kind, cast(expected as bigint) expected, cast(actual as bigint) actual, expected <> actual and not (kind = 'summary' and abs(actual - expected) < 100) fault, kind = 'summary' and abs(actual - expected) between 1 and 99 rounding from x where expected is not null and actual is not null""")
+def card_summary_check(spark, sf_dir):
+    rows, statements = _books(spark, sf_dir)
+    return reconcile.card_summary(statements.filter(F.col("kind") == "card").select("statement_id", "previous", "payments", "purchases", "fees", "due"), rows)
+
+
+VERDICT = CHAIN + """, v as (select s.statement_id, coalesce(f.n, 0) n_chain, f.first first_bad_row, coalesce(b.checked, false) chain_checked, closing = opening + c - d totals_ok,
+  coalesce(stated_debits, d) = d and coalesce(stated_credits, c) = c stated_ok, tautological from s
+  left join (select statement_id, count(*) n, min("row") "first" from faults group by 1) f using (statement_id)
+  left join (select statement_id, count(balance) > 0 checked from t group by 1) b using (statement_id))"""
+
+
+@query(VERDICT + " select *, n_chain = 0 and totals_ok and stated_ok ok from v")
+def verdicts(spark, sf_dir):
+    return reconcile.verdicts(*_books(spark, sf_dir))
+
+
+@query(VERDICT + """ select statement_id, n_chain = 0 and totals_ok and stated_ok reconciled, case when chain_checked then 'chain, totals' else 'totals' end checks,
+concat_ws('; ', case when tautological then 'both endpoints are derived from the rows' end, case when not chain_checked then 'no running balance to check' end) caveats,
+concat_ws('; ', case when n_chain > 0 then 'chain breaks at row ' || first_bad_row end, case when not totals_ok then 'totals differ' end, case when not stated_ok then 'stated totals differ' end) failures from v""")
+def certificates(spark, sf_dir):
+    out = reconcile.certificates(reconcile.verdicts(*_books(spark, sf_dir)))
+    return out.select("statement_id", "reconciled", F.array_join("checks", ", ").alias("checks"), F.array_join("caveats", "; ").alias("caveats"), F.array_join("failures", "; ").alias("failures"))
+
+
+@query(VERDICT + " select case when not (n_chain = 0 and totals_ok and stated_ok) then 'failed' when tautological and not chain_checked then 'weak' else 'ok' end state, count(*) n from v group by 1")
+def trust_strip(spark, sf_dir):
+    return report.trust_strip(reconcile.verdicts(*_books(spark, sf_dir)))
+
+
+@query(VERDICT + """ select cast(t."date" as varchar) "date", t.statement_id source, t."row", t.seq, case when t.direction = 'debit' then t.amount end debit, case when t.direction = 'credit' then t.amount end credit, cast(t.balance as bigint) balance,
+case when n_chain = 0 and totals_ok and stated_ok then 'yes' else 'NO' end reconciled from t join v using (statement_id)""")
+def ledger_export(spark, sf_dir):
+    rows, statements = _books(spark, sf_dir)
+    out = export.rows(rows, reconcile.certificates(reconcile.verdicts(rows, statements)))
+    return out.select(F.col("date").cast("string").alias("date"), "source", "row", "seq", *((F.col(c) * 100).cast("long").alias(c) for c in ("debit", "credit", "balance")), "reconciled")
+
+
+# patterns and links
+
+
+@query(REFUNDS + " select * from refunds", recursive=True)
+def refunds(spark, sf_dir):
+    return patterns.refunds(adapter.ledger(spark, sf_dir))
+
+
+@query(DUPLICATES + " select * from duplicates", recursive=True)
+def duplicates(spark, sf_dir):
+    return patterns.duplicates(adapter.ledger(spark, sf_dir))
+
+
+@query(RECURRING + " select * from recurring")
+def recurring(spark, sf_dir):
+    return patterns.recurring(adapter.ledger(spark, sf_dir))
+
+
+@query(TRANSFERS + " select * from transfers", recursive=True)
+def transfers(spark, sf_dir):
+    return linking.transfers(adapter.exact(adapter.ledger(spark, sf_dir)))
+
+
+@query(REPAYMENTS + """ select l.statement_id, l.seq, l."date", l.exact amount, r.i_id card_id, r.i_seq card_seq, r.lag_days from l left join repayments r on r.o_id = l.statement_id and r.o_seq = l.seq where direction = 'debit' and not on_card and kind = 'card bill'""", recursive=True)
+def repayment_links(spark, sf_dir):
+    return linking.repayment_links(adapter.exact(adapter.ledger(spark, sf_dir)))
+
+
+@query(REPAYMENTS + """ select statement_id, seq, "date", exact amount from l where direction = 'credit' and on_card and seq not in (select i_seq from repayments)""", recursive=True)
+def orphan_payments(spark, sf_dir):
+    return linking.orphan_payments(adapter.exact(adapter.ledger(spark, sf_dir)))
+
+
+SPEND = REPAYMENTS + """, f as (select coalesce(sum(exact) filter (not on_card and direction = 'debit'), 0) outflow, coalesce(sum(exact) filter (not on_card and direction = 'credit'), 0) inflow, coalesce(sum(exact) filter (on_card and direction = 'debit'), 0) card_charges,
+coalesce(sum(exact) filter (not on_card and direction = 'debit' and kind = 'card bill'), 0) repaid from l), m as (select coalesce(sum(amount), 0) matched from repayments), w as (select coalesce(sum(amount), 0) moved from transfers)
+select cast(outflow as bigint) outflow, cast(inflow as bigint) inflow, cast(card_charges as bigint) card_charges, cast(matched as bigint) matched, cast(repaid - matched as bigint) unmatched, cast(moved as bigint) moved,
+cast(outflow - matched - moved + card_charges as bigint) true_outflow, cast(inflow - moved as bigint) true_inflow, repaid = matched complete from f, m, w"""
+
+
+@query(SPEND, recursive=True)
+def spend_summary(spark, sf_dir):
+    return linking.spend_summary(adapter.exact(adapter.ledger(spark, sf_dir)))
+
+
+@query(DUPLICATES + "," + REPAYMENTS.removeprefix(LEDGER + ",") + """ select 'duplicate' kind, statement_id, exposure amount, first_date "date" from duplicates where exposure > 0
+union all select 'unmatched repayment', statement_id, exact, "date" from l where direction = 'debit' and not on_card and kind = 'card bill' and seq not in (select o_seq from repayments)
+union all select 'orphan payment', statement_id, exact, "date" from l where direction = 'credit' and on_card and seq not in (select i_seq from repayments)""", recursive=True)
+def open_loops(spark, sf_dir):
+    rows = adapter.ledger(spark, sf_dir)
+    return report.open_loops(rows, adapter.exact(rows))
+
+
+# scalar functions
+
+
+AMOUNTS = """r as (select o_orderkey k, cast(round(o_totalprice * 100) as bigint) c from orders)"""
+
+
+def _amount_text(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    body = F.concat(F.expr("c div 100").cast("string"), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
+    text = F.when(F.col("k") % 5 == 0, F.concat(F.lit("₹ "), body)).when(F.col("k") % 5 == 1, F.concat(F.lit("(Rs. "), body, F.lit(")"))).when(F.col("k") % 5 == 2, F.concat(body, F.lit(" Dr"))).when(F.col("k") % 5 == 3, F.concat(F.lit("- INR "), body, F.lit(" Cr"))).otherwise(F.lit("***"))
+    return o.withColumn("text", text)
+
+
+@query(AMOUNTS + " select k, case k % 5 when 0 then c when 4 then null else -c end paise from r")
+def amount_parse(spark, sf_dir):
+    return _amount_text(spark, sf_dir).select("k", money.parse_optional_amount(F.col("text")).alias("paise"))
+
+
+@query(AMOUNTS + r""" select k, case when k % 2 = 0 then '-' else '' end || '₹' || case when c < 100000 then cast(c // 100 as varchar) else
+ltrim(reverse(regexp_replace(reverse(left(cast(c // 100 as varchar), -3)), '(\d\d)', '\1,', 'g')), ',') || ',' || right(cast(c // 100 as varchar), 3) end || '.' || lpad(cast(c % 100 as varchar), 2, '0') text from r""")
+def amount_format(spark, sf_dir):
+    return _amount_text(spark, sf_dir).select("k", money.format_paise(F.when(F.col("k") % 2 == 0, -F.col("c")).otherwise(F.col("c"))).alias("text"))
+
+
+@query("r as (select o_orderkey k, o_custkey f, cast(o_orderdate as date) d from orders) select f, bool_or(day(d) > 12) or count(*) = 0 observed_day, count(*) n from r where f % 2 = 0 group by 1")
+def date_order(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.col("o_custkey") % 2 == 0).select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("pos"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date_text"))
+    return o.groupBy("f").agg(*dates.order_evidence(F.col("date_text")), F.count("*").alias("n")).select("f", F.col("day_over").alias("observed_day"), "n")
+
+
+@query("r as (select o_orderkey k, cast(o_orderdate as date) d from orders) select k, d parsed from r")
+def date_parse(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"))
+    form = lambda p: F.date_format("d", p)
+    text = F.when(F.col("k") % 4 == 0, form("dd/MM/yyyy")).when(F.col("k") % 4 == 1, F.upper(form("dd-MMM-yy"))).when(F.col("k") % 4 == 2, F.concat(form("d-M-yy"), F.lit("| 23:14"))).otherwise(form("yyyy-MM-dd"))
+    return o.select("k", dates.parse_date(text).alias("parsed"))
+
+
+NARRATIONS = """r as (select event_id, user_id u, event_id % 6 m from events), x as (select *, case m when 0 then 'UPI/DR/51' || lpad(cast(event_id as varchar), 8, '0') || '/SWIGGY LTD/swiggy.rzp@icici/payment' when 1 then 'NEFT-YESB0000001-RAMESH KUMAR-N' || lpad(cast(event_id as varchar), 9, '0')
+when 2 then 'ATM WDL MG ROAD ' || u when 3 then 'ACH D-NETFLIX INDIA-' || lpad(cast(event_id as varchar), 7, '0') when 4 then 'SMS ALERT CHRG ' || u else 'IMPS/P2A/9' || lpad(cast(u as varchar), 9, '0') || '@paytm/house rent' end raw from r)"""
+
+
+def _narrations(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("u"), (F.col("event_id") % 6).alias("m"))
+    number = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    forms = [("UPI/DR/51", number("event_id", 8), "/SWIGGY LTD/swiggy.rzp@icici/payment"), ("NEFT-YESB0000001-RAMESH KUMAR-N", number("event_id", 9), ""), ("ATM WDL MG ROAD ", F.col("u").cast("string"), ""), ("ACH D-NETFLIX INDIA-", number("event_id", 7), ""), ("SMS ALERT CHRG ", F.col("u").cast("string"), "")]
+    raw = F
+    for k, (a, b, c) in enumerate(forms):
+        raw = raw.when(F.col("m") == k, F.concat(F.lit(a), b, F.lit(c)))
+    return e.withColumn("raw", raw.otherwise(F.concat(F.lit("IMPS/P2A/9"), number("u", 9), F.lit("@paytm/house rent"))))
+
+
+@query(NARRATIONS + " select event_id, case m when 0 then 'upi' when 1 then 'neft' when 2 then 'atm' when 3 then 'ach' when 4 then 'charges' else 'imps' end channel from x")
+def channel_detect(spark, sf_dir):
+    return _narrations(spark, sf_dir).select("event_id", narration.detect_channel(F.col("raw")).alias("channel"))
+
+
+@query(NARRATIONS + """ select event_id, case m when 0 then 'SWIGGY LTD' when 1 then 'RAMESH KUMAR' when 2 then raw when 3 then 'NETFLIX INDIA' when 4 then raw else 'house rent' end counterparty,
+case m when 0 then 'swiggy.rzp@icici' when 5 then '9' || lpad(cast(u as varchar), 9, '0') || '@paytm' end vpa, case m when 0 then '51' || lpad(cast(event_id as varchar), 8, '0') when 1 then 'N' || lpad(cast(event_id as varchar), 9, '0') when 3 then lpad(cast(event_id as varchar), 7, '0') end reference from x""")
+def narration_parts(spark, sf_dir):
+    out = _narrations(spark, sf_dir).select("event_id", narration.parse_narration(F.col("raw")).alias("p"))
+    return out.select("event_id", "p.counterparty", "p.vpa", "p.reference")
+
+
+@query(NARRATIONS + """ select event_id, case m when 0 then 'Swiggy' when 1 then 'Ramesh Kumar' when 2 then 'Atm Wdl Mg Road ' || u when 3 then 'Netflix' when 4 then 'Sms Alert Chrg ' || u else 'House Rent' end "name",
+case m when 0 then 'food' when 1 then 'transfer' when 2 then 'cash' when 3 then 'entertainment' when 4 then 'fees' else 'rent' end category, case m when 0 then 'merchant' when 1 then 'person' when 2 then 'cash' when 3 then 'merchant' when 4 then 'bank' else 'person' end kind,
+case m when 0 then 'prefix' when 3 then 'lexicon' else 'segmented' end source from x""")
+def merchant_identify(spark, sf_dir):
+    out = _narrations(spark, sf_dir).select("event_id", merchants.identify(F.col("raw")).alias("p"))
+    return out.select("event_id", "p.name", "p.category", "p.kind", "p.source")
+
+
+@query("r as (select p_partkey k, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) s from part) select * from r")
+def slug_lookup(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), merchants.slug(F.col("p_name")).alias("s"))
+
+
+@query("""r as (select unnest(string_split(p_name, ' ')) w from part), k as (select unnest(string_split(p_type, ' ')) w from part) select distinct lower(w) w from r where lower(w) not in (select lower(w) from k)""")
+def unknown_names_anti(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    words = lambda c: p.select(F.explode(F.split(F.lower(c), " ")).alias("w")).distinct()
+    return words("p_name").join(words("p_type"), "w", "left_anti")
+
+
+@query()
+def request_budget(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("client"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
+    return budget.admitted(e, seconds=86_400, allowance=3)
