@@ -24,16 +24,28 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .common import blocks, byte_column, made
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 BLOCK_BYTES = 2 << 20
 NEW = ("ids", "decoded", "n_tokens")
 
 
+#: Characters that regular expression libraries don't agree on as white space.
+_ODD_SPACE = re.compile("[\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]").search
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 bytes are themselves, others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class PairIndex:
     """The positions of each ranked pair in a sequence of symbols."""
 
@@ -42,62 +54,60 @@ class PairIndex:
         self.places: dict[int, list[int]] = {}
         self.active: list[int] = []
 
-    def add(self, symbols: Iterable[int]) -> int:
-        """Appends a piece; returns its first position (-1: no symbols)."""
-        first = len(self.symbols)
-        self.symbols.extend(symbols)
-        end = len(self.symbols)
-        if end == first:
-            return -1
+    def add(self, symbols: list[int]) -> tuple[int, int]:
+        """Appends a piece; returns where it starts and ends."""
+        if not symbols:
+            return 0, 0
+        first, end = len(self.symbols), len(self.symbols) + len(symbols)
+        self.symbols += symbols
         self.before += [-1, *range(first, end - 1)]
         self.after += [*range(first + 1, end), -1]
-        for i in range(first, end - 1):
-            self.index(i)
-        return first
-
-    def index(self, i: int) -> int | None:
-        found = self.ranks.get((self.symbols[i], self.symbols[self.after[i]]))
-        if found is None:
-            return None
-        rank = found[0]
-        if rank in self.places:
-            self.places[rank].append(i)
-        else:
-            self.places[rank] = [i]
-            heapq.heappush(self.active, rank)
-        return rank
+        ranks, places = self.ranks, self.places
+        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False), first):
+            if (found := ranks.get(pair)) is not None:
+                if (rank := found[0]) in places:
+                    places[rank].append(i)
+                else:
+                    places[rank] = [i]
+                    heapq.heappush(self.active, rank)
+        return first, end
 
     def apply(self) -> None:
-        symbols, before, after = self.symbols, self.before, self.after
-        while self.active:
-            rank = heapq.heappop(self.active)
-            places = sorted(self.places.pop(rank))
-            for k, i in enumerate(places):
+        symbols, before, after, places, active, get = self.symbols, self.before, self.after, self.places, self.active, self.ranks.get
+        while active:
+            rank = heapq.heappop(active)
+            own = places.pop(rank)
+            if len(own) > 1:
+                own.sort()
+            for k, i in enumerate(own):
                 j = after[i]
-                if symbols[i] < 0 or j < 0 or (found := self.ranks.get((symbols[i], symbols[j]))) is None or found[0] != rank:
+                if j < 0 or (found := get((symbols[i], symbols[j]))) is None or found[0] != rank:
                     continue  # an earlier merge took one of the two
-                symbols[i], symbols[j] = found[1], -1
+                merged = symbols[i] = found[1]
+                symbols[j] = -1
                 after[i] = n = after[j]
+                after[j] = -1
                 lower = False
+                for at, pair in ((i, (merged, symbols[n]) if n >= 0 else None), (p := before[i], (symbols[p], merged) if p >= 0 else None)):
+                    if pair and (new := get(pair)) is not None:
+                        if (r := new[0]) in places:
+                            places[r].append(at)
+                        else:
+                            places[r] = [at]
+                            heapq.heappush(active, r)
+                        lower |= r < rank
                 if n >= 0:
                     before[n] = i
-                    lower = (new := self.index(i)) is not None and new < rank
-                if (p := before[i]) >= 0:
-                    lower |= (new := self.index(p)) is not None and new < rank
-                if lower and k + 1 < len(places):
-                    if rank in self.places:
-                        self.places[rank] += places[k + 1 :]
+                if lower and k + 1 < len(own):  # the lower rank goes first, the rest of this list after it
+                    if rank in places:
+                        places[rank] += own[k + 1 :]
                     else:
-                        self.places[rank] = places[k + 1 :]
-                        heapq.heappush(self.active, rank)
+                        places[rank] = own[k + 1 :]
+                        heapq.heappush(active, rank)
                     break
 
-    def piece(self, first: int) -> list[int]:
-        out = []
-        while first >= 0:
-            out.append(self.symbols[first])
-            first = self.after[first]
-        return out
+    def piece(self, first: int, end: int) -> tuple[int, ...]:
+        return tuple([s for s in self.symbols[first:end] if s >= 0])
 
 
 class Encoder:
@@ -115,36 +125,64 @@ class Encoder:
         special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.plain = all(t.startswith("<") for t in special)
+        self.pattern, self.letters = self._pattern(data), byte_letters()
         self.names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in special.items()}
         self.words: dict[bytes, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
+    @staticmethod
+    def _pattern(data: dict) -> regex.Pattern | None:
+        """The pattern of a file that normalises to NFC and lower case, and takes what a pattern matches as bytes."""
+        try:
+            steps, (split, level) = [x["type"] for x in data["normalizer"]["normalizers"]], data["pre_tokenizer"]["pretokenizers"]
+            plain = steps == ["NFC", "Replace", "Lowercase"] and (split["type"], split["behavior"], split["invert"]) == ("Split", "Removed", True) and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
+            return regex.compile(split["pattern"]["Regex"]) if plain else None
+        except (KeyError, TypeError, ValueError):
+            return None
+
     def symbols(self, piece: str) -> list[int]:
-        names = [*piece[:-1], piece[-1] + self.suffix]
-        return [i for x in names if (i := self.vocabulary.get(x)) is not None]
+        get = self.vocabulary.get
+        found = [get(x) for x in piece[:-1]]
+        found.append(get(piece[-1] + self.suffix))
+        return [i for i in found if i is not None] if None in found else found
+
+    def cut_text(self, text: str) -> list[str]:
+        """Pieces, in the alphabet of the vocabulary."""
+        if self.pattern and not _ODD_SPACE(text):  # the file's own pattern, without the library's offsets
+            if text.isascii():
+                return self.pattern.findall(text.lower())
+            found = self.pattern.findall(self.library.normalizer.normalize_str(text))
+            return [p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in found]
+        text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if self.library.pre_tokenizer else [text]
 
     def cut_word(self, word: str) -> list[str | int]:
         """Pieces, and ids of special tokens."""
+        if not self.cut or "<" not in word and self.plain:
+            return self.cut_text(word)
         out: list[str | int] = []
-        for part in self.cut.split(word) if self.cut else [word]:
+        for part in self.cut.split(word):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                text = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
-                out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if self.library.pre_tokenizer else [text]
+                out += self.cut_text(part)
         return out
 
     def learn(self, words: Iterable[bytes]) -> None:
-        """Encodes the words that aren't known yet, all in one index."""
-        cut = {w: self.cut_word(w.decode()) for w in words if w not in self.words}
+        """Encodes the words that aren't known yet, their new pieces all in one index."""
+        known, pieces = self.words, self.pieces
+        if len(pieces) >= CACHE_WORDS:
+            pieces.clear()
+        cut = {w: self.cut_word(w.decode()) for w in words if w not in known}
         index = PairIndex(self.ranks)
-        firsts = {p: index.add(self.symbols(p)) for p in dict.fromkeys(p for parts in cut.values() for p in parts) if isinstance(p, str) and p not in self.pieces}
+        new = dict.fromkeys(p for parts in cut.values() for p in parts if isinstance(p, str) and p not in pieces)
+        places = {p: index.add(self.symbols(p)) for p in new}
         index.apply()
-        for p, first in firsts.items():
-            self.pieces[p] = tuple(index.piece(first))
+        for p, place in places.items():
+            pieces[p] = index.piece(*place)
         for w, parts in cut.items():
-            self.words[w] = tuple(chain.from_iterable((p,) if isinstance(p, int) else self.pieces[p] for p in parts))
-        self.pieces.clear()
+            known[w] = pieces[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else tuple(chain.from_iterable((p,) if isinstance(p, int) else pieces[p] for p in parts))
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         split = [t.split() for t in texts]
