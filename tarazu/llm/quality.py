@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE_PATTERN, keyed_rows, materialize, words_of
+from .common import keyed_rows, materialize, row_id, with_key, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 LINE_LIMIT, MOST_REMOVED = 30, 70
@@ -83,3 +83,12 @@ def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     kept = ~F.col("base_failed") & (100 * F.col("n_removed") <= MOST_REMOVED * F.col("n_words"))
     names = [F.col("text").alias(c) if c == text_column else F.col("own").getField(c).alias(c) for c in df.columns if c not in NEW]
     return out.select(*names, *BASE, "n_removed", kept.alias("kept"))
+
+
+def accepted(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
+    """The rows that are kept, as they are. Verdicts are written first: a filter on them would be pushed into the rules and repeat them many times over."""
+    text = F.col(text_column).cast("string")
+    slim = df.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.col(host_column).alias("source"))
+    verdict = materialize(judged(slim, limit=limit).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "kept"), "verdicts")
+    rejected = verdict.filter("not kept").select(row_id().alias("_id"), "_h").distinct()
+    return with_key(df, id_column, text_column).join(rejected, ["_id", "_h"], "left_anti").select(*df.columns)
