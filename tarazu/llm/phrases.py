@@ -142,6 +142,8 @@ def located_spans(listed: DataFrame, window: int, phrase: int) -> DataFrame:
             lists = batch.column(3)
             for row, text in enumerate(byte_column(batch, "text")):
                 words = text.split()
+                if len(words) < window:  # the list is that of another row of this id
+                    continue
                 rolling = Rolling(hashed(words, cache))
                 chosen = selections(rolling, len(words), window, phrase)
                 own = np.isin(chosen[0], lists[row].values.to_numpy(zero_copy_only=False).view(np.uint64))
