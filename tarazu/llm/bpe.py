@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 
 from .common import blocks, byte_column, made
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 BLOCK_BYTES = 2 << 20
 NEW = ("ids", "decoded", "n_tokens")
 
