@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, hmm, mixture, phrases, quality, quotes, sampling, simhash, templates, warc
 from .common import table
+from .oracle import ORACLE as OTHER_SQL
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def digests(out: DataFrame) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_repeated_phrases, op3_line_templates, op4_simhash, op5_quality, op6_quotes, op7_mixture, op8_hmm, op9_weighted_sampling, op10_bpe)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(OTHER_SQL)
 
 ORACLE["op1_warc"] = """
 with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages),
