@@ -4,11 +4,11 @@ Tokens are the words of the text with A-Z lower-cased, then one end. Each word h
 words are classes of their own (``HEAD_WORDS`` at most), all others fall into ``TAIL_CLASSES`` by
 hash. A state emits a class, the class gives the word by its count, so that
 P(text) = sum over state paths of product P(state | state before) P(class | state) P(word | class),
-with one unseen word for each class. Counts of words cover all training text. Baum-Welch: each
-round, tasks run forward and backward over all training text (in segments of ``SEGMENT`` tokens)
-and Spark sums their expected counts; the start is fitted to ``START_DOCUMENTS`` whole documents of at most
-``START_CHARS`` characters, only to break the tie between states. Scoring runs the scaled forward recursion over the
-whole text, so the likelihood is exact.
+with one unseen word for each class. Counts of words cover all training text. Baum-Welch: all
+training text is written as class numbers once; each of ``ROUNDS`` rounds, from a start that chance
+tilts, tasks run forward and backward over all of it (in segments of ``SEGMENT`` tokens) and Spark
+sums their expected counts. Scoring runs the scaled forward recursion over the whole text, so the
+likelihood is exact.
 
 Size: the driver and each task hold the model (states x classes), and the counts of at most
 ``KNOWN_WORDS`` most frequent words, whatever the input's size; the counts of all other words come
@@ -31,11 +31,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import blocks, byte_column, keyed_rows, materialize
 
 FOLDS, HELD_OUT = 7, 2
-STATES, ROUNDS, START_ROUNDS = 4, 2, 15
+STATES, ROUNDS = 4, 4
 HEAD_WORDS, TAIL_CLASSES, KNOWN_WORDS = 20_000, 4096, 1_000_000
 SEGMENT, BATCH = 64, 4096
-START_DOCUMENTS, START_CHARS = 400, 20_000
-PRIOR = 50.0
+PRIOR, TILTED_SHARE = 50.0, 0.001
 CACHE_WORDS = 300_000
 END = b""
 
@@ -129,8 +128,9 @@ class Model:
         self.start, self.move, self.emit = self._first_guess()
 
     def _first_guess(self) -> tuple[np.ndarray, ...]:
+        """States that differ by chance in their frequent classes only; rare ones follow their neighbours."""
         rng, k = np.random.default_rng(7), STATES
-        emit = self.unigram * rng.gamma(4.0, 0.25, (k, self.classes))
+        emit = self.unigram * np.where(self.unigram >= TILTED_SHARE, rng.gamma(4.0, 0.25, (k, self.classes)), 1.0)
         return np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1)) + np.eye(k) * (0.98 - 0.02 / (k - 1)), emit / emit.sum(axis=1, keepdims=True)
 
     def refit(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
@@ -232,18 +232,29 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def baum_welch(training: DataFrame, model: Model, rounds: int) -> None:
+def class_sequences(training: DataFrame, model: Model) -> DataFrame:
+    """(classes binary): each text's word classes as 32-bit numbers."""
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(shared.value)
+        for batch in blocks(batches, "text", 4 << 20):
+            numbers = lookup.read(byte_column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([pa.array([lookup.cls[x].tobytes() for x in numbers], pa.binary())], ["classes"])
+
+    return training.select("text").mapInArrow(run, "classes binary")
+
+
+def baum_welch(sequences: DataFrame, model: Model, rounds: int) -> None:
     """Rounds over all training text: tasks emit their expected counts by class, Spark sums them."""
-    spark = training.sparkSession
+    spark = sequences.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, total = shared.value, None
-            lookup = Lookup(own)
-            for batch in blocks(batches, "text", 4 << 20):
-                numbers = lookup.read(byte_column(batch, "text"))
-                part = expected_counts(own, [lookup.cls[x] for x in numbers])
+            for batch in blocks(batches, "classes", 4 << 20):
+                part = expected_counts(own, [np.frombuffer(x, np.int32) for x in byte_column(batch, "classes")])
                 total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
             if total is not None:
                 start, move, emit = total
@@ -252,7 +263,7 @@ def baum_welch(training: DataFrame, model: Model, rounds: int) -> None:
                 keys = np.r_[used, -1, -2 - np.arange(STATES)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x) for x in rows)], ["k", *(f"s{s}" for s in range(STATES))])
 
-        parts = training.select("text").mapInArrow(run, "k long, " + ", ".join(f"s{s} double" for s in range(STATES)))
+        parts = sequences.select("classes").mapInArrow(run, "k long, " + ", ".join(f"s{s} double" for s in range(STATES)))
         found = parts.groupBy("k").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
         keys, values = found.column("k").to_numpy(), np.array([found.column(f"s{s}").to_numpy() for s in range(STATES)]).reshape(STATES, -1)
         emit, move, start = np.zeros((STATES, model.classes)), np.zeros((STATES, STATES)), np.zeros(STATES)
@@ -267,14 +278,9 @@ def baum_welch(training: DataFrame, model: Model, rounds: int) -> None:
 
 
 def fitted(training: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> Model:
-    """training(doc_id, text), vocabulary(w, c)."""
+    """training(text), vocabulary(w, c)."""
     model = Model(vocabulary)
-    short = training.filter(F.length("text") <= START_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCUMENTS)
-    lookup = Lookup(model)
-    numbers = lookup.read([(r["text"] or "").encode() for r in short.select("text").collect()])
-    for _ in range(START_ROUNDS if numbers else 0):
-        model.refit(*expected_counts(model, [lookup.cls[x] for x in numbers]))
-    baum_welch(training, model, rounds)
+    baum_welch(materialize(class_sequences(training, model), "classes"), model, rounds)
     return model
 
 
