@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: list[str] = []
 
 
 def session(name: str = "tarazu", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,3 +37,15 @@ def ship(spark: SparkSession) -> None:
             out.write(path, f"{root.name}/{path.relative_to(root)}")
     spark.sparkContext.addPyFile(target)
     _shipped.add(application)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """A table written in the folder that all machines share, and read back: the plan and its lineage end there."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="ledger-"))
+        folder = _own[0]
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dates, money
+from ..session import written
 
 #: Column headings by field, bank names, and patterns of labels.
 ALIASES = {
@@ -161,13 +162,17 @@ def summary_block(rows: DataFrame) -> DataFrame:
 
 
 def parsed(grid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statements, transactions, rejects). A file with a row that can't be read is refused whole: a ledger with a gap proves nothing."""
-    header = headers(grid)
-    rows = classified(grid, header)
-    order = dates.settle_order(rows.select(KEY, F.col("number").alias("pos"), F.col("date_text")))
+    """(statements, transactions, rejects). A file with a row that can't be read is refused whole: a ledger with a gap proves nothing.
+
+    Rows are read several times over, so the headers, the classified rows and the settled dates are written first.
+    """
+    header = written(headers(grid), "headers")
+    rows = written(classified(grid, header), "rows")
+    order = written(dates.settle_order(rows.select(KEY, F.col("number").alias("pos"), F.col("date_text"))), "orders")
     ledger = rows.filter(F.col("end").isNull() | (F.col("number") < F.col("end"))).join(order, KEY)
     read = lambda f: F.when(F.col("date_order") == "month_first", dates.parse_date(F.col(f), "month_first")).otherwise(dates.parse_date(F.col(f), "day_first"))
     ledger = ledger.withColumns({"date": read("date_text"), "value_date": read("value_date_text"), "seq": F.col("entries") + (F.col("kind") == "entry").cast("long")})
+    ledger = written(ledger.select(KEY, "number", "kind", "seq", "date", "value_date", "narration_text", "out", "into", "balance"), "ledger")
 
     spent = F.col("out").isNotNull()
     entries = ledger.filter("kind in ('entry', 'wrapped') and seq > 0").groupBy(KEY, "seq").agg(
