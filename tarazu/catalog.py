@@ -324,6 +324,17 @@ def date_order(spark, sf_dir):
     return o.groupBy("f").agg(*dates.order_evidence(F.col("date_text")), F.count("*").alias("n")).select("f", F.col("day_over").alias("observed_day"), "n")
 
 
+@query("""r as (select o_custkey f, o_orderkey pos, cast(o_orderdate as date) t from orders), x as (select f, pos, year(t) y, case when f % 3 = 0 then month(t) else day(t) end a, case when f % 3 = 0 then day(t) else month(t) end b from r),
+v as (select *, case when b <= 12 then make_date(y, b, a) end d, case when a <= 12 then make_date(y, a, b) end m from x),
+w as (select *, d < last_value(d ignore nulls) over o d_back, m < last_value(m ignore nulls) over o m_back from v window o as (partition by f order by pos rows between unbounded preceding and 1 preceding)),
+g as (select f, bool_or(a > 12) a_over, bool_or(b > 12) b_over, count(d) > 0 and not coalesce(bool_or(d_back), false) d_runs, count(m) > 0 and not coalesce(bool_or(m_back), false) m_runs from w group by f)
+select f, case when a_over then 'day_first' when b_over or (m_runs and not d_runs) then 'month_first' else 'day_first' end date_order, a_over or b_over or d_runs <> m_runs observed, a_over and b_over inconsistent from g""")
+def date_order_settled(spark, sf_dir):
+    """The whole operator over the files of all customers; every third file writes the month first."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_custkey") % 3 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("date_text"))
+    return dates.settle_order(o, "f", "pos", "date_text")
+
+
 @query("r as (select o_orderkey k, cast(o_orderdate as date) d from orders) select k, d parsed from r")
 def date_parse(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"))

@@ -49,3 +49,10 @@ def test_malformed_queries_are_refused():
         Query("recurring", merchant="x")
     with pytest.raises(ValueError, match="no such intent"):
         Query("average")
+
+
+def test_dates_of_every_customer_are_settled(spark, sf_dir):
+    files = {r[0] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey").distinct().collect()}
+    out = catalog.QUERIES["date_order_settled"](spark, sf_dir).collect()
+    assert {r["f"] for r in out} == files and any(f % 2 for f in files)
+    assert all(r["date_order"] == ("day_first" if r["f"] % 3 else "month_first") for r in out if r["observed"])
