@@ -1,18 +1,16 @@
 """Language-model scoring with a hidden Markov model.
 
-Tokens are the words of the text with A-Z lower-cased, then one end. Each word has a class: frequent
-words are classes of their own (``HEAD_WORDS`` at most), all others fall into ``TAIL_CLASSES`` by
-hash. A state emits a class, the class gives the word by its count, so that
-P(text) = sum over state paths of product P(state | state before) P(class | state) P(word | class),
-with one unseen word for each class. Counts of words cover all training text. Baum-Welch: all
-training text is written as class numbers once; each of ``ROUNDS`` rounds, from a start that chance
-tilts, tasks run forward and backward over all of it (in segments of ``SEGMENT`` tokens) and Spark
-sums their expected counts. Scoring runs the scaled forward recursion over the whole text, so the
-likelihood is exact.
-
-Size: the driver and each task hold the model (states x classes), and the counts of at most
-``KNOWN_WORDS`` most frequent words, whatever the input's size; the counts of all other words come
-by a join. Words are told apart by 64-bit hashes.
+Tokens are the words of the text with A-Z lower-cased, then one end. P(text) = sum over state paths of
+product P(state | state before) P(word | state); every word of the training text has emissions of its
+own, words that it lacks share one. Baum-Welch: texts are written once as blocks of word numbers; each
+of ``ROUNDS`` rounds, from a start that chance tilts, tasks run forward and backward over all training
+text (in segments of ``SEGMENT`` tokens) and Spark sums their expected counts by word. A word's share
+of a state leans on the state's share of all tokens by ``BACK_OFF`` tokens, so rare words follow it.
+Scoring runs the scaled forward recursion over the whole text, so the likelihood is exact.
+
+Size: emissions are a table keyed by word over the whole vocabulary; a task gets those of a block's
+words by a join, so neither the driver nor a task holds the vocabulary. Words are told apart by 64-bit
+hashes.
 
 Defined cases: a null text is the empty text (one end token); a null doc_id is hashed as an empty
 name and belongs to training; repeated rows are counted and scored each; other columns are ignored;
@@ -21,21 +19,23 @@ an empty table, or one without training rows, gives unseen-word scores.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import blocks, byte_column, keyed_rows, materialize
+from .common import blocks, byte_column, materialize
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
-HEAD_WORDS, TAIL_CLASSES, KNOWN_WORDS = 20_000, 4096, 1_000_000
 SEGMENT, BATCH = 64, 4096
-PRIOR, TILTED_SHARE = 50.0, 0.001
-CACHE_WORDS = 300_000
+PRIOR, BACK_OFF, TILTED_SHARE = 50.0, 10.0, 0.001
+CACHE_WORDS, BLOCK_BYTES = 300_000, 16 << 20
 END = b""
 
 
@@ -87,89 +87,48 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def count_class(c: Column) -> Column:
-    """An integer that rises with the count, of at most 1024 values."""
-    bits = F.length(F.bin(c))
-    return bits * 16 + F.call_function("shiftright", c, F.greatest(bits - 5, F.lit(0))) % 16
+STATE_COLUMNS = [f"s{s}" for s in range(STATES)]
+
+
+@dataclass
+class Fit:
+    """What every task needs beside its words' emissions: no part grows with the vocabulary."""
+
+    n: int
+    v: int
+    start: np.ndarray
+    move: np.ndarray
+    unseen: np.ndarray
+    total: np.ndarray
 
 
 class Model:
-    """The parts that every task needs."""
-
-    def __init__(self, vocabulary: DataFrame):
-        ranked = vocabulary.withColumn("_b", count_class(F.col("c")))
-        histogram = sorted(((r["_b"], r["n"]) for r in ranked.groupBy("_b").agg(F.count("*").alias("n")).collect()), reverse=True)
-
-        def threshold(most: int) -> int:
-            total, least = 0, 1 << 20
-            for b, n in histogram:
-                if (total := total + n) > most:
-                    break
-                least = b
-            return least
-
-        head, known = threshold(HEAD_WORDS), threshold(KNOWN_WORDS)
-        self.n, self.v = (x or 0 for x in vocabulary.agg(F.sum("c"), F.count("*")).first())
-        rows = ranked.filter(F.col("_b") >= known).select("w", "c", (F.col("_b") >= head).alias("head")).toArrow()
-        w = rows.column("w").to_numpy().view(np.uint64)
+    """The emissions of some words (by state, not yet divided by the state's total); the last class is an unseen word."""
+
+    def __init__(self, fit: Fit, w: np.ndarray, c: np.ndarray, weight: np.ndarray):
         order = np.argsort(w)
-        self.w, self.c = w[order], rows.column("c").to_numpy()[order].astype(np.float64)
-        is_head = rows.column("head").to_numpy()[order].astype(bool)
-        self.head = int(is_head.sum())
-        self.cls = np.where(is_head, np.cumsum(is_head) - 1, self.head + (self.w % np.uint64(TAIL_CLASSES)).astype(np.int64)).astype(np.int32)
-        tail = np.zeros((2, TAIL_CLASSES))
-        for k, n, v in ranked.filter(F.col("_b") < head).groupBy(F.pmod("w", F.lit(TAIL_CLASSES)).alias("k")).agg(F.sum("c"), F.count("*")).collect():
-            tail[:, k] = n, v
-        self.classes = self.head + TAIL_CLASSES
-        #: log10 of the share of one count in a class; a frequent word is all of its class
-        self.unit = np.r_[np.zeros(self.head), -np.log10(tail.sum(axis=0) + 1)]
-        mass = np.r_[self.c[is_head], tail[0]] + 1
-        self.unigram = mass / mass.sum()
-        self.start, self.move, self.emit = self._first_guess()
-
-    def _first_guess(self) -> tuple[np.ndarray, ...]:
-        """States that differ by chance in their frequent classes only; rare ones follow their neighbours."""
-        rng, k = np.random.default_rng(7), STATES
-        emit = self.unigram * np.where(self.unigram >= TILTED_SHARE, rng.gamma(4.0, 0.25, (k, self.classes)), 1.0)
-        return np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1)) + np.eye(k) * (0.98 - 0.02 / (k - 1)), emit / emit.sum(axis=1, keepdims=True)
-
-    def refit(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        """Parameters from expected counts, with the unigram shares as prior."""
-        emit = emit + PRIOR * self.unigram
-        self.start = (start + 1) / (start + 1).sum()
-        self.move = (move + 1) / (move + 1).sum(axis=1, keepdims=True)
-        self.emit = emit / emit.sum(axis=1, keepdims=True)
-
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, count) by word key; count -1: not among the known words."""
-        tail = (self.head + (keys % np.uint64(TAIL_CLASSES)).astype(np.int64)).astype(np.int32)
-        if not len(self.w):
-            return tail, np.full(len(keys), -1.0)
-        at = np.minimum(np.searchsorted(self.w, keys), len(self.w) - 1)
-        hit = self.w[at] == keys
-        return np.where(hit, self.cls[at], tail), np.where(hit, self.c[at], -1.0)
+        self.w, self.c = w[order], np.r_[c[order], 0].astype(np.float64)
+        self.start, self.move, self.classes = fit.start, fit.move, len(w) + 1
+        self.emit = np.c_[weight[:, order], fit.unseen] / fit.total[:, None]
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Classes by word key."""
+        unseen = len(self.w)
+        if not unseen:
+            return np.zeros(len(keys), np.int32)
+        at = np.minimum(np.searchsorted(self.w, keys), unseen - 1)
+        return np.where(self.w[at] == keys, at, unseen).astype(np.int32)
 
 
 class Lookup:
-    """Texts as arrays of word numbers, with each word's class and count."""
+    """Texts as arrays of word numbers, with each word's class."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers, self.keys, self.cls, self.c = Numbers(), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0)
+        self.model, self.numbers, self.cls = model, Numbers(), np.zeros(0, np.int32)
 
     def read(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Word numbers of each text; keys, cls and c have a value for each number until the next call."""
-        if len(self.numbers) >= CACHE_WORDS:
-            self.forget()
         out = [np.fromiter(map(self.numbers.__getitem__, tokens(x)), np.int32) for x in texts]
-        if len(self.numbers) > len(self.keys):
-            new = list(self.numbers)[len(self.keys) :]
-            keys = np.fromiter(map(word_key, new), np.uint64, len(new))
-            cls, c = self.model.look_up(keys)
-            self.keys, self.cls, self.c = np.r_[self.keys, keys], np.r_[self.cls, cls], np.r_[self.c, c]
+        self.cls = self.model.look_up(np.fromiter(map(word_key, self.numbers), np.uint64, len(self.numbers)))
         return out
 
 
@@ -232,96 +191,146 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def class_sequences(training: DataFrame, model: Model) -> DataFrame:
-    """(classes binary): each text's word classes as 32-bit numbers."""
-    shared = training.sparkSession.sparkContext.broadcast(model)
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, text, train) -> (b, doc_id, train, seq binary, words array<long>): texts as numbers of their block's words (then a byte that has a number's size); the block's first row has the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(shared.value)
-        for batch in blocks(batches, "text", 4 << 20):
-            numbers = lookup.read(byte_column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([pa.array([lookup.cls[x].tobytes() for x in numbers], pa.binary())], ["classes"])
-
-    return training.select("text").mapInArrow(run, "classes binary")
-
-
-def baum_welch(sequences: DataFrame, model: Model, rounds: int) -> None:
-    """Rounds over all training text: tasks emit their expected counts by class, Spark sums them."""
-    spark = sequences.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, total = shared.value, None
-            for batch in blocks(batches, "classes", 4 << 20):
-                part = expected_counts(own, [np.frombuffer(x, np.int32) for x in byte_column(batch, "classes")])
-                total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
-            if total is not None:
-                start, move, emit = total
-                used = np.nonzero(emit.any(axis=0))[0]
+        b = TaskContext.get().partitionId() << 32
+        for batch in blocks(batches, "text", BLOCK_BYTES):
+            numbers = Numbers()
+            seqs = [np.fromiter(map(numbers.__getitem__, tokens(x)), np.uint32) for x in byte_column(batch, "text")]
+            size = 2 if len(numbers) <= 1 << 16 else 4
+            seqs = [x.astype(f"<u{size}").tobytes() + bytes([size]) for x in seqs]
+            words = np.fromiter(map(word_key, numbers), np.uint64, len(numbers)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seqs), b)), batch.column(0), batch.column(2), pa.array(seqs, pa.binary()), pa.array([words] + [None] * (len(seqs) - 1), pa.list_(pa.int64()))], ["b", "doc_id", "train", "seq", "words"])
+            b += 1
+
+    schema = "b long, doc_id {}, train boolean, seq binary, words array<long>".format(rows.schema["doc_id"].dataType.simpleString())
+    return materialize(rows.select("doc_id", "text", "train").mapInArrow(run, schema), "blocks")
+
+
+def with_emissions(texts: DataFrame, blocked: DataFrame, emissions: DataFrame) -> DataFrame:
+    """texts(b, doc_id, seq) with a first row for each block that has its words' emissions, in order of blocks."""
+    words = blocked.filter("words is not null").select("b", F.posexplode("words").alias("i", "w"))
+    own = words.join(emissions, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", "c", *STATE_COLUMNS)).alias("own"))
+    kind = own.schema["own"].dataType.simpleString()
+    rows = texts.select("b", F.lit(1).alias("kind"), "doc_id", "seq", F.lit(None).cast(kind).alias("own"))
+    first = own.select("b", F.lit(0).alias("kind"), F.lit(None).cast(texts.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("binary").alias("seq"), "own")
+    return rows.unionByName(first).repartition("b").sortWithinPartitions("b", "kind")
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model, pa.Array, list[np.ndarray]]]:
+    """(model, ids, class sequences) of each block."""
+    model, classes, ids, seqs, now = None, None, [], [], None
+
+    def closed() -> tuple[Model, pa.Array, list[np.ndarray]]:
+        return model, pa.chunked_array(ids).combine_chunks(), [classes[np.minimum(x, len(classes) - 1)] for x in seqs]
+
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cuts = np.r_[0, np.nonzero(block[1:] != block[:-1])[0] + 1, len(block)].tolist() if len(block) else [0]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            if block[at] != now:
+                if seqs:
+                    yield closed()
+                ids, seqs, now = [], [], block[at]
+                model = Model(fit, np.zeros(0, np.uint64), np.zeros(0), np.zeros((STATES, 0)))
+                classes = np.zeros(1, np.int32)
+                if batch.column(1)[at].as_py() == 0:
+                    i, w, c, *weight = (x.to_numpy(zero_copy_only=False) for x in batch.column(4).slice(at, 1).flatten().flatten())
+                    w = w.view(np.uint64)
+                    model = Model(fit, w, c, np.array(weight))
+                    # numbers of words without emissions, and those beyond the last with any, are the unseen class
+                    classes = np.full(int(i.max()) + 2, len(w), np.int32)
+                    classes[i] = model.look_up(w)
+                    at += 1
+            ids.append(batch.column(2).slice(at, end - at))
+            seqs += [np.frombuffer(x, f"<u{x[-1]}", len(x) // x[-1]) for x in batch.column(3).slice(at, end - at).to_pylist()]
+    if seqs:
+        yield closed()
+
+
+def totals(emissions: DataFrame, unseen: np.ndarray) -> np.ndarray:
+    return np.array([x or 0.0 for x in emissions.agg(*(F.sum(c) for c in STATE_COLUMNS)).first()]) + unseen
+
+
+def first_guess(vocabulary: DataFrame) -> tuple[Fit, DataFrame]:
+    """States that differ by chance in their frequent words only (at most 1 / TILTED_SHARE of them); rare ones follow their neighbours."""
+    n, v = (x or 0 for x in vocabulary.agg(F.sum("c"), F.count("*")).first())
+    share, k = (F.col("c") + 1.0) / (n + v + 1.0), STATES
+    often = sorted(r["w"] for r in vocabulary.filter(share >= TILTED_SHARE).select("w").collect())
+    tilt = np.random.default_rng(7).gamma(4.0, 0.25, (k, len(often)))
+    tilts = vocabulary.sparkSession.createDataFrame([(w, *x) for w, x in zip(often, tilt.T.tolist(), strict=True)], "w long, " + ", ".join(f"t{s} double" for s in range(k)))
+    emissions = materialize(vocabulary.join(F.broadcast(tilts), "w", "left").select("w", "c", *((share * F.coalesce(f"t{s}", F.lit(1.0))).alias(f"s{s}") for s in range(k))), "emissions")
+    unseen = np.full(k, 1 / (n + v + 1))
+    return Fit(n, v, np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1)) + np.eye(k) * (0.98 - 0.02 / (k - 1)), unseen, totals(emissions, unseen)), emissions
+
+
+def refitted(fit: Fit, vocabulary: DataFrame, counts: DataFrame) -> tuple[Fit, DataFrame]:
+    """Parameters from expected counts (r, w, s0...): r is 0 for a word, 1 for the starts, 2 and more for moves."""
+    parts = {r["r"]: np.array([r[c] for c in STATE_COLUMNS]) for r in counts.groupBy("r").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)).collect()}
+    start, move = parts[1] + 1, np.array([parts[2 + s] for s in range(STATES)]).T + 1
+    state, u = parts[0] / parts[0].sum(), PRIOR / (fit.n + fit.v + 1)
+    c, words = F.col("c"), counts.filter("r = 0").select("w", *STATE_COLUMNS)
+    weight = lambda s: (c + 1.0) * ((F.coalesce(f"s{s}", F.lit(0.0)) + BACK_OFF * float(state[s])) / (c + BACK_OFF) + u)
+    emissions = materialize(vocabulary.join(words, "w", "left").select("w", "c", *(weight(s).alias(f"s{s}") for s in range(STATES))), "emissions")
+    unseen = state + u
+    return Fit(fit.n, fit.v, start / start.sum(), move / move.sum(axis=1, keepdims=True), unseen, totals(emissions, unseen)), emissions
+
+
+def baum_welch(blocked: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> tuple[Fit, DataFrame]:
+    """Rounds over all training text -> the fit and its emissions (w, c, s0...)."""
+    fit, emissions = first_guess(vocabulary)
+    for _ in range(rounds if fit.n else 0):
+
+        def run(batches: Iterator[pa.RecordBatch], fit=fit) -> Iterator[pa.RecordBatch]:
+            for model, _, sequences in read_blocks(batches, fit):
+                start, move, emit = expected_counts(model, sequences)
+                used = np.nonzero(emit[:, :-1].any(axis=0))[0]
                 rows = np.concatenate([emit[:, used], start[:, None], move], axis=1)
-                keys = np.r_[used, -1, -2 - np.arange(STATES)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x) for x in rows)], ["k", *(f"s{s}" for s in range(STATES))])
-
-        parts = sequences.select("classes").mapInArrow(run, "k long, " + ", ".join(f"s{s} double" for s in range(STATES)))
-        found = parts.groupBy("k").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES))).toArrow()
-        keys, values = found.column("k").to_numpy(), np.array([found.column(f"s{s}").to_numpy() for s in range(STATES)]).reshape(STATES, -1)
-        emit, move, start = np.zeros((STATES, model.classes)), np.zeros((STATES, STATES)), np.zeros(STATES)
-        emit[:, keys[keys >= 0]] = values[:, keys >= 0]
-        for key, column in zip(keys, values.T, strict=True):
-            if key == -1:
-                start = column
-            elif key < -1:
-                move[:, -2 - key] = column
-        model.refit(start, move, emit)
-        shared.unpersist()
+                r = np.r_[np.zeros(len(used), np.int32), 1, 2 + np.arange(STATES)].astype(np.int32)
+                w = np.r_[model.w[used].view(np.int64), np.zeros(1 + STATES, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(w), *(pa.array(x) for x in rows)], ["r", "w", *STATE_COLUMNS])
+
+        rows = with_emissions(blocked.filter("train"), blocked, emissions)
+        parts = rows.mapInArrow(run, "r int, w long, " + ", ".join(f"{c} double" for c in STATE_COLUMNS))
+        counts = materialize(parts.groupBy("r", "w").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)), "counts")
+        fit, emissions = refitted(fit, vocabulary, counts)
+        del rows, parts, counts
+        gc.collect()
+        vocabulary.sparkSession._jvm.System.gc()  # Spark drops a round's shuffle files once the driver forgets them
+    return fit, emissions
 
 
 def fitted(training: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> Model:
-    """training(text), vocabulary(w, c)."""
-    model = Model(vocabulary)
-    baum_welch(materialize(class_sequences(training, model), "classes"), model, rounds)
-    return model
+    """training(doc_id, text), vocabulary(w, c) -> the whole model in one place, for small vocabularies."""
+    fit, emissions = baum_welch(in_blocks(training.withColumn("train", F.lit(True))), vocabulary, rounds)
+    rows = emissions.toArrow()
+    return Model(fit, rows.column("w").to_numpy().view(np.uint64), rows.column("c").to_numpy(), np.array([rows.column(c).to_numpy() for c in STATE_COLUMNS]))
 
 
 def scored(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    rows = keyed_rows(df.select(id_column, text_column), id_column, text_column, ()).withColumn("doc_id", F.col("own").getField(id_column))
-    training = rows.filter(fold("doc_id") != HELD_OUT).select("doc_id", "text")
-    vocabulary = materialize(word_counts(training), "vocabulary")
-    model = fitted(training, vocabulary, rounds)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("train", fold("doc_id") != HELD_OUT)
+    vocabulary = materialize(word_counts(rows.filter("train")), "vocabulary")
+    blocked = in_blocks(rows)
+    fit, emissions = baum_welch(blocked, vocabulary, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        lookup = Lookup(own)
-        for batch in blocks(batches, "text", 8 << 20):
-            numbers = lookup.read(byte_column(batch, "text"))
-            known, logs = lookup.c >= 0, np.log10(np.maximum(lookup.c, 0) + 1)
-            inner = np.where(lookup.cls < own.head, 0.0, logs + own.unit[lookup.cls])
-            keys = lookup.keys.view(np.int64)
-            base, score, n_known, missing, times = [], log_likelihoods(own, [lookup.cls[x] for x in numbers]), [], [], []
-            for i, x in enumerate(numbers):
-                n_known.append(int(known[x].sum()))
-                base.append(float(logs[x].sum()))
-                score[i] += inner[x].sum()
-                odd, n = np.unique(x[~known[x]], return_counts=True)
-                missing.append(keys[odd])
-                times.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) for x in numbers], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(missing, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], ["doc_id", "_id", "_h", "n_tokens", "n_known", "base", "score", "missing", "times"])
-
-    schema = "doc_id {0}, _id long, _h long, n_tokens long, n_known long, base double, score double, missing array<long>, times array<long>".format(rows.schema["doc_id"].dataType.simpleString())
-    found = materialize(rows.select("doc_id", "_id", "_h", "text").mapInArrow(run, schema), "scores")
-    rest = found.filter(F.size("missing") > 0).select("_id", "_h", F.explode(F.arrays_zip("missing", "times")).alias("x")).groupBy("_id", "_h", F.col("x.missing").alias("w")).agg(F.max("x.times").alias("n"))
-    rest = rest.join(vocabulary, "w").groupBy("_id", "_h").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("plus"))
-    out = found.join(rest, ["_id", "_h"], "left")
-    plus, n, v = F.coalesce("plus", F.lit(0.0)), float(model.n), float(model.v)
+        for model, ids, sequences in read_blocks(batches, fit):
+            logs = np.log10(model.c + 1)
+            n_known = [int((model.c[x] > 0).sum()) for x in sequences]
+            base = [float(logs[x].sum()) for x in sequences]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sequences], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(log_likelihoods(model, sequences))], ["doc_id", "n_tokens", "n_known", "base", "score"])
+
+    schema = "doc_id {}, n_tokens long, n_known long, base double, score double".format(rows.schema["doc_id"].dataType.simpleString())
+    out = with_emissions(blocked, blocked, emissions).mapInArrow(run, schema)
     return out.select(
         "doc_id",
         (fold("doc_id") == HELD_OUT).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + plus - F.col("n_tokens") * F.log10(F.lit(n + v + 1.0))).alias("base_score"),
-        (F.col("score") + plus).alias("score"),
+        "n_known",
+        F.lit(int(fit.n)).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(fit.n + fit.v + 1)))).alias("base_score"),
+        "score",
     )

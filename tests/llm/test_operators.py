@@ -222,6 +222,31 @@ def test_hmm(spark, docs):
     assert np.allclose(hmm.log_likelihoods(model, seqs), [brute_forward(model, s) for s in seqs])
 
 
+def test_hmm_every_word_has_emissions_of_its_own(spark):
+    """More words than there were classes: each of two kinds of rare word is told apart from the other."""
+    rows = [(i, " ".join(f"{'a' if (i + j) % 2 else 'b'}{rng.randrange(20_000)}" for j in range(100))) for i in range(600)]
+    training = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {hmm.word_key(w): n for w, n in Counter(x for _, t in rows for x in hmm.tokens(t.encode())).items()}
+    model = hmm.fitted(training, hmm.word_counts(training), rounds=2)
+    assert dict(zip(model.w.tolist(), model.c[:-1].astype(int).tolist(), strict=True)) == counts and len(counts) > 24_096
+    lookup = hmm.Lookup(model)
+    lookup.read([t.encode() for _, t in rows])
+    assert len(set(lookup.cls.tolist())) == len(counts) and model.emit.shape[1] == len(counts) + 1
+    assert np.allclose(model.emit.sum(axis=1), 1)
+
+
+def test_hmm_blocks_give_the_scores_of_the_whole_model(spark, docs, monkeypatch):
+    import zlib
+
+    training = spark.createDataFrame([(i, t) for i, t, _ in ROWS if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2], "doc_id long, text string")
+    model = hmm.fitted(training, hmm.word_counts(training), rounds=2)
+    seqs = [model.look_up(np.array([hmm.word_key(w) for w in hmm.tokens((t or "").encode())], np.uint64)) for _, t, _ in ROWS]
+    expected = sorted((str(i), round(brute_forward(model, s), 5)) for (i, _, _), s in zip(ROWS, seqs, strict=True))
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 3000)
+    got = sorted((str(r["doc_id"]), round(r["score"], 5)) for r in hmm.scored(docs, rounds=2).collect())
+    assert [x[0] for x in got] == [x[0] for x in expected] and np.allclose([x[1] for x in got], [x[1] for x in expected], atol=1e-3)
+
+
 def test_hmm_beats_base_on_held_out_text(spark, sf_dir):
     out = queries.op8_hmm(spark, sf_dir).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
