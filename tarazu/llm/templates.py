@@ -7,7 +7,12 @@ with its first half generalised; a shorter line stands for itself. Lines of unde
 tokens are in no template. A template that ``MIN_DOCUMENTS`` documents share recurs; the document
 with the least id keeps its lines, and all others drop the lines that stand for it.
 
-Each line gives two keys at most, so leaves are never gathered: a leaf, a template or a line that a
+Identical lines: where asked for, a line of ``IDENTICAL_TOKENS`` tokens or more also stands for itself, tokens
+as they are, and recurs in ``IDENTICAL_DOCUMENTS`` documents (one of ``LONG_TOKENS`` tokens in ``LONG_DOCUMENTS``),
+unless all of these have the same text; copies of the text that keeps its lines keep them too, so that
+they stay copies.
+
+Each line gives three keys at most, so leaves are never gathered: a leaf, a template or a line that a
 third of all rows share is counted by pre-aggregation.
 
 Defined cases: a null text has no lines and stays null; a null doc_id comes after all others; rows
@@ -27,6 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import blocks, byte_column, keyed_rows, made, materialize
 
 LEADING, SPLIT_TOKENS, MIN_TOKENS, MIN_DOCUMENTS = 2, 8, 4, 10
+IDENTICAL_TOKENS, IDENTICAL_DOCUMENTS = 8, 3
+LONG_TOKENS, LONG_DOCUMENTS = 50, 2
 FIELD = b"<*>"
 _digit = re.compile(rb"[0-9]").search
 
@@ -46,36 +53,44 @@ def templates(line: bytes, leading: int = LEADING) -> list[bytes]:
     return [head + b" " + first + b" " + FIELD * (n - cut), head + b" " + FIELD * (cut - leading) + b" " + last]
 
 
-def keys(line: bytes, leading: int = LEADING) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(t) for t in templates(line, leading)]
+def keys(line: bytes, leading: int = LEADING, identical: bool = False) -> list[bytes]:
+    found = [xxhash.xxh3_128_digest(t) for t in templates(line, leading)]
+    return found + [xxhash.xxh3_128_digest(b"= " + b" ".join(tokens))] if identical and len(tokens := line.split()) >= IDENTICAL_TOKENS else found
 
 
-def template_rows(keyed: DataFrame, leading: int) -> DataFrame:
-    """(t, _id, _h), each template of a row once."""
+def template_rows(keyed: DataFrame, leading: int, min_documents: int = MIN_DOCUMENTS, identical: bool = False) -> DataFrame:
+    """(t, _id, _h, least, same), each template of a row once, with the documents it takes; same: the line as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            found, counts = [], []
+            found, least, same, counts = [], [], [], []
             for text in byte_column(batch, "text"):
-                own = {k for line in set(text.split(b"\n")) for k in keys(line, leading)}
+                own = {}
+                for line in set(text.split(b"\n")):
+                    own |= dict.fromkeys(keys(line, leading), 0)
+                    if identical and (n := len(line.split())) >= IDENTICAL_TOKENS:
+                        own[keys(line, leading, True)[-1]] = LONG_DOCUMENTS if n >= LONG_TOKENS else IDENTICAL_DOCUMENTS
                 found.extend(own)
+                least.extend(n or min_documents for n in own.values())
+                same.extend(n > 0 for n in own.values())
                 counts.append(len(own))
             ids = [batch.column(k).take(pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int64())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *ids], ["t", "_id", "_h"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *ids, pa.array(least, pa.int32()), pa.array(same, pa.bool_())], ["t", "_id", "_h", "least", "same"])
 
-    return keyed.select("_id", "_h", "text").mapInArrow(run, "t binary, _id long, _h long")
+    return keyed.select("_id", "_h", "text").mapInArrow(run, "t binary, _id long, _h long, least int, same boolean")
 
 
-def recurring_templates(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(t, first): the templates that enough documents share, with the least id."""
-    return rows.groupBy("t").agg(F.count("*").alias("n"), F.min("_id").alias("first")).filter(F.col("n") >= min_documents).select("t", "first")
+def recurring_templates(rows: DataFrame) -> DataFrame:
+    """(t, first, own): the templates that enough documents share, with the least id, and for a line as it is that document's text."""
+    found = rows.groupBy("t").agg(F.count("*").alias("n"), F.min("_id").alias("first"), F.min(F.struct("_id", "_h")).alias("head"), F.max("least").alias("least"), F.max("same").alias("same"), (F.min("_h") != F.max("_h")).alias("texts"))
+    return found.filter("n >= least and (texts or not same)").select("t", "first", F.when(F.col("same"), F.col("head._h")).alias("own"))
 
 
-def drop_recurring_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_documents: int = MIN_DOCUMENTS, leading: int = LEADING) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_documents: int = MIN_DOCUMENTS, leading: int = LEADING, identical: bool = False) -> DataFrame:
     """The rows with their text without recurring lines, and n_lines and n_dropped."""
     keyed = keyed_rows(df, id_column, text_column, ("n_lines", "n_dropped"))
-    found = materialize(template_rows(keyed, leading), "templates")
-    dropped = found.join(recurring_templates(found, min_documents), "t").filter("_id > first").groupBy("_id", "_h").agg(F.collect_set("t").alias("dropped"))
+    found = materialize(template_rows(keyed, leading, min_documents, identical), "templates")
+    dropped = found.join(recurring_templates(found), "t").filter("_id > first and not _h <=> own").groupBy("_id", "_h").agg(F.collect_set("t").alias("dropped"))
     rows = keyed.join(dropped, ["_id", "_h"], "left").select("own", "text", "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +99,7 @@ def drop_recurring_lines(df: DataFrame, id_column: str = "doc_id", text_column:
             for row, text in enumerate(byte_column(batch, "text")):
                 lines = text.split(b"\n") if valid[row] else []
                 gone = set(batch.column(2)[row].as_py() or ())
-                left = [x for x in lines if gone.isdisjoint(keys(x, leading))] if gone else lines
+                left = [x for x in lines if gone.isdisjoint(keys(x, leading, identical))] if gone else lines
                 kept.append(b"\n".join(left) if valid[row] else None)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))

@@ -122,6 +122,17 @@ def test_templates(docs):
     assert [c for c in whole.columns if c not in ("n_lines", "n_dropped")] == docs.columns
 
 
+def test_identical_lines_recur_from_two_or_three_documents(spark):
+    long, middle = " ".join(f"l{k}" for k in range(60)), "a line of nine words is in these three"
+    rows = [(0, f"one\n{long}"), (1, f"two\n{long}"), (2, f"three\n{middle}"), (3, f"four\n{middle}"), (4, f"five\n{middle}")]
+    copied = "this line is only in two copies of one text " + long
+    rows += [(5, copied), (6, copied), (7, "a line of nine words is in two others"), (8, "x\na line of nine words is in two others"), (9, "short line"), (10, "y\nshort line"), (11, "z\nshort line"), (12, f"one\n{long}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["n_dropped"] for r in templates.drop_recurring_lines(df, identical=True).collect()}
+    assert {i for i, n in out.items() if n} == {1, 3, 4} and sum(out.values()) == 3
+    assert templates.drop_recurring_lines(df).filter("n_dropped > 0").isEmpty()
+
+
 def test_quality(docs):
     def base(t):
         w = words(t)
