@@ -59,27 +59,29 @@ def base_rules(df: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def line_rows(keyed: DataFrame) -> DataFrame:
-    """(host, line, _id, _h, n): each line with a word by hash, with its words."""
+    """(host, line, _id, _h, n): each line with a word by hash, with its words, and a null line for each row."""
     text = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")))
-    return keyed.select("host", "_id", "_h", F.explode(pairs).alias("x")).select("host", "x.line", "_id", "_h", "x.n")
+    return keyed.select("host", "_id", "_h", F.explode(F.concat(pairs, F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("n"))))).alias("x")).select("host", "x.line", "_id", "_h", "x.n")
 
 
 def removed_words(keyed: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(_id, _h, n_removed) of the rows that lose lines."""
+    """(host, _id, _h, n_removed) of the rows that lose lines. times has the lines of all rows that repeat (host, _id, _h), so it is divided by their number."""
     rows = line_rows(keyed).groupBy("host", "line", "_id", "_h").agg(F.max("n").alias("n"), F.count("*").alias("times"))
     rows = materialize(rows, "lines")
-    frequent = rows.groupBy("host", "line", "_h").agg(F.min("_id").alias("_id")).groupBy("host", "line").agg(F.count("*").alias("texts"), F.min("_id").alias("first")).filter(F.col("texts") > limit)
+    frequent = rows.filter("line is not null").groupBy("host", "line", "_h").agg(F.min("_id").alias("_id")).groupBy("host", "line").agg(F.count("*").alias("texts"), F.min("_id").alias("first")).filter(F.col("texts") > limit)
     found = rows.join(frequent, ["host", "line"]).filter("_id > first")
-    return found.groupBy("_id", "_h").agg(F.sum(F.col("n") * F.col("times")).alias("n_removed"))
+    lost = found.groupBy("host", "_id", "_h").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    repeated = rows.filter("line is null and times > 1").select("host", "_id", "_h", F.col("times").alias("rows"))
+    return lost.join(repeated, ["host", "_id", "_h"], "left").select("host", "_id", "_h", F.expr("n div coalesce(rows, 1)").alias("n_removed"))
 
 
 def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
     """The rows with the BASE columns, n_removed (words in removed lines) and kept; the text isn't changed."""
     keyed = keyed_rows(df, id_column, text_column, NEW).withColumn("host", F.coalesce(F.concat(F.lit("="), F.col("own").getField(host_column).cast("string")), F.lit("null")))
     removed = removed_words(keyed.select("host", "text", "_id", "_h"), limit)
-    out = base_rules(keyed).join(removed, ["_id", "_h"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
+    out = base_rules(keyed).join(removed, ["host", "_id", "_h"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
     kept = ~F.col("base_failed") & (100 * F.col("n_removed") <= MOST_REMOVED * F.col("n_words"))
     names = [F.col("text").alias(c) if c == text_column else F.col("own").getField(c).alias(c) for c in df.columns if c not in NEW]
     return out.select(*names, *BASE, "n_removed", kept.alias("kept"))

@@ -158,6 +158,17 @@ def test_frequent_lines_deplete_documents(spark):
     assert {r["doc_id"] for r in kept.collect()} == {0, 100, 101, 102}
 
 
+def test_repeated_rows_lose_what_one_row_loses(spark):
+    shared = "the very same line of text on all of these pages here"
+    own = " ".join(f"w{k}" for k in range(100))
+    rows = [(i, f"{shared}\npage {i} says", "host") for i in range(40)] + [(200, f"{shared}\n{shared}\n{own}", "host")] * 4 + [(200, f"{shared}\n{shared}\n{own}", "elsewhere"), (201, f"{shared}\n{own}", "host")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality.judged(df).filter("doc_id >= 200").collect()
+    n = len(shared.split())
+    assert sorted((r["doc_id"], r["source"], r["n_removed"], r["kept"]) for r in out) == [(200, "elsewhere", 0, True)] + [(200, "host", 2 * n, True)] * 4 + [(201, "host", n, True)]
+    assert quality.accepted(df).filter("doc_id = 200").count() == 5
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "Shall we meet on Monday?\n\nOr some day later in the week?"),
