@@ -36,7 +36,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quotes.linked(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "reply_to", "root", "depth", F.sha2("body", 256).alias("body_sha256"))
+    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "reply_to", "root", "depth", "quote_links", "position", F.sha2("body", 256).alias("body_sha256"))
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ Lines that start with ``>`` marks are quoted at the level of their number of mar
 run of lines of one level. Passages, their paragraphs and their lines are normalised (marks off,
 white space to one space, lower case) and hashed, and so are every message's own body, paragraphs
 and lines. A passage joins the first message of its conversation that has the same text, if that
-came before; a message replies to the message that its lowest level's passage quotes (of several the
-whole passage before paragraphs before lines of ``LINE_WORDS`` words, then the latest). Roots and
-depths follow the links by pointer doubling. The result is ordered by conversation, root, depth and
-turn where it is written; no conversation is gathered in one task.
+came before; quote_links has these for passages of every level. A message replies to the message that its
+lowest level's passage quotes (of several the whole passage before paragraphs before lines of
+``LINE_WORDS`` words, then the latest). Roots and depths follow the links by pointer doubling. A
+message's position is its place in its conversation by root, depth and turn, from 0.
 
 Defined cases: a null text has no body and no quotes; null conv_id or turn are values that come
 last; rows that repeat (conv_id, turn) share one place and one link; a quote of the message itself
@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import NULL_ID, byte_column, made, materialize, row_id
 
 LINE_WORDS = 3
 _marks = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
-NEW = ("body", "n_quotes", "max_level", "reply_to", "root", "depth")
+NEW = ("body", "n_quotes", "max_level", "reply_to", "root", "depth", "quote_links", "position")
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -62,10 +62,10 @@ def _hash(text: str) -> int:
 
 
 def parsed(df: DataFrame, conv_column: str, turn_column: str, text_column: str) -> DataFrame:
-    """own, _c, _t, body, n_quotes, max_level, has array<long>, quoted array<struct<kind int, hash long>>."""
+    """own, _c, _t, body, n_quotes, max_level, has array<long>, quoted array<struct<passage int, level int, lowest boolean, kind int, hash long>>."""
     own = [F.col(f"`{c}`") for c in df.columns if c not in NEW]
     rows = df.select(F.struct(*own).alias("own"), row_id(conv_column).alias("_c"), row_id(turn_column).alias("_t"), F.col(text_column).cast("string").alias("text"))
-    schema = made(rows, _c="long", _t="long", body="string", n_quotes="long", max_level="int", has="array<long>", quoted="array<struct<kind:int,hash:long>>")
+    schema = made(rows, _c="long", _t="long", body="string", n_quotes="long", max_level="int", has="array<long>", quoted="array<struct<passage:int,level:int,lowest:boolean,kind:int,hash:long>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,25 +77,31 @@ def parsed(df: DataFrame, conv_column: str, turn_column: str, text_column: str)
                 n.append(len(passages))
                 most.append(max((level for level, _ in passages), default=0))
                 has.append(list({_hash(x) for _, x in parts(own_text)}))
-                quoted.append([{"kind": k, "hash": _hash(x)} for level, p in passages if level == lowest for k, x in parts(p)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(body, pa.string()), pa.array(n, pa.int64()), pa.array(most, pa.int32()), pa.array(has, pa.list_(pa.int64())), pa.array(quoted, pa.list_(pa.struct([("kind", pa.int32()), ("hash", pa.int64())])))], schema.names)
+                quoted.append([{"passage": i, "level": level, "lowest": level == lowest, "kind": k, "hash": _hash(x)} for i, (level, p) in enumerate(passages) for k, x in parts(p)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(body, pa.string()), pa.array(n, pa.int64()), pa.array(most, pa.int32()), pa.array(has, pa.list_(pa.int64())), pa.array(quoted, pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("lowest", pa.bool_()), ("kind", pa.int32()), ("hash", pa.int64())])))], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def reply_links(messages: DataFrame) -> DataFrame:
-    """(_c, _t, reply): the turn that a message replies to."""
+def passage_links(messages: DataFrame) -> DataFrame:
+    """(_c, _t, passage, level, lowest, best): what each passage quotes, best has its kind (negative) and the turn."""
     first = messages.select("_c", "_t", F.explode("has").alias("hash")).groupBy("_c", "hash").agg(F.min("_t").alias("first"))
-    quotes = messages.select("_c", "_t", F.explode("quoted").alias("q")).select("_c", "_t", "q.kind", "q.hash").groupBy("_c", "_t", "hash").agg(F.min("kind").alias("kind"))
+    quotes = messages.select("_c", "_t", F.explode("quoted").alias("q")).select("_c", "_t", "q.*").groupBy("_c", "_t", "passage", "level", "lowest", "hash").agg(F.min("kind").alias("kind"))
     found = quotes.join(first, ["_c", "hash"]).filter("first < _t")
-    return found.groupBy("_c", "_t").agg(F.max(F.struct((-F.col("kind")).alias("kind"), F.col("first"))).alias("best")).select("_c", "_t", F.col("best.first").alias("reply"))
+    return found.groupBy("_c", "_t", "passage", "level", "lowest").agg(F.max(F.struct((-F.col("kind")).alias("kind"), F.col("first"))).alias("best"))
+
+
+def reply_links(found: DataFrame) -> DataFrame:
+    """(_c, _t, reply, quote_links): the turn that a message replies to (null: only deeper levels quote one), and all passages' links in order."""
+    links = F.sort_array(F.collect_set(F.struct("passage", "level", F.col("best.first").alias("turn"))))
+    return found.groupBy("_c", "_t").agg(F.max(F.when(F.col("lowest"), F.col("best"))).alias("best"), links.alias("quote_links")).select("_c", "_t", F.col("best.first").alias("reply"), "quote_links")
 
 
 def linked(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", text_column: str = "text") -> DataFrame:
-    """The rows with body (the text without quotes), n_quotes, max_level, reply_to, root and depth (0 for a root)."""
+    """The rows with body (the text without quotes), n_quotes, max_level, reply_to, root, depth (0 for a root), quote_links and position."""
     messages = materialize(parsed(df, conv_column, turn_column, text_column), "messages")
-    links = materialize(reply_links(messages), "replies")
-    places = links.select("_c", "_t", F.col("reply").alias("root"), F.lit(1).alias("depth"))
+    links = materialize(reply_links(passage_links(messages)), "replies")
+    places = links.filter("reply is not null").select("_c", "_t", F.col("reply").alias("root"), F.lit(1).alias("depth"))
     while True:  # a place's root becomes its root's root, so chains halve
         above = places.select("_c", F.col("_t").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
         step = materialize(places.join(above, ["_c", "root"], "left"), "places")
@@ -104,9 +110,5 @@ def linked(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn
         places = step.select("_c", "_t", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
     out = messages.join(links, ["_c", "_t"], "left").join(places, ["_c", "_t"], "left")
     turn = lambda c: F.when(c != NULL_ID, c)
-    return out.select("own.*", "body", "n_quotes", "max_level", turn(F.col("reply")).alias("reply_to"), turn(F.coalesce("root", "_t")).alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
-
-
-def in_reply_order(messages: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn") -> DataFrame:
-    """Sorted over all partitions: each conversation's messages by thread, depth and turn."""
-    return messages.orderBy(conv_column, "root", "depth", turn_column)
+    order = Window.partitionBy("_c").orderBy(F.coalesce("root", "_t"), F.coalesce("depth", F.lit(0)), "_t")
+    return out.select("own.*", "body", "n_quotes", "max_level", turn(F.col("reply")).alias("reply_to"), turn(F.coalesce("root", "_t")).alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("quote_links", F.array().cast(links.schema["quote_links"].dataType)).alias("quote_links"), (F.dense_rank().over(order) - 1).alias("position"))

@@ -185,6 +185,16 @@ def test_quotes(spark):
     assert out[2, 1]["reply_to"] is None and out[1, 2]["max_level"] == 2 and len(out) == len(rows)
 
 
+def test_passages_of_every_level_are_linked_and_threads_ordered(spark):
+    rows = [(1, 0, "first question of all"), (1, 1, "another start"), (1, 2, "> > first question of all\n> an edited line\nHm"), (1, 3, "> another start\n> > first question of all\nsecond reply"), (1, 4, "> first question of all\nreply"), (2, 0, "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    out = {(r["conv_id"], r["turn"]): r for r in quotes.linked(df).collect()}
+    links = {k: [tuple(x) for x in r["quote_links"]] for k, r in out.items()}
+    assert links == {(1, 0): [], (1, 1): [], (1, 2): [(0, 2, 0)], (1, 3): [(0, 1, 1), (1, 2, 0)], (1, 4): [(0, 1, 0)], (2, 0): []}
+    assert [out[1, t]["reply_to"] for t in range(5)] == [None, None, None, 1, 0]
+    assert [t for _, t in sorted((out[1, t]["position"], t) for t in range(5))] == [0, 4, 1, 3, 2] and out[2, 0]["position"] == 0
+
+
 def test_mixture(spark):
     rows = [(i, prose(rng.randint(0, 60)), f"s{i % 7}" if i % 11 else None) for i in range(700)] + [(5, None, "s1"), (None, "a b c", "s2"), (8, "x y", "z"), (8, "x y", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
