@@ -4,8 +4,8 @@ A text is cut into pieces by the tokenizer file's own normaliser and pre-tokenis
 of a block of texts are laid out in one sequence of symbols with links to their neighbours, and each
 adjacent pair that has a rank is indexed with all its positions. Active ranks are applied in
 ascending order, each at all its positions from left to right, and the lists of the pairs that a
-merge makes are updated; where a new pair has a lower rank it goes first. Encoded words are kept
-for later blocks, ``CACHE_WORDS`` at most.
+merge makes are updated; where a new pair has a lower rank it goes first. Encoded words and pieces
+are kept for later blocks as packed numbers, twice ``CACHE_WORDS`` of each at most.
 
 Special tokens in a text are found before normalising. Decoding joins tokens with a space, as the
 tokenizers library does for a file that names no decoder.
@@ -20,23 +20,31 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .common import blocks, byte_column, made
 
-CACHE_WORDS = 400_000
+#: Words, and pieces, of one generation that a worker keeps.
+CACHE_WORDS = 100_000
 BLOCK_BYTES = 2 << 20
+#: Stands between words that are cut together: a private character, which normalising leaves alone.
+MARK = "\ue000"
+pack = struct.Struct("=i").pack
 NEW = ("ids", "decoded", "n_tokens")
 
 
 #: Characters that regular expression libraries don't agree on as white space.
-_ODD_SPACE = re.compile("[\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]").search
+_ODD_SPACE = re.compile("[\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ue000\ufeff]").search
 
 
 def byte_letters() -> list[str]:
@@ -110,90 +118,146 @@ class PairIndex:
         return tuple([s for s in self.symbols[first:end] if s >= 0])
 
 
+class Kept(dict):
+    """Word or piece -> ids as packed 32-bit numbers, in two generations: what a full generation's time didn't use goes."""
+
+    def __init__(self, most: int = CACHE_WORDS):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def known(self, keys: Iterable) -> list:
+        """The keys that aren't here; those of the older generation are moved to the younger."""
+        missing, older = [], self.older
+        for k in keys:
+            if k not in self:
+                if (found := older.get(k)) is None:
+                    missing.append(k)
+                else:
+                    self[k] = found
+        return missing
+
+    def age(self) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """A tokenizer file's BPE model; words are cut at ASCII white space, which the file's pieces never hold."""
+    """A tokenizer file's BPE model; words are cut at ASCII white space, which the file's pieces must not hold."""
 
     def __init__(self, file: str):
         data = json.loads(file)
-        model, self.library = data["model"], Tokenizer.from_str(file)
+        model = data["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("unk_token") or data.get("decoder"):
             raise ValueError("this encoder is for BPE files without dropout, byte fallback, unknown token and decoder")
         vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.vocabulary, self.suffix = vocabulary, suffix
+        self.vocabulary = {x: i for x, i in vocabulary.items() if len(x) == 1}
+        self.last = {x[0]: i for x, i in vocabulary.items() if len(x) == 1 + len(suffix) and x.endswith(suffix)}
         self.ranks = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
         special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.plain = all(t.startswith("<") for t in special)
-        self.pattern, self.letters = self._pattern(data), byte_letters()
-        self.names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in special.items()}
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in special.items()}
+        self.names = pa.array([names.get(i) for i in range(max(names, default=-1) + 1)], pa.string())
+        # the library cuts texts; its vocabulary isn't needed for that
+        self.library = Tokenizer.from_str(json.dumps(data | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "truncation": None, "padding": None}))
+        self.letters = byte_letters()
+        self.from_bytes = dict(enumerate(self.letters))
+        pattern = self._pattern(data)
+        self.pattern = regex.compile("\n|" + pattern) if pattern else None
+        if any(" " in p or "\u0120" in p for x in ("a b", "a  b", " a") for p in self.cut_text(x)):
+            raise ValueError("this encoder is for files whose pieces hold no white space")
+        self.words, self.pieces = Kept(), Kept()
 
     @staticmethod
-    def _pattern(data: dict) -> regex.Pattern | None:
+    def _pattern(data: dict) -> str | None:
         """The pattern of a file that normalises to NFC and lower case, and takes what a pattern matches as bytes."""
         try:
             steps, (split, level) = [x["type"] for x in data["normalizer"]["normalizers"]], data["pre_tokenizer"]["pretokenizers"]
             plain = steps == ["NFC", "Replace", "Lowercase"] and (split["type"], split["behavior"], split["invert"]) == ("Split", "Removed", True) and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
-            return regex.compile(split["pattern"]["Regex"]) if plain else None
+            return split["pattern"]["Regex"] if plain else None
         except (KeyError, TypeError, ValueError):
             return None
 
     def symbols(self, piece: str) -> list[int]:
-        get = self.vocabulary.get
-        found = [get(x) for x in piece[:-1]]
-        found.append(get(piece[-1] + self.suffix))
+        found = [*map(self.vocabulary.get, piece[:-1]), self.last.get(piece[-1])]
         return [i for i in found if i is not None] if None in found else found
 
     def cut_text(self, text: str) -> list[str]:
-        """Pieces, in the alphabet of the vocabulary."""
-        if self.pattern and not _ODD_SPACE(text):  # the file's own pattern, without the library's offsets
-            if text.isascii():
-                return self.pattern.findall(text.lower())
-            found = self.pattern.findall(self.library.normalizer.normalize_str(text))
-            return [p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in found]
+        """Pieces of one text by the library, in the alphabet of the vocabulary."""
         text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if self.library.pre_tokenizer else [text]
 
+    def cut_many(self, words: list[str]) -> list[list[str]]:
+        """Pieces of each word by the file's own pattern, all words in one go; they hold no white space and no MARK."""
+        if not words:
+            return []
+        joined = MARK.join(words)
+        joined = joined.lower() if joined.isascii() else self.library.normalizer.normalize_str(joined)
+        out: list[list[str]] = [[]]
+        for p in self.pattern.findall(joined.replace(MARK, "\n")):
+            if p == "\n":
+                out.append([])
+            else:
+                out[-1].append(p if p.isascii() else p.encode().decode("latin-1").translate(self.from_bytes))
+        return out
+
     def cut_word(self, word: str) -> list[str | int]:
         """Pieces, and ids of special tokens."""
-        if not self.cut or "<" not in word and self.plain:
-            return self.cut_text(word)
         out: list[str | int] = []
-        for part in self.cut.split(word):
+        for part in self.cut.split(word) if self.cut else [word]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 out += self.cut_text(part)
         return out
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Encodes the words that aren't known yet, their new pieces all in one index."""
+    def cut_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[str | int]]]:
+        texts, special = b"\n".join(words).decode().split("\n"), "<" if self.plain else ""
+        simple: tuple[list[int], list[int]] = [], []
+        for k, text in enumerate(texts if words else ()):
+            if not self.pattern or self.cut and special in text or not text.isascii() and _ODD_SPACE(text) or not text.isprintable():
+                yield words[k], self.cut_word(text)
+            else:
+                simple[text.isascii()].append(k)
+        for some in simple:
+            yield from zip([words[k] for k in some], self.cut_many([texts[k] for k in some]), strict=True)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes new words, their new pieces all in one index."""
         known, pieces = self.words, self.pieces
-        if len(pieces) >= CACHE_WORDS:
-            pieces.clear()
-        cut = {w: self.cut_word(w.decode()) for w in words if w not in known}
+        cut = list(self.cut_words(words))
         index = PairIndex(self.ranks)
-        new = dict.fromkeys(p for parts in cut.values() for p in parts if isinstance(p, str) and p not in pieces)
-        places = {p: index.add(self.symbols(p)) for p in new}
+        new = pieces.known(dict.fromkeys(p for _, parts in cut for p in parts if isinstance(p, str)))
+        places = [index.add(self.symbols(p)) for p in new]
         index.apply()
-        for p, place in places.items():
-            pieces[p] = index.piece(*place)
-        for w, parts in cut.items():
-            known[w] = pieces[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else tuple(chain.from_iterable((p,) if isinstance(p, int) else pieces[p] for p in parts))
-
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
+        for p, place in zip(new, places, strict=True):
+            pieces[p] = array("i", index.piece(*place)).tobytes()
+        for w, parts in cut:
+            known[w] = pieces[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else b"".join([pack(p) if isinstance(p, int) else pieces[p] for p in parts])
+        pieces.age()
+
+    def ids_of(self, texts: list[bytes]) -> pa.ListArray:
+        """The ids of each text."""
         split = [t.split() for t in texts]
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        self.learn(set(chain.from_iterable(split)))
+        self.learn(self.words.known(set(chain.from_iterable(split))))
         get = self.words.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split]
+        packed = [b"".join(map(get, words)) for words in split]
+        self.words.age()
+        ends = np.cumsum([0, *map(len, packed)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+    def texts_of(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of ids."""
+        return pa.compute.binary_join(pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values)), " ")
+
+    def encode(self, texts: list[bytes]) -> list[list[int]]:
+        return self.ids_of(texts).to_pylist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.names.__getitem__, ids))
+        return self.texts_of(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 _encoders: dict[int, Encoder] = {}
@@ -218,7 +282,7 @@ def encoded(df: DataFrame, tokenizer: str, text_column: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            ids = encoder.encode(byte_column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.decode(x) for x in ids], pa.string())], schema.names)
+            ids = encoder.ids_of(byte_column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, encoder.texts_of(ids)], schema.names)
 
     return rows.mapInArrow(run, schema).select("own.*", "ids", "decoded", F.size("ids").cast("long").alias("n_tokens"))
