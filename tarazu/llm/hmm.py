@@ -1,16 +1,20 @@
 """Language-model scoring with a hidden Markov model.
 
 Tokens are the words of the text with A-Z lower-cased, then one end. P(text) = sum over state paths of
-product P(state | state before) P(word | state); every word of the training text has emissions of its
-own, words that it lacks share one. Baum-Welch: texts are written once as blocks of word numbers; each
-of ``ROUNDS`` rounds, from a start that chance tilts, tasks run forward and backward over all training
-text (in segments of ``SEGMENT`` tokens) and Spark sums their expected counts by word. A word's share
-of a state leans on the state's share of all tokens by ``BACK_OFF`` tokens, so rare words follow it.
-Scoring runs the scaled forward recursion over the whole text, so the likelihood is exact.
+product P(state | state before) P(word | state). A word that the training text has ``OWN_COUNT`` times or
+more has emissions of its own; rarer words share their count's class, evenly; a word that it lacks goes
+with those seen once. So what is learnt grows with the text, and its vocabulary has no cap.
 
-Size: emissions are a table keyed by word over the whole vocabulary; a task gets those of a block's
-words by a join, so neither the driver nor a task holds the vocabulary. Words are told apart by 64-bit
-hashes.
+Texts are read once, into blocks of word numbers. The blocks' words are counted over all training text and
+joined back, which turns words into classes. Then ``ROUNDS`` rounds of Baum-Welch start from states that
+chance tilts: tasks run forward and backward over all training text, and Spark sums their expected counts
+by word. Texts are cut into segments of ``SEGMENT`` tokens there; a segment also holds the token before it,
+so that each move between tokens is counted once, and only real starts count as starts. A word's
+share of a state leans on the state's share of all tokens by ``BACK_OFF`` tokens. Scoring runs the scaled
+forward recursion over the whole text, so the likelihood is exact.
+
+Size: emissions are a table keyed by word; a task gets those of a block's words by a join, so neither the
+driver nor a task holds the vocabulary. Words are told apart by 64-bit hashes.
 
 Defined cases: a null text is the empty text (one end token); a null doc_id is hashed as an empty
 name and belongs to training; repeated rows are counted and scored each; other columns are ignored;
@@ -34,9 +38,11 @@ from .common import blocks, byte_column, materialize
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
 SEGMENT, BATCH = 64, 4096
-PRIOR, BACK_OFF, TILTED_SHARE = 50.0, 10.0, 0.001
-CACHE_WORDS, BLOCK_BYTES = 300_000, 16 << 20
+OWN_COUNT, PRIOR, BACK_OFF, TILTED_SHARE = 16, 50.0, 10.0, 0.001
+BLOCK_BYTES = 16 << 20
 END = b""
+#: Kinds of expected counts: words of their own, starts, moves from each state, and classes by count.
+WORD, START, MOVE, RARE = 0, 1, 2, 1000
 
 
 class Numbers(dict):
@@ -59,77 +65,29 @@ def fold(id_column: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % FOLDS
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """training(text) -> (w long, c long)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, counts = Numbers(), np.zeros(0, np.int64)
-
-        def flush() -> pa.RecordBatch:
-            keys = np.fromiter(map(word_key, numbers), np.uint64, len(numbers)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["w", "c"])
-
-        for batch in blocks(batches, "text", 8 << 20):
-            for text in byte_column(batch, "text"):
-                found = np.fromiter(map(numbers.__getitem__, tokens(text)), np.int64)
-                part = np.bincount(found)
-                if len(part) > len(counts):
-                    counts = np.r_[counts, np.zeros(max(len(part), 2 * len(counts)) - len(counts), np.int64)]
-                counts[: len(part)] += part
-            if len(numbers) >= CACHE_WORDS:
-                counts = counts[: len(numbers)]
-                yield flush()
-                numbers, counts = Numbers(), np.zeros(0, np.int64)
-        if numbers:
-            counts = counts[: len(numbers)]
-            yield flush()
-
-    return training.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
 STATE_COLUMNS = [f"s{s}" for s in range(STATES)]
 
 
 @dataclass
 class Fit:
-    """What every task needs beside its words' emissions: no part grows with the vocabulary."""
+    """What every task needs beside its words' emissions; no part grows with the vocabulary. rare: emissions of the classes 0 (unseen) to OWN_COUNT - 1, for each word; total: of all words."""
 
     n: int
     v: int
     start: np.ndarray
     move: np.ndarray
-    unseen: np.ndarray
+    share: np.ndarray
+    rare: np.ndarray
     total: np.ndarray
 
 
 class Model:
-    """The emissions of some words (by state, not yet divided by the state's total); the last class is an unseen word."""
-
-    def __init__(self, fit: Fit, w: np.ndarray, c: np.ndarray, weight: np.ndarray):
-        order = np.argsort(w)
-        self.w, self.c = w[order], np.r_[c[order], 0].astype(np.float64)
-        self.start, self.move, self.classes = fit.start, fit.move, len(w) + 1
-        self.emit = np.c_[weight[:, order], fit.unseen] / fit.total[:, None]
-
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """Classes by word key."""
-        unseen = len(self.w)
-        if not unseen:
-            return np.zeros(len(keys), np.int32)
-        at = np.minimum(np.searchsorted(self.w, keys), unseen - 1)
-        return np.where(self.w[at] == keys, at, unseen).astype(np.int32)
-
+    """Emissions by class, as shares of their states: the classes by count, then words of their own."""
 
-class Lookup:
-    """Texts as arrays of word numbers, with each word's class."""
-
-    def __init__(self, model: Model):
-        self.model, self.numbers, self.cls = model, Numbers(), np.zeros(0, np.int32)
-
-    def read(self, texts: list[bytes]) -> list[np.ndarray]:
-        out = [np.fromiter(map(self.numbers.__getitem__, tokens(x)), np.int32) for x in texts]
-        self.cls = self.model.look_up(np.fromiter(map(word_key, self.numbers), np.uint64, len(self.numbers)))
-        return out
+    def __init__(self, fit: Fit, weight: np.ndarray):
+        self.start, self.move, self.share = fit.start, fit.move, fit.share
+        self.emit = np.concatenate([fit.rare, weight], axis=1) / fit.total[:, None]
+        self.classes = self.emit.shape[1]
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -141,17 +99,19 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
     if not len(flat):
         return start, move, emit[:, :c]
     ends = np.cumsum([len(s) for s in sequences])
-    cuts = np.concatenate([np.arange(e - len(s), e, SEGMENT) for s, e in zip(sequences, ends, strict=True)])
-    sizes = np.minimum(np.concatenate([e - np.arange(e - len(s), e, SEGMENT) for s, e in zip(sequences, ends, strict=True)]), SEGMENT)
+    firsts = [np.arange(e - len(s), e, SEGMENT) for s, e in zip(sequences, ends, strict=True)]
+    inner = np.concatenate([np.arange(len(f)) > 0 for f in firsts])
+    sizes = np.minimum(np.concatenate([e - f for f, e in zip(firsts, ends, strict=True)]), SEGMENT) + inner
+    cuts = np.concatenate(firsts) - inner
     order = np.argsort(-sizes, kind="stable")
     for at in range(0, len(order), BATCH):
         own = order[at : at + BATCH]
-        steps = int(sizes[own[0]])
+        steps, inside = int(sizes[own[0]]), inner[own]
         grid = np.minimum(cuts[own][None, :] + np.arange(steps)[:, None], len(flat) - 1)
         grid = np.where(np.arange(steps)[:, None] < sizes[own][None, :], flat[grid], c)
         alphas, scales = np.empty((steps, k, len(own))), np.empty((steps, len(own)))
         emitted = [table[:, row] for row in grid]
-        alpha = model.start[:, None] * emitted[0]
+        alpha = np.where(inside, model.share[:, None], model.start[:, None]) * emitted[0]
         for t in range(steps):
             if t:
                 alpha = (model.move.T @ alphas[t - 1]) * emitted[t]
@@ -165,7 +125,8 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
                 move += model.move * ((alphas[t - 1] * (grid[t] < c)) @ ahead.T)
                 beta = model.move @ ahead
             alphas[t] = gamma
-        start += alphas[0].sum(axis=1)
+        start += alphas[0][:, ~inside].sum(axis=1)
+        grid[0, inside] = c  # the segment before counts this token
         for s in range(k):
             emit[s] += np.bincount(grid.ravel(), weights=alphas[:, s, :].ravel(), minlength=c + 1)
     return start, move, emit[:, :c]
@@ -191,143 +152,192 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(numbers: np.ndarray, size: int) -> bytes:
+    """Numbers of size bytes each, then a byte that has the size."""
+    return numbers.astype(f"<u{size}").tobytes() + bytes([size])
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[-1]}", len(x) // x[-1])
+
+
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, text, train) -> (b, doc_id, train, seq binary, words array<long>): texts as numbers of their block's words (then a byte that has a number's size); the block's first row has the words."""
+    """rows(doc_id, text, train) -> (b, doc_id, train, seq, words array<struct<w, c>>): texts as numbers of their block's words; the block's first row has the words, with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            numbers = Numbers()
+            numbers, train = Numbers(), batch.column(2).to_pylist()
             seqs = [np.fromiter(map(numbers.__getitem__, tokens(x)), np.uint32) for x in byte_column(batch, "text")]
+            learnt = [x for x, t in zip(seqs, train, strict=True) if t]
+            counts = np.bincount(np.concatenate(learnt), minlength=len(numbers)) if learnt else np.zeros(len(numbers), np.int64)
             size = 2 if len(numbers) <= 1 << 16 else 4
-            seqs = [x.astype(f"<u{size}").tobytes() + bytes([size]) for x in seqs]
             words = np.fromiter(map(word_key, numbers), np.uint64, len(numbers)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seqs), b)), batch.column(0), batch.column(2), pa.array(seqs, pa.binary()), pa.array([words] + [None] * (len(seqs) - 1), pa.list_(pa.int64()))], ["b", "doc_id", "train", "seq", "words"])
+            first = pa.ListArray.from_arrays(pa.array([0] + [len(words)] * len(seqs), pa.int32()), pa.StructArray.from_arrays([pa.array(words), pa.array(counts.astype(np.int64))], ["w", "c"]), mask=pa.array([False] + [True] * (len(seqs) - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seqs), b)), batch.column(0), batch.column(2), pa.array([packed(x, size) for x in seqs], pa.binary()), first], ["b", "doc_id", "train", "seq", "words"])
             b += 1
 
-    schema = "b long, doc_id {}, train boolean, seq binary, words array<long>".format(rows.schema["doc_id"].dataType.simpleString())
+    schema = "b long, doc_id {}, train boolean, seq binary, words array<struct<w:long,c:long>>".format(rows.schema["doc_id"].dataType.simpleString())
     return materialize(rows.select("doc_id", "text", "train").mapInArrow(run, schema), "blocks")
 
 
-def with_emissions(texts: DataFrame, blocked: DataFrame, emissions: DataFrame) -> DataFrame:
-    """texts(b, doc_id, seq) with a first row for each block that has its words' emissions, in order of blocks."""
-    words = blocked.filter("words is not null").select("b", F.posexplode("words").alias("i", "w"))
-    own = words.join(emissions, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", "c", *STATE_COLUMNS)).alias("own"))
-    kind = own.schema["own"].dataType.simpleString()
-    rows = texts.select("b", F.lit(1).alias("kind"), "doc_id", "seq", F.lit(None).cast(kind).alias("own"))
-    first = own.select("b", F.lit(0).alias("kind"), F.lit(None).cast(texts.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("binary").alias("seq"), "own")
-    return rows.unionByName(first).repartition("b").sortWithinPartitions("b", "kind")
+def word_counts(blocked: DataFrame) -> DataFrame:
+    """(w long, c long): the words of all training texts."""
+    return blocked.filter("words is not null").select(F.inline("words")).groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-def read_blocks(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model, pa.Array, list[np.ndarray]]]:
-    """(model, ids, class sequences) of each block."""
-    model, classes, ids, seqs, now = None, None, [], [], None
+def by_block(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """texts with b, and own(b, own array): each block's rows together, in order, after a row that has the block's array."""
+    columns = [c for c in texts.columns if c != "b"]
+    rows = texts.select("b", F.lit(1).alias("kind"), F.lit(None).cast(own.schema["own"].dataType).alias("own"), *columns)
+    first = own.select("b", F.lit(0).alias("kind"), "own", *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in columns))
+    return rows.unionByName(first).repartition("b").sortWithinPartitions("b", "kind")
 
-    def closed() -> tuple[Model, pa.Array, list[np.ndarray]]:
-        return model, pa.chunked_array(ids).combine_chunks(), [classes[np.minimum(x, len(classes) - 1)] for x in seqs]
 
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
+    """(the fields of the block's array, its rows) of each block."""
+    fields, held, now = [], [], None
     for batch in batches:
         block = batch.column(0).to_numpy()
         cuts = np.r_[0, np.nonzero(block[1:] != block[:-1])[0] + 1, len(block)].tolist() if len(block) else [0]
         for at, end in zip(cuts, cuts[1:], strict=False):
             if block[at] != now:
-                if seqs:
-                    yield closed()
-                ids, seqs, now = [], [], block[at]
-                model = Model(fit, np.zeros(0, np.uint64), np.zeros(0), np.zeros((STATES, 0)))
-                classes = np.zeros(1, np.int32)
+                if held:
+                    yield fields, pa.Table.from_batches(held)
+                fields, held, now = [], [], block[at]
                 if batch.column(1)[at].as_py() == 0:
-                    i, w, c, *weight = (x.to_numpy(zero_copy_only=False) for x in batch.column(4).slice(at, 1).flatten().flatten())
-                    w = w.view(np.uint64)
-                    model = Model(fit, w, c, np.array(weight))
-                    # numbers of words without emissions, and those beyond the last with any, are the unseen class
-                    classes = np.full(int(i.max()) + 2, len(w), np.int32)
-                    classes[i] = model.look_up(w)
+                    fields = [x.to_numpy(zero_copy_only=False) for x in batch.column(2).slice(at, 1).flatten().flatten()]
                     at += 1
-            ids.append(batch.column(2).slice(at, end - at))
-            seqs += [np.frombuffer(x, f"<u{x[-1]}", len(x) // x[-1]) for x in batch.column(3).slice(at, end - at).to_pylist()]
-    if seqs:
-        yield closed()
+            if end > at:
+                held.append(batch.slice(at, end - at))
+    if held:
+        yield fields, pa.Table.from_batches(held)
 
 
-def totals(emissions: DataFrame, unseen: np.ndarray) -> np.ndarray:
-    return np.array([x or 0.0 for x in emissions.agg(*(F.sum(c) for c in STATE_COLUMNS)).first()]) + unseen
+def in_classes(blocked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(b, doc_id, train, seq, n_tokens, n_known, base, words array<long>): texts as classes; the block's first row has its words of their own. base: the sum of log10(c + 1)."""
+    words = blocked.filter("words is not null").select("b", F.posexplode("words").alias("i", "x")).select("b", "i", F.col("x.w").alias("w"))
+    counts = words.join(vocabulary, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", "c")).alias("own"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fields, rows in read_blocks(batches):
+            seqs = [unpacked(x) for x in rows.column("seq").to_pylist()]
+            i, w, c = fields or (np.zeros(0, np.int64) for _ in range(3))
+            number = np.zeros(max(int(x.max()) for x in seqs) + 1, np.int64) if not len(i) else np.zeros(max(int(i.max()), max(int(x.max()) for x in seqs)) + 1, np.int64)
+            number[i] = c
+            often = np.sort(i[c >= OWN_COUNT])
+            classes = np.minimum(number, OWN_COUNT - 1)
+            classes[often] = OWN_COUNT + np.arange(len(often))
+            keys = np.zeros(len(number), np.int64)
+            keys[i] = w
+            logs, size = np.log10(number + 1.0), 2 if OWN_COUNT + len(often) <= 1 << 16 else 4
+            own = pa.ListArray.from_arrays(pa.array([0] + [len(often)] * len(seqs), pa.int32()), pa.array(keys[often]), mask=pa.array([False] + [True] * (len(seqs) - 1)))
+            out = [rows.column("b").combine_chunks(), rows.column("doc_id").combine_chunks(), rows.column("train").combine_chunks(), pa.array([packed(classes[x], size) for x in seqs], pa.binary())]
+            out += [pa.array([len(x) for x in seqs], pa.int64()), pa.array([int((number[x] > 0).sum()) for x in seqs], pa.int64()), pa.array([float(logs[x].sum()) for x in seqs]), own]
+            yield pa.RecordBatch.from_arrays(out, ["b", "doc_id", "train", "seq", "n_tokens", "n_known", "base", "words"])
+
+    schema = "b long, doc_id {}, train boolean, seq binary, n_tokens long, n_known long, base double, words array<long>".format(blocked.schema["doc_id"].dataType.simpleString())
+    return materialize(by_block(blocked.select("b", "doc_id", "train", "seq"), counts).mapInArrow(run, schema), "classes")
+
+
+def with_emissions(texts: DataFrame, coded: DataFrame, emissions: DataFrame) -> DataFrame:
+    words = coded.filter("words is not null").select("b", F.posexplode("words").alias("i", "w"))
+    return by_block(texts, words.join(emissions, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", *STATE_COLUMNS)).alias("own")))
+
+
+def models(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model, np.ndarray, list[np.ndarray], pa.Table]]:
+    """(model, keys of its own words, class sequences, rows) of each block."""
+    for fields, rows in read_blocks(batches):
+        keys, weight = np.zeros(0, np.int64), np.zeros((STATES, 0))
+        if fields:
+            order = np.argsort(fields[0])
+            keys, weight = fields[1][order], np.array([x[order] for x in fields[2:]])
+        yield Model(fit, weight), keys, [unpacked(x) for x in rows.column("seq").to_pylist()], rows
+
+
+def totals(emissions: DataFrame, rare: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return np.array([x or 0.0 for x in emissions.agg(*(F.sum(c) for c in STATE_COLUMNS)).first()]) + rare @ kinds
 
-def first_guess(vocabulary: DataFrame) -> tuple[Fit, DataFrame]:
-    """States that differ by chance in their frequent words only (at most 1 / TILTED_SHARE of them); rare ones follow their neighbours."""
-    n, v = (x or 0 for x in vocabulary.agg(F.sum("c"), F.count("*")).first())
+
+def uniform_moves(k: int = STATES) -> np.ndarray:
+    return np.full((k, k), 0.02 / (k - 1)) + np.eye(k) * (0.98 - 0.02 / (k - 1)) if k > 1 else np.ones((1, 1))
+
+
+def first_guess(own: DataFrame, n: int, v: int, kinds: np.ndarray) -> tuple[Fit, DataFrame]:
+    """States that differ by chance in their frequent words only (at most 1 / TILTED_SHARE of them); others follow their neighbours."""
     share, k = (F.col("c") + 1.0) / (n + v + 1.0), STATES
-    often = sorted(r["w"] for r in vocabulary.filter(share >= TILTED_SHARE).select("w").collect())
+    often = sorted(r["w"] for r in own.filter(share >= TILTED_SHARE).select("w").collect())
     tilt = np.random.default_rng(7).gamma(4.0, 0.25, (k, len(often)))
-    tilts = vocabulary.sparkSession.createDataFrame([(w, *x) for w, x in zip(often, tilt.T.tolist(), strict=True)], "w long, " + ", ".join(f"t{s} double" for s in range(k)))
-    emissions = materialize(vocabulary.join(F.broadcast(tilts), "w", "left").select("w", "c", *((share * F.coalesce(f"t{s}", F.lit(1.0))).alias(f"s{s}") for s in range(k))), "emissions")
-    unseen = np.full(k, 1 / (n + v + 1))
-    return Fit(n, v, np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1)) + np.eye(k) * (0.98 - 0.02 / (k - 1)), unseen, totals(emissions, unseen)), emissions
+    tilts = own.sparkSession.createDataFrame([(w, *x) for w, x in zip(often, tilt.T.tolist(), strict=True)], "w long, " + ", ".join(f"t{s} double" for s in range(k)))
+    emissions = materialize(own.join(F.broadcast(tilts), "w", "left").select("w", *((share * F.coalesce(f"t{s}", F.lit(1.0))).alias(f"s{s}") for s in range(k))), "emissions")
+    rare = np.tile((np.arange(OWN_COUNT) + 1.0) / (n + v + 1), (k, 1))
+    return Fit(n, v, np.full(k, 1 / k), uniform_moves(), np.full(k, 1 / k), rare, totals(emissions, rare, kinds)), emissions
 
 
-def refitted(fit: Fit, vocabulary: DataFrame, counts: DataFrame) -> tuple[Fit, DataFrame]:
-    """Parameters from expected counts (r, w, s0...): r is 0 for a word, 1 for the starts, 2 and more for moves."""
+def refitted(fit: Fit, own: DataFrame, kinds: np.ndarray, counts: DataFrame) -> tuple[Fit, DataFrame]:
+    """Parameters from expected counts (r, w, s0...). kinds: how many words each class by count has (one for unseen words)."""
     parts = {r["r"]: np.array([r[c] for c in STATE_COLUMNS]) for r in counts.groupBy("r").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)).collect()}
-    start, move = parts[1] + 1, np.array([parts[2 + s] for s in range(STATES)]).T + 1
-    state, u = parts[0] / parts[0].sum(), PRIOR / (fit.n + fit.v + 1)
-    c, words = F.col("c"), counts.filter("r = 0").select("w", *STATE_COLUMNS)
+    none = np.zeros(STATES)
+    start, move = parts.get(START, none) + 1, np.array([parts.get(MOVE + s, none) for s in range(STATES)]).T + 1
+    seen = np.array([parts.get(RARE + k, none) for k in range(OWN_COUNT)]).T
+    mass = parts.get(WORD, none) + seen.sum(axis=1)
+    state, u = mass / mass.sum(), PRIOR / (fit.n + fit.v + 1)
+    c, words = F.col("c"), counts.filter(F.col("r") == WORD).select("w", *STATE_COLUMNS)
     weight = lambda s: (c + 1.0) * ((F.coalesce(f"s{s}", F.lit(0.0)) + BACK_OFF * float(state[s])) / (c + BACK_OFF) + u)
-    emissions = materialize(vocabulary.join(words, "w", "left").select("w", "c", *(weight(s).alias(f"s{s}") for s in range(STATES))), "emissions")
-    unseen = state + u
-    return Fit(fit.n, fit.v, start / start.sum(), move / move.sum(axis=1, keepdims=True), unseen, totals(emissions, unseen)), emissions
-
-
-def baum_welch(blocked: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> tuple[Fit, DataFrame]:
-    """Rounds over all training text -> the fit and its emissions (w, c, s0...)."""
-    fit, emissions = first_guess(vocabulary)
-    for _ in range(rounds if fit.n else 0):
+    emissions = materialize(own.join(words, "w", "left").select("w", *(weight(s).alias(f"s{s}") for s in range(STATES))), "emissions")
+    tokens_of = np.arange(OWN_COUNT) * kinds
+    lean = (seen + BACK_OFF * state[:, None]) / (tokens_of + BACK_OFF)
+    lean[:, 0] = lean[:, 1] if OWN_COUNT > 1 else state
+    rare = (np.arange(OWN_COUNT) + 1.0) * (lean + u)
+    return Fit(fit.n, fit.v, start / start.sum(), move / move.sum(axis=1, keepdims=True), state, rare, totals(emissions, rare, kinds)), emissions
+
+
+def baum_welch(coded: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> tuple[Fit, DataFrame]:
+    """Rounds over all training text -> the fit and its emissions (w, s0...)."""
+    classes = {r["k"]: r for r in vocabulary.groupBy(F.least("c", F.lit(OWN_COUNT)).alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
+    n, v = (sum(r[x] for r in classes.values()) for x in ("n", "v"))
+    kinds = np.array([1, *(classes[k]["v"] if k in classes else 0 for k in range(1, OWN_COUNT))], np.float64)
+    own = vocabulary.filter(F.col("c") >= OWN_COUNT)
+    fit, emissions = first_guess(own, n, v, kinds)
+    for _ in range(rounds if n else 0):
 
         def run(batches: Iterator[pa.RecordBatch], fit=fit) -> Iterator[pa.RecordBatch]:
-            for model, _, sequences in read_blocks(batches, fit):
+            for model, keys, sequences, _ in models(batches, fit):
                 start, move, emit = expected_counts(model, sequences)
-                used = np.nonzero(emit[:, :-1].any(axis=0))[0]
-                rows = np.concatenate([emit[:, used], start[:, None], move], axis=1)
-                r = np.r_[np.zeros(len(used), np.int32), 1, 2 + np.arange(STATES)].astype(np.int32)
-                w = np.r_[model.w[used].view(np.int64), np.zeros(1 + STATES, np.int64)]
+                used = np.nonzero(emit[:, OWN_COUNT:].any(axis=0))[0]
+                rows = np.concatenate([emit[:, OWN_COUNT + used], start[:, None], move, emit[:, :OWN_COUNT]], axis=1)
+                r = np.r_[np.full(len(used), WORD), START, MOVE + np.arange(STATES), RARE + np.arange(OWN_COUNT)].astype(np.int32)
+                w = np.r_[keys[used], np.zeros(1 + STATES + OWN_COUNT, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(w), *(pa.array(x) for x in rows)], ["r", "w", *STATE_COLUMNS])
 
-        rows = with_emissions(blocked.filter("train"), blocked, emissions)
+        rows = with_emissions(coded.filter("train").select("b", "seq"), coded, emissions)
         parts = rows.mapInArrow(run, "r int, w long, " + ", ".join(f"{c} double" for c in STATE_COLUMNS))
         counts = materialize(parts.groupBy("r", "w").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)), "counts")
-        fit, emissions = refitted(fit, vocabulary, counts)
+        fit, emissions = refitted(fit, own, kinds, counts)
         del rows, parts, counts
         gc.collect()
         vocabulary.sparkSession._jvm.System.gc()  # Spark drops a round's shuffle files once the driver forgets them
     return fit, emissions
 
 
-def fitted(training: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> Model:
-    """training(doc_id, text), vocabulary(w, c) -> the whole model in one place, for small vocabularies."""
-    fit, emissions = baum_welch(in_blocks(training.withColumn("train", F.lit(True))), vocabulary, rounds)
-    rows = emissions.toArrow()
-    return Model(fit, rows.column("w").to_numpy().view(np.uint64), rows.column("c").to_numpy(), np.array([rows.column(c).to_numpy() for c in STATE_COLUMNS]))
-
-
-def scored(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def scored(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("train", fold("doc_id") != HELD_OUT)
-    vocabulary = materialize(word_counts(rows.filter("train")), "vocabulary")
+    rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("train", fold("doc_id") != held_out)
     blocked = in_blocks(rows)
-    fit, emissions = baum_welch(blocked, vocabulary, rounds)
+    vocabulary = materialize(word_counts(blocked), "vocabulary")
+    coded = in_classes(blocked, vocabulary)
+    fit, emissions = baum_welch(coded, vocabulary, rounds)
+    names = ["doc_id", "n_tokens", "n_known", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for model, ids, sequences in read_blocks(batches, fit):
-            logs = np.log10(model.c + 1)
-            n_known = [int((model.c[x] > 0).sum()) for x in sequences]
-            base = [float(logs[x].sum()) for x in sequences]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sequences], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(log_likelihoods(model, sequences))], ["doc_id", "n_tokens", "n_known", "base", "score"])
+        for model, _, sequences, table in models(batches, fit):
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in names), pa.array(log_likelihoods(model, sequences))], [*names, "score"])
 
     schema = "doc_id {}, n_tokens long, n_known long, base double, score double".format(rows.schema["doc_id"].dataType.simpleString())
-    out = with_emissions(blocked, blocked, emissions).mapInArrow(run, schema)
+    out = with_emissions(coded.select("b", "doc_id", "seq", "n_tokens", "n_known", "base"), coded, emissions).mapInArrow(run, schema)
     return out.select(
         "doc_id",
-        (fold("doc_id") == HELD_OUT).alias("held_out"),
+        (fold("doc_id") == held_out).alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(int(fit.n)).cast("long").alias("train_tokens"),
