@@ -38,7 +38,7 @@ from .common import blocks, byte_column, materialize
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
 SEGMENT, BATCH = 64, 4096
-OWN_COUNT, PRIOR, BACK_OFF, TILTED_SHARE = 16, 50.0, 10.0, 0.001
+OWN_COUNT, PRIOR, BACK_OFF, TILTED_SHARE = 4, 50.0, 1.0, 0.001
 BLOCK_BYTES = 16 << 20
 END = b""
 #: Kinds of expected counts: words of their own, starts, moves from each state, and classes by count.
@@ -223,7 +223,7 @@ def in_classes(blocked: DataFrame, vocabulary: DataFrame) -> DataFrame:
         for fields, rows in read_blocks(batches):
             seqs = [unpacked(x) for x in rows.column("seq").to_pylist()]
             i, w, c = fields or (np.zeros(0, np.int64) for _ in range(3))
-            number = np.zeros(max(int(x.max()) for x in seqs) + 1, np.int64) if not len(i) else np.zeros(max(int(i.max()), max(int(x.max()) for x in seqs)) + 1, np.int64)
+            number = np.zeros(max([int(x.max()) for x in [i, *seqs] if len(x)]) + 1, np.int64)
             number[i] = c
             often = np.sort(i[c >= OWN_COUNT])
             classes = np.minimum(number, OWN_COUNT - 1)
