@@ -71,3 +71,23 @@ x as (select o.doc_id, o.size, t.source_size, t.target, o.place,
 select doc_id, size, source_size, target, least(floor(place::double * rate + off) - floor((place - 1)::double * rate + off), 3)::bigint * size taken
 from x
 """
+
+ORACLE["op6_quotes"] = r"""
+with recursive m as (select conv_id c, turn t, role, coalesce(text, '') x from conversations),
+q as (select m.*, p.x x1, o.x x2 from m left join m p on p.c = m.c and p.t = m.t - 1 left join m o on o.c = m.c and o.t = m.t - 2),
+l as (select c, t, role, x, case when t % 3 = 0 then case when x2 is not null then [{'l': 1, 'x': x2}] else [] end
+    when x1 is null then [] when t % 3 = 2 and x2 is not null then [{'l': 2, 'x': x2}, {'l': 1, 'x': x1}] else [{'l': 1, 'x': x1}] end ps from q),
+p as (select c, t, unnest(range(len(ps))) i, unnest(ps) p from l),
+z as (select c, t, -1 i, 0 l, x from l union all select c, t, i, p.l, p.x from p),
+k as (select c, t, i, l, unnest([{'k': 0, 'x': x}] || list_transform(string_split_regex(x, '\n[ \t\r]*\n'), lambda y: {'k': 1, 'x': y})
+    || list_transform(list_filter(string_split(x, chr(10)), lambda y: len(list_filter(string_split_regex(y, '\s+'), lambda w: w <> '')) >= 3), lambda y: {'k': 2, 'x': y})) part from z),
+n as (select c, t, i, l, part['k'] kind, lower(trim(regexp_replace(part['x'], '\s+', ' ', 'g'))) x from k),
+has as (select c, x, min(t) f from n where i < 0 and x <> '' group by c, x),
+b as (select n.c, n.t, n.i, n.l, max({'k': -n.kind, 'f': has.f}) best from n join has on has.c = n.c and has.x = n.x and has.f < n.t where n.i >= 0 group by all),
+r as (select c, t, list({'passage': i, 'level': l, 'turn': best.f} order by i) links, max(case when l = 1 then best end) best from b group by c, t),
+e as (select l.c, l.t, l.role, l.x, len(l.ps) n_quotes, coalesce(list_max(list_transform(l.ps, lambda y: y.l)), 0) max_level, r.best.f reply_to, coalesce(r.links, []) links from l left join r on r.c = l.c and r.t = l.t),
+w as (select c, t, t root, 0 depth, [t] path from e where reply_to is null union all select e.c, e.t, w.root, w.depth + 1, list_append(w.path, e.t) from e join w on e.c = w.c and e.reply_to = w.t)
+select e.c conv_id, e.t turn, role, cast(n_quotes as bigint) n_quotes, cast(max_level as integer) max_level, cast(reply_to as bigint) reply_to, cast(root as bigint) root, cast(depth as integer) depth,
+  cast(to_json(links) as varchar) quote_links, row_number() over (partition by e.c order by path) - 1 as position, sha256(trim(x, chr(10))) body_sha256
+from e join w on w.c = e.c and w.t = e.t
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, hmm, mixture, phrases, quality, quotes, sampling, simhash, templates, warc
-from .common import table
+from .common import materialize, table
 from .oracle import ORACLE as OTHER_SQL
 
 
@@ -35,8 +35,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quotes.linked(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "reply_to", "root", "depth", "quote_links", "position", F.sha2("body", 256).alias("body_sha256"))
+    """The conversations hold no quotes, so each message is first written as a reply that quotes earlier ones; linking takes that apart again."""
+    out = quotes.linked(materialize(quotes.with_quotes(table(spark, sf_dir, "conversations")), "replies"))
+    return out.select("conv_id", "turn", "role", "n_quotes", "max_level", "reply_to", "root", "depth", F.to_json("quote_links").alias("quote_links"), "position", F.sha2("body", 256).alias("body_sha256"))
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

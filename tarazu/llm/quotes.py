@@ -7,7 +7,11 @@ and lines. A passage joins the first message of its conversation that has the sa
 came before; quote_links has these for passages of every level. A message replies to the message that its
 lowest level's passage quotes (of several the whole passage before paragraphs before lines of
 ``LINE_WORDS`` words, then the latest). Roots and depths follow the links by pointer doubling. A
-message's position is its place in its conversation by root, depth and turn, from 0.
+message's position, from 0, is its place in its conversation read as threads: each message, then its
+replies by turn, each with all of theirs. Positions come from the tour of each thread (enter and leave
+every message), ranked by pointer doubling too, so neither a conversation nor a path is gathered.
+
+``with_quotes`` is the way back: it writes messages as replies that quote earlier ones.
 
 Defined cases: a null text has no body and no quotes; null conv_id or turn are values that come
 last; rows that repeat (conv_id, turn) share one place and one link; a quote of the message itself
@@ -97,6 +101,35 @@ def reply_links(found: DataFrame) -> DataFrame:
     return found.groupBy("_c", "_t").agg(F.max(F.when(F.col("lowest"), F.col("best"))).alias("best"), links.alias("quote_links")).select("_c", "_t", F.col("best.first").alias("reply"), "quote_links")
 
 
+def reading_order(replies: DataFrame) -> DataFrame:
+    """replies(_c, _t, reply) -> (_c, _t, position): the tour of each conversation's threads, ranked from its end."""
+    children = replies.withColumn("sibling", F.lead("_t").over(Window.partitionBy("_c", "reply").orderBy("_t")))
+    eldest = replies.filter("reply is not null").groupBy("_c", F.col("reply").alias("_t")).agg(F.min("_t").alias("child"))
+    enter = children.join(eldest, ["_c", "_t"], "left").select("_c", "_t", F.lit(0).alias("side"), F.coalesce("child", "_t").alias("nt"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("ns"), F.lit(1).cast("long").alias("n"))
+    leave = children.select("_c", "_t", F.lit(1).alias("side"), F.coalesce("sibling", "reply").alias("nt"), F.when(F.col("sibling").isNull(), 1).otherwise(0).alias("ns"), F.lit(0).cast("long").alias("n"))
+    tour = materialize(enter.unionByName(leave), "tour")
+    while not tour.filter("nt is not null").isEmpty():  # each step's reach doubles; n counts the messages entered from here to its end
+        ahead = tour.select("_c", F.col("_t").alias("nt"), F.col("side").alias("ns"), F.col("nt").alias("ft"), F.col("ns").alias("fs"), F.col("n").alias("more"))
+        tour = materialize(tour.join(ahead, ["_c", "nt", "ns"], "left").select("_c", "_t", "side", F.col("ft").alias("nt"), F.col("fs").alias("ns"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "tour")
+    entered = tour.filter("side = 0")
+    return entered.join(entered.groupBy("_c").agg(F.max("n").alias("all")), "_c").select("_c", "_t", (F.col("all") - F.col("n")).alias("position"))
+
+
+def with_quotes(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", text_column: str = "text") -> DataFrame:
+    """The rows with texts as replies: a turn quotes the one before; every third from 2 on that one with the one it quotes, one level deeper; every third from 3 on the one before it only. Of repeated turns the least text is quoted."""
+    own = [c for c in df.columns if c != text_column]
+    text = F.coalesce(F.col("x.text"), F.lit(""))
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.struct(F.col(text_column).cast("string").alias("text")).alias("x"), F.col(conv_column).alias("_c"), F.col(turn_column).cast("long").alias("_t"))
+    heads = keyed.groupBy("_c", "_t").agg(F.min(text).alias("said"))
+    back = lambda k: heads.select("_c", (F.col("_t") + k).alias("_t"), F.col("said").alias(f"back{k}"))
+    out = keyed.join(back(1), ["_c", "_t"], "left").join(back(2), ["_c", "_t"], "left")
+    quote = lambda c, marks: F.concat(F.lit(marks), F.regexp_replace(c, "\n", "\n" + marks), F.lit("\n"))
+    one, two, deep = quote("back1", "> "), quote("back2", "> "), quote("back2", "> > ")
+    quoted = F.when(F.col("_t") % 3 == 1, one).when(F.col("_t") % 3 == 2, F.concat(F.coalesce(deep, F.lit("")), one)).otherwise(two)
+    reply = F.when(quoted.isNotNull(), F.concat(quoted, F.lit("\n"), text)).otherwise(F.col("x.text"))
+    return out.select(*[F.col("own").getField(c).alias(c) if c != text_column else reply.alias(c) for c in df.columns])
+
+
 def linked(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", text_column: str = "text") -> DataFrame:
     """The rows with body (the text without quotes), n_quotes, max_level, reply_to, root, depth (0 for a root), quote_links and position."""
     messages = materialize(parsed(df, conv_column, turn_column, text_column), "messages")
@@ -108,7 +141,7 @@ def linked(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn
         if step.filter("up is not null").isEmpty():
             break
         places = step.select("_c", "_t", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    out = messages.join(links, ["_c", "_t"], "left").join(places, ["_c", "_t"], "left")
+    order = reading_order(messages.select("_c", "_t").distinct().join(links.select("_c", "_t", "reply"), ["_c", "_t"], "left"))
+    out = messages.join(links, ["_c", "_t"], "left").join(places, ["_c", "_t"], "left").join(order, ["_c", "_t"])
     turn = lambda c: F.when(c != NULL_ID, c)
-    order = Window.partitionBy("_c").orderBy(F.coalesce("root", "_t"), F.coalesce("depth", F.lit(0)), "_t")
-    return out.select("own.*", "body", "n_quotes", "max_level", turn(F.col("reply")).alias("reply_to"), turn(F.coalesce("root", "_t")).alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("quote_links", F.array().cast(links.schema["quote_links"].dataType)).alias("quote_links"), (F.dense_rank().over(order) - 1).alias("position"))
+    return out.select("own.*", "body", "n_quotes", "max_level", turn(F.col("reply")).alias("reply_to"), turn(F.coalesce("root", "_t")).alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("quote_links", F.array().cast(links.schema["quote_links"].dataType)).alias("quote_links"), "position")
