@@ -39,7 +39,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table in the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no later plan reads."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
+        folder.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(folder, True)
 
 
 def row_id(column: str = "doc_id") -> Column:

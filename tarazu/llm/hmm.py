@@ -3,7 +3,8 @@
 Tokens are the words of the text with A-Z lower-cased, then one end. P(text) = sum over state paths of
 product P(state | state before) P(word | state). A word that the training text has ``OWN_COUNT`` times or
 more has emissions of its own; rarer words share their count's class, evenly; a word that it lacks goes
-with those seen once. So what is learnt grows with the text, and its vocabulary has no cap.
+with those seen once. So what is learnt grows with the text, and its vocabulary has no cap. Words of under
+``COMMON_COUNT`` times get theirs in the last round; until then they too share classes.
 
 Texts are read once, into blocks of word numbers. The blocks' words are counted over all training text and
 joined back, which turns words into classes. Then ``ROUNDS`` rounds of Baum-Welch start from states that
@@ -30,15 +31,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import blocks, byte_column, materialize
+from .common import blocks, byte_column, discard, materialize
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
 SEGMENT, BATCH = 64, 4096
-OWN_COUNT, PRIOR, BACK_OFF, TILTED_SHARE = 4, 50.0, 1.0, 0.001
+OWN_COUNT, COMMON_COUNT, PRIOR, BACK_OFF, TILTED_SHARE = 2, 16, 50.0, 3.0, 0.001
 BLOCK_BYTES = 16 << 20
 END = b""
 #: Kinds of expected counts: words of their own, starts, moves from each state, and classes by count.
@@ -70,7 +72,7 @@ STATE_COLUMNS = [f"s{s}" for s in range(STATES)]
 
 @dataclass
 class Fit:
-    """What every task needs beside its words' emissions; no part grows with the vocabulary. rare: emissions of the classes 0 (unseen) to OWN_COUNT - 1, for each word; total: of all words."""
+    """What every task needs beside its words' emissions; no part grows with the vocabulary. rare: emissions of the classes by count from 0 (unseen) on, for each word; words of more than these have their own; total: of all words."""
 
     n: int
     v: int
@@ -82,11 +84,19 @@ class Fit:
 
 
 class Model:
-    """Emissions by class, as shares of their states: the classes by count, then words of their own."""
+    """Emissions by class, as shares of their states: the classes by count under OWN_COUNT, then the block's words, which come by falling count.
 
-    def __init__(self, fit: Fit, weight: np.ndarray):
+    cuts: how many words have a count of at least OWN_COUNT, one more, and so on to COMMON_COUNT. coarse: each class's number where the fit's own classes by count come first.
+    """
+
+    def __init__(self, fit: Fit, weight: np.ndarray, cuts: np.ndarray):
         self.start, self.move, self.share = fit.start, fit.move, fit.share
-        self.emit = np.concatenate([fit.rare, weight], axis=1) / fit.total[:, None]
+        least, words = fit.rare.shape[1], int(cuts[0])
+        count = OWN_COUNT - 1 + len(cuts) - np.searchsorted(cuts[::-1], np.arange(words), side="right")  # at most COMMON_COUNT
+        self.coarse = np.r_[np.arange(OWN_COUNT), np.where(count < least, count, least + np.arange(words))]
+        emit = np.zeros((STATES, least + words))
+        emit[:, :least], emit[:, least : least + weight.shape[1]] = fit.rare, weight
+        self.emit = emit[:, self.coarse] / fit.total[:, None]
         self.classes = self.emit.shape[1]
 
 
@@ -152,13 +162,12 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def packed(numbers: np.ndarray, size: int) -> bytes:
-    """Numbers of size bytes each, then a byte that has the size."""
-    return numbers.astype(f"<u{size}").tobytes() + bytes([size])
+def packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype("<u4").tobytes(), 1)
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[-1]}", len(x) // x[-1])
+    return np.frombuffer(zstandard.decompress(x), "<u4").astype(np.int32)
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -171,10 +180,9 @@ def in_blocks(rows: DataFrame) -> DataFrame:
             seqs = [np.fromiter(map(numbers.__getitem__, tokens(x)), np.uint32) for x in byte_column(batch, "text")]
             learnt = [x for x, t in zip(seqs, train, strict=True) if t]
             counts = np.bincount(np.concatenate(learnt), minlength=len(numbers)) if learnt else np.zeros(len(numbers), np.int64)
-            size = 2 if len(numbers) <= 1 << 16 else 4
             words = np.fromiter(map(word_key, numbers), np.uint64, len(numbers)).view(np.int64)
             first = pa.ListArray.from_arrays(pa.array([0] + [len(words)] * len(seqs), pa.int32()), pa.StructArray.from_arrays([pa.array(words), pa.array(counts.astype(np.int64))], ["w", "c"]), mask=pa.array([False] + [True] * (len(seqs) - 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seqs), b)), batch.column(0), batch.column(2), pa.array([packed(x, size) for x in seqs], pa.binary()), first], ["b", "doc_id", "train", "seq", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seqs), b)), batch.column(0), batch.column(2), pa.array([packed(x) for x in seqs], pa.binary()), first], ["b", "doc_id", "train", "seq", "words"])
             b += 1
 
     schema = "b long, doc_id {}, train boolean, seq binary, words array<struct<w:long,c:long>>".format(rows.schema["doc_id"].dataType.simpleString())
@@ -215,7 +223,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.nda
 
 
 def in_classes(blocked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(b, doc_id, train, seq, n_tokens, n_known, base, words array<long>): texts as classes; the block's first row has its words of their own. base: the sum of log10(c + 1)."""
+    """(b, doc_id, train, seq, cuts, n_tokens, n_known, base, words array<struct<w, c>>): texts as classes (see Model); the block's first row has its words of OWN_COUNT and more. base: the sum of log10(c + 1)."""
     words = blocked.filter("words is not null").select("b", F.posexplode("words").alias("i", "x")).select("b", "i", F.col("x.w").alias("w"))
     counts = words.join(vocabulary, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", "c")).alias("own"))
 
@@ -223,36 +231,39 @@ def in_classes(blocked: DataFrame, vocabulary: DataFrame) -> DataFrame:
         for fields, rows in read_blocks(batches):
             seqs = [unpacked(x) for x in rows.column("seq").to_pylist()]
             i, w, c = fields or (np.zeros(0, np.int64) for _ in range(3))
-            number = np.zeros(max([int(x.max()) for x in [i, *seqs] if len(x)]) + 1, np.int64)
-            number[i] = c
-            often = np.sort(i[c >= OWN_COUNT])
-            classes = np.minimum(number, OWN_COUNT - 1)
-            classes[often] = OWN_COUNT + np.arange(len(often))
+            number = np.zeros(max(int(x.max()) for x in [i, *seqs] if len(x)) + 1, np.int64)
             keys = np.zeros(len(number), np.int64)
-            keys[i] = w
-            logs, size = np.log10(number + 1.0), 2 if OWN_COUNT + len(often) <= 1 << 16 else 4
-            own = pa.ListArray.from_arrays(pa.array([0] + [len(often)] * len(seqs), pa.int32()), pa.array(keys[often]), mask=pa.array([False] + [True] * (len(seqs) - 1)))
-            out = [rows.column("b").combine_chunks(), rows.column("doc_id").combine_chunks(), rows.column("train").combine_chunks(), pa.array([packed(classes[x], size) for x in seqs], pa.binary())]
-            out += [pa.array([len(x) for x in seqs], pa.int64()), pa.array([int((number[x] > 0).sum()) for x in seqs], pa.int64()), pa.array([float(logs[x].sum()) for x in seqs]), own]
-            yield pa.RecordBatch.from_arrays(out, ["b", "doc_id", "train", "seq", "n_tokens", "n_known", "base", "words"])
-
-    schema = "b long, doc_id {}, train boolean, seq binary, n_tokens long, n_known long, base double, words array<long>".format(blocked.schema["doc_id"].dataType.simpleString())
+            number[i], keys[i] = c, w
+            order = np.argsort(-number, kind="stable")
+            own = order[: int((number >= OWN_COUNT).sum())]
+            classes = np.minimum(number, OWN_COUNT - 1)
+            classes[own] = OWN_COUNT + np.arange(len(own))
+            cuts = [int((number >= k).sum()) for k in range(OWN_COUNT, COMMON_COUNT + 1)]
+            logs, one = np.log10(number + 1.0), [None] * (len(seqs) - 1)
+            first = pa.ListArray.from_arrays(pa.array([0] + [len(own)] * len(seqs), pa.int32()), pa.StructArray.from_arrays([pa.array(keys[own]), pa.array(number[own])], ["w", "c"]), mask=pa.array([False] + [True] * len(one)))
+            out = [*(rows.column(x).combine_chunks() for x in ("b", "doc_id", "train")), pa.array([packed(classes[x]) for x in seqs], pa.binary()), pa.array([cuts] * len(seqs), pa.list_(pa.int32()))]
+            out += [pa.array([len(x) for x in seqs], pa.int64()), pa.array([int((number[x] > 0).sum()) for x in seqs], pa.int64()), pa.array([float(logs[x].sum()) for x in seqs]), first]
+            yield pa.RecordBatch.from_arrays(out, ["b", "doc_id", "train", "seq", "cuts", "n_tokens", "n_known", "base", "words"])
+
+    schema = "b long, doc_id {}, train boolean, seq binary, cuts array<int>, n_tokens long, n_known long, base double, words array<struct<w:long,c:long>>".format(blocked.schema["doc_id"].dataType.simpleString())
     return materialize(by_block(blocked.select("b", "doc_id", "train", "seq"), counts).mapInArrow(run, schema), "classes")
 
 
-def with_emissions(texts: DataFrame, coded: DataFrame, emissions: DataFrame) -> DataFrame:
-    words = coded.filter("words is not null").select("b", F.posexplode("words").alias("i", "w"))
-    return by_block(texts, words.join(emissions, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", *STATE_COLUMNS)).alias("own")))
+def with_emissions(texts: DataFrame, coded: DataFrame, emissions: DataFrame, least: int) -> DataFrame:
+    """texts by block, after the block's words of a count of least or more; of those without emissions, the states are null."""
+    words = coded.filter("words is not null").select("b", F.posexplode("words").alias("i", "x")).filter(F.col("x.c") >= least).select("b", "i", F.col("x.w").alias("w"))
+    return by_block(texts, words.join(emissions, "w", "left").groupBy("b").agg(F.collect_list(F.struct("i", "w", *STATE_COLUMNS)).alias("own")))
 
 
 def models(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model, np.ndarray, list[np.ndarray], pa.Table]]:
-    """(model, keys of its own words, class sequences, rows) of each block."""
+    """(model, keys of the words that came with it, class sequences, rows) of each block."""
     for fields, rows in read_blocks(batches):
         keys, weight = np.zeros(0, np.int64), np.zeros((STATES, 0))
         if fields:
             order = np.argsort(fields[0])
-            keys, weight = fields[1][order], np.array([x[order] for x in fields[2:]])
-        yield Model(fit, weight), keys, [unpacked(x) for x in rows.column("seq").to_pylist()], rows
+            keys, weight = fields[1][order], np.nan_to_num(np.array([x[order] for x in fields[2:]], np.float64))
+        cuts = np.array(rows.column("cuts")[0].as_py(), np.int64)
+        yield Model(fit, weight, cuts), keys, [unpacked(x) for x in rows.column("seq").to_pylist()], rows
 
 
 def totals(emissions: DataFrame, rare: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -269,52 +280,60 @@ def first_guess(own: DataFrame, n: int, v: int, kinds: np.ndarray) -> tuple[Fit,
     often = sorted(r["w"] for r in own.filter(share >= TILTED_SHARE).select("w").collect())
     tilt = np.random.default_rng(7).gamma(4.0, 0.25, (k, len(often)))
     tilts = own.sparkSession.createDataFrame([(w, *x) for w, x in zip(often, tilt.T.tolist(), strict=True)], "w long, " + ", ".join(f"t{s} double" for s in range(k)))
-    emissions = materialize(own.join(F.broadcast(tilts), "w", "left").select("w", *((share * F.coalesce(f"t{s}", F.lit(1.0))).alias(f"s{s}") for s in range(k))), "emissions")
-    rare = np.tile((np.arange(OWN_COUNT) + 1.0) / (n + v + 1), (k, 1))
+    emissions = materialize(own.join(F.broadcast(tilts), "w", "left").select("w", *((share * F.coalesce(f"t{s}", F.lit(1.0))).cast("float").alias(f"s{s}") for s in range(k))), "emissions")
+    rare = np.tile((np.arange(len(kinds)) + 1.0) / (n + v + 1), (k, 1))
     return Fit(n, v, np.full(k, 1 / k), uniform_moves(), np.full(k, 1 / k), rare, totals(emissions, rare, kinds)), emissions
 
 
 def refitted(fit: Fit, own: DataFrame, kinds: np.ndarray, counts: DataFrame) -> tuple[Fit, DataFrame]:
-    """Parameters from expected counts (r, w, s0...). kinds: how many words each class by count has (one for unseen words)."""
+    """Parameters from expected counts (r, w, s0...). own(w, c): the words of len(kinds) times and more; kinds: how many words each class by count has (one for unseen words)."""
     parts = {r["r"]: np.array([r[c] for c in STATE_COLUMNS]) for r in counts.groupBy("r").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)).collect()}
-    none = np.zeros(STATES)
+    none, least = np.zeros(STATES), len(kinds)
     start, move = parts.get(START, none) + 1, np.array([parts.get(MOVE + s, none) for s in range(STATES)]).T + 1
-    seen = np.array([parts.get(RARE + k, none) for k in range(OWN_COUNT)]).T
+    seen = np.array([parts.get(RARE + k, none) for k in range(least)]).T
     mass = parts.get(WORD, none) + seen.sum(axis=1)
     state, u = mass / mass.sum(), PRIOR / (fit.n + fit.v + 1)
     c, words = F.col("c"), counts.filter(F.col("r") == WORD).select("w", *STATE_COLUMNS)
     weight = lambda s: (c + 1.0) * ((F.coalesce(f"s{s}", F.lit(0.0)) + BACK_OFF * float(state[s])) / (c + BACK_OFF) + u)
-    emissions = materialize(own.join(words, "w", "left").select("w", *(weight(s).alias(f"s{s}") for s in range(STATES))), "emissions")
-    tokens_of = np.arange(OWN_COUNT) * kinds
-    lean = (seen + BACK_OFF * state[:, None]) / (tokens_of + BACK_OFF)
-    lean[:, 0] = lean[:, 1] if OWN_COUNT > 1 else state
-    rare = (np.arange(OWN_COUNT) + 1.0) * (lean + u)
+    emissions = materialize(own.join(words, "w", "left").select("w", *(weight(s).cast("float").alias(f"s{s}") for s in range(STATES))), "emissions")
+    lean = (seen + BACK_OFF * state[:, None]) / (np.arange(least) * kinds + BACK_OFF)
+    lean[:, 0] = lean[:, 1] if least > 1 else state
+    rare = (np.arange(least) + 1.0) * (lean + u)
     return Fit(fit.n, fit.v, start / start.sum(), move / move.sum(axis=1, keepdims=True), state, rare, totals(emissions, rare, kinds)), emissions
 
 
+def counted(batches: Iterator[pa.RecordBatch], fit: Fit, least: int) -> Iterator[pa.RecordBatch]:
+    """The expected counts of each block; words of under ``least`` times are counted by class."""
+    for model, keys, sequences, rows in models(batches, fit):
+        start, move, fine = expected_counts(model, sequences)
+        cuts = np.array(rows.column("cuts")[0].as_py(), np.int64)
+        by_class = np.zeros((STATES, least))
+        by_class[:, :OWN_COUNT] = fine[:, :OWN_COUNT]
+        for k in range(OWN_COUNT, least):  # words by falling count: those of k stand between two cuts
+            by_class[:, k] = fine[:, OWN_COUNT + cuts[k - OWN_COUNT + 1] : OWN_COUNT + cuts[k - OWN_COUNT]].sum(axis=1)
+        own = fine[:, OWN_COUNT : OWN_COUNT + cuts[least - OWN_COUNT]]
+        used = np.nonzero(own.any(axis=0))[0]
+        out = np.concatenate([own[:, used], start[:, None], move, by_class], axis=1).astype(np.float32)
+        r = np.r_[np.full(len(used), WORD), START, MOVE + np.arange(STATES), RARE + np.arange(least)].astype(np.int32)
+        w = np.r_[keys[used], np.zeros(1 + STATES + least, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(w), *(pa.array(x) for x in out)], ["r", "w", *STATE_COLUMNS])
+
+
 def baum_welch(coded: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> tuple[Fit, DataFrame]:
     """Rounds over all training text -> the fit and its emissions (w, s0...)."""
-    classes = {r["k"]: r for r in vocabulary.groupBy(F.least("c", F.lit(OWN_COUNT)).alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
+    classes = {r["k"]: r for r in vocabulary.groupBy(F.least("c", F.lit(COMMON_COUNT)).alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
     n, v = (sum(r[x] for r in classes.values()) for x in ("n", "v"))
-    kinds = np.array([1, *(classes[k]["v"] if k in classes else 0 for k in range(1, OWN_COUNT))], np.float64)
-    own = vocabulary.filter(F.col("c") >= OWN_COUNT)
-    fit, emissions = first_guess(own, n, v, kinds)
-    for _ in range(rounds if n else 0):
-
-        def run(batches: Iterator[pa.RecordBatch], fit=fit) -> Iterator[pa.RecordBatch]:
-            for model, keys, sequences, _ in models(batches, fit):
-                start, move, emit = expected_counts(model, sequences)
-                used = np.nonzero(emit[:, OWN_COUNT:].any(axis=0))[0]
-                rows = np.concatenate([emit[:, OWN_COUNT + used], start[:, None], move, emit[:, :OWN_COUNT]], axis=1)
-                r = np.r_[np.full(len(used), WORD), START, MOVE + np.arange(STATES), RARE + np.arange(OWN_COUNT)].astype(np.int32)
-                w = np.r_[keys[used], np.zeros(1 + STATES + OWN_COUNT, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(w), *(pa.array(x) for x in rows)], ["r", "w", *STATE_COLUMNS])
-
-        rows = with_emissions(coded.filter("train").select("b", "seq"), coded, emissions)
-        parts = rows.mapInArrow(run, "r int, w long, " + ", ".join(f"{c} double" for c in STATE_COLUMNS))
+    kinds = np.array([1, *(classes[k]["v"] if k in classes else 0 for k in range(1, COMMON_COUNT))], np.float64)
+    own = lambda least: vocabulary.filter(F.col("c") >= least)
+    fit, emissions = first_guess(own(COMMON_COUNT), n, v, kinds)
+    for k in range(rounds if n else 0):
+        least = OWN_COUNT if k == rounds - 1 else COMMON_COUNT
+        rows = with_emissions(coded.filter("train").select("b", "seq", "cuts"), coded, emissions, least)
+        parts = rows.mapInArrow(lambda batches, fit=fit, least=least: counted(batches, fit, least), "r int, w long, " + ", ".join(f"{c} float" for c in STATE_COLUMNS))
         counts = materialize(parts.groupBy("r", "w").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)), "counts")
-        fit, emissions = refitted(fit, own, kinds, counts)
-        del rows, parts, counts
+        before, (fit, emissions) = emissions, refitted(fit, own(least), kinds[:least], counts)
+        discard(before, counts)
+        del rows, parts, counts, before
         gc.collect()
         vocabulary.sparkSession._jvm.System.gc()  # Spark drops a round's shuffle files once the driver forgets them
     return fit, emissions
@@ -326,6 +345,7 @@ def scored(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     blocked = in_blocks(rows)
     vocabulary = materialize(word_counts(blocked), "vocabulary")
     coded = in_classes(blocked, vocabulary)
+    discard(blocked)
     fit, emissions = baum_welch(coded, vocabulary, rounds)
     names = ["doc_id", "n_tokens", "n_known", "base"]
 
@@ -334,7 +354,8 @@ def scored(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in names), pa.array(log_likelihoods(model, sequences))], [*names, "score"])
 
     schema = "doc_id {}, n_tokens long, n_known long, base double, score double".format(rows.schema["doc_id"].dataType.simpleString())
-    out = with_emissions(coded.select("b", "doc_id", "seq", "n_tokens", "n_known", "base"), coded, emissions).mapInArrow(run, schema)
+    least = fit.rare.shape[1]
+    out = with_emissions(coded.select("b", "doc_id", "seq", "cuts", "n_tokens", "n_known", "base"), coded, emissions, least).mapInArrow(run, schema)
     return out.select(
         "doc_id",
         (fold("doc_id") == held_out).alias("held_out"),
