@@ -41,7 +41,7 @@ FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
 SEGMENT, BATCH = 64, 4096
 OWN_COUNT, COMMON_COUNT, PRIOR, BACK_OFF, TILTED_SHARE = 2, 16, 50.0, 3.0, 0.001
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 END = b""
 #: Kinds of expected counts: words of their own, starts, moves from each state, and classes by count.
 WORD, START, MOVE, RARE = 0, 1, 2, 1000
@@ -266,6 +266,12 @@ def models(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model,
         yield Model(fit, weight, cuts), keys, [unpacked(x) for x in rows.column("seq").to_pylist()], rows
 
 
+def forget(df: DataFrame) -> None:
+    """Spark drops shuffle files once the driver has forgotten their plans."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def totals(emissions: DataFrame, rare: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.array([x or 0.0 for x in emissions.agg(*(F.sum(c) for c in STATE_COLUMNS)).first()]) + rare @ kinds
 
@@ -278,7 +284,7 @@ def first_guess(own: DataFrame, n: int, v: int, kinds: np.ndarray) -> tuple[Fit,
     """States that differ by chance in their frequent words only (at most 1 / TILTED_SHARE of them); others follow their neighbours."""
     share, k = (F.col("c") + 1.0) / (n + v + 1.0), STATES
     often = sorted(r["w"] for r in own.filter(share >= TILTED_SHARE).select("w").collect())
-    tilt = np.random.default_rng(7).gamma(4.0, 0.25, (k, len(often)))
+    tilt = np.random.default_rng(7).gamma(0.5, 2.0, (k, len(often)))
     tilts = own.sparkSession.createDataFrame([(w, *x) for w, x in zip(often, tilt.T.tolist(), strict=True)], "w long, " + ", ".join(f"t{s} double" for s in range(k)))
     emissions = materialize(own.join(F.broadcast(tilts), "w", "left").select("w", *((share * F.coalesce(f"t{s}", F.lit(1.0))).cast("float").alias(f"s{s}") for s in range(k))), "emissions")
     rare = np.tile((np.arange(len(kinds)) + 1.0) / (n + v + 1), (k, 1))
@@ -334,8 +340,7 @@ def baum_welch(coded: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) ->
         before, (fit, emissions) = emissions, refitted(fit, own(least), kinds[:least], counts)
         discard(before, counts)
         del rows, parts, counts, before
-        gc.collect()
-        vocabulary.sparkSession._jvm.System.gc()  # Spark drops a round's shuffle files once the driver forgets them
+        forget(vocabulary)
     return fit, emissions
 
 
@@ -344,8 +349,10 @@ def scored(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("train", fold("doc_id") != held_out)
     blocked = in_blocks(rows)
     vocabulary = materialize(word_counts(blocked), "vocabulary")
+    forget(vocabulary)
     coded = in_classes(blocked, vocabulary)
     discard(blocked)
+    forget(coded)
     fit, emissions = baum_welch(coded, vocabulary, rounds)
     names = ["doc_id", "n_tokens", "n_known", "base"]
 
