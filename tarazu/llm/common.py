@@ -23,9 +23,11 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     if path := spark.conf.get("spark.checkpoint.dir", ""):
         return path.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="corpus-"))
     return _own_dir[0]
@@ -67,6 +69,11 @@ def keyed_rows(df: DataFrame, id_column: str, text_column: str, new: tuple[str,
     return with_key(rows).drop("doc_id")
 
 
+def restored(rows: DataFrame, columns: list[str], text_column: str, text: Column | None = None) -> list[Column]:
+    """A row's columns in their order, from keyed_rows; text stands for the text column."""
+    return [(F.col("text") if text is None else text).alias(c) if c == text_column else F.col("own").getField(c).alias(c) for c in columns]
+
+
 def made(rows: DataFrame, **columns: str) -> StructType:
     """own, and new columns by name and type."""
     return StructType([rows.schema["own"], *(StructField(c, _parse_datatype_string(t)) for c, t in columns.items())])
@@ -93,6 +100,34 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
         yield batch.slice(at)
 
 
+def by_block(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """texts with b, and own(b, own array): each block's rows together, after a row that has the block's array."""
+    columns = [c for c in texts.columns if c != "b"]
+    rows = texts.select("b", F.lit(1).alias("kind"), F.lit(None).cast(own.schema["own"].dataType).alias("own"), *columns)
+    first = own.select("b", F.lit(0).alias("kind"), "own", *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in columns))
+    return rows.unionByName(first).repartition("b").sortWithinPartitions("b", "kind")
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array | None, pa.Table]]:
+    """(the values of the block's array, its rows) of each block that has rows."""
+    own, held, now = None, [], None
+    for batch in batches:
+        block = batch.column(0).to_pylist()
+        cuts = [0, *(k for k in range(1, len(block)) if block[k] != block[k - 1]), len(block)] if block else [0]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            if block[at] != now:
+                if held:
+                    yield own, pa.Table.from_batches(held)
+                own, held, now = None, [], block[at]
+                if batch.column(1)[at].as_py() == 0:
+                    own = batch.column(2).slice(at, 1).flatten()
+                    at += 1
+            if end > at:
+                held.append(batch.slice(at, end - at))
+    if held:
+        yield own, pa.Table.from_batches(held)
+
+
 def words_of(text: str = "text") -> Column:
     """The words as an array, on the JVM side (null: none)."""
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_PATTERN), lambda w: w != "")

@@ -35,7 +35,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import blocks, byte_column, discard, materialize
+from .common import blocks, by_block, byte_column, discard, materialize, read_blocks
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
@@ -194,32 +194,8 @@ def word_counts(blocked: DataFrame) -> DataFrame:
     return blocked.filter("words is not null").select(F.inline("words")).groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-def by_block(texts: DataFrame, own: DataFrame) -> DataFrame:
-    """texts with b, and own(b, own array): each block's rows together, in order, after a row that has the block's array."""
-    columns = [c for c in texts.columns if c != "b"]
-    rows = texts.select("b", F.lit(1).alias("kind"), F.lit(None).cast(own.schema["own"].dataType).alias("own"), *columns)
-    first = own.select("b", F.lit(0).alias("kind"), "own", *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in columns))
-    return rows.unionByName(first).repartition("b").sortWithinPartitions("b", "kind")
-
-
-def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
-    """(the fields of the block's array, its rows) of each block."""
-    fields, held, now = [], [], None
-    for batch in batches:
-        block = batch.column(0).to_numpy()
-        cuts = np.r_[0, np.nonzero(block[1:] != block[:-1])[0] + 1, len(block)].tolist() if len(block) else [0]
-        for at, end in zip(cuts, cuts[1:], strict=False):
-            if block[at] != now:
-                if held:
-                    yield fields, pa.Table.from_batches(held)
-                fields, held, now = [], [], block[at]
-                if batch.column(1)[at].as_py() == 0:
-                    fields = [x.to_numpy(zero_copy_only=False) for x in batch.column(2).slice(at, 1).flatten().flatten()]
-                    at += 1
-            if end > at:
-                held.append(batch.slice(at, end - at))
-    if held:
-        yield fields, pa.Table.from_batches(held)
+def columns_of(own: pa.StructArray) -> list[np.ndarray]:
+    return [x.to_numpy(zero_copy_only=False) for x in own.flatten()]
 
 
 def in_classes(blocked: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -228,19 +204,19 @@ def in_classes(blocked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     counts = words.join(vocabulary, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", "c")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fields, rows in read_blocks(batches):
+        for own, rows in read_blocks(batches):
             seqs = [unpacked(x) for x in rows.column("seq").to_pylist()]
-            i, w, c = fields or (np.zeros(0, np.int64) for _ in range(3))
+            i, w, c = columns_of(own) if own else (np.zeros(0, np.int64) for _ in range(3))
             number = np.zeros(max(int(x.max()) for x in [i, *seqs] if len(x)) + 1, np.int64)
             keys = np.zeros(len(number), np.int64)
             number[i], keys[i] = c, w
             order = np.argsort(-number, kind="stable")
-            own = order[: int((number >= OWN_COUNT).sum())]
+            often = order[: int((number >= OWN_COUNT).sum())]
             classes = np.minimum(number, OWN_COUNT - 1)
-            classes[own] = OWN_COUNT + np.arange(len(own))
+            classes[often] = OWN_COUNT + np.arange(len(often))
             cuts = [int((number >= k).sum()) for k in range(OWN_COUNT, COMMON_COUNT + 1)]
             logs, one = np.log10(number + 1.0), [None] * (len(seqs) - 1)
-            first = pa.ListArray.from_arrays(pa.array([0] + [len(own)] * len(seqs), pa.int32()), pa.StructArray.from_arrays([pa.array(keys[own]), pa.array(number[own])], ["w", "c"]), mask=pa.array([False] + [True] * len(one)))
+            first = pa.ListArray.from_arrays(pa.array([0] + [len(often)] * len(seqs), pa.int32()), pa.StructArray.from_arrays([pa.array(keys[often]), pa.array(number[often])], ["w", "c"]), mask=pa.array([False] + [True] * len(one)))
             out = [*(rows.column(x).combine_chunks() for x in ("b", "doc_id", "train")), pa.array([packed(classes[x]) for x in seqs], pa.binary()), pa.array([cuts] * len(seqs), pa.list_(pa.int32()))]
             out += [pa.array([len(x) for x in seqs], pa.int64()), pa.array([int((number[x] > 0).sum()) for x in seqs], pa.int64()), pa.array([float(logs[x].sum()) for x in seqs]), first]
             yield pa.RecordBatch.from_arrays(out, ["b", "doc_id", "train", "seq", "cuts", "n_tokens", "n_known", "base", "words"])
@@ -257,9 +233,10 @@ def with_emissions(texts: DataFrame, coded: DataFrame, emissions: DataFrame, lea
 
 def models(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model, np.ndarray, list[np.ndarray], pa.Table]]:
     """(model, keys of the words that came with it, class sequences, rows) of each block."""
-    for fields, rows in read_blocks(batches):
+    for own, rows in read_blocks(batches):
         keys, weight = np.zeros(0, np.int64), np.zeros((STATES, 0))
-        if fields:
+        if own:
+            fields = columns_of(own)
             order = np.argsort(fields[0])
             keys, weight = fields[1][order], np.nan_to_num(np.array([x[order] for x in fields[2:]], np.float64))
         cuts = np.array(rows.column("cuts")[0].as_py(), np.int64)

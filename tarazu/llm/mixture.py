@@ -45,30 +45,40 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.withColumn("target", F.least(F.col("_cap").cast("double"), F.col("_w") * F.max("_level").over(every))).select("source", "source_size", "target")
 
 
-def mixed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 0) -> DataFrame:
-    """The rows with size, source_size, target, copies and taken (copies times size)."""
-    own = [c for c in df.columns if c not in NEW]
-    rows = df.select(*own, F.col(source_column).cast("string").alias("_s"), F.coalesce(F.regexp_count(text_column, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+def placed_rows(df: DataFrame, id_column: str, text_column: str, source_column: str, seed: int) -> DataFrame:
+    """(own, size, source_size, target, copies); own is the whole row, so that its columns may have any names."""
+    rows = df.select(F.struct(*df.columns).alias("own"), F.col(id_column).alias("_id"), F.col(source_column).cast("string").alias("_s"), F.coalesce(F.regexp_count(text_column, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
     rows = rows.withColumn("_k", F.coalesce(F.concat(F.lit("="), "_s"), F.lit("null")))
     bits = F.length(F.bin("size"))
     rows = rows.withColumn("_b", (bits * 16 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 4, F.lit(0)))).cast("long"))
-    name = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
+    name = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
     rows = rows.withColumn("_salt", F.conv(F.substring(F.md5(name), 1, 4), 16, 10).cast("long") % SALTS)
     groups = rows.groupBy("_k", "_s", "_b", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     rates = targets(groups.groupBy(F.col("_s").alias("source")).agg(F.sum("_size").alias("source_size")))
     rates = rates.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_k"), "source_size", "target")
     order = Window.partitionBy("_k").orderBy("_b", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).join(rates, "_k").select("_k", "_b", "_salt", "_before", "source_size", "target")
-    at = F.col("_before") + F.row_number().over(Window.partitionBy("_k", "_b", "_salt").orderBy("size", id_column))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_k", "_b", "_salt").orderBy("size", "_id"))
     rows = rows.join(placed, ["_k", "_b", "_salt"]).withColumn("_at", at)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = _unit(F.concat(F.lit(f"{seed}:"), "_k"))
     copies = F.floor(F.col("_at") * rate + offset) - F.floor((F.col("_at") - 1) * rate + offset)
-    rows = rows.withColumn("copies", F.least(copies, F.lit(MOST_COPIES)).cast("long"))
-    return rows.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("own", "size", "source_size", "target", F.least(copies, F.lit(MOST_COPIES)).cast("long").alias("copies"))
+
+
+def mixed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 0) -> DataFrame:
+    """The rows with size, source_size, target, copies and taken (copies times size)."""
+    out = placed_rows(df, id_column, text_column, source_column, seed)
+    return out.select(*(F.col("own").getField(c).alias(c) for c in df.columns if c not in NEW), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def resampled(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 0) -> DataFrame:
+    """The rows in as many copies as the mix takes, with all their columns and no others."""
+    out = placed_rows(df, id_column, text_column, source_column, seed).filter("copies > 0")
+    return out.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("own.*")
 
 
 def emitted(mix: DataFrame) -> DataFrame:
     """One row for each copy, without the columns of mixed()."""
-    own = [c for c in mix.columns if c not in NEW]
-    return mix.filter("copies > 0").select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select(*own)
+    own = F.struct(*(c for c in mix.columns if c not in NEW)).alias("own")
+    return mix.filter("copies > 0").select(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("own.*")

@@ -39,7 +39,7 @@ v as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(w[i:
 c as (select doc_id, i - lag(i, 1, -5) over (partition by doc_id order by i) gap from v where n > 1),
 rep as (select doc_id, sum(least(5, gap)) n from c group by doc_id),
 u as (select doc_id, source, t, unnest(list_filter(list_transform(string_split(regexp_replace(lower(t), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) x from d),
-f as (select source, x, min(doc_id) m from u group by source, x having count(distinct t) > 30),
+f as (select source, x, min(doc_id) m from u group by source, x having count(distinct doc_id) > 30),
 gone as (select doc_id, sum(len(string_split(u.x, ' '))) n from u join f on u.source is not distinct from f.source and u.x = f.x where doc_id > m group by doc_id),
 b as (select d.doc_id, cast(len(w) as bigint) n_words, length(array_to_string(w, '')) word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols,

@@ -6,16 +6,17 @@ it also starts, word for word, in a document with a smaller id. Windows are judg
 1. Phrases: in each window the ``PHRASE``-word phrase of least hash is selected (of equal ones the
    last), so equal windows select equal phrases, some 7 % of positions. A phrase that documents of
    different ids selected is confirmed as recurring.
-2. Automata: documents are dealt into shards of ``SHARD_BYTES`` of text. Each shard compiles the
-   recurring phrases of its own documents, as word sequences, into one Aho-Corasick automaton, and
-   every document of the shard is streamed through it, which locates all occurrences.
+2. Automata: documents are dealt by a hash into shards of about ``SHARD_BYTES`` of text. Each shard
+   compiles the recurring phrases of its documents, as word sequences, into one Aho-Corasick
+   automaton, and every document of the shard is streamed through it. Its hits are the places where
+   phrases recur; nothing else is looked at from here on.
 3. Exact check: the windows that selected a located phrase form a span. Spans are compared whole
-   (two 64-bit hashes and the length); where a phrase has different spans, their windows are
-   compared one by one. The hashes are of whole word sequences; at 10^13 windows the chance that
-   any two different ones agree in all 128 bits is below 10^-12.
+   (two hashes and the length); where a phrase has different spans, their windows are compared one
+   by one. Hashes of ranges are made of 64-bit hashes of words, so different ranges agree where
+   words clash (at 10^9 words, some 3 % of vocabularies have one pair) or, by chance, in 2^-128.
 
 Work grows with the text: no list of a phrase's documents is built, hot phrases are pre-aggregated
-by their least id, and an automaton never holds more than its shard's own phrases.
+by shard and by span, and an automaton never holds more than its shard's own phrases.
 
 Defined cases: a null text has no words; a null doc_id comes after all others; rows with the same
 doc_id never remove each other's words; other columns are kept as they are; an empty table gives no
@@ -32,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, byte_column, keyed_rows, made, materialize
+from .common import blocks, by_block, byte_column, keyed_rows, made, materialize, read_blocks
 
 WINDOW, PHRASE = 50, 25
 SHARD_BYTES = 8 << 20
@@ -112,62 +113,72 @@ def _rows(columns: list[tuple[str, list[np.ndarray]]]) -> pa.RecordBatch:
 
 
 def selected_phrases(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(p, _id): the phrases that each document's windows select."""
+    """keyed(b, _id, _h, text) -> (p, at, b, _id, _h): the phrases that each document's windows select, each once."""
+    names = ["p", "at", "b", "_id", "_h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for batch in blocks(batches, "text"):
-            found: list[np.ndarray] = []
-            ids: list[np.ndarray] = []
-            for i, text in zip(batch.column(0).to_pylist(), byte_column(batch, "text"), strict=True):
+            found, at, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, text in enumerate(byte_column(batch, "text")):
                 words = text.split()
                 if len(words) >= window:
-                    p = np.unique(selections(Rolling(hashed(words, cache)), len(words), window, phrase)[0])
+                    p, position, *_ = selections(Rolling(hashed(words, cache)), len(words), window, phrase)
+                    p, first = np.unique(p, return_index=True)
                     found.append(p)
-                    ids.append(np.full(len(p), i, np.int64))
-            yield _rows([("p", found), ("_id", ids)])
-
-    return keyed.select("_id", "text").mapInArrow(run, "p long, _id long")
-
-
-def located_spans(listed: DataFrame, window: int, phrase: int) -> DataFrame:
-    """listed(_id, _h, text, phrases) -> the spans of located phrases: (p, s1, s2, n, _id, _h, at), n windows from word at."""
+                    at.append(position[first])
+                    rows.append(np.full(len(p), k))
+            place = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), *(batch.column(c).take(place) for c in range(3))], names)
+
+    return keyed.select("b", "_id", "_h", "text").mapInArrow(run, "p long, at int, b long, _id long, _h long")
+
+
+def compiled(phrases: list[tuple[int, ...]]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for k, sequence in enumerate(phrases):
+        automaton.add_word(sequence, k)
+    if phrases:
+        automaton.make_automaton()
+    return automaton
+
+
+def spans_in_shard(texts: list[bytes], holders: list[tuple[int, int]], window: int, phrase: int, build=compiled) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """holders: a text and a position of each recurring phrase. Yields (text, (p, s1, s2, n, at)) where the automaton has hits: n windows from word at selected p."""
+    numbers: dict[bytes, int] = {}
+    coded = [tuple([numbers.setdefault(w, len(numbers)) for w in words]) for words in map(bytes.split, texts)]
+    automaton = build([coded[k][at : at + phrase] for k, at in holders])
+    if not len(automaton):
+        return
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+    for k, sequence in enumerate(coded):
+        ends = [end for end, _ in automaton.iter(sequence)]
+        if not ends or len(sequence) < window:
+            continue
+        rolling = Rolling(hashes[np.array(sequence)])
+        p, position, first, last = selections(rolling, len(sequence), window, phrase)
+        keep = np.isin(position, np.array(ends, np.int64) - (phrase - 1))
+        if keep.any():
+            p, first, last = p[keep], first[keep], last[keep]
+            yield k, (p.view(np.int64), rolling.of(first, last + window, 0).view(np.int64), rolling.of(first, last + window, 1).view(np.int64), last - first + 1, first)
+
+
+def located_spans(keyed: DataFrame, lists: DataFrame, window: int, phrase: int) -> DataFrame:
+    """keyed(b, _id, _h, text), lists(b, own array<struct<_id, _h, at>>) -> the spans of located phrases: (p, s1, s2, n, at, _id, _h)."""
+    names = ["p", "s1", "s2", "n", "at", "_id", "_h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words()
-        for batch in blocks(batches, "text", SHARD_BYTES):
-            names, numbers = ["p", "s1", "s2", "n", "_id", "_h", "at"], {}
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            automaton, known, docs = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), set(), []
-            lists = batch.column(3)
-            for row, text in enumerate(byte_column(batch, "text")):
-                words = text.split()
-                if len(words) < window:  # the list is that of another row of this id
-                    continue
-                rolling = Rolling(hashed(words, cache))
-                chosen = selections(rolling, len(words), window, phrase)
-                own = np.isin(chosen[0], lists[row].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                coded = [numbers.setdefault(w, len(numbers)) for w in words]
-                for p, at in zip(chosen[0][own].tolist(), chosen[1][own].tolist(), strict=True):
-                    if p not in known:
-                        known.add(p)
-                        automaton.add_word(tuple(coded[at : at + phrase]), len(known))
-                docs.append((row, rolling, chosen, coded))
-            if not known:
-                continue
-            automaton.make_automaton()
-            for row, rolling, (p, position, first, last), coded in docs:
-                ends = [end for end, _ in automaton.iter(tuple(coded))]
-                keep = np.isin(position, np.array(ends, np.int64) - (phrase - 1))
-                if not keep.any():
-                    continue
-                p, first, last = p[keep], first[keep], last[keep]
-                stop = last + window
-                for k, x in enumerate((p, rolling.of(first, stop, 0), rolling.of(first, stop, 1), last - first + 1, np.full(len(p), batch.column(0)[row].as_py(), np.int64), np.full(len(p), batch.column(1)[row].as_py(), np.int64), first)):
-                    out[k].append(x)
-            yield _rows(list(zip(names, out, strict=True)))
+        for own, rows in read_blocks(batches):
+            keys = list(zip(rows.column("_id").to_pylist(), rows.column("_h").to_pylist(), strict=True))
+            row_of = {key: k for k, key in reversed(list(enumerate(keys)))}
+            texts = [x or b"" for x in rows.column("text").cast(pa.large_binary()).to_pylist()]
+            holders = [(row_of[i, h], at) for i, h, at in zip(*(x.to_pylist() for x in own.flatten()), strict=True)] if own else []
+            found = list(spans_in_shard(texts, holders, window, phrase))
+            if found:
+                ids = [np.concatenate([np.full(len(x[0]), keys[k][c], np.int64) for k, x in found]) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[c] for _, x in found])) for c in range(5)), *map(pa.array, ids)], names)
 
-    return listed.select("_id", "_h", "text", "phrases").mapInArrow(run, "p long, s1 long, s2 long, n long, _id long, _h long, at long")
+    return by_block(keyed, lists).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def single_windows(ranged: DataFrame, window: int) -> DataFrame:
@@ -192,13 +203,18 @@ def single_windows(ranged: DataFrame, window: int) -> DataFrame:
 def removals(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(_id, _h, ranges array<struct<at long, n long>>): n windows from word at are removed."""
     keyed = keyed_rows(df.select(id_column, text_column), id_column, text_column, ()).select("_id", "_h", "text")
+    shards = 1 + (keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES
+    keyed = keyed.select(F.expr(f"pmod(xxhash64(_id, _h), {shards})").alias("b"), "_id", "_h", "text")
     chosen = materialize(selected_phrases(keyed, window, phrase), "phrases")
-    recurring = chosen.groupBy("p").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b").select("p")
-    lists = chosen.join(recurring, "p").groupBy("_id").agg(F.collect_list("p").alias("phrases"))
-    spans = materialize(located_spans(keyed.join(lists, "_id"), window, phrase), "spans")
-    least = spans.groupBy("p", "s1", "s2", "n").agg(F.min("_id").alias("least"))
-    several = least.groupBy("p").agg((F.count("*") > 1).alias("several"))
-    marked = spans.join(least, ["p", "s1", "s2", "n"]).join(several, "p").filter("_id > least or several")
+    recurring = chosen.groupBy("p").agg(F.min("_id").alias("a"), F.max("_id").alias("z")).filter("a < z").select("p")
+    heads = chosen.groupBy("b", "p").agg(F.min(F.struct("_id", "_h", "at")).alias("head"))
+    lists = heads.join(recurring, "p").groupBy("b").agg(F.collect_list("head").alias("own"))
+    spans = materialize(located_spans(keyed, lists, window, phrase), "spans")
+    span = ["p", "s1", "s2", "n"]
+    # written, so that both sides of each join are plain tables and skewed ones can be split
+    least = materialize(spans.groupBy(*span).agg(F.min("_id").alias("least")), "least")
+    several = materialize(least.groupBy("p").agg(F.count("*").alias("spans")).filter("spans > 1"), "several")
+    marked = spans.join(least, span).join(several, "p", "left").filter("_id > least or spans is not null")
     marked = materialize(marked.select("_id", "_h", "at", "n", (F.col("_id") > F.col("least")).alias("whole")), "marked")
     ranges = lambda d: d.groupBy("_id", "_h").agg(F.collect_set(F.struct("at", "n")).alias("ranges"))
     open_ranges = ranges(marked.filter("not whole"))

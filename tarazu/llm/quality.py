@@ -1,10 +1,10 @@
 """Quality rules, with DataFrame functions only: rules on each text, then cross-document line frequency.
 
 Line frequency: lines are normalised (lower case, runs of white space to one space, trimmed) and
-hashed. For each host the distinct texts with a line are counted; a line in more than
-``LINE_LIMIT`` of them is removed from all documents but the one with the least id. A document that
-loses more than ``MOST_REMOVED`` per cent of its words is depleted and rejected. Copies of a text
-count once, so copying a document doesn't reject it.
+hashed. For each host the distinct documents with a line are counted; a line in more than
+``LINE_LIMIT`` of them is removed from all documents but the one with the least id, which keeps what
+would else be lost with all of its copies. A document that loses more than ``MOST_REMOVED`` per cent of
+its words is depleted and rejected.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host; a null
 doc_id comes after all others; repeated rows get one verdict each; other columns are kept, but
@@ -15,13 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keyed_rows, materialize, row_id, with_key, words_of
+from .common import keyed_rows, materialize, restored, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 LINE_LIMIT, MOST_REMOVED = 30, 70
 SYMBOLS = "[#*$%&|<>]"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-NEW = (*BASE, "n_removed", "kept")
+NEW = (*BASE, "n_removed", "kept_text", "kept")
 
 
 def covered_words(windows: Column, size: int) -> Column:
@@ -58,39 +58,42 @@ def base_rules(df: DataFrame, text_column: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
+def normalised(text: Column) -> Column:
+    """Lower case, and runs of white space other than line ends to one space; lines are trimmed once they are cut."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
+
+
 def line_rows(keyed: DataFrame) -> DataFrame:
     """(host, line, _id, _h, n): each line with a word by hash, with its words, and a null line for each row."""
-    text = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(normalised(F.col("text")), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")))
     return keyed.select("host", "_id", "_h", F.explode(F.concat(pairs, F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("n"))))).alias("x")).select("host", "x.line", "_id", "_h", "x.n")
 
 
 def removed_words(keyed: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(host, _id, _h, n_removed) of the rows that lose lines. times has the lines of all rows that repeat (host, _id, _h), so it is divided by their number."""
+    """(host, _id, _h, n_removed, lines) of the rows that lose lines. times has the lines of all rows that repeat (host, _id, _h), so it is divided by their number."""
     rows = line_rows(keyed).groupBy("host", "line", "_id", "_h").agg(F.max("n").alias("n"), F.count("*").alias("times"))
     rows = materialize(rows, "lines")
-    frequent = rows.filter("line is not null").groupBy("host", "line", "_h").agg(F.min("_id").alias("_id")).groupBy("host", "line").agg(F.count("*").alias("texts"), F.min("_id").alias("first")).filter(F.col("texts") > limit)
+    frequent = rows.filter("line is not null").groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("_id").alias("first")).filter(F.col("documents") > limit)
     found = rows.join(frequent, ["host", "line"]).filter("_id > first")
-    lost = found.groupBy("host", "_id", "_h").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    lost = found.groupBy("host", "_id", "_h").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.collect_set("line").alias("lines"))
     repeated = rows.filter("line is null and times > 1").select("host", "_id", "_h", F.col("times").alias("rows"))
-    return lost.join(repeated, ["host", "_id", "_h"], "left").select("host", "_id", "_h", F.expr("n div coalesce(rows, 1)").alias("n_removed"))
+    return lost.join(repeated, ["host", "_id", "_h"], "left").select("host", "_id", "_h", F.expr("n div coalesce(rows, 1)").alias("n_removed"), "lines")
 
 
 def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
-    """The rows with the BASE columns, n_removed (words in removed lines) and kept; the text isn't changed."""
+    """The rows with the BASE columns, which are those of the text as it is, n_removed (words in removed lines), kept_text (the text without these) and kept."""
     keyed = keyed_rows(df, id_column, text_column, NEW).withColumn("host", F.coalesce(F.concat(F.lit("="), F.col("own").getField(host_column).cast("string")), F.lit("null")))
     removed = removed_words(keyed.select("host", "text", "_id", "_h"), limit)
     out = base_rules(keyed).join(removed, ["host", "_id", "_h"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
     kept = ~F.col("base_failed") & (100 * F.col("n_removed") <= MOST_REMOVED * F.col("n_words"))
-    names = [F.col("text").alias(c) if c == text_column else F.col("own").getField(c).alias(c) for c in df.columns if c not in NEW]
-    return out.select(*names, *BASE, "n_removed", kept.alias("kept"))
+    stays = lambda x: ~F.array_contains("lines", F.xxhash64(F.trim(normalised(x))))
+    left = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n"))
+    return out.select(*restored(out, [c for c in df.columns if c not in NEW], text_column), *BASE, "n_removed", left.alias("kept_text"), kept.alias("kept"))
 
 
 def accepted(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
-    """The rows that are kept, as they are. Verdicts are written first: a filter on them would be pushed into the rules and repeat them many times over."""
-    text = F.col(text_column).cast("string")
-    slim = df.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.col(host_column).alias("source"))
-    verdict = materialize(judged(slim, limit=limit).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "kept"), "verdicts")
-    rejected = verdict.filter("not kept").select(row_id().alias("_id"), "_h").distinct()
-    return with_key(df, id_column, text_column).join(rejected, ["_id", "_h"], "left_anti").select(*df.columns)
+    """The rows that are kept, without the lines that are removed. Verdicts are written first: a filter on them would be pushed into the rules and repeat them many times over."""
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(host_column).alias("source"))
+    verdict = materialize(judged(rows, limit=limit).select("row", "kept_text", "kept"), "verdicts").filter("kept")
+    return verdict.select(*[F.col("kept_text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in df.columns])

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import fresh_dir
 
 ARCHIVE_BYTES = 16 << 20
+#: A frame that declares more is an error row: its size isn't trusted with memory.
+MOST_RECORD_BYTES = 1 << 30
 DICTIONARY_BYTES, DICTIONARY_SAMPLES, SAMPLE_BYTES = 32 << 10, 200, 16 << 10
 #: Fixed values of the formats (RFC 8878; WARC 1.1 and its Zstandard extension).
 SKIPPABLE_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -53,7 +55,7 @@ def build_record(record_id: int | None, url: str | None, payload: bytes | None,
 
 
 def pack_archive(records: list[bytes], level: int = 3) -> bytes:
-    """A whole archive. The dictionary is trained on a bounded share of the archive's own records; too few give none."""
+    """A whole archive. The dictionary is trained on a bounded share of the archive's own records; of too few it is their own text."""
     step = max(1, len(records) // DICTIONARY_SAMPLES)
     samples = [x[:SAMPLE_BYTES] for x in records[::step][:DICTIONARY_SAMPLES]]
     out, dictionary = [], None
@@ -62,9 +64,10 @@ def pack_archive(records: list[bytes], level: int = 3) -> bytes:
             dictionary = zstd.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8)
         except zstd.ZstdError:
             dictionary = None
-    if dictionary:
-        raw = dictionary.as_bytes()
-        out.append(struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw)
+    if dictionary is None:
+        dictionary = zstd.ZstdCompressionDict(b"".join(samples)[-DICTIONARY_BYTES:], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    raw = dictionary.as_bytes()
+    out.append(struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw)
     packer = zstd.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True, write_content_size=True)
     return b"".join(out + [packer.compress(x) for x in records])
 
@@ -116,6 +119,8 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes | None, str | None]]:
             return
         try:
             frame = view[at:end]
+            if zstd.frame_content_size(frame) > MOST_RECORD_BYTES:
+                raise zstd.ZstdError("declared content size is over the limit")
             yield at, reader.decompress(frame) if zstd.frame_content_size(frame) >= 0 else reader.decompressobj().decompress(frame), None
         except zstd.ZstdError as e:
             yield at, None, f"frame: {e}"
