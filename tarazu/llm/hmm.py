@@ -25,6 +25,7 @@ an empty table, or one without training rows, gives unseen-word scores.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -245,8 +246,10 @@ def models(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model,
 
 def forget(df: DataFrame) -> None:
     """Spark drops shuffle files once the driver has forgotten their plans."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    for _ in range(2):  # the first makes plans unreachable, the second finds what they held
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def totals(emissions: DataFrame, rare: np.ndarray, kinds: np.ndarray) -> np.ndarray:

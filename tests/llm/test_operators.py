@@ -246,37 +246,104 @@ def test_hmm(spark, docs):
     n, v = sum(counts.values()), len(counts)
     expected = sorted((str(i), fold(i) == 2, len(w := hmm.tokens((t or "").encode())), sum(x in counts for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)) for i, t, _ in ROWS)
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == expected
-    training = spark.createDataFrame([(i, t) for i, t, _ in ROWS], "doc_id long, text string")
-    model = hmm.fitted(training, hmm.word_counts(training), rounds=1)
-    assert np.allclose(model.emit.sum(axis=1), 1) and np.allclose(model.move.sum(axis=1), 1)
-    lookup = hmm.Lookup(model)
-    seqs = [lookup.cls[x] for x in lookup.read([(t or "").encode() for t in TEXTS])]
-    assert np.allclose(hmm.log_likelihoods(model, seqs), [brute_forward(model, s) for s in seqs])
-
+    fit, weight = brute_fit([hmm.tokens((t or "").encode()) for i, t, _ in ROWS if fold(i) != 2], hmm.ROUNDS)
+    got = {}
+    for r in out:
+        got.setdefault(str(r["doc_id"]), []).append(round(r["score"], 6))
+    for i in {str(r[0]) for r in ROWS}:
+        scores = [brute_score(fit, weight, hmm.tokens((t or "").encode())) for k, t, _ in ROWS if str(k) == i]
+        assert np.allclose(sorted(got[i]), sorted(scores), rtol=1e-4), i
 
-def test_hmm_every_word_has_emissions_of_its_own(spark):
-    """More words than there were classes: each of two kinds of rare word is told apart from the other."""
-    rows = [(i, " ".join(f"{'a' if (i + j) % 2 else 'b'}{rng.randrange(20_000)}" for j in range(100))) for i in range(600)]
-    training = spark.createDataFrame(rows, "doc_id long, text string")
-    counts = {hmm.word_key(w): n for w, n in Counter(x for _, t in rows for x in hmm.tokens(t.encode())).items()}
-    model = hmm.fitted(training, hmm.word_counts(training), rounds=2)
-    assert dict(zip(model.w.tolist(), model.c[:-1].astype(int).tolist(), strict=True)) == counts and len(counts) > 24_096
-    lookup = hmm.Lookup(model)
-    lookup.read([t.encode() for _, t in rows])
-    assert len(set(lookup.cls.tolist())) == len(counts) and model.emit.shape[1] == len(counts) + 1
-    assert np.allclose(model.emit.sum(axis=1), 1)
 
+def brute_fit(texts, rounds):
+    """Baum-Welch in plain Python, segment by segment -> ((start, move), weights by word; None: an unseen word)."""
+    k, counts = hmm.STATES, Counter(w for t in texts for w in t)
+    n, v = sum(counts.values()), len(counts)
+    share = lambda w: (counts[w] + 1) / (n + v + 1)
+    signed = lambda w: hmm.word_key(w) - (1 << 64) * (hmm.word_key(w) >> 63)
+    often = sorted((w for w in counts if counts[w] >= hmm.COMMON_COUNT and share(w) >= hmm.TILTED_SHARE), key=signed)
+    tilt = np.random.default_rng(7).gamma(0.5, 2.0, (k, len(often)))
+    weight = {w: np.full(k, share(w)) for w in [*counts, None]}
+    for j, w in enumerate(often):
+        weight[w] = weight[w] * tilt[:, j]
+    start, move, state = np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1)), np.full(k, 1 / k)
+    np.fill_diagonal(move, 0.98)
+    for r in range(rounds):
+        least = hmm.OWN_COUNT if r == rounds - 1 else hmm.COMMON_COUNT
+        total = sum(weight.values())
+        starts, moves, emits = np.zeros(k), np.zeros((k, k)), {w: np.zeros(k) for w in counts}
+        for t in texts:
+            for at in range(0, len(t), hmm.SEGMENT):
+                first = at - (at > 0)
+                part = t[first : at + hmm.SEGMENT]
+                e = [weight[w] / total for w in part]
+                alpha = [(state if at else start) * e[0]]
+                for x in e[1:]:
+                    alpha.append(alpha[-1] @ move * x)
+                    alpha[-1] /= alpha[-1].sum()
+                beta = [np.ones(k)]
+                for x in e[:0:-1]:
+                    beta.append(move @ (x * beta[-1]))
+                    beta[-1] /= beta[-1].sum()
+                beta.reverse()
+                for j, w in enumerate(part):
+                    gamma = alpha[j] * beta[j] / (alpha[j] @ beta[j])
+                    if j or not at:
+                        emits[w] += gamma
+                    if not j and not at:
+                        starts += gamma
+                    if j:
+                        xi = alpha[j - 1][:, None] * move * (e[j] * beta[j])[None, :]
+                        moves += xi / xi.sum()
+        start, move = (starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True)
+        mass = sum(emits.values())
+        state, u = mass / mass.sum(), hmm.PRIOR / (n + v + 1)
+        lean = {c: (sum((emits[w] for w in counts if counts[w] == c), np.zeros(k)) + hmm.BACK_OFF * state) / (sum(c for w in counts if counts[w] == c) + hmm.BACK_OFF) for c in range(1, least)}
+        weight = {w: (counts[w] + 1) * ((lean[counts[w]] if counts[w] < least else (emits[w] + hmm.BACK_OFF * state) / (counts[w] + hmm.BACK_OFF)) + u) for w in counts} | {None: lean[1] + u}
+    return (start, move), weight
+
+
+def brute_score(fit, weight, words):
+    (start, move), total, alpha, logs = fit, sum(weight.values()), None, 0.0
+    for w in words:
+        e = weight.get(w, weight[None]) / total
+        alpha = start * e if alpha is None else (alpha @ move) * e
+        logs, alpha = logs + math.log10(alpha.sum()), alpha / alpha.sum()
+    return logs
+
+
+def test_hmm_likelihoods_are_those_of_the_plain_recursion():
+    k, n = hmm.STATES, 50
+    some = np.random.default_rng(1)
+    rare = some.random((k, hmm.OWN_COUNT))
+    fit = hmm.Fit(9, 9, some.dirichlet(np.ones(k)), some.dirichlet(np.ones(k), k), np.full(k, 1 / k), rare, rare.sum(axis=1) + 9)
+    model = hmm.Model(fit, some.random((k, n)), np.array([n] * (hmm.COMMON_COUNT - hmm.OWN_COUNT + 1)))
+    seqs = [some.integers(0, model.classes, m) for m in (1, 2, 70, 3, 700)]
+    assert np.allclose(hmm.log_likelihoods(model, seqs), [brute_forward(model, s) for s in seqs])
 
-def test_hmm_blocks_give_the_scores_of_the_whole_model(spark, docs, monkeypatch):
-    import zlib
 
-    training = spark.createDataFrame([(i, t) for i, t, _ in ROWS if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2], "doc_id long, text string")
-    model = hmm.fitted(training, hmm.word_counts(training), rounds=2)
-    seqs = [model.look_up(np.array([hmm.word_key(w) for w in hmm.tokens((t or "").encode())], np.uint64)) for _, t, _ in ROWS]
-    expected = sorted((str(i), round(brute_forward(model, s), 5)) for (i, _, _), s in zip(ROWS, seqs, strict=True))
+def test_hmm_every_word_seen_twice_has_emissions_of_its_own(spark):
+    """More words than any cap there was: each of two kinds of word is told apart from the other, and nothing is dropped."""
+    kinds = [[f"{x}{j}" for j in range(15_000)] for x in "ab"]
+    rows = [(i, " ".join(kinds[i // 2 % 2][(i // 4 * 100 + j) % 15_000] for j in range(100))) for i in range(1200)]
+    training = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(True))
+    counts = {hmm.word_key(w) - (1 << 64) * (hmm.word_key(w) >> 63): n for w, n in Counter(x for _, t in rows for x in hmm.tokens(t.encode())).items()}
+    blocked = hmm.in_blocks(training)
+    vocabulary = hmm.materialize(hmm.word_counts(blocked), "vocabulary")
+    assert {r["w"]: r["c"] for r in vocabulary.collect()} == counts and len(counts) > 24_096
+    fit, emissions = hmm.baum_welch(hmm.in_classes(blocked, vocabulary), vocabulary, rounds=2)
+    found = emissions.collect()
+    assert {r["w"] for r in found} == {w for w, n in counts.items() if n >= hmm.OWN_COUNT} and len(found) > 24_096
+    kinds_left = np.array([1] + [sum(n == c for n in counts.values()) for c in range(1, hmm.OWN_COUNT)])
+    assert np.allclose((np.array([r[1:] for r in found]).sum(axis=0) + fit.rare @ kinds_left) / fit.total, 1) and np.allclose(fit.move.sum(axis=1), 1)
+
+
+def test_hmm_blocks_of_any_size_give_the_same_scores(spark, docs, monkeypatch):
+    scores = lambda: [(str(r["doc_id"]), r["score"]) for r in hmm.scored(docs, rounds=2).orderBy("doc_id", "n_tokens", "score").collect()]
+    whole = scores()
     monkeypatch.setattr(hmm, "BLOCK_BYTES", 3000)
-    got = sorted((str(r["doc_id"]), round(r["score"], 5)) for r in hmm.scored(docs, rounds=2).collect())
-    assert [x[0] for x in got] == [x[0] for x in expected] and np.allclose([x[1] for x in got], [x[1] for x in expected], atol=1e-3)
+    small = scores()
+    assert [x for x, _ in whole] == [x for x, _ in small] and np.allclose([x for _, x in whole], [x for _, x in small], rtol=1e-4)
 
 
 def test_hmm_beats_base_on_held_out_text(spark, sf_dir):
