@@ -20,16 +20,21 @@ from d left join k using (doc_id)
 ORACLE["op3_line_templates"] = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) p from documents where text is not null),
 w as (select doc_id, p, list_transform(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''), lambda y: case when regexp_matches(y, '[0-9]') then '<*>' else y end) w from l),
-n as (select doc_id, p, w, len(w) n, 2 + (len(w) - 2) // 2 cut from w where len(w) >= 4),
-t as (select doc_id, p, unnest(case when n < 8 then [n || ' ' || array_to_string(w, ' ')] else [
-    n || ' ' || array_to_string(w[1:cut], ' ') || ' ' || repeat('<*>', n - cut),
-    n || ' ' || array_to_string(w[1:2], ' ') || ' ' || repeat('<*>', cut - 2) || ' ' || array_to_string(w[cut + 1:], ' ')] end) t from n),
-r as (select t, min(doc_id) m from (select distinct t, doc_id from t) group by t having count(*) >= 10),
-g as (select distinct doc_id, p from t join r using (t) where doc_id > m),
+o as (select distinct doc_id, w, [len(w)::varchar, w[1], w[2]] leaf from w where len(w) >= 4),
+c as (select * from o where leaf in (select leaf from o group by leaf having count(*) >= 10)),
+t as (select leaf, unnest(w) token, unnest(range(1, len(w) + 1)) p from c),
+k as (select leaf, p, token from t where p > 2 and token <> '<*>' group by all having count(*) >= 10),
+d as (select distinct leaf, w from c),
+e as (select leaf, w, unnest(w) token, unnest(range(1, len(w) + 1)) p from d),
+s as (select e.leaf, e.w, list(case when e.p <= 2 or k.p is not null then e.token else '<*>' end order by e.p) shape
+  from e left join k on k.leaf = e.leaf and k.p = e.p and k.token = e.token group by e.leaf, e.w),
+m as (select w, shape from s where 5 * len(list_filter(shape, lambda y: y <> '<*>')) >= 3 * len(shape)),
+r as (select shape, min(doc_id) first from (select distinct shape, doc_id from c join m using (w)) group by shape having count(*) >= 10),
+g as (select doc_id, p from w join m using (w) join r using (shape) where doc_id > first),
 a as (select doc_id, count(*) n from l group by doc_id),
-k as (select doc_id, string_agg(x, chr(10) order by p) kept, count(*) n from l anti join g using (doc_id, p) group by doc_id)
-select d.doc_id, coalesce(a.n, 0) n_lines, coalesce(a.n, 0) - coalesce(k.n, 0) n_dropped, sha256(coalesce(k.kept, '')) kept_sha256
-from documents d left join a using (doc_id) left join k using (doc_id)
+kept as (select doc_id, string_agg(x, chr(10) order by p) kept, count(*) n from l anti join g using (doc_id, p) group by doc_id)
+select d.doc_id, coalesce(a.n, 0) n_lines, coalesce(a.n, 0) - coalesce(kept.n, 0) n_dropped, sha256(coalesce(kept.kept, '')) kept_sha256
+from documents d left join a using (doc_id) left join kept using (doc_id)
 """
 
 ORACLE["op5_quality"] = r"""

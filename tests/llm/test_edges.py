@@ -114,3 +114,39 @@ def test_the_automaton_decides_what_is_removed():
     found = dict(phrases.spans_in_shard(texts, inside, phrases.WINDOW, phrases.PHRASE))
     assert set(found) == {0, 1} and (found[0][0] == found[1][0]).all() and len(inside) > 1
     assert not list(phrases.spans_in_shard(texts, inside, phrases.WINDOW, phrases.PHRASE, build=lambda _: phrases.compiled([])))
+
+
+def brute_templates(rows, least=10):
+    """Templates in plain Python -> lines that each document drops."""
+    own = {i: {tuple("<*>" if any(c.isdigit() for c in w) else w for w in x.split()) for x in t.split("\n")} for i, t in rows}
+    own = {i: {w for w in lines if len(w) >= 4} for i, lines in own.items()}
+    leaf = lambda w: (len(w), w[:2])
+    leaves = Counter(leaf(w) for lines in own.values() for w in lines)
+    places = Counter((leaf(w), k, x) for lines in own.values() for w in lines for k, x in enumerate(w) if k >= 2 and x != "<*>")
+    shapes = {w: (*w[:2], *(x if places[leaf(w), k, x] >= least else "<*>" for k, x in enumerate(w) if k >= 2)) for lines in own.values() for w in lines if leaves[leaf(w)] >= least}
+    shapes = {w: s for w, s in shapes.items() if 5 * sum(x != "<*>" for x in s) >= 3 * len(s)}
+    docs = defaultdict(set)
+    for i, lines in own.items():
+        for w in lines:
+            if w in shapes:
+                docs[shapes[w]].add(i)
+    return {i: {w for w in lines if w in shapes and len(docs[shapes[w]]) >= least and i > min(docs[shapes[w]])} for i, lines in own.items()}
+
+
+def test_templates_generalise_what_varies(spark):
+    from tarazu.llm import templates
+
+    names = [f"name{chr(97 + k)}{chr(97 + j)}" for k in range(8) for j in range(8)]
+    rows = []
+    for i in range(120):
+        half = " ".join(f"t{chr(97 + j)}" for j in range(21))  # the same first half, each with its own second half
+        lines = [f"Posted by {rng.choice(names)} in Gardening", f"{half} " + " ".join(rng.choice(names) for _ in range(19)), prose(4), f"Read {i} more of the {rng.choice(names)} stories"]
+        rows.append((i, "\n".join(rng.sample(lines, rng.randrange(1, 5)))))
+    expected = brute_templates(rows)
+    out = templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    for r, (i, t) in zip(sorted(out, key=lambda r: r["doc_id"]), rows, strict=True):
+        kept = [x for x in t.split("\n") if tuple("<*>" if any(c.isdigit() for c in w) else w for w in x.split()) not in expected[i]]
+        assert r["text"].split("\n") == kept or (not kept and r["text"] == "")
+    text = "\n".join(r["text"] for r in out)
+    assert text.count("Posted by") == 1 and text.count("stories") == 1  # words in fields, not digits only
+    assert text.count("ta tb tc") == sum("ta tb tc" in t for _, t in rows)  # lines with different second halves stay
