@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+from .bind import bind
+
 #: The accepted forms in order. Two-digit and four-digit years are tried apart.
 NUMERIC = {"day_first": ("d/M/yy", "d/M/yyyy", "d-M-yy", "d-M-yyyy"), "month_first": ("M/d/yy", "M/d/yyyy", "M-d-yy", "M-d-yyyy")}
 NAMED = ("d MMM yyyy", "d-MMM-yyyy", "d-MMM-yy", "d MMMM yyyy", "yyyy-M-d", "d MMM, yyyy", "d MMMM, yyyy")
@@ -16,18 +20,25 @@ def _cleaned(text: Column) -> Column:
     return F.regexp_replace(s, r"[|,; ]+$", "")
 
 
-def _title(text: Column) -> Column:
-    return F.initcap(F.lower(text))
+def _shape(form: str) -> str:
+    """The pattern of the texts that a form can read, so that each text is parsed by one form only."""
+    parts = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    return "^" + re.sub("y+|M+|d", lambda m: parts[m[0]], form) + "$"
 
 
 def parse_date(text: Column, order: str = "day_first") -> Column:
     """A date, or null. Two-digit years pivot at 69, as POSIX has it."""
-    s = _cleaned(text)
-    named = F.when(~s.rlike("[A-Za-z]"), s).otherwise(F.concat(F.regexp_extract(s, r"^([^A-Za-z]*)", 1), _title(F.regexp_extract(s, r"([A-Za-z]+)", 1)), F.regexp_extract(s, r"^[^A-Za-z]*[A-Za-z]+(.*)$", 1)))
-    numeric = [F.try_to_timestamp(s, F.lit(f)).cast("date") for f in NUMERIC[order]]
-    found = F.coalesce(*numeric, *(F.try_to_timestamp(named, F.lit(f)).cast("date") for f in NAMED))
-    short = s.rlike(r"^\d{1,2}[/-]\d{1,2}[/-]\d{2}$") | s.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{2}$")
-    return F.when(short & (F.year(found) > 2068), F.add_months(found, -1200)).otherwise(found)
+
+    def read(s: Column) -> Column:
+        letters = F.regexp_extract(s, "[A-Za-z]+", 0)
+        named = F.replace(s, letters, F.initcap(F.lower(letters)))
+        out = F
+        for form in (*NUMERIC[order], *NAMED):
+            out = out.when(s.rlike(_shape(form)), F.try_to_timestamp(named if "MMM" in form else s, F.lit(form)).cast("date"))
+        short = s.rlike(r"[/-]\d{2}$")
+        return bind(out.otherwise(None), lambda found: F.when(short & (F.year(found) > 2068), F.add_months(found, -1200)).otherwise(found))
+
+    return bind(_cleaned(text), read)
 
 
 def looks_like_date(text: Column) -> Column:

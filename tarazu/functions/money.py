@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .bind import bind
+
 #: Cells that mean absence, characters of placeholder runs, currency prefixes.
 BLANKS = ("", "-", "--", ".", "nil", "n/a", "na", "none")
 PLACEHOLDER = r"^[*#\-._ ]+$"
 CURRENCY = r"(?:(?:₹|rs\.|rs|inr)\s*)"
 
-_NUMBER = r"([\d, ]*\d[\d, ]*(?:\.[\d, ]+)?)"
+_NUMBER = r"([, ]*\d[\d, ]*(?:\.[\d, ]+)?)"
 _AMOUNT = rf"^{CURRENCY}*([+-]?)\s*{CURRENCY}*(?:\(\s*{CURRENCY}?{_NUMBER}\s*\)|{_NUMBER})\s*(cr|dr)?$"
 
 
@@ -19,15 +21,21 @@ def _bare(text: Column) -> Column:
 
 def parse_amount(text: Column) -> Column:
     """Paise of an Indian-format amount; null if it isn't one. A leading minus and parentheses toggle the sign, Dr sets it."""
-    s = _bare(text)
-    part = lambda k: F.regexp_extract(s, _AMOUNT, k)
-    number = F.regexp_replace(F.concat(part(2), part(3)), "[, ]", "")
-    valid = s.rlike(_AMOUNT) & number.rlike(r"^\d+(\.\d{1,2})?$")
-    rupees, fraction = F.substring_index(number, ".", 1), F.regexp_extract(number, r"\.(\d+)$", 1)
-    paise = F.concat(rupees, F.rpad(fraction, 2, "0")).try_cast("long")
-    bracketed = part(2) != ""
-    negative = F.when(part(4) == "dr", ~bracketed).otherwise((part(1) == "-") != bracketed)
-    return F.when(valid, F.when(negative, -paise).otherwise(paise))
+    # one match gives all parts: sign, number in parentheses, number, side; a text that doesn't match stays whole
+    parts = F.split(F.regexp_replace(_bare(text), _AMOUNT, "$1\u0001$2\u0001$3\u0001$4"), "\u0001", -1)
+
+    def read(p: Column) -> Column:
+        bracketed = F.get(p, 1) != ""
+        negative = F.when(F.get(p, 3) == "dr", ~bracketed).otherwise((F.get(p, 0) == "-") != bracketed)
+
+        def paise(number: Column) -> Column:
+            fraction = F.when(F.instr(number, ".") > 0, F.substring_index(number, ".", -1)).otherwise("")
+            value = F.concat(F.substring_index(number, ".", 1), F.rpad(fraction, 2, "0")).try_cast("long")
+            return F.when(number.rlike(r"^\d+(\.\d{1,2})?$"), F.when(negative, -value).otherwise(value))
+
+        return F.when(F.size(p) == 4, bind(F.regexp_replace(F.concat(F.get(p, 1), F.get(p, 2)), "[, ]", ""), paise))
+
+    return bind(parts, read)
 
 
 def is_placeholder(text: Column) -> Column:

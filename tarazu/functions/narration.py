@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .bind import bind
+
 #: Rails with their keywords in order of precedence, patterns, words that name no one.
 CHANNELS = (
     ("upi", ("upi",)),
@@ -21,8 +23,8 @@ CHANNELS = (
 VPA = r"(?iU)\b([\w.\-]{2,})@([a-z]{2,})\b"
 IFSC = r"(?i)^[A-Z]{4}0[A-Z0-9]{6}$"
 REFERENCE = r"(?iU)^[A-Z]{0,4}\d{6,}$"
-NOISE = """upi imps neft rtgs ach nach ecs pos atm wdl awb nwd chq clg p2m p2a dr cr d c payment paymen pay txn ref refno
-to from by transfer trf inb sent recd received collect req mandate si ecom card vps ipos in india ltd limited""".split()
+NOISE = tuple("""upi imps neft rtgs ach nach ecs pos atm wdl awb nwd chq clg p2m p2a dr cr d c payment paymen pay txn ref refno
+to from by transfer trf inb sent recd received collect req mandate si ecom card vps ipos in india ltd limited""".split())
 
 
 def collapse(text: Column) -> Column:
@@ -31,14 +33,18 @@ def collapse(text: Column) -> Column:
 
 def detect_channel(text: Column) -> Column:
     """The first rail one of whose keywords starts the first 24 characters or follows a space in them."""
-    head = F.concat(F.lit(" "), F.substring(F.lower(text), 1, 24))
-    out = F
-    for name, keywords in CHANNELS:
-        hit = F.lit(False)
-        for keyword in keywords:
-            hit = hit | head.contains(f" {keyword}")
-        out = out.when(hit, name)
-    return out.otherwise("unknown")
+
+
+    def first(head: Column) -> Column:
+        out = F
+        for name, keywords in CHANNELS:
+            hit = F.lit(False)
+            for keyword in keywords:
+                hit = hit | head.contains(f" {keyword}")
+            out = out.when(hit, name)
+        return out.otherwise("unknown")
+
+    return bind(F.concat(F.lit(" "), F.substring(F.lower(text), 1, 24)), first)
 
 
 def is_identity(segment: Column) -> Column:
@@ -48,12 +54,6 @@ def is_identity(segment: Column) -> Column:
 
 def parse_narration(raw: Column) -> Column:
     """struct(channel, counterparty, vpa, handle, reference)."""
-    text = collapse(F.coalesce(raw, F.lit("")))
-    segments = F.filter(F.transform(F.split(text, r"[/\-|]+"), lambda s: F.trim(s)), lambda s: s != "")
-
-    def parts(s: Column) -> Column:
-        rows = F.transform(s, lambda x, i: F.struct(i.alias("i"), x.alias("x"), x.rlike(VPA).alias("vpa"), is_identity(x).alias("who")))
-        return F.get(F.transform(F.array(rows), read), F.lit(0))
 
     def read(rows: Column) -> Column:
         paid = F.get(F.filter(rows, lambda r: r["vpa"]), F.lit(0))
@@ -67,5 +67,9 @@ def parse_narration(raw: Column) -> Column:
             reference.alias("reference"),
         )
 
-    found = F.get(F.transform(F.array(segments), parts), F.lit(0))
-    return F.struct(detect_channel(text).alias("channel"), *(found[n].alias(n) for n in ("counterparty", "vpa", "handle", "reference")))
+    def parts(text: Column) -> Column:
+        segments = F.filter(F.transform(F.split(text, r"[/\-|]+"), lambda s: F.trim(s)), lambda s: s != "")
+        rows = F.transform(segments, lambda x, i: F.struct(i.alias("i"), x.alias("x"), x.rlike(VPA).alias("vpa"), is_identity(x).alias("who")))
+        return bind(bind(rows, read), lambda found: F.struct(detect_channel(text).alias("channel"), *(found[n].alias(n) for n in ("counterparty", "vpa", "handle", "reference"))))
+
+    return bind(collapse(F.coalesce(raw, F.lit(""))), parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.bind import bind
 from .patterns import greedy
 
 TRANSFER_WINDOW, REPAYMENT_WINDOW = (0, 3), (-2, 7)
@@ -15,7 +16,7 @@ def pair_off(outs: DataFrame, ins: DataFrame, window: tuple[int, int], across_on
     outs and ins: statement_id, seq, date, amount, place. Outs in order of place take the free in of
     equal amount whose date is nearest (of ties the first by place), its lag within the window. Rows of
     one amount that lie further apart than the window never meet, so each run of near dates is matched
-    on its own, and a common amount doesn't gather in one task.
+    on its own. The runs of an amount are cut by one window over its rows, sorted in one task.
     """
     both = outs.withColumn("_side", F.lit(0)).unionByName(ins.withColumn("_side", F.lit(1)))
     reach = max(abs(window[0]), abs(window[1]))
@@ -29,7 +30,7 @@ def pair_off(outs: DataFrame, ins: DataFrame, window: tuple[int, int], across_on
         return near & (i["k"]["statement_id"] != o["k"]["statement_id"]) if across_only else near
 
     nearest = lambda free, o: F.array_min(F.transform(free, lambda i: F.struct(F.abs(F.datediff(i["date"], o["date"])).alias("lag"), i["place"].alias("place"), i["k"].alias("k"), i["date"].alias("date"))))
-    pick = lambda free, o: F.get(F.filter(free, lambda i: i["k"].eqNullSafe(nearest(free, o)["k"])), F.lit(0))
+    pick = lambda free, o: bind(nearest(free, o), lambda i: F.when(i.isNotNull(), F.struct(i["place"].alias("place"), i["k"].alias("k"), i["date"].alias("date"))))
     rows = groups.filter("size(outs) > 0 and size(ins) > 0").select("amount", F.explode(greedy(F.col("outs"), F.col("ins"), eligible, pick)).alias("p"))
     return rows.select(F.col("p.o.k.statement_id").alias("o_id"), F.col("p.o.k.seq").alias("o_seq"), F.col("p.i.k.statement_id").alias("i_id"), F.col("p.i.k.seq").alias("i_seq"), "amount", F.datediff("p.i.date", "p.o.date").alias("lag_days"))
 

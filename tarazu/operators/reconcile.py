@@ -10,8 +10,8 @@ ROUNDING = 100
 KEY = ["statement_id"]
 
 
-def chain_faults(transactions: DataFrame, statements: DataFrame) -> DataFrame:
-    """(statement_id, seq, row, expected, actual, delta) where a printed balance differs from the running one.
+def run(transactions: DataFrame, statements: DataFrame) -> DataFrame:
+    """The transactions with expected: the balance that each row should have.
 
     After a row with a balance the running balance is that one, so the expectation is the last printed
     balance plus what moved since: one window, no loop.
@@ -20,8 +20,12 @@ def chain_faults(transactions: DataFrame, statements: DataFrame) -> DataFrame:
     rows = transactions.withColumn("_cum", F.sum(signed(F.col("direction"), F.col("amount"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     anchor = F.last(F.when(F.col("balance").isNotNull(), F.struct("balance", "_cum")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_anchor", anchor).join(statements.select(*KEY, "opening"), KEY)
-    expected = F.coalesce(F.col("_anchor.balance") - F.col("_anchor._cum"), F.col("opening")) + F.col("_cum")
-    rows = rows.withColumn("expected", expected).filter(F.col("balance") != F.col("expected"))
+    return rows.withColumn("expected", F.coalesce(F.col("_anchor.balance") - F.col("_anchor._cum"), F.col("opening")) + F.col("_cum"))
+
+
+def chain_faults(transactions: DataFrame, statements: DataFrame) -> DataFrame:
+    """(statement_id, seq, row, expected, actual, delta) where a printed balance differs from the running one."""
+    rows = run(transactions, statements).filter(F.col("balance") != F.col("expected"))
     return rows.select(*KEY, "seq", "row", "expected", F.col("balance").alias("actual"), (F.col("balance") - F.col("expected")).alias("delta"))
 
 
@@ -65,13 +69,24 @@ def card_summary(summary: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def verdicts(transactions: DataFrame, statements: DataFrame) -> DataFrame:
-    """A row for each bank statement: n_chain, first_bad_row, chain_checked, totals_ok, stated_ok, tautological, ok."""
-    chain = chain_faults(transactions, statements).groupBy(*KEY).agg(F.count("*").alias("n_chain"), F.min("row").alias("first_bad_row"))
-    printed = transactions.groupBy(*KEY).agg((F.count("balance") > 0).alias("chain_checked"))
-    stated = stated_totals(transactions, statements).groupBy(*KEY).agg(F.count("*").alias("n_stated"))
-    out = totals(transactions, statements).join(chain, KEY, "left").join(printed, KEY, "left").join(stated, KEY, "left").join(statements.select(*KEY, "opening_source", "closing_source"), KEY)
+    """A row for each bank statement: n_chain, first_bad_row, chain_checked, totals_ok, stated_ok, tautological, ok.
+
+    One window and one aggregation over the transactions, both by statement, so these are dealt once.
+    """
+    wrong = F.col("balance") != F.col("expected")
+    of = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("amount"))), F.lit(0))
+    facts = run(transactions, statements).groupBy(*KEY).agg(F.count_if(wrong).alias("n_chain"), F.min(F.when(wrong, F.col("row"))).alias("first_bad_row"), (F.count("balance") > 0).alias("chain_checked"), of("credit").alias("credits"), of("debit").alias("debits"))
     n = lambda c: F.coalesce(c, F.lit(0))
-    out = out.select(*KEY, n("n_chain").alias("n_chain"), "first_bad_row", F.coalesce("chain_checked", F.lit(False)).alias("chain_checked"), (F.col("delta") == 0).alias("totals_ok"), (n("n_stated") == 0).alias("stated_ok"), ((F.col("opening_source") == "derived") & (F.col("closing_source") == "derived")).alias("tautological"))
+    stated = lambda side: F.coalesce(F.col(f"stated_{side}") == n(side), F.lit(True))
+    out = statements.join(facts, KEY, "left").select(
+        *KEY,
+        n("n_chain").alias("n_chain"),
+        "first_bad_row",
+        F.coalesce("chain_checked", F.lit(False)).alias("chain_checked"),
+        (F.col("closing") == F.col("opening") + n("credits") - n("debits")).alias("totals_ok"),
+        (stated("debits") & stated("credits")).alias("stated_ok"),
+        ((F.col("opening_source") == "derived") & (F.col("closing_source") == "derived")).alias("tautological"),
+    )
     return out.withColumn("ok", (F.col("n_chain") == 0) & F.col("totals_ok") & F.col("stated_ok"))
 
 
