@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions import dates, merchants, money, narration
 from .operators import insights, linking, patterns, reconcile, report
+from .plans import ledger as labels, question
 from .plans.query import Period, Query, count, evidence, select, top, total
 from .sinks import export
-from .sources import adapter
+from .session import written
+from .sources import adapter, load
 from .streaming import budget
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -318,9 +320,10 @@ def amount_format(spark, sf_dir):
     return _amount_text(spark, sf_dir).select("k", money.format_paise(F.when(F.col("k") % 2 == 0, -F.col("c")).otherwise(F.col("c"))).alias("text"))
 
 
-@query("r as (select o_orderkey k, o_custkey f, cast(o_orderdate as date) d from orders) select f, bool_or(day(d) > 12) or count(*) = 0 observed_day, count(*) n from r where f % 2 = 0 group by 1")
+@query("r as (select o_orderkey k, o_custkey f, cast(o_orderdate as date) d from orders) select f, bool_or(day(d) > 12) or count(*) = 0 observed_day, count(*) n from r group by 1")
 def date_order(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.col("o_custkey") % 2 == 0).select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("pos"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date_text"))
+    """The day-first evidence of every customer's dates; date_order_settled has what is made of it."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("pos"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date_text"))
     return o.groupBy("f").agg(*dates.order_evidence(F.col("date_text")), F.count("*").alias("n")).select("f", F.col("day_over").alias("observed_day"), "n")
 
 
@@ -389,7 +392,117 @@ def unknown_names_anti(spark, sf_dir):
     return words("p_name").join(words("p_type"), "w", "left_anti")
 
 
-@query()
+@query("""q as (select user_id client, cast(floor(epoch(ts::timestamp)) as bigint) "at", event_id seq from events),
+o as (select *, row_number() over (partition by client order by "at", seq) rn from q),
+step as (select client, cast(0 as bigint) rn, cast(null as bigint) "at", cast(null as bigint) seq, false admitted, cast([] as bigint[]) hits from (select distinct client from q)
+  union all
+  select s.client, o.rn, o."at", o.seq, len(w.live) < 3, case when len(w.live) < 3 then list_append(w.live, o."at") else w.live end
+  from step s join o on o.client = s.client and o.rn = s.rn + 1, lateral (select list_filter(s.hits, lambda h: h > o."at" - 86400) live) w)
+select client, "at", seq, admitted from step where rn > 0""", recursive=True)
 def request_budget(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("client"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
     return budget.admitted(e, seconds=86_400, allowance=3)
+
+
+# statement files
+
+
+def _money(c: str) -> Column:
+    return F.concat(F.expr(f"{c} div 100").cast("string"), F.lit("."), F.lpad((F.col(c) % 100).cast("string"), 2, "0"))
+
+
+def _grid(top: DataFrame, rows: DataFrame) -> DataFrame:
+    """top(statement_id, lines array<array<string>>) above rows(statement_id, seq, cells), numbered from 1."""
+    above = top.select("statement_id", F.posexplode("lines").alias("at", "cells")).select("statement_id", (F.col("at") + 1).cast("int").alias("number"), "cells")
+    order = Window.partitionBy("statement_id").orderBy("seq")
+    below = rows.withColumn("at", F.row_number().over(order)).join(top.select("statement_id", F.size("lines").alias("n")), "statement_id")
+    return above.unionByName(below.select("statement_id", (F.col("at") + F.col("n")).cast("int").alias("number"), "cells"))
+
+
+def _line(*cells) -> Column:
+    return F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells))
+
+
+def _bank_grid(spark, sf_dir) -> DataFrame:
+    """Every account that isn't a card as a bank's file: a heading, an account number, and rows with a running balance."""
+    rows = adapter.exact(adapter.ledger(spark, sf_dir)).filter("not on_card")
+    order = Window.partitionBy("statement_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("balance", adapter.OPENING + 10**12 + F.sum(money.signed(F.col("direction"), F.col("amount"))).over(order))
+    side = lambda d: F.when(F.col("direction") == d, _money("amount")).otherwise("")
+    cells = _line(F.date_format("date", "dd-MMM-yyyy"), F.concat(F.lit("UPI/"), F.col("name"), F.lit("/x@icici")), side("debit"), side("credit"), _money("balance"))
+    top = rows.groupBy("statement_id").agg(F.min("pos").alias("pos"))
+    lines = F.array(_line("HDFC Bank statement"), _line("Account No: ", F.concat(F.lit("Account No: 900"), F.lpad(F.col("pos").cast("string"), 9, "0"))), _line("Date", "Narration", "Withdrawal Amt.", "Deposit Amt.", "Closing Balance"))
+    return _grid(top.select("statement_id", lines.alias("lines")), rows.select("statement_id", "seq", cells.alias("cells")))
+
+
+@query(LEDGER + """ select statement_id, 'HDFC' bank, 'XXXXXXXX' || right(lpad(cast(pos as varchar), 9, '0'), 4) account_hint, cast(1000000100000 as bigint) opening,
+  cast(1000000100000 + sum(case when direction = 'credit' then exact else -exact end) as bigint) closing, count(*) n, cast(sum(exact) filter (direction = 'debit') as bigint) debits, cast(sum(exact) filter (direction = 'credit') as bigint) credits,
+  arg_min("date", seq) period_start, arg_max("date", seq) period_end, true ok from l where not on_card group by statement_id, pos""")
+def bank_files(spark, sf_dir):
+    """Grids to statements and rows, proved."""
+    found = load.from_grid(written(_bank_grid(spark, sf_dir), "grid"))
+    rows = written(found.transactions, "transactions")
+    of = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount"))).alias(f"{d}s")
+    moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
+    verdict = reconcile.verdicts(rows, found.banks).select("statement_id", "ok")
+    return found.banks.join(moved, "statement_id").join(verdict, "statement_id").select("statement_id", "bank", "account_hint", "opening", "closing", "n", "debits", "credits", "period_start", "period_end", "ok")
+
+
+def _card_grid(spark, sf_dir) -> DataFrame:
+    """Every card account as an issuer's file: a summary box with figures beside labels or below them, then rows, payments marked Cr."""
+    ledger = adapter.ledger(spark, sf_dir)
+    rows, books = adapter.exact(ledger).filter("on_card"), adapter.statements(ledger).filter("kind = 'card'")
+    cells = _line(F.date_format("date", "dd-MMM-yyyy"), F.concat(F.lit("POS "), F.col("name")), F.concat(_money("amount"), F.when(F.col("direction") == "credit", " Cr").otherwise("")))
+    stated = F.coalesce("purchases", F.lit(0))
+    books = books.withColumns({"owed": F.col("due") + 10**10, "before": F.col("previous") + 10**10, "bought": stated})
+    box = F.array(
+        _line("ICICI credit card"), _line("Payment Due Date", "15-Feb-2024"), _line("Total Dues", "", _money("owed")), _line("Previous Balance", "Payments / Credits"), _line(_money("before"), _money("payments")),
+        F.when(F.col("purchases").isNotNull(), _line("Purchases / Debits", _money("bought"))).otherwise(_line("")), F.when(F.col("fees").isNotNull(), _line("Finance Charges", _money("fees"))).otherwise(_line("")), _line("Date", "Transaction Details", "Amount (INR)"),
+    )
+    return _grid(books.select("statement_id", box.alias("lines")), rows.select("statement_id", "seq", cells.alias("cells")))
+
+
+@query(BOOKS + """ select statement_id, 'ICICI' issuer, 10000000000 + due total_due, 10000000000 + previous previous_balance, payments, cast(purchases as bigint) purchases, cast(fees as bigint) fees, date '2024-02-15' due_date, n, cast(d as bigint) debits, cast(c as bigint) credits,
+  concat_ws(', ', 'rows-credit', case when purchases is not null then 'rows-debit' end, case when purchases is not null then 'summary' end) checks,
+  payments = c and (purchases is null or (purchases + coalesce(fees, 0) = d and abs(due - (previous - payments + purchases + coalesce(fees, 0))) < 100)) reconciled
+from s join (select statement_id, count(*) n from l group by 1) using (statement_id) where on_card""")
+def card_files(spark, sf_dir):
+    """Grids to card statements, their summary boxes and rows, proved."""
+    found = load.from_grid(written(_card_grid(spark, sf_dir), "grid"))
+    rows, statements = written(found.transactions, "transactions"), written(found.cards, "cards")
+    of = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("amount"))), F.lit(0)).alias(f"{d}s")
+    moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
+    summaries = statements.select("statement_id", F.col("previous_balance").alias("previous"), "payments", "purchases", "fees", F.col("total_due").alias("due"))
+    verdict = reconcile.card_verdicts(summaries, rows).select("statement_id", F.array_join("checks", ", ").alias("checks"), "reconciled")
+    return statements.join(moved, "statement_id").join(verdict, "statement_id").select("statement_id", "issuer", "total_due", "previous_balance", "payments", "purchases", "fees", "due_date", "n", "debits", "credits", "checks", "reconciled")
+
+
+WELDS = (("SWIGGYINSTAMART", "Swiggy Instamart", "groceries"), ("MYNTRADESIGNS", "Myntra", "shopping"), ("FRESHDAIRYMILK", "Fresh Dairy Milk", "uncategorised"), ("QWXZPLKJHGFD", "Qwxzplkjhgfd", "uncategorised"), ("RameshKumar", "Ramesh Kumar", "uncategorised"), ("BLUEMOONTRADERS", "Blue Moon Traders", "uncategorised"))
+
+
+@query("e as (select event_id seq, user_id u, event_id % 6 m from events) select 'acct-' || u statement_id, seq, case m " + " ".join(f"when {k} then '{name}'" for k, (_, name, _) in enumerate(WELDS)) + """ end "name", case m """ + " ".join(f"when {k} then '{category}'" for k, (_, _, category) in enumerate(WELDS)) + " end category from e")
+def labelled_ledger(spark, sf_dir):
+    """Welded names cut by known words and by those that a statement itself writes with spaces (blue moon traders), then labelled."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("acct-"), F.col("user_id").cast("string")).alias("statement_id"), F.col("event_id").alias("seq"), (F.col("event_id") % len(WELDS)).alias("m"))
+    name = F
+    for k, (weld, *_) in enumerate(WELDS):
+        name = name.when(F.col("m") == k, weld)
+    spoken = F.when(F.col("m") == 5, "blue moon traders").otherwise("paid")
+    rows = e.select("statement_id", "seq", F.concat(F.lit("UPI/"), name.otherwise(None), F.lit("/"), F.concat(F.lit("x"), F.col("seq").cast("string")), F.lit("@icici/"), spoken).alias("narration"))
+    return labels.labelled(rows).select("statement_id", "seq", "name", "category")
+
+
+QUESTIONS = ("How much did I spend on c1 in January 2024?", "how many times did I pay m3", "what was my biggest expense in c2?", "How much income did I receive from m1 in 2024?", "how much did I spend at Tesco", "tell me a joke")
+
+
+@query(LEDGER + """, q as (select 0 k, 'total' intent, cast(sum(amount) as bigint) amount, count(*) n, '' refused from l where category = 'c1' and direction = 'debit' and "date" between '2024-01-01' and '2024-01-31'
+union all select 1, 'count', cast(coalesce(sum(amount), 0) as bigint), count(*), '' from l where "name" = 'm3' and direction = 'debit'
+union all select 2, 'top', cast(max(a) as bigint), least(count(*), 5), '' from (select sum(amount) a from l where category = 'c2' and direction = 'debit' group by "name")
+union all select 3, 'total', cast(sum(amount) as bigint), count(*), '' from l where "name" = 'm1' and direction = 'credit' and year("date") = 2024
+union all select 4, 'total', null, 0, 'tesco' union all select 5, null, null, 0, '') select * from q""")
+def ask_questions(spark, sf_dir):
+    """English questions over the ledger; unknown names are refused, other texts aren't taken."""
+    rows = written(adapter.ledger(spark, sf_dir), "ledger")
+    found = [(k, question.ask(text, rows)) for k, text in enumerate(QUESTIONS)]
+    table = [(k, a.query.intent if a.query else None, a.amount, a.n, ", ".join(a.refused)) for k, a in found]
+    return spark.createDataFrame(table, "k int, intent string, amount long, n long, refused string")

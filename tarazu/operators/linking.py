@@ -72,6 +72,14 @@ def orphan_payments(ledger: DataFrame) -> DataFrame:
     return _received(ledger).drop("place").join(pairs, ["statement_id", "seq"], "left_anti")
 
 
+def unlinked(ledger: DataFrame) -> DataFrame:
+    """(statement_id, seq, date, amount, repayment): repayments that no card took, and card credits that no repayment reached; pairs are made once for both."""
+    pairs = repayments(ledger)
+    taken = pairs.select(F.explode(F.array(F.struct(F.col("o_id").alias("statement_id"), F.col("o_seq").alias("seq")), F.struct(F.col("i_id").alias("statement_id"), F.col("i_seq").alias("seq")))).alias("x")).select("x.*")
+    rows = _repaid(ledger).drop("place").withColumn("repayment", F.lit(True)).unionByName(_received(ledger).drop("place").withColumn("repayment", F.lit(False)))
+    return rows.join(taken, ["statement_id", "seq"], "left_anti")
+
+
 def spend_summary(ledger: DataFrame) -> DataFrame:
     """One row: flows of bank accounts, what only moved between own accounts, and what was truly spent."""
     flow = ledger.agg(*(F.coalesce(F.sum(F.when(cond, F.col("amount"))), F.lit(0)).alias(name) for name, cond in (("outflow", (~F.col("on_card")) & (F.col("direction") == "debit")), ("inflow", (~F.col("on_card")) & (F.col("direction") == "credit")), ("card_charges", F.col("on_card") & (F.col("direction") == "debit")))))

@@ -90,6 +90,23 @@ def verdicts(transactions: DataFrame, statements: DataFrame) -> DataFrame:
     return out.withColumn("ok", (F.col("n_chain") == 0) & F.col("totals_ok") & F.col("stated_ok"))
 
 
+def card_verdicts(summaries: DataFrame, transactions: DataFrame) -> DataFrame:
+    """A row for each card statement: checks that ran, ok, verified (rows were checked), reconciled (ok, and something was checked), roundings.
+
+    summaries: as card_summary() takes them.
+    """
+    checks = card_summary(summaries, transactions).groupBy(*KEY).agg(F.array_sort(F.collect_set("kind")).alias("checks"), F.count_if("fault").alias("faults"), F.count_if("rounding").alias("roundings"), F.array_sort(F.collect_set(F.when(F.col("fault"), F.col("kind")))).alias("failures"))
+    none = F.array().cast("array<string>")
+    out = summaries.select(*KEY).join(checks, KEY, "left").select(*KEY, *(F.coalesce(c, none).alias(c) for c in ("checks", "failures")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("faults", "roundings")))
+    return out.select(*KEY, "checks", "failures", "roundings", (F.col("faults") == 0).alias("ok"), F.arrays_overlap("checks", F.array(F.lit("rows-debit"), F.lit("rows-credit"))).alias("verified"), ((F.col("faults") == 0) & (F.size("checks") > 0)).alias("reconciled"))
+
+
+def card_certificates(verdict: DataFrame) -> DataFrame:
+    """The same lists for cards. A statement that states nothing to check against is never stamped reconciled."""
+    caveats = _list((F.size("checks") == 0, "no stated totals to check the rows against"), ((F.size("checks") > 0) & ~F.col("verified"), "the summary box only was checked, not the rows"))
+    return verdict.select(*KEY, "reconciled", "checks", caveats.alias("caveats"), "failures")
+
+
 def _list(*items: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*(F.when(when, F.lit(text) if isinstance(text, str) else text) for when, text in items)))
 

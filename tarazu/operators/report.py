@@ -16,6 +16,5 @@ def trust_strip(verdicts: DataFrame) -> DataFrame:
 def open_loops(ledger: DataFrame, exact: DataFrame) -> DataFrame:
     """(kind, statement_id, amount, date): charges still doubled, repayments no card shows, card payments of unknown origin."""
     doubled = patterns.duplicates(ledger).filter("exposure > 0").select(F.lit("duplicate").alias("kind"), "statement_id", F.col("exposure").alias("amount"), F.col("first_date").alias("date"))
-    unmatched = linking.repayment_links(exact).filter("card_id is null").select(F.lit("unmatched repayment").alias("kind"), "statement_id", "amount", "date")
-    orphans = linking.orphan_payments(exact).select(F.lit("orphan payment").alias("kind"), "statement_id", "amount", "date")
-    return doubled.unionByName(unmatched).unionByName(orphans)
+    open_ends = linking.unlinked(exact).select(F.when(F.col("repayment"), "unmatched repayment").otherwise("orphan payment").alias("kind"), "statement_id", "amount", "date")
+    return doubled.unionByName(open_ends)

@@ -42,6 +42,8 @@ def ship(spark: SparkSession) -> None:
 def written(df: DataFrame, label: str) -> DataFrame:
     """A table written in the folder that all machines share, and read back: the plan and its lineage end there."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+    if not folder and df.sparkSession.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not folder:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="ledger-"))

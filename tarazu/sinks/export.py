@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import csv
 import io
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.money import rupees
+from ..sources import workbook
 
 
 def rows(transactions: DataFrame, certificates: DataFrame) -> DataFrame:
@@ -18,6 +20,36 @@ def rows(transactions: DataFrame, certificates: DataFrame) -> DataFrame:
     return stamped.select("date", F.col("statement_id").alias("source"), "row", "seq", side("debit").alias("debit"), side("credit").alias("credit"), rupees(F.col("balance")).alias("balance"), F.when(F.col("reconciled"), "yes").otherwise("NO").alias("reconciled"))
 
 
+#: The export's columns, in order.
+COLUMNS = ("date", "value_date", "narration", "merchant", "category", "counterparty_type", "debit", "credit", "balance", "institution", "account", "source_file", "page", "row", "reconciled")
+
+
+def ledger_rows(ledger: DataFrame, statements: DataFrame, certificates: DataFrame) -> DataFrame:
+    """COLUMNS of a labelled ledger. statements(statement_id, institution, account_hint); a page is what paged sources give, else null."""
+    side = lambda d: rupees(F.when(F.col("direction") == d, F.col("amount")))
+    rows = ledger.join(statements.select("statement_id", "institution", "account_hint"), "statement_id", "left").join(certificates.select("statement_id", "reconciled"), "statement_id", "left")
+    values = {
+        "merchant": F.col("name"),
+        "counterparty_type": F.col("kind"),
+        "debit": side("debit"),
+        "credit": side("credit"),
+        "balance": rupees(F.col("balance")),
+        "account": F.col("account_hint"),
+        "source_file": F.substring_index("statement_id", "/", -1),
+        "page": F.col("page") if "page" in ledger.columns else F.lit(None).cast("int"),
+        "reconciled": F.when(F.col("reconciled"), "yes").otherwise("NO"),
+    }
+    return rows.select(*(values.get(c, F.col(c)).alias(c) for c in COLUMNS))
+
+
+def xlsx_bytes(df: DataFrame, most_rows: int = 100_000) -> bytes:
+    """One small workbook; larger tables go to write_csv()."""
+    found = df.limit(most_rows + 1).collect()
+    if len(found) > most_rows:
+        raise ValueError(f"over {most_rows} rows: use write_csv()")
+    return workbook.book([list(df.columns), *([v if v is None or isinstance(v, int | float | Decimal) else str(v) for v in r] for r in found)])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV parts, each with a header; null is empty."""
     df.orderBy("date", "source", "row", "seq").write.csv(path, header=True, nullValue="", emptyValue="")

@@ -1,4 +1,4 @@
-"""Bank statements in delimited files: ragged grids in, typed statements and transactions out, with the files refused and why.
+"""Bank statements in delimited files and workbooks: ragged grids in, typed statements and transactions out, with the files refused and why.
 
 Bytes are cut into rows in Python, a file a row; all that follows is Column expressions and windows by
 statement. Files are read apart, so a window holds one file's rows.
@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dates, money
 from ..session import written
+from . import workbook
 
 #: Column headings by field, bank names, and patterns of labels.
 ALIASES = {
@@ -35,13 +36,38 @@ TIME_SUFFIX = r"\s*(?:[&/]|and)\s*time\s*$"
 CURRENCY_SUFFIX = r"\s*(?:[(\[]\s*(?:in\s+)?(?:inr|rs\.?|₹|usd|\$)\s*[)\]]|\sin\s(?:inr|rs\.?|₹))\s*$"
 MASKED = r"((?:[Xx]{2,}|\*{2,})\s?\d{3,6})\b"
 LABELLED = r"(?i)\baccount\s*(?:no\.?|number|#)?\s*[:\-]\s*(\d{6,20})\b"
+OLE2 = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 HEADER_ROWS, LOOK_AHEAD, SNIFFED = 40, 6, 4096
 KEY = "statement_id"
 
 
-def cut(content: bytes, path: str) -> list[list[str]]:
-    """Records of a delimited file; quoted line breaks stay in their cell."""
-    text = content.decode("utf-8-sig", errors="replace")
+class Refused(ValueError):
+    """Why a file's bytes give no grid."""
+
+
+#: A format of one's own: whether it takes a file, by its bytes and path, and how it cuts these into rows.
+Format = tuple[Callable[[bytes, str], bool], Callable[[bytes, str], list[list[str]]]]
+
+
+def cut(content: bytes, path: str, formats: tuple[Format, ...] = ()) -> list[list[str]]:
+    """Records of a file: by the first format that takes it, else by what its first bytes say it is."""
+    for accepts, read in formats:
+        if accepts(content, path):
+            return read(content, path)
+    if content.startswith(OLE2):
+        raise Refused("an old binary workbook: save it as .xlsx or .csv")
+    if content.startswith(b"%PDF"):
+        raise Refused("needs_password" if b"/Encrypt" in content else "a PDF: words with their places are read by sources.words")
+    return workbook.grid(content) if content.startswith(b"PK\x03\x04") else delimited(content, path)
+
+
+def delimited(content: bytes, path: str) -> list[list[str]]:
+    """Records of a delimited file; quoted line breaks stay in their cell, which may be of any size."""
+    try:
+        text = content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig")
+    except UnicodeDecodeError:
+        raise Refused("not UTF-8 text") from None
+    csv.field_size_limit(1 << 30)
     try:
         delimiter = csv.Sniffer().sniff(text[:SNIFFED], delimiters=",;\t|").delimiter
     except csv.Error:
@@ -49,17 +75,38 @@ def cut(content: bytes, path: str) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
 
 
-def read_grid(spark: SparkSession, path: str, pattern: str = "*.{csv,tsv,txt}") -> DataFrame:
-    """(statement_id, number, cells): every record of every file under a path, numbered from 1."""
+def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt,xlsx,xls,pdf}", formats: tuple[Format, ...] = ()) -> DataFrame:
+    """(statement_id, number, cells, reason): every record of every file under the paths, numbered from 1; a file that gives none has one row with the reason. A file that several paths reach is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = cut(content, name)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(1, len(rows) + 1), pa.int32()), pa.array(rows, pa.list_(pa.string()))], [KEY, "number", "cells"])
+                try:
+                    rows, reason = cut(content, name, formats), None
+                except (Refused, csv.Error, workbook.Unreadable) as e:
+                    rows, reason = [None], str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(1, len(rows) + 1), pa.int32()), pa.array(rows, pa.list_(pa.string())), pa.array([reason] * len(rows), pa.string())], [KEY, "number", "cells", "reason"])
+
+    return found_files(spark, path, pattern).select("path", "content").mapInArrow(run, f"{KEY} string, number int, cells array<string>, reason string")
+
+
+def found_files(spark: SparkSession, path: str | list[str], pattern: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    one = [files.load(p) for p in ([path] if isinstance(path, str) else dict.fromkeys(path))]
+    out = one[0]
+    for more in one[1:]:
+        out = out.unionByName(more.join(out.select("path"), "path", "left_anti"))
+    return out
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInArrow(run, f"{KEY} string, number int, cells array<string>")
+
+def read_grid(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt,xlsx}") -> DataFrame:
+    """(statement_id, number, cells) of the files that give rows."""
+    return read_files(spark, path, pattern).filter("reason is null").drop("reason")
+
+
+def digests(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """(statement_id, digest, bytes): the SHA-256 of each file as it is."""
+    return found_files(spark, path, pattern).select(F.col("path").alias(KEY), F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
 
 
 def heading(text: Column) -> Column:
@@ -110,11 +157,16 @@ def identities(grid: DataFrame, header: DataFrame) -> DataFrame:
     return out.select(KEY, F.coalesce(bank_of(F.lower(F.array_join("lines", " "))), bank_of(stem), F.lit("unknown")).alias("bank"), hint.alias("account_hint"))
 
 
-def classified(grid: DataFrame, header: DataFrame) -> DataFrame:
-    """The rows under each header with their fields as text, amounts, and kind: skip, totals, opening, closing, entry, wrapped or bad."""
+def cells_of(grid: DataFrame, header: DataFrame) -> DataFrame:
+    """The rows under each header with their fields as text."""
     rows = grid.join(header, KEY).filter("number > header")
     cell = lambda f: F.coalesce(F.trim(F.get("cells", F.try_element_at("columns", F.lit(f)))), F.lit(""))
-    rows = rows.select(KEY, "number", "cells", "columns", *(cell(f).alias(f"{f}_text") for f in ALIASES))
+    return rows.select(KEY, "number", "cells", "columns", *(cell(f).alias(f"{f}_text") for f in ALIASES))
+
+
+def classified(grid: DataFrame, header: DataFrame) -> DataFrame:
+    """The rows under each header with their fields as text, amounts, and kind: skip, totals, opening, closing, entry, wrapped or bad."""
+    rows = cells_of(grid, header)
     amount = lambda f: money.parse_optional_amount(F.col(f"{f}_text"))
     rows = rows.withColumns({f: amount(f) for f in ("debit", "credit", "balance", "amount")} | {"found": F.array_compact(F.transform("cells", money.parse_optional_amount))})
     pair = F.map_contains_key("columns", "debit") | F.map_contains_key("columns", "credit")
