@@ -13,7 +13,7 @@ from .plans import ledger as labels, question
 from .plans.query import Period, Query, count, evidence, select, top, total
 from .sinks import export
 from .session import written
-from .sources import adapter, load
+from .sources import adapter, load, words
 from .streaming import budget
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -506,3 +506,35 @@ def ask_questions(spark, sf_dir):
     found = [(k, question.ask(text, rows)) for k, text in enumerate(QUESTIONS)]
     table = [(k, a.query.intent if a.query else None, a.amount, a.n, ", ".join(a.refused)) for k, a in found]
     return spark.createDataFrame(table, "k int, intent string, amount long, n long, refused string")
+
+
+#: Where the printed columns start, in points, and how many rows a page has.
+PRINTED, PAGE_ROWS = (("Date", 10), ("Narration", 110), ("Withdrawal Amt.", 330), ("Deposit Amt.", 430), ("Closing Balance", 560)), 40
+
+
+def _printed(grid: DataFrame) -> DataFrame:
+    """The bank grids as words on pages of PAGE_ROWS rows, with the header on each."""
+    rows = grid.filter("number > 3").select("statement_id", (F.col("number") - 4).alias("k"), "cells")
+    placed = rows.select("statement_id", F.expr(f"k div {PAGE_ROWS} + 1").cast("int").alias("page"), (50.0 + 11 * (F.col("k") % PAGE_ROWS + 1)).alias("top"), F.posexplode("cells").alias("at", "text")).filter("text <> ''")
+    x0 = F.get(F.array(*(F.lit(float(x)) for _, x in PRINTED)), "at")
+    placed = placed.select("statement_id", "page", "top", x0.alias("x0"), (x0 + 4 * F.length("text")).alias("x1"), "text")
+    heads, line = [], [(20.0, 10.0, "HDFC"), (20.0, 28.0, "Bank")]
+    for name, x in PRINTED:
+        for w in name.split():
+            heads.append((50.0, float(x), w))
+            x += 4 * len(w) + 2
+    word = lambda items: F.array(*(F.struct(F.lit(top).alias("top"), F.lit(x).alias("x0"), F.lit(x + 4.0 * len(w)).alias("x1"), F.lit(w).alias("text")) for top, x, w in items))
+    pages = placed.select("statement_id", "page").distinct().select("statement_id", "page", F.inline(F.when(F.col("page") == 1, word(line + heads)).otherwise(word(heads))))
+    return placed.unionByName(pages)
+
+
+@query(LEDGER + """ select statement_id, 'HDFC' bank, cast(1000000100000 as bigint) opening, cast(1000000100000 + sum(case when direction = 'credit' then exact else -exact end) as bigint) closing, count(*) n,
+  cast(sum(exact) filter (direction = 'debit') as bigint) debits, cast(sum(exact) filter (direction = 'credit') as bigint) credits, true ok from l where not on_card group by statement_id""")
+def printed_statements(spark, sf_dir):
+    """Words with their places to statements and rows, proved."""
+    found = load.from_grid(written(words.grid(_printed(_bank_grid(spark, sf_dir))), "grid"))
+    rows = written(found.transactions, "transactions")
+    of = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount"))).alias(f"{d}s")
+    moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
+    verdict = reconcile.verdicts(rows, found.banks).select("statement_id", "ok")
+    return found.banks.join(moved, "statement_id").join(verdict, "statement_id").select("statement_id", "bank", "opening", "closing", "n", "debits", "credits", "ok")
