@@ -69,12 +69,15 @@ lv as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by ca
 t as (select k, source_size, least(cap::double, w::double * max(lev) over ()) target from lv),
 a as (select *, length(bin(size)) bits, ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 4))::bigint % 64 salt from d),
 o as (select *, row_number() over (partition by k order by bits * 16 + (size >> greatest(bits - 4, 0)::bigint), salt, size, doc_id nulls first) place from a),
-x as (select o.doc_id, o.size, t.source_size, t.target, o.place,
+x as (select o.doc_id, o.k, o.size, t.source_size, t.target, o.place,
     case when t.source_size > 0 then t.target / t.source_size::double else 0.0::double end rate,
-    ('0x' || substr(md5('0:' || o.k), 1, 12))::bigint::double / 281474976710656.0::double off
-  from o join t using (k))
-select doc_id, size, source_size, target, least(floor(place::double * rate + off) - floor((place - 1)::double * rate + off), 3)::bigint * size taken
-from x
+    ('0x' || substr(md5('0:' || o.k), 1, 12))::bigint::double / 281474976710656.0::double base
+  from o join t using (k)),
+z as (select x.*, j, base + j::double / 64.0::double - floor(base + j::double / 64.0::double) shift from x, range(64) r(j)),
+y as (select *, least(floor(place::double * rate + shift) - floor((place - 1)::double * rate + shift), 3)::bigint * size taken from z),
+sums as (select k, j, abs(sum(taken)::double - max(target)) miss from y group by k, j),
+b as (select k, min({'miss': miss, 'j': j}) best from sums group by k)
+select doc_id, size, source_size, target, taken from y join b on b.k = y.k and b.best.j = y.j
 """
 
 ORACLE["op6_quotes"] = r"""

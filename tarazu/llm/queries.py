@@ -41,7 +41,7 @@ def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixture.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mixture.mixed(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
