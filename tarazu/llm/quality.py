@@ -94,6 +94,6 @@ def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def accepted(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", limit: int = LINE_LIMIT) -> DataFrame:
     """The rows that are kept, without the lines that are removed. Verdicts are written first: a filter on them would be pushed into the rules and repeat them many times over."""
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(host_column).alias("source"))
+    rows = df.select(F.struct(*[c for c in df.columns if c != text_column]).alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(host_column).alias("source"))
     verdict = materialize(judged(rows, limit=limit).select("row", "kept_text", "kept"), "verdicts").filter("kept")
     return verdict.select(*[F.col("kept_text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in df.columns])
