@@ -101,15 +101,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
 
 
 def by_block(texts: DataFrame, own: DataFrame) -> DataFrame:
-    """texts with b, and own(b, own array): each block's rows together, after a row that has the block's array."""
-    columns = [c for c in texts.columns if c != "b"]
-    rows = texts.select("b", F.lit(1).alias("kind"), F.lit(None).cast(own.schema["own"].dataType).alias("own"), *columns)
-    first = own.select("b", F.lit(0).alias("kind"), "own", *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in columns))
+    """texts with b, and own(b, own array, more): each block's rows together, in order, after a row that has the block's array and more."""
+    columns, more = ([c for c in df.columns if c not in ("b", "own")] for df in (texts, own))
+    none = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    rows = texts.select("b", F.lit(1).alias("kind"), *none(own, ["own", *more]), *columns)
+    first = own.select("b", F.lit(0).alias("kind"), "own", *more, *none(texts, columns))
     return rows.unionByName(first).repartition("b").sortWithinPartitions("b", "kind")
 
 
-def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array | None, pa.Table]]:
-    """(the values of the block's array, its rows) of each block that has rows."""
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, pa.Table]]:
+    """(the block's first row, if it has one, its rows) of each block that has rows."""
     own, held, now = None, [], None
     for batch in batches:
         block = batch.column(0).to_pylist()
@@ -120,7 +121,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array |
                     yield own, pa.Table.from_batches(held)
                 own, held, now = None, [], block[at]
                 if batch.column(1)[at].as_py() == 0:
-                    own = batch.column(2).slice(at, 1).flatten()
+                    own = batch.slice(at, 1)
                     at += 1
             if end > at:
                 held.append(batch.slice(at, end - at))
@@ -128,6 +129,11 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array |
         yield own, pa.Table.from_batches(held)
 
 
+def array_in(row: pa.RecordBatch | None, name: str = "own") -> pa.Array | None:
+    """The values of an array column of one row."""
+    return row.column(row.schema.get_field_index(name)).flatten() if row is not None else None
+
+
 def words_of(text: str = "text") -> Column:
     """The words as an array, on the JVM side (null: none)."""
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_PATTERN), lambda w: w != "")

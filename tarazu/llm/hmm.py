@@ -36,7 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import blocks, by_block, byte_column, discard, materialize, read_blocks
+from .common import array_in, blocks, by_block, byte_column, discard, materialize, read_blocks
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
@@ -164,11 +164,12 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype("<u4").tobytes(), 1)
+    """Numbers, low bytes first and all of one place together, which packs better."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), "<u4").astype(np.int32)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -200,48 +201,61 @@ def columns_of(own: pa.StructArray) -> list[np.ndarray]:
 
 
 def in_classes(blocked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(b, doc_id, train, seq, cuts, n_tokens, n_known, base, words array<struct<w, c>>): texts as classes (see Model); the block's first row has its words of OWN_COUNT and more. base: the sum of log10(c + 1)."""
+    """(b, cuts, classes, words array<struct<w, c>>), a row for each block: the class of each of its word numbers (see Model), packed, and its words of OWN_COUNT and more."""
     words = blocked.filter("words is not null").select("b", F.posexplode("words").alias("i", "x")).select("b", "i", F.col("x.w").alias("w"))
     counts = words.join(vocabulary, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", "c")).alias("own"))
+    every = blocked.filter("words is not null").select("b").join(counts, "b", "left")  # a block may have no word that training has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, rows in read_blocks(batches):
-            seqs = [unpacked(x) for x in rows.column("seq").to_pylist()]
-            i, w, c = columns_of(own) if own else (np.zeros(0, np.int64) for _ in range(3))
-            number = np.zeros(max(int(x.max()) for x in [i, *seqs] if len(x)) + 1, np.int64)
-            keys = np.zeros(len(number), np.int64)
-            number[i], keys[i] = c, w
-            order = np.argsort(-number, kind="stable")
-            often = order[: int((number >= OWN_COUNT).sum())]
-            classes = np.minimum(number, OWN_COUNT - 1)
-            classes[often] = OWN_COUNT + np.arange(len(often))
-            cuts = [int((number >= k).sum()) for k in range(OWN_COUNT, COMMON_COUNT + 1)]
-            logs, one = np.log10(number + 1.0), [None] * (len(seqs) - 1)
-            first = pa.ListArray.from_arrays(pa.array([0] + [len(often)] * len(seqs), pa.int32()), pa.StructArray.from_arrays([pa.array(keys[often]), pa.array(number[often])], ["w", "c"]), mask=pa.array([False] + [True] * len(one)))
-            out = [*(rows.column(x).combine_chunks() for x in ("b", "doc_id", "train")), pa.array([packed(classes[x]) for x in seqs], pa.binary()), pa.array([cuts] * len(seqs), pa.list_(pa.int32()))]
-            out += [pa.array([len(x) for x in seqs], pa.int64()), pa.array([int((number[x] > 0).sum()) for x in seqs], pa.int64()), pa.array([float(logs[x].sum()) for x in seqs]), first]
-            yield pa.RecordBatch.from_arrays(out, ["b", "doc_id", "train", "seq", "cuts", "n_tokens", "n_known", "base", "words"])
-
-    schema = "b long, doc_id {}, train boolean, seq binary, cuts array<int>, n_tokens long, n_known long, base double, words array<struct<w:long,c:long>>".format(blocked.schema["doc_id"].dataType.simpleString())
-    return materialize(by_block(blocked.select("b", "doc_id", "train", "seq"), counts).mapInArrow(run, schema), "classes")
-
-
-def with_emissions(texts: DataFrame, coded: DataFrame, emissions: DataFrame, least: int) -> DataFrame:
-    """texts by block, after the block's words of a count of least or more; of those without emissions, the states are null."""
-    words = coded.filter("words is not null").select("b", F.posexplode("words").alias("i", "x")).filter(F.col("x.c") >= least).select("b", "i", F.col("x.w").alias("w"))
-    return by_block(texts, words.join(emissions, "w", "left").groupBy("b").agg(F.collect_list(F.struct("i", "w", *STATE_COLUMNS)).alias("own")))
-
-
-def models(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model, np.ndarray, list[np.ndarray], pa.Table]]:
-    """(model, keys of the words that came with it, class sequences, rows) of each block."""
-    for own, rows in read_blocks(batches):
-        keys, weight = np.zeros(0, np.int64), np.zeros((STATES, 0))
-        if own:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, w, c = columns_of(batch.column(1).slice(k, 1).flatten())
+                number, keys = (np.zeros((int(i.max()) if len(i) else -1) + 2, np.int64) for _ in range(2))  # the last: all later ones
+                number[i], keys[i] = c, w
+                order = np.argsort(-number, kind="stable")
+                often = order[: int((number >= OWN_COUNT).sum())]
+                classes = np.minimum(number, OWN_COUNT - 1)
+                classes[often] = OWN_COUNT + np.arange(len(often))
+                cuts = [int((number >= n).sum()) for n in range(OWN_COUNT, COMMON_COUNT + 1)]
+                own = pa.ListArray.from_arrays(pa.array([0, len(often)], pa.int32()), pa.StructArray.from_arrays([pa.array(keys[often]), pa.array(number[often])], ["w", "c"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([cuts], pa.list_(pa.int32())), pa.array([packed(classes)], pa.binary()), own], ["b", "cuts", "classes", "words"])
+
+    return materialize(every.mapInArrow(run, "b long, cuts array<int>, classes binary, words array<struct<w:long,c:long>>"), "classes")
+
+
+def with_emissions(texts: DataFrame, coded: DataFrame, emissions: DataFrame, least: int, fitted: int) -> DataFrame:
+    """texts by block, after the block's classes and its words of a count of least or more; of those under fitted the states are null."""
+    words = coded.select("b", F.posexplode("words").alias("i", "x")).select("b", "i", "x.w", "x.c").filter(F.col("c") >= least)
+    known = words.filter(F.col("c") >= fitted).join(emissions, "w", "left").select("b", "i", "w", "c", *STATE_COLUMNS)
+    if fitted > least:
+        known = known.unionByName(words.filter(F.col("c") < fitted).select("b", "i", "w", "c", *(F.lit(None).cast("float").alias(x) for x in STATE_COLUMNS)))
+    own = known.groupBy("b").agg(F.collect_list(F.struct("i", "w", "c", *STATE_COLUMNS)).alias("own"))
+    return by_block(texts, coded.select("b", "cuts", "classes").join(own, "b", "left"))
+
+
+@dataclass
+class Block:
+    """A block's model, the keys and counts of the words that came with it, its texts as classes, and its rows."""
+
+    model: Model
+    cuts: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+    sequences: list[np.ndarray]
+    rows: pa.Table
+
+
+def models(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[Block]:
+    for head, rows in read_blocks(batches):
+        keys, counts, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((STATES, 0))
+        if len(own := array_in(head)):
             fields = columns_of(own)
             order = np.argsort(fields[0])
-            keys, weight = fields[1][order], np.nan_to_num(np.array([x[order] for x in fields[2:]], np.float64))
-        cuts = np.array(rows.column("cuts")[0].as_py(), np.int64)
-        yield Model(fit, weight, cuts), keys, [unpacked(x) for x in rows.column("seq").to_pylist()], rows
+            keys, counts, weight = fields[1][order], fields[2][order], np.nan_to_num(np.array([x[order] for x in fields[3:]], np.float64))
+        cuts = array_in(head, "cuts").to_numpy().astype(np.int64)
+        classes = unpacked(head.column(head.schema.get_field_index("classes"))[0].as_py())
+        sequences = [classes[np.minimum(unpacked(x), len(classes) - 1)] for x in rows.column("seq").to_pylist()]
+        yield Block(Model(fit, weight, cuts), cuts, keys, counts, sequences, rows)
 
 
 def forget(df: DataFrame) -> None:
@@ -290,9 +304,9 @@ def refitted(fit: Fit, own: DataFrame, kinds: np.ndarray, counts: DataFrame) ->
 
 def counted(batches: Iterator[pa.RecordBatch], fit: Fit, least: int) -> Iterator[pa.RecordBatch]:
     """The expected counts of each block; words of under ``least`` times are counted by class."""
-    for model, keys, sequences, rows in models(batches, fit):
-        start, move, fine = expected_counts(model, sequences)
-        cuts = np.array(rows.column("cuts")[0].as_py(), np.int64)
+    for block in models(batches, fit):
+        start, move, fine = expected_counts(block.model, block.sequences)
+        cuts, keys = block.cuts, block.keys
         by_class = np.zeros((STATES, least))
         by_class[:, :OWN_COUNT] = fine[:, :OWN_COUNT]
         for k in range(OWN_COUNT, least):  # words by falling count: those of k stand between two cuts
@@ -305,7 +319,7 @@ def counted(batches: Iterator[pa.RecordBatch], fit: Fit, least: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(w), *(pa.array(x) for x in out)], ["r", "w", *STATE_COLUMNS])
 
 
-def baum_welch(coded: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> tuple[Fit, DataFrame]:
+def baum_welch(blocked: DataFrame, coded: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> tuple[Fit, DataFrame]:
     """Rounds over all training text -> the fit and its emissions (w, s0...)."""
     classes = {r["k"]: r for r in vocabulary.groupBy(F.least("c", F.lit(COMMON_COUNT)).alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
     n, v = (sum(r[x] for r in classes.values()) for x in ("n", "v"))
@@ -314,7 +328,7 @@ def baum_welch(coded: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) ->
     fit, emissions = first_guess(own(COMMON_COUNT), n, v, kinds)
     for k in range(rounds if n else 0):
         least = OWN_COUNT if k == rounds - 1 else COMMON_COUNT
-        rows = with_emissions(coded.filter("train").select("b", "seq", "cuts"), coded, emissions, least)
+        rows = with_emissions(blocked.filter("train").select("b", "seq"), coded, emissions, least, COMMON_COUNT)
         parts = rows.mapInArrow(lambda batches, fit=fit, least=least: counted(batches, fit, least), "r int, w long, " + ", ".join(f"{c} float" for c in STATE_COLUMNS))
         counts = materialize(parts.groupBy("r", "w").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)), "counts")
         before, (fit, emissions) = emissions, refitted(fit, own(least), kinds[:least], counts)
@@ -331,18 +345,20 @@ def scored(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     vocabulary = materialize(word_counts(blocked), "vocabulary")
     forget(vocabulary)
     coded = in_classes(blocked, vocabulary)
-    discard(blocked)
     forget(coded)
-    fit, emissions = baum_welch(coded, vocabulary, rounds)
-    names = ["doc_id", "n_tokens", "n_known", "base"]
+    fit, emissions = baum_welch(blocked, coded, vocabulary, rounds)
+    least = fit.rare.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for model, _, sequences, table in models(batches, fit):
-            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in names), pa.array(log_likelihoods(model, sequences))], [*names, "score"])
+        for block in models(batches, fit):
+            seqs = block.sequences
+            logs = np.log10(np.r_[np.arange(OWN_COUNT), block.counts] + 1.0)
+            n_known = [int((x > 0).sum()) for x in seqs]
+            base = [float(logs[x].sum()) for x in seqs]
+            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id").combine_chunks(), pa.array([len(x) for x in seqs], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(log_likelihoods(block.model, seqs))], ["doc_id", "n_tokens", "n_known", "base", "score"])
 
     schema = "doc_id {}, n_tokens long, n_known long, base double, score double".format(rows.schema["doc_id"].dataType.simpleString())
-    least = fit.rare.shape[1]
-    out = with_emissions(coded.select("b", "doc_id", "seq", "cuts", "n_tokens", "n_known", "base"), coded, emissions, least).mapInArrow(run, schema)
+    out = with_emissions(blocked.select("b", "doc_id", "seq"), coded, emissions, OWN_COUNT, least).mapInArrow(run, schema)
     return out.select(
         "doc_id",
         (fold("doc_id") == held_out).alias("held_out"),

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, by_block, byte_column, keyed_rows, made, materialize, read_blocks
+from .common import array_in, blocks, by_block, byte_column, keyed_rows, made, materialize, read_blocks
 
 WINDOW, PHRASE = 50, 16
 SHARD_BYTES = 8 << 20
@@ -176,7 +176,8 @@ def located_spans(keyed: DataFrame, lists: DataFrame, window: int, phrase: int)
     names = ["p", "s1", "s2", "n", "at", "_id", "_h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, rows in read_blocks(batches):
+        for head, rows in read_blocks(batches):
+            own = array_in(head)
             keys = list(zip(rows.column("_id").to_pylist(), rows.column("_h").to_pylist(), strict=True))
             row_of = {key: k for k, key in reversed(list(enumerate(keys)))}
             texts = [x or b"" for x in rows.column("text").cast(pa.large_binary()).to_pylist()]

@@ -331,7 +331,7 @@ def test_hmm_every_word_seen_twice_has_emissions_of_its_own(spark):
     blocked = hmm.in_blocks(training)
     vocabulary = hmm.materialize(hmm.word_counts(blocked), "vocabulary")
     assert {r["w"]: r["c"] for r in vocabulary.collect()} == counts and len(counts) > 24_096
-    fit, emissions = hmm.baum_welch(hmm.in_classes(blocked, vocabulary), vocabulary, rounds=2)
+    fit, emissions = hmm.baum_welch(blocked, hmm.in_classes(blocked, vocabulary), vocabulary, rounds=2)
     found = emissions.collect()
     assert {r["w"] for r in found} == {w for w, n in counts.items() if n >= hmm.OWN_COUNT} and len(found) > 24_096
     kinds_left = np.array([1] + [sum(n == c for n in counts.values()) for c in range(1, hmm.OWN_COUNT)])
