@@ -76,7 +76,12 @@ def delimited(content: bytes, path: str) -> list[list[str]]:
 
 
 def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt,xlsx,xls,pdf}", formats: tuple[Format, ...] = ()) -> DataFrame:
-    """(statement_id, number, cells, reason): every record of every file under the paths, numbered from 1; a file that gives none has one row with the reason. A file that several paths reach is read once."""
+    """cut_files() of every file under the paths. A file that several paths reach is read once."""
+    return cut_files(found_files(spark, path, pattern), formats)
+
+
+def cut_files(files: DataFrame, formats: tuple[Format, ...] = ()) -> DataFrame:
+    """files(path, content) -> (statement_id, number, cells, reason): every record of each, numbered from 1; a file that gives none has one row with the reason."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +92,7 @@ def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*.{cs
                     rows, reason = [None], str(e)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(1, len(rows) + 1), pa.int32()), pa.array(rows, pa.list_(pa.string())), pa.array([reason] * len(rows), pa.string())], [KEY, "number", "cells", "reason"])
 
-    return found_files(spark, path, pattern).select("path", "content").mapInArrow(run, f"{KEY} string, number int, cells array<string>, reason string")
+    return files.select("path", "content").mapInArrow(run, f"{KEY} string, number int, cells array<string>, reason string")
 
 
 def found_files(spark: SparkSession, path: str | list[str], pattern: str) -> DataFrame:

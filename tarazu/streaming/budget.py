@@ -11,7 +11,7 @@ SCHEMA = "client long, at long, seq long, admitted boolean"
 
 
 def admitted(requests: DataFrame, seconds: int = 60, allowance: int = 12) -> DataFrame:
-    """requests(client, at seconds, seq) -> with admitted, in batch. A fold for each client keeps only the window's hits."""
+    """requests(client, at seconds, seq) -> with admitted, in batch. A fold for each client judges by the window's hits; a client's rows are one array."""
     ordered = requests.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("r"))
     start = F.struct(F.filter(F.transform(F.slice("r", 1, 1), lambda x: x["at"]), lambda x: F.lit(False)).alias("hits"), F.filter(F.transform(F.slice("r", 1, 1), lambda x: F.struct(x["at"].alias("at"), x["seq"].alias("seq"), F.lit(True).alias("admitted"))), lambda x: F.lit(False)).alias("out"))
 
@@ -55,6 +55,7 @@ def daily_totals(ledger: DataFrame, late: str = "2 days") -> DataFrame:
 
 def duplicate_sessions(ledger: DataFrame, late: str = "7 days") -> DataFrame:
     """Clusters of equal charges of a stream, as sessions that a gap of over three days closes."""
-    debits = ledger.withWatermark("ts", late).filter(F.col("direction") == "debit")
-    out = debits.groupBy(F.session_window(F.date_trunc("day", "ts"), "3 days"), "statement_id", "name", "amount").agg(F.count("*").alias("n"))
+    days = ledger.withColumn("day", F.date_trunc("day", "ts")).withWatermark("day", late)
+    debits = days.filter(F.col("direction") == "debit")
+    out = debits.groupBy(F.session_window("day", "3 days 1 second"), "statement_id", "name", "amount").agg(F.count("*").alias("n"))
     return out.filter("n >= 2").select("statement_id", "name", "amount", F.col("session_window.start").cast("date").alias("first_date"), "n")
