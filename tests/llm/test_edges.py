@@ -150,58 +150,3 @@ def test_templates_generalise_what_varies(spark):
     text = "\n".join(r["text"] for r in out)
     assert text.count("Posted by") == 1 and text.count("stories") == 1  # words in fields, not digits only
     assert text.count("ta tb tc") == sum("ta tb tc" in t for _, t in rows)  # lines with different second halves stay
-
-
-def test_simhash_of_the_whole_small_table_like_brute_force(spark, sf_dir):
-    import numpy as np
-    import xxhash
-    from tarazu.llm import queries
-
-    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-
-    def fp(w):
-        h = [xxhash.xxh64_intdigest(b" ".join(w[a : a + 3]), 42) for a in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
-
-    values = np.array([fp(w) for _, w in rows], np.uint64)
-    group = np.arange(len(rows))
-    near = np.array([[bin(int(a) ^ int(b)).count("1") <= 3 for b in values] for a in values])
-    for _ in rows:
-        group = np.where(near, group[None, :], len(rows)).min(axis=1)
-    ids = np.array([i for i, _ in rows])
-    expected = {i: (f"{int(v):016x}", int(ids[group == g].min())) for i, v, g in zip(ids.tolist(), values, group, strict=True)}
-    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op4_simhash(spark, sf_dir).collect()} == expected
-
-
-def test_sampling_on_nulls_repeats_and_a_single_document(spark):
-    from tarazu.llm import sampling
-
-    rows = [(1, "a b c", 9), (1, "a b c", 9), (None, "x y", 9), (None, None, 9), (5, "", 9), (6, LONG, 9)]
-    out = sampling.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string, signature int")).collect()
-    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in rows)
-    same = {tuple(r["signature"]) for r in out if r["doc_id"] == 1}
-    assert len(same) == 1 and all(r["n_chars"] == 5 for r in out if r["doc_id"] == 1)
-    single = sampling.edited_neighbours(spark.createDataFrame([(7, "abcd efgh")], "doc_id long, text string")).collect()
-    assert len(single) == 1 and single[0]["signature"] == single[0]["following"]
-
-
-def test_quotes_on_nulls_repeats_and_clashing_names(spark):
-    from tarazu.llm import quotes
-
-    rows = [(1, 0, "hello to all of you", "own", 3), (1, 1, "> hello to all of you\nhi", "own", 3), (1, 1, "> hello to all of you\nhi", "own", 3), (1, None, "x", "own", 3), (None, 2, None, "own", 3), (None, None, "", "own", 3), (2, 0, LONG, "own", 3)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, own string, _c int")
-    out = quotes.linked(df).collect()
-    assert len(out) == len(rows) and all((r["own"], r["_c"]) == ("own", 3) for r in out)
-    assert [r["reply_to"] for r in out if r["conv_id"] == 1 and r["turn"] == 1] == [0, 0]
-    assert sorted((r["turn"] if r["turn"] is not None else 99, r["position"]) for r in out if r["conv_id"] == 1) == [(0, 0), (1, 1), (1, 1), (99, 2)]
-
-
-def test_written_replies_are_taken_apart_again(spark):
-    from tarazu.llm import quotes
-
-    rows = [(c, t, f"message {t} of {c} says this\n\nand that {t * 7 + c}") for c in range(5) for t in range(9)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
-    out = {(r["conv_id"], r["turn"]): r for r in quotes.linked(quotes.with_quotes(df)).collect()}
-    assert all(out[c, t]["body"] == x for c, t, x in rows)
-    assert {t: out[0, t]["reply_to"] for t in range(9)} == {0: None, 1: 0, 2: 1, 3: 1, 4: 3, 5: 4, 6: 4, 7: 6, 8: 7}
-    assert out[0, 2]["max_level"] == 2 and [tuple(x) for x in out[0, 2]["quote_links"]] == [(0, 2, 0), (1, 1, 1)]
