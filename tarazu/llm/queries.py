@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, hmm, mixture, phrases, quality, quotes, sampling, simhash, templates, warc
+from . import audit, bpe, hmm, mixture, negatives, phrases, quality, quotes, sampling, simhash, templates, toxicity, warc
 from .common import materialize, table
 from .oracle import ORACLE as OTHER_SQL
 
@@ -60,6 +60,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     return digests(out)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -70,7 +82,7 @@ def digests(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_repeated_phrases, op3_line_templates, op4_simhash, op5_quality, op6_quotes, op7_mixture, op8_hmm, op9_weighted_sampling, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_repeated_phrases, op3_line_templates, op4_simhash, op5_quality, op6_quotes, op7_mixture, op8_hmm, op9_weighted_sampling, op10_bpe, op11_toxicity, op12_filter_audit, op13_hard_negatives)}
 
 ORACLE: dict[str, str] = dict(OTHER_SQL)
 
@@ -84,3 +96,29 @@ select p.page_id, cast(strlen(p.html) as bigint) payload_bytes,
   case when p.page_id is distinct from g.m then g.m end refers_to, cast(null as varchar) error
 from p join g using (h)
 """
+
+ORACLE["op12_filter_audit"] = r"""
+with t as (select doc_id, coalesce(lang, '') part, coalesce(text, '') x, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') w from documents),
+m as (select doc_id, part, len(w) < 200 a, 100 * len(list_distinct(w)) < 50 * len(w) b, 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 3 * length(x) c, regexp_matches(x, '[#$%&*|]') d,
+  coalesce(min(doc_id) over (partition by x) < doc_id, false) e from t),
+f as (select part, (a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int) mask, count(*) n, count(*) filter (quality = 1) good, count(*) filter (toxic = 1) toxic from m left join labels using (doc_id) group by all),
+l as (select unnest([{'f': 'A', 'bit': 1}, {'f': 'B', 'bit': 2}, {'f': 'C', 'bit': 4}, {'f': 'D', 'bit': 8}, {'f': 'E', 'bit': 16}], recursive := true)),
+o as (select p.f || q.f || r.f || s.f || t.f filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] bits from l p, l q, l r, l s, l t where p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+k as (select filter_order, cast(step as int) step, bits[step] bit, cast(coalesce(list_sum(bits[1:step - 1]), 0) as int) before from o, range(1, 6) g(step))
+select part, filter_order, step, substr(filter_order, step, 1) "filter",
+  cast(coalesce(sum(n) filter (mask & (before | bit) = 0), 0) as bigint) kept, cast(coalesce(sum(n) filter (mask & bit <> 0 and mask & before = 0), 0) as bigint) removed,
+  cast(coalesce(sum(n) filter (mask & bit <> 0 and mask & before <> 0), 0) as bigint) redundant, cast(coalesce(sum(n) filter (mask = bit), 0) as bigint) unique_fails,
+  cast(coalesce(sum(good) filter (mask & bit <> 0 and mask & before = 0), 0) as bigint) good_lost, cast(coalesce(sum(toxic) filter (mask & bit <> 0 and mask & before = 0), 0) as bigint) toxic_lost,
+  cast(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) filter (mask & bit <> 0), 0) as bigint) shapley
+from f, k group by part, filter_order, step, bit
+"""
+
+ORACLE["op13_hard_negatives"] = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+s as (select a.vec_id a, r.vec_id r, a.label = r.label same, cast(list_inner_product(a.q, r.q) as bigint) s from v a join v r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+p as (select a, r, s from s where same qualify row_number() over (partition by a order by s desc, r) <= 5)
+select p.a anchor_id, p.r positive_id, cast(row_number() over (partition by p.a, p.r order by n.s desc, n.r) as int) "rank", n.r negative_id, p.s positive_score, n.s negative_score
+from p join s n on n.a = p.a and not n.same and 80 * p.s <= 100 * n.s and 100 * n.s <= 100 * p.s
+qualify row_number() over (partition by p.a, p.r order by n.s desc, n.r) <= 5
+"""
