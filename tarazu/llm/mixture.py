@@ -8,14 +8,15 @@ seed and the source's name give, and a copy is taken at each whole number that t
 ``OFFSETS`` offsets, a random one and those evenly after it, a source has the one whose copies' words come
 nearest to its target, which matters where a few documents hold most of a small source.
 
-The order is by size class, then by a salt of the id, then by size and id. Prefix sums run over
-groups of one class and salt (bounded for each source), then within a group, so a source that
-holds most rows is dealt over thousands of groups. Ordering by size makes the copies' words come
-near the target. Sources are one row each where they are ranked.
-
-Defined cases: a null text has size 0; a null source is a source, the last; a null id has a salt of
-its own; repeated rows are drawn each on its own; other columns are kept, but for those named like
-the new ones; an empty table gives no rows.
+The order is by size class, then by a salt of the id (of a null id, of the row), then by size, id and
+a hash of the row, so it doesn't depend on how rows lie. Prefix sums run over groups of one class and
+salt (bounded for each source), then within a group, so a source that holds most rows is dealt over
+thousands of groups. Ordering by size makes the copies' words come near the target. Sources are one
+row each where they are ranked.
+
+Defined cases: a null text has size 0; a null source is a source, the last; repeated rows are drawn
+each on its own; other columns are kept, but for those named like the new ones; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -54,22 +55,23 @@ def taken_copies(at: Column, rate: Column, offset: Column) -> Column:
 
 def placed_rows(df: DataFrame, id_column: str, text_column: str, source_column: str, seed: int, columns: list[str]) -> DataFrame:
     """(own, size, source_size, target, copies); own has the given columns of the row, so that these may have any names."""
-    rows = df.select(F.struct(*columns).alias("own"), F.col(id_column).alias("_id"), F.col(source_column).cast("string").alias("_s"), F.coalesce(F.regexp_count(text_column, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    rows = df.select(F.struct(*columns).alias("own"), F.col(id_column).alias("_id"), F.col(source_column).cast("string").alias("_s"), F.xxhash64(F.col(text_column).cast("string"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns if c != text_column)))).alias("_h"), F.coalesce(F.regexp_count(text_column, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
     rows = rows.withColumn("_k", F.coalesce(F.concat(F.lit("="), "_s"), F.lit("null")))
     bits = F.length(F.bin("size"))
     rows = rows.withColumn("_b", (bits * 16 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 4, F.lit(0)))).cast("long"))
-    name = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
-    rows = rows.withColumn("_salt", F.conv(F.substring(F.md5(name), 1, 4), 16, 10).cast("long") % SALTS)
+    name = F.col("_id").cast("string")
+    salt = F.conv(F.substring(F.md5(F.coalesce(name, F.lit("null"))), 1, 4), 16, 10).cast("long") % SALTS
+    rows = rows.withColumn("_salt", F.when(name.isNull(), F.pmod("_h", F.lit(SALTS))).otherwise(salt))
     groups = rows.groupBy("_k", "_s", "_b", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     rates = targets(groups.groupBy(F.col("_s").alias("source")).agg(F.sum("_size").alias("source_size")))
     rates = rates.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_k"), "source_size", "target")
     order = Window.partitionBy("_k").orderBy("_b", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).join(rates, "_k").select("_k", "_b", "_salt", "_before", "source_size", "target")
-    at = F.col("_before") + F.row_number().over(Window.partitionBy("_k", "_b", "_salt").orderBy("size", "_id"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_k", "_b", "_salt").orderBy("size", "_id", "_h"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shifts = [_unit(F.concat(F.lit(f"{seed}:"), "_k")) + j / OFFSETS for j in range(OFFSETS)]
     shifts = [x - F.floor(x) for x in shifts]
-    slim = rows.select("_k", "_b", "_salt", "_id", "size").join(placed, ["_k", "_b", "_salt"]).select("_k", "size", "target", rate.alias("rate"), at.alias("at"))
+    slim = rows.select("_k", "_b", "_salt", "_id", "_h", "size").join(placed, ["_k", "_b", "_salt"]).select("_k", "size", "target", rate.alias("rate"), at.alias("at"))
     shifted = slim.withColumn("base", _unit(F.concat(F.lit(f"{seed}:"), "_k"))).select("_k", "size", "target", "rate", "at", *((F.col("base") + j / OFFSETS - F.floor(F.col("base") + j / OFFSETS)).alias(f"_x{j}") for j in range(OFFSETS)))
     sums = shifted.groupBy("_k").agg(F.max("target").alias("target"), *(F.sum(taken_copies(F.col("at"), F.col("rate"), F.col(f"_x{j}")) * F.col("size")).alias(f"_o{j}") for j in range(OFFSETS)))
     nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_o{j}") - F.col("target")).alias("off"), F.lit(j).alias("j")) for j in range(OFFSETS))))["j"]

@@ -108,9 +108,12 @@ def reading_order(replies: DataFrame) -> DataFrame:
     enter = children.join(eldest, ["_c", "_t"], "left").select("_c", "_t", F.lit(0).alias("side"), F.coalesce("child", "_t").alias("nt"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("ns"), F.lit(1).cast("long").alias("n"))
     leave = children.select("_c", "_t", F.lit(1).alias("side"), F.coalesce("sibling", "reply").alias("nt"), F.when(F.col("sibling").isNull(), 1).otherwise(0).alias("ns"), F.lit(0).cast("long").alias("n"))
     tour = materialize(enter.unionByName(leave), "tour")
-    while not tour.filter("nt is not null").isEmpty():  # each step's reach doubles; n counts the messages entered from here to its end
+    ranked, going = tour.filter("nt is null"), tour.filter("nt is not null")
+    while not going.isEmpty():  # each step's reach doubles; n counts the messages entered from here to its end; what has reached it drops out
         ahead = tour.select("_c", F.col("_t").alias("nt"), F.col("side").alias("ns"), F.col("nt").alias("ft"), F.col("ns").alias("fs"), F.col("n").alias("more"))
-        tour = materialize(tour.join(ahead, ["_c", "nt", "ns"], "left").select("_c", "_t", "side", F.col("ft").alias("nt"), F.col("fs").alias("ns"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "tour")
+        step = materialize(going.join(ahead, ["_c", "nt", "ns"]).select("_c", "_t", "side", F.col("ft").alias("nt"), F.col("fs").alias("ns"), (F.col("n") + F.col("more")).alias("n")), "tour")
+        tour = ranked.unionByName(step)
+        ranked, going = ranked.unionByName(step.filter("nt is null")), step.filter("nt is not null")
     entered = tour.filter("side = 0")
     return entered.join(entered.groupBy("_c").agg(F.max("n").alias("all")), "_c").select("_c", "_t", (F.col("all") - F.col("n")).alias("position"))
 
@@ -134,13 +137,16 @@ def linked(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn
     """The rows with body (the text without quotes), n_quotes, max_level, reply_to, root, depth (0 for a root), quote_links and position."""
     messages = materialize(parsed(df, conv_column, turn_column, text_column), "messages")
     links = materialize(reply_links(passage_links(messages)), "replies")
-    places = links.filter("reply is not null").select("_c", "_t", F.col("reply").alias("root"), F.lit(1).alias("depth"))
-    while True:  # a place's root becomes its root's root, so chains halve
+    going = links.filter("reply is not null").select("_c", "_t", F.col("reply").alias("root"), F.lit(1).alias("depth"))
+    settled, places = going.filter("false"), going
+    while True:  # a place's root becomes its root's root, so chains halve; places that have their root drop out
         above = places.select("_c", F.col("_t").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
-        step = materialize(places.join(above, ["_c", "root"], "left"), "places")
-        if step.filter("up is not null").isEmpty():
+        step = materialize(going.join(above, ["_c", "root"], "left"), "places")
+        settled = settled.unionByName(step.filter("up is null").select("_c", "_t", "root", "depth"))
+        going = step.filter("up is not null").select("_c", "_t", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+        places = settled.unionByName(going)
+        if going.isEmpty():
             break
-        places = step.select("_c", "_t", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
     order = reading_order(messages.select("_c", "_t").distinct().join(links.select("_c", "_t", "reply"), ["_c", "_t"], "left"))
     out = messages.join(links, ["_c", "_t"], "left").join(places, ["_c", "_t"], "left").join(order, ["_c", "_t"])
     turn = lambda c: F.when(c != NULL_ID, c)

@@ -94,17 +94,23 @@ def frame_end(data: memoryview, at: int) -> int:
 
 def frames(data: bytes) -> Iterator[tuple[int, bytes | None, str | None]]:
     """(offset, decoded record, error) for each frame; a frame that can't be walked ends the archive with an error."""
-    view, at, dictionary = memoryview(data), 0, None
+    view, at = memoryview(data), 0
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == SKIPPABLE_MAGIC:
         size = struct.unpack_from("<I", data, 4)[0]
         raw, at = bytes(view[8 : 8 + size]), 8 + size
         if len(raw) != size:
             yield 0, None, "cut dictionary"
             return
-        if raw[:4] == struct.pack("<I", FRAME_MAGIC):
-            raw = zstd.ZstdDecompressor().decompress(raw, max_output_size=64 << 20)
-        dictionary = zstd.ZstdCompressionDict(raw)
-    reader = zstd.ZstdDecompressor(dict_data=dictionary)
+        try:
+            if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+                raw = zstd.ZstdDecompressor().decompressobj().decompress(raw)
+            dictionary = zstd.ZstdCompressionDict(raw)
+            reader = zstd.ZstdDecompressor(dict_data=dictionary)
+        except zstd.ZstdError as e:
+            yield 0, None, f"dictionary: {e}"
+            return
+    else:
+        reader = zstd.ZstdDecompressor()
     while at < len(data):
         try:
             magic = struct.unpack_from("<I", data, at)[0] if len(data) - at >= 4 else 0

@@ -150,3 +150,24 @@ def test_templates_generalise_what_varies(spark):
     text = "\n".join(r["text"] for r in out)
     assert text.count("Posted by") == 1 and text.count("stories") == 1  # words in fields, not digits only
     assert text.count("ta tb tc") == sum("ta tb tc" in t for _, t in rows)  # lines with different second halves stay
+
+
+def test_mixing_and_near_dedup_dont_depend_on_how_rows_lie(spark, sf_dir):
+    """Null and repeated ids with different texts, and rows that differ in other columns only, in two orders."""
+    own = random.Random(2)
+    rows = [(own.choice([None, own.randrange(40)]), prose(own.choice([1, 5, 60])), own.choice(["a", "b", None]), own.choice(["x", "y"])) for _ in range(300)]
+    rows += [(k, t, s, o) for k, t, _, _ in rows[:60] for s in ("a", "b") for o in ("x", "z")]
+    schema = "doc_id long, text string, source string, other string"
+    several = [spark.createDataFrame(rows, schema).repartition(5), spark.createDataFrame(rows[::-1], schema).repartition(3, "other")]
+    for stage in (corpus_pipeline.mix_sources, corpus_pipeline.near_dedup):
+        one, two = (Counter(tuple(r) for r in stage(spark, d, sf_dir).collect()) for d in several)
+        assert one == two and sum(one.values()) > 50
+
+
+def test_a_damaged_dictionary_is_an_error_row():
+    data = bytearray(warc.pack_archive([warc.build_record(1, "u", b"x" * 500, 500, "A", None, False)]))
+    packed = warc.zstd.ZstdCompressor().compress(b"dictionary " * 50)
+    for raw in (packed[:-4], packed[:9] + b"\xff" * (len(packed) - 9)):
+        broken = warc.struct.pack("<II", warc.SKIPPABLE_MAGIC, len(raw)) + raw + bytes(data[8:])
+        found = list(warc.frames(broken))
+        assert found[0][1] is None and found[0][2] is not None

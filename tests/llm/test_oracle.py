@@ -8,7 +8,7 @@ from tarazu.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_gives_the_rows_of_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "labels", "embeddings"):
         con.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
