@@ -13,7 +13,7 @@ from .plans import ledger as labels, question
 from .plans.query import Period, Query, count, evidence, select, top, total
 from .sinks import export
 from .session import written
-from .sources import adapter, load, words
+from .sources import adapter, load, tables, words
 from .streaming import budget
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -538,3 +538,72 @@ def printed_statements(spark, sf_dir):
     moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
     verdict = reconcile.verdicts(rows, found.banks).select("statement_id", "ok")
     return found.banks.join(moved, "statement_id").join(verdict, "statement_id").select("statement_id", "bank", "opening", "closing", "n", "debits", "credits", "ok")
+
+
+#: Rows of a page's grid, their height, and where the columns of the two other layouts begin; a spaced column's right edge.
+DRAWN, SPACED = (10.0, 100.0, 320.0, 420.0, 550.0, 680.0), ((10.0, None), (110.0, None), (330.0, 372.0), (430.0, 468.0))
+
+
+def _laid_out(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, words, rules): the bank grids by their account numbers in drawn tables, printed under headings, and spaced out with headings that fall apart; cards as letters without a table, and as pages without text."""
+    cut = F.substring("statement_id", 6, 20).cast("long")
+    grid = written(_bank_grid(spark, sf_dir).withColumn("layout", cut % 3), "grid")
+    rows = grid.filter("number > 3").select("statement_id", "layout", (F.col("number") - 4).alias("k"), "cells")
+    at = lambda h: (50 + h * (F.col("k") % PAGE_ROWS + 1)).cast("double").alias("top")
+    page = F.expr(f"k div {PAGE_ROWS} + 1").cast("int").alias("page")
+    word = "struct<top:double,x0:double,x1:double,text:string>"
+    texts = lambda items: F.array(*(F.struct(F.lit(float(t)).alias("top"), F.lit(float(x)).alias("x0"), F.lit(x + 4.0 * len(w)).alias("x1"), F.lit(w).alias("text")) for t, x, w in items)).cast(f"array<{word}>")
+
+    # drawn: a row is 18 high, its text 5 below the rule
+    drawn = rows.filter("layout = 0").select("statement_id", page, at(18), F.posexplode("cells").alias("c", "text")).filter("text <> ''")
+    left = F.get(F.array(*(F.lit(x + 3) for x in DRAWN)), "c")
+    drawn = drawn.select("statement_id", "page", (F.col("top") + 5).alias("top"), left.alias("x0"), (left + 4 * F.length("text")).alias("x1"), "text")
+    sheets = rows.filter("layout = 0").groupBy("statement_id", page).agg(F.max(at(18)).alias("last"))
+    heads = []
+    for (name, _), x in zip(PRINTED, DRAWN, strict=False):
+        x += 3
+        for w in name.split():
+            heads.append((55, x, w))
+            x += 4 * len(w) + 2
+    line = [(20, 10, "HDFC"), (20, 28, "Bank")]
+    drawn = drawn.unionByName(sheets.select("statement_id", "page", F.inline(F.when(F.col("page") == 1, texts(line + heads)).otherwise(texts(heads)))))
+    rule = lambda *p: F.struct(*(F.lit(v).cast("double").alias(n) if not isinstance(v, Column) else v.alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), p, strict=True)))
+    foot = F.col("last") + 18
+    upright = F.array(*(rule(x, 50.0, x, foot) for x in DRAWN))
+    flat = F.transform(F.sequence(F.lit(0), ((foot - 50) / 18).cast("int")), lambda k: rule(DRAWN[0], (50 + 18 * k).cast("double"), DRAWN[-1], (50 + 18 * k).cast("double")))
+    rules = sheets.select("statement_id", "page", F.inline(F.concat(upright, flat)))
+
+    # spaced: figures stand at the right edges of their columns, and the balance only in the first and last lines
+    spaced = rows.filter("layout = 2").select("statement_id", page, at(11), F.posexplode(F.slice("cells", 1, 4)).alias("c", "text")).filter("text <> ''")
+    right = F.get(F.array(*(F.lit(r) for _, r in SPACED)), "c")
+    x0 = F.coalesce(right - 4 * F.length("text"), F.get(F.array(*(F.lit(x) for x, _ in SPACED)), "c"))
+    spaced = spaced.select("statement_id", "page", "top", x0.alias("x0"), (x0 + 4 * F.length("text")).alias("x1"), "text")
+    ends = rows.filter("layout = 2").groupBy("statement_id").agg(F.max("k").alias("k"), F.max_by(F.get("cells", 4), "k").alias("closing"))
+    names = [(40, 10, "Date"), (40, 110, "Narration"), (40, 330, "Paid"), (40, 360, "Out"), (40, 430, "Paid"), (40, 460, "In")]
+    first = ends.select("statement_id", F.lit(1).alias("page"), F.inline(texts(line + names + [(50, 110, "Opening"), (50, 140, "Balance"), (50, 430, f"{(adapter.OPENING + 10**12) / 100:.2f}")])))
+    last = F.concat(texts([(0, 110, "Closing"), (0, 140, "Balance")]), F.array(F.struct(F.lit(0.0).alias("top"), F.lit(430.0).alias("x0"), (430.0 + 4 * F.length("closing")).alias("x1"), F.col("closing").alias("text"))).cast(f"array<{word}>"))
+    last = ends.withColumn("k", F.col("k") + 1).select("statement_id", page, at(11).alias("y"), F.inline(last)).select("statement_id", "page", F.col("y").alias("top"), "x0", "x1", "text")
+    spaced = spaced.unionByName(first).unionByName(last)
+
+    cards = adapter.statements(adapter.ledger(spark, sf_dir)).filter("kind = 'card'").select("statement_id", cut.alias("pos"))
+    letter = cards.filter("pos % 8 = 0").select("statement_id", F.lit(1).alias("page"), F.inline(texts([(72, 72, "Dear"), (72, 94, "customer,"), (72, 136, "no"), (72, 150, "statement")])))
+    headed = _printed(grid.filter("layout = 1").drop("layout"))
+    files = grid.select("statement_id").distinct().unionByName(cards.select("statement_id"))
+    return files, headed.unionByName(drawn).unionByName(spaced).unionByName(letter), rules
+
+
+@query(LEDGER + f""" select statement_id, ['ruled', 'headings', 'spaces'][pos % 3 + 1] how, cast(null as varchar) reason, cast(1000000100000 as bigint) opening, cast(1000000100000 + sum(case when direction = 'credit' then exact else -exact end) as bigint) closing, count(*) n,
+  cast(sum(exact) filter (direction = 'debit') as bigint) debits, cast(sum(exact) filter (direction = 'credit') as bigint) credits, true ok from l where not on_card group by statement_id, pos
+union all select distinct statement_id, null, case when pos % 8 = 0 then '{tables.NO_TABLE}' else '{tables.NO_TEXT}' end, null, null, null, null, null, null from l where on_card""")
+def recovered_tables(spark, sf_dir):
+    """Drawn, headed and spaced tables to statements and rows, proved; what has none is refused with a reason."""
+    grid, rejects = tables.recovered(*_laid_out(spark, sf_dir))
+    grid = written(grid, "recovered")
+    found = load.from_grid(grid.drop("how"), rejects)
+    rows = written(found.transactions, "transactions")
+    of = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount"))).alias(f"{d}s")
+    moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
+    verdict = reconcile.verdicts(rows, found.banks).select("statement_id", "ok")
+    good = found.banks.join(moved, "statement_id").join(verdict, "statement_id").join(grid.select("statement_id", "how").distinct(), "statement_id")
+    columns = ["statement_id", "how", F.lit(None).cast("string").alias("reason"), "opening", "closing", "n", "debits", "credits", "ok"]
+    return good.select(*columns).unionByName(found.rejects, allowMissingColumns=True)

@@ -135,11 +135,16 @@ def column_map(cells: Column) -> Column:
     return F.aggregate(wanted, F.create_map().cast("map<string,int>"), claim)
 
 
+def names_columns(columns: Column) -> Column:
+    """Whether a row's column_map names a date and money, as a header does."""
+    has = lambda f: F.map_contains_key(columns, F.lit(f))
+    return has("date") & (has("balance") | has("amount") | (has("debit") & has("credit")))
+
+
 def headers(grid: DataFrame) -> DataFrame:
     """(statement_id, header, columns): the first of a file's first rows that names a date and money."""
     rows = grid.filter(F.col("number") <= HEADER_ROWS).select(KEY, "number", column_map(F.col("cells")).alias("columns"))
-    has = lambda f: F.map_contains_key("columns", f)
-    rows = rows.filter(has("date") & (has("balance") | has("amount") | (has("debit") & has("credit"))))
+    rows = rows.filter(names_columns(F.col("columns")))
     return rows.groupBy(KEY).agg(F.min("number").alias("header"), F.min_by("columns", "number").alias("columns"))
 
 

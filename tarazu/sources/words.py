@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates, money
 from ..functions.bind import bind
-from .statements import CLOSING, KEY, OPENING, SUMMARY, column_map
+from .statements import CLOSING, KEY, OPENING, SUMMARY, column_map, names_columns
 
 #: How far words of one line lie apart vertically; the gaps inside a heading; a gap that sets a line apart; how far below a label its value stands.
 LINE_TOLERANCE, LABEL_GAP, GAP_RATIO, MIN_LABEL_GAP, BREAK_RATIO, VALUE_DROP = 3.0, 12.0, 3.0, 4.0, 1.6, 40.0
@@ -48,8 +48,7 @@ def labels(placed: DataFrame) -> DataFrame:
 def page_columns(labelled: DataFrame) -> DataFrame:
     """(statement_id, page, header, names, fields, edges): each page's columns, by its own header or the last one before. Boundaries lie midway between headings."""
     heads = labelled.filter(F.size("labels") >= 3).withColumn("fields", column_map(F.transform("labels", lambda x: x["text"])))
-    has = lambda f: F.map_contains_key("fields", f)
-    heads = heads.filter(has("date") & (has("balance") | has("amount") | (has("debit") & has("credit"))))
+    heads = heads.filter(names_columns(F.col("fields")))
     first = heads.groupBy(*PAGE).agg(F.min("line").alias("header"), F.min_by(F.struct("labels", "fields"), "line").alias("h"))
     pages = labelled.select(*PAGE).distinct().join(first, PAGE, "left")
     pages = pages.withColumn("h", F.last("h", ignorenulls=True).over(Window.partitionBy(KEY).orderBy("page"))).filter("h is not null")
