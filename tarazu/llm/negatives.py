@@ -5,7 +5,7 @@ the anchor. Rows are augmented by a component that gives all of them one length,
 M the largest squared length, and anchors by 0, which makes the inner product a Euclidean distance:
 d^2 = |q|^2 + M - 2 score. A pivot table stores the distances of every row to ``PIVOTS`` pivots. By
 the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) <= d(q, p) + d(x, p), so the pivots bracket a
-row's score; a bracket that ends below what others surely reach, or outside the asked window, drops
+row's score; a bracket that ends below what others surely reach, or outside the asked windows, drops
 the row, and the survivors' scores are computed exactly.
 
 Rows are dealt by hash into chunks of about ``CHUNK`` rows and anchors into blocks of about
@@ -88,19 +88,21 @@ def pivot_table(rows: DataFrame, pivots: np.ndarray, width: int, most: float) ->
 
 
 def brackets(q: np.ndarray, dq: np.ndarray, d: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds below and above of the scores of an anchor with rows, by their distances to the pivots."""
+    """Bounds below and above of the scores of an anchor with rows; d has a row for each pivot."""
     total = float(q @ q) + most
     slack = SLACK * total + 1e-6
-    near = np.abs(d - dq).max(axis=1, initial=0)
-    far = (d + dq).min(axis=1, initial=np.inf)
+    near = np.abs(d - dq[:, None]).max(axis=0, initial=0)
+    far = (d + dq[:, None]).min(axis=0, initial=np.inf)
     return (total - far**2) / 2 - slack, (total - near**2) / 2 + slack
 
 
-def exact(vectors: np.ndarray, q: np.ndarray, most: float) -> np.ndarray:
-    """Inner products as whole numbers; floats hold them where no partial sum reaches 2^53."""
+def exact(vectors: np.ndarray, at: np.ndarray, q: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of some rows as whole numbers; floats hold them where no partial sum reaches 2^53."""
     if most < 2**52:
-        return np.rint(vectors @ q).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(v, q, strict=True)) for v in vectors], object).astype(np.int64)
+        # where most rows are asked for, a product with all is cheaper than their copy
+        products = (vectors @ q)[at] if 2 * len(at) > len(vectors) else vectors[at] @ q
+        return np.rint(products).astype(np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(v, q, strict=True)) for v in vectors[at]], object).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -155,15 +157,20 @@ def mined(df: DataFrame, anchors_every: int = 100, n_positives: int = N_POSITIVE
 
     def positives(mine: pa.Table, asked: pa.Table) -> Iterator[tuple]:
         ids, labels, ties, vectors, d = arrays(mine)
-        of = {x: np.nonzero(labels == x)[0] for x in np.unique(labels).tolist()}
+        of = {}
+        for y in np.unique(labels).tolist():
+            at = np.nonzero(labels == y)[0]
+            of[y] = ids[at], ties[at], vectors[at], np.ascontiguousarray(d[at].T)
         for a, y, tie, q, dq in anchor_rows(asked):
-            at = of.get(int(y), np.zeros(0, int))
-            at = at[ids[at] != a]
-            low, high = brackets(q, dq, d[at], most)
-            at = at[high >= kth(low, n_positives)]
-            scores = exact(vectors[at], q, most)
-            for k in best(scores, ids[at], n_positives):
-                yield a, y, tie, ids[at[k]], scores[k], ties[at[k]]
+            if int(y) not in of:
+                continue
+            own_ids, own_ties, own_vectors, own_d = of[int(y)]
+            low, high = brackets(q, dq, own_d, most)
+            other = own_ids != a
+            at = np.nonzero(other & (high >= kth(low[other], n_positives)))[0]
+            scores = exact(own_vectors, at, q, most)
+            for k in best(scores, own_ids[at], n_positives):
+                yield a, y, tie, own_ids[at[k]], scores[k], own_ties[at[k]]
 
     near = searched(rows, anchors, positives, POSITIVE, n_rows, n_anchors)
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "id", "tie"))
@@ -174,20 +181,16 @@ def mined(df: DataFrame, anchors_every: int = 100, n_positives: int = N_POSITIVE
 
     def negatives(mine: pa.Table, wanted: pa.Table) -> Iterator[tuple]:
         ids, labels, ties, vectors, d = arrays(mine)
+        by_pivot = np.ascontiguousarray(d.T)
         for (a, y, tie, q, dq), ps, ss in zip(anchor_rows(wanted), wanted.column("p").to_pylist(), wanted.column("s").to_pylist(), strict=True):
-            low, high = brackets(q, dq, d, most)
-            other = (labels != y) & (ids != a)
+            if max(ss) < 0:
+                continue  # no score is both over 80 % of a negative one and under it
+            low, high = brackets(q, dq, by_pivot, most)
+            at = np.nonzero((high >= min(s for s in ss if s >= 0) * least_share / 100) & (low <= max(ss)) & (labels != y) & (ids != a))[0]
+            scores = exact(vectors, at, q, most)
             for j, (p, s) in enumerate(zip(ps, ss, strict=True)):
-                if s < 0:
-                    continue  # no score is both over 80 % of it and under it
-                least = s * least_share / 100
-                at = np.nonzero(other & (high >= least) & (low <= s))[0]
-                sure = (low[at] >= least) & (high[at] <= s)
-                at = at[high[at] >= kth(low[at[sure]], n_negatives)]
-                scores = exact(vectors[at], q, most)
-                fit = [100 * int(x) >= least_share * s and x <= s for x in scores]
-                at, scores = at[fit], scores[fit]
-                for k in best(scores, ids[at], n_negatives):
+                fit = np.nonzero((100 * scores >= least_share * s) & (scores <= s))[0]
+                for k in fit[best(scores[fit], ids[at[fit]], n_negatives)]:
                     yield a, y, tie, j, p, s, ids[at[k]], scores[k], ties[at[k]]
 
     found = searched(rows, asked, negatives, NEGATIVE, n_rows, n_anchors)

@@ -149,7 +149,7 @@ def test_brackets_hold_and_drop_rows():
     kept = []
     for q in rows[::29]:
         dq = negatives.distances(np.r_[q, 0][None], pivots)[0]
-        low, high = negatives.brackets(q, dq, d, most)
+        low, high = negatives.brackets(q, dq, d.T, most)
         scores = rows @ q
         assert (low <= scores).all() and (scores <= high).all()
         kept.append((high >= negatives.kth(low, 5)).mean())
