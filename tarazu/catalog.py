@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions import dates, merchants, money, narration
 from .operators import insights, linking, patterns, reconcile, report
-from .plans import ledger as labels, question
+from .plans import evaluation, ledger as labels, question
 from .plans.query import Period, Query, count, evidence, select, top, total
 from .sinks import export
 from .session import written
@@ -487,7 +487,7 @@ def labelled_ledger(spark, sf_dir):
     name = F
     for k, (weld, *_) in enumerate(WELDS):
         name = name.when(F.col("m") == k, weld)
-    spoken = F.when(F.col("m") == 5, "blue moon traders").otherwise("paid")
+    spoken = F.when(F.col("m") == 5, "blue moon traders").when(F.col("m") == 3, "fresh dairy milk").otherwise("paid")
     rows = e.select("statement_id", "seq", F.concat(F.lit("UPI/"), name.otherwise(None), F.lit("/"), F.concat(F.lit("x"), F.col("seq").cast("string")), F.lit("@icici/"), spoken).alias("narration"))
     return labels.labelled(rows).select("statement_id", "seq", "name", "category")
 
@@ -503,9 +503,101 @@ union all select 4, 'total', null, 0, 'tesco' union all select 5, null, null, 0,
 def ask_questions(spark, sf_dir):
     """English questions over the ledger; unknown names are refused, other texts aren't taken."""
     rows = written(adapter.ledger(spark, sf_dir), "ledger")
-    found = [(k, question.ask(text, rows)) for k, text in enumerate(QUESTIONS)]
-    table = [(k, a.query.intent if a.query else None, a.amount, a.n, ", ".join(a.refused)) for k, a in found]
-    return spark.createDataFrame(table, "k int, intent string, amount long, n long, refused string")
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "k int, text string")
+    return question.answered(asked, rows).select("k", "intent", "amount", "n", F.array_join("refused", ", ").alias("refused"))
+
+
+ASKED = """, q as (select 0 g, c.category x, cast(sum(amount) as bigint) amount, count(amount) n, '' refused, 'total' intent from (select 'c' || range category from range(3)) c
+    left join l on l.category = c.category and direction = 'debit' and "date" between '2024-01-01' and '2024-01-31' group by c.category
+  union all select 1, c."name", cast(coalesce(sum(amount), 0) as bigint), count(amount), '', 'count' from (select 'm' || range "name" from range(8)) c left join l on l."name" = c."name" and direction = 'debit' group by c."name"
+  union all select 2, category, cast(max(a) as bigint), least(count(*), 5), '', 'top' from (select category, "name", sum(amount) a from l where direction = 'debit' group by all) group by category
+  union all select 3, c."name", cast(sum(amount) as bigint), count(amount), '', 'total' from (select 'm' || range "name" from range(8)) c left join l on l."name" = c."name" and direction = 'credit' and year("date") = 2024 group by c."name"),
+w as (select seq, seq % 6 g, case seq % 6 when 0 then 'c' || (seq % 3) when 1 then 'm' || (seq % 8) when 2 then 'c' || (seq % 3) when 3 then 'm' || (seq % 8) end x from l)"""
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """(seq, text): a question for each event: of a category in a month, of a merchant, of a largest spend, of income, of a shop that no ledger knows, and none at all."""
+    seq = F.col("event_id")
+    kind, shop, sort = seq % 6, F.concat(F.lit("m"), (seq % 8).cast("string")), F.concat(F.lit("c"), (seq % 3).cast("string"))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    text = (
+        F.when(kind == 0, say("How much did I spend on ", sort, " in January 2024?"))
+        .when(kind == 1, say("how many times did I pay ", shop))
+        .when(kind == 2, say("What was my biggest expense in ", sort, "?"))
+        .when(kind == 3, say("How much income did I receive from ", shop, " in 2024?"))
+        .when(kind == 4, say("how much did I spend at Tesco", seq.cast("string")))
+        .otherwise(say("tell me joke ", seq.cast("string")))
+    )
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(seq.alias("seq"), text.alias("text"))
+
+
+@query(LEDGER + ASKED + """ select w.seq, case w.g when 4 then 'total' when 5 then null else q.intent end intent, w.g <> 5 understood, case w.g when 4 then 'tesco' || w.seq else '' end refused, q.amount, coalesce(q.n, 0) n
+  from w left join q on w.g = q.g and w.x = q.x""")
+def questions_table(spark, sf_dir):
+    """Thousands of questions in one plan: each distinct text is read once, each distinct query computed once."""
+    rows = written(adapter.ledger(spark, sf_dir), "ledger")
+    return question.answered(_asked(spark, sf_dir), rows).select("seq", "intent", "understood", F.array_join("refused", ", ").alias("refused"), "amount", "n")
+
+
+@query(LEDGER + """, a as (select seq, seq % 7 g, 'c' || (seq % 3) category, 'm' || (seq % 8) "name" from l),
+t as (select category, cast(sum(amount) as bigint) amount, count(*) n from l where direction = 'debit' and on_card group by category),
+c as (select "name", cast(sum(amount) as bigint) amount, count(*) n from l where direction = 'credit' and "date" between '2024-01-05' and '2024-01-20' group by "name")
+select a.seq, case g when 0 then 'total' when 1 then 'count' when 6 then 'duplicates' end intent, case when g = 1 then a."name" end merchant, case when g = 0 then a.category end category,
+  case g when 0 then 'debit' when 1 then 'credit' end direction, case g when 0 then t.amount when 1 then coalesce(c.amount, 0) end amount, case g when 0 then coalesce(t.n, 0) when 1 then coalesce(c.n, 0) end n,
+  case g when 2 then 'merchant: nothing is called shop' || a.seq || ' here' when 3 then 'direction: not a direction: sideways; period: the period ends before it starts' when 4 then 'answer: not a JSON object' when 5 then 'intent: unsure about ' || a.seq end reasons
+from a left join t on g = 0 and t.category = a.category left join c on g = 1 and c."name" = a."name" """)
+def model_answers(spark, sf_dir):
+    """A model's answers as JSON, one for each event: those that are queries with their figures, the others with all their faults."""
+    rows = written(adapter.ledger(spark, sf_dir), "ledger")
+    seq = F.col("event_id")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    kind, shop, sort = seq % 7, F.concat(F.lit("m"), (seq % 8).cast("string")), F.concat(F.lit("c"), (seq % 3).cast("string"))
+    text = (
+        F.when(kind == 0, say('{"intent": "TOTAL", "category": "', sort, '", "on_card": true, "merchant": null}'))
+        .when(kind == 1, say('Here:\n```json\n{"intent": "count", "merchant": " ', shop, ' ", "direction": "In", "on_card": true, "period": {"start": "2024-01-05", "end": "2024-01-20"}}\n```'))
+        .when(kind == 2, say('{"intent": "total", "merchant": "shop', seq.cast("string"), '"}'))
+        .when(kind == 3, say('{"intent": "total", "direction": "sideways", "period": {"start": "2024-02-01", "end": "2024-01-01"}}'))
+        .when(kind == 4, say("I can't say, {", seq.cast("string"), ")"))
+        .when(kind == 5, say('{"intent": null, "reason": "unsure about ', seq.cast("string"), '"}'))
+        .otherwise(say('{"intent": "duplicates", "category": "', sort, '", "direction": "out"}'))
+    )
+    answers = spark.read.parquet(f"{sf_dir}/events.parquet").select(seq.alias("answer_id"), text.alias("text"))
+    good, rejects = question.model_queries(answers, rows)
+    figured = question.with_figures(good, rows).withColumn("counted", F.col("intent") != "duplicates")
+    faults = rejects.groupBy("answer_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("field", F.lit(": "), "reason"))), "; ").alias("reasons"))
+    columns = ["intent", "merchant", "category", "direction", *(F.when(F.col("counted"), F.col(c)).alias(c) for c in ("amount", "n"))]
+    return figured.select(F.col("answer_id").alias("seq"), *columns).unionByName(faults.withColumnRenamed("answer_id", "seq"), allowMissingColumns=True)
+
+
+@query(LEDGER + ASKED + """, texts as (select distinct case g when 0 then 'How much did I spend on ' || x || ' in January 2024?' when 1 then 'how many times did I pay ' || x when 2 then 'What was my biggest expense in ' || x || '?' when 3 then 'How much income did I receive from ' || x || ' in 2024?' when 4 then 'how much did I spend at Tesco' || seq else 'tell me joke ' || seq end "text", g, x from w),
+r as (select r.range r, t.*, q.amount,
+    case when cast('0x' || substr(sha256(lower(t."text")), 1, 8) as bigint) % 100 < 40 then 'test' else 'dev' end split, case when t.g < 3 then 'spending' when t.g = 3 then 'income' else 'refusal' end kind,
+    r.range = 0 or t.g not in (0, 3) query_ok,
+    r.range = 0 or t.g not in (0, 3) or (t.g = 0 and q.amount is not distinct from e.amount) or (t.g = 3 and q.amount is not distinct from d.amount) answer_ok, t.g > 3 refused, length(t."text") + 10 * r.range ms
+  from texts t, range(2) r left join q on t.g = q.g and t.x = q.x
+  left join (select category, cast(sum(amount) as bigint) amount from l where direction = 'debit' group by category) e on t.g = 0 and e.category = t.x
+  left join (select "name", cast(sum(amount) as bigint) amount from l where direction = 'debit' and year("date") = 2024 group by "name") d on t.g = 3 and d."name" = t.x)
+select case r when 0 then 'reader' else 'careless' end reader, kind, split, count(*) n, count(*) filter (query_ok) queries_ok, count(*) filter (answer_ok) answers_ok, count(*) filter (refused) refused, cast(median(ms) as double) p50_latency_ms
+from r group by cube(r, kind, split) having r is not null""")
+def evaluation_cards(spark, sf_dir):
+    """The reader of questions, and one that overlooks periods and income, scored on the distinct questions of questions_table by kind and split; the right queries are built from what each question was made of."""
+    rows = written(adapter.ledger(spark, sf_dir), "ledger")
+    texts = written(_asked(spark, sf_dir).select("text", (F.col("seq") % 6).alias("g")).distinct(), "asked")
+    found = written(question.answered(texts, rows), "read")
+    refused = F.size("refused") > 0
+    fields = [F.when(~refused, F.col(c)).alias(c) for c in question.QUERY]
+    taken = found.select("text", *fields, F.length("text").cast("double").alias("latency_ms"), F.lit(0.0).alias("cost"))
+    careless = taken.withColumns({"start": F.lit(None).cast("date"), "end": F.lit(None).cast("date"), "direction": F.when(F.col("intent").isNotNull(), "debit"), "latency_ms": F.col("latency_ms") + 10})
+    # only questions of income keep their year, so that the direction alone is misread there
+    careless = careless.alias("c").join(taken.select("text", F.col("start").alias("s"), F.col("end").alias("e"), F.col("direction").alias("side")), "text").withColumns({"start": F.when(F.col("side") == "credit", F.col("s")), "end": F.when(F.col("side") == "credit", F.col("e"))}).drop("s", "e", "side")
+    attempts = taken.withColumn("reader", F.lit("reader")).unionByName(careless.withColumn("reader", F.lit("careless")))
+    word = lambda k: F.regexp_extract("text", k, 1)
+    g = F.col("g")
+    intent = F.when(g.isin(0, 3), "total").when(g == 1, "count").when(g == 2, "top")
+    day = lambda m, d: F.when(g == 0, F.lit(date(2024, 1, d))).when(g == 3, F.lit(date(2024, m, 31 if m == 12 else 1)))
+    gold = texts.select("text", F.when(g < 3, "spending").when(g == 3, "income").otherwise("refusal").alias("kind"), intent.alias("intent"), F.when(g.isin(1, 3), word(r"\b(m\d+)\b")).alias("merchant"), F.when(g.isin(0, 2), word(r"\b(c\d+)\b")).alias("category"), day(1, 1).alias("start"), day(12, 31).alias("end"), F.when(g == 3, "credit").when(g < 3, "debit").alias("direction"), F.lit(None).cast("boolean").alias("on_card"))
+    cards = evaluation.scorecards(written(evaluation.judged(attempts, gold, rows), "judged"))
+    return cards.drop("cost")
 
 
 #: Where the printed columns start, in points, and how many rows a page has.

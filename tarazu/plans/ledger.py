@@ -11,15 +11,16 @@ from ..session import written
 KEY = "statement_id"
 
 
-def labelled(transactions: DataFrame) -> DataFrame:
+def labelled(transactions: DataFrame, words: list[str] | None = None) -> DataFrame:
     """transactions(statement_id, seq, narration, ...) with name, category, kind, source, channel and counterparty.
 
-    Each statement's narrations teach it words; each distinct counterparty of a statement is cut and labelled once.
+    Each statement's narrations teach it words, and those of several teach all; each distinct counterparty of a
+    statement is cut and labelled once. words: known ones, commonest first, in place of the lexicon's.
     """
-    seed = segments.known(transactions.sparkSession)
-    words = segments.learnt(transactions, seed)
+    seed = segments.vocabulary(transactions, words)
+    own = segments.learnt(transactions, seed)
     narrations = written(transactions.select(KEY, "narration").distinct().withColumn("text", parse_narration(F.col("narration"))["counterparty"]), "narrations")
-    cut = segments.segmented(narrations, words, seed)
+    cut = segments.segmented(narrations, own, seed)
     labels = narrations.join(cut, [KEY, "text"]).select(KEY, "narration", merchants.identify(F.col("narration"), F.col("words")).alias("label"))
     # a null narration meets its own label
     same = [transactions[KEY] == labels[KEY], transactions["narration"].eqNullSafe(labels["narration"])]

@@ -26,8 +26,12 @@ def ledger(spark):
     return df.cache()
 
 
+#: The words that the tests know from the start, commonest first.
+KNOWN = "the and pay india bank card cash bill shop store mart gold air airlines airways business class fare cab cabs auto designs instamart fresh dairy milk salary credit acme technologies".split() + segments.brand_words()
+
+
 def cut(spark, *texts):
-    seed = segments.known(spark)
+    seed = segments.known(spark, KNOWN)
     names = spark.createDataFrame([("s", t) for t in texts], "statement_id string, text string")
     none = spark.createDataFrame([], "statement_id string, word string, cost double")
     return {r["text"]: r["words"] for r in segments.segmented(names, none, seed).collect()}
@@ -50,7 +54,7 @@ def brute_cover(run, costs):
 
 
 def test_covers_are_the_cheapest(spark):
-    costs = {r["word"]: r["cost"] for r in segments.known(spark).collect()}
+    costs = {r["word"]: r["cost"] for r in segments.known(spark, KNOWN).collect()}
     runs = ["freshdairymilkstore", "cashcardbank", "theandpaybill", "airlinesairways", "goldshopmart", "businessclassfare", "cabscabsauto"]
     out = cut(spark, *runs)
     assert {x: out[x] for x in runs} == {x: brute_cover(x, costs) for x in runs}
@@ -58,7 +62,7 @@ def test_covers_are_the_cheapest(spark):
 
 def test_words_are_learnt_in_order_and_long_ones_are_not(spark):
     rows = spark.createDataFrame([("s", 2, "blue moon traders"), ("s", 1, "moon SWIGGYINSTAMART bank"), ("t", 1, "other words")], "statement_id string, seq long, narration string")
-    seed = segments.known(spark)
+    seed = segments.known(spark, KNOWN)
     out = {(r["statement_id"], r["word"]): r["cost"] for r in segments.learnt(rows, seed).collect()}
     assert set(out) == {("s", "moon"), ("s", "blue"), ("s", "traders"), ("t", "other"), ("t", "words")}
     assert out["s", "moon"] < out["s", "blue"] < out["s", "traders"]
@@ -66,13 +70,24 @@ def test_words_are_learnt_in_order_and_long_ones_are_not(spark):
     assert (ratio["tokens"], ratio["welded"]) == (6, 1)
 
 
-def test_periods():
-    of = lambda t: question.period_of(t, DAY)
+def test_words_of_several_statements_are_known_to_all(spark):
+    rows = [("s", 1, "blue moon traders"), ("t", 1, "moon blue"), ("t", 2, "moon moon"), ("u", 1, "MOON alone"), ("u", 2, None), ("u", 3, "SWIGGYINSTAMARTS moontrip")]
+    seed = segments.vocabulary(spark.createDataFrame(rows, "statement_id string, seq long, narration string"))
+    costs = {r["word"]: r["cost"] for r in seed.collect()}
+    assert {"blue", "moon", "swiggy"} <= set(costs) and not {"traders", "alone", "moontrip", "swiggyinstamarts"} & set(costs) and costs["moon"] < costs["blue"]
+
+
+def test_periods(spark):
+    def of(text, as_of=DAY):
+        row = spark.createDataFrame([(text,)], "text string").select(question.period(F.col("text"), F.lit(as_of).cast("date")).alias("p")).select("p.start", "p.end", question.label(F.col("p.start"), F.col("p.end")).alias("label")).first()
+        return Period(*row) if row["start"] else None
+
     assert of("spend in march") == Period(date(2024, 3, 1), date(2024, 3, 31), "March 2024")
     assert of("how much may i have spent") is None and of("in may").start == date(2024, 5, 1) and of("may 2023").end == date(2023, 5, 31)
     assert of("january to march") == Period(date(2024, 1, 1), date(2024, 3, 31), "January to March 2024")
-    assert of("last month").label == "February 2024" and question.period_of("last month", date(2024, 1, 9)).label == "December 2023"
-    assert of("this month").label == "March 2024" and of("in 2022") == Period(date(2022, 1, 1), date(2022, 12, 31), "2022") and of("ever") is None and question.period_of("in march", None) is None
+    assert of("last month").label == "February 2024" and of("last month", date(2024, 1, 9)).label == "December 2023"
+    assert of("this month").label == "March 2024" and of("in 2022") == Period(date(2022, 1, 1), date(2022, 12, 31), "2022") and of("ever") is None and of("in march", None) is None
+    assert of("march to January").label == "January 2024" and of("from March to January").end == date(2024, 1, 31) and of("by AUG 2021").label == "August 2021" and of("marching in") is None
 
 
 def test_questions(ledger):
