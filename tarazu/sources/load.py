@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import written
-from . import cards, statements
+from . import cards, delimited, statements
 from .statements import KEY, Format
 
 
@@ -37,3 +37,9 @@ def load(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,
     """All statement files under the paths; formats: further formats, tried first."""
     files = written(statements.read_files(spark, path, pattern, formats), "grid")
     return from_grid(files.filter("reason is null").drop("reason"), files.filter("reason is not null").select(KEY, "reason"))
+
+
+def load_delimited(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt}") -> Loaded:
+    """Delimited files under the paths, scanned in splits: a file may be of any size."""
+    rows = written(delimited.scan(spark, path, pattern), "grid")
+    return from_grid(rows.filter("reason is null").select(KEY, "number", "cells"), rows.filter("reason is not null").select(KEY, "reason"))
