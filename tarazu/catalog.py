@@ -11,7 +11,7 @@ from .functions import dates, merchants, money, narration
 from .operators import insights, linking, patterns, reconcile, report
 from .plans import evaluation, ledger as labels, question
 from .plans.query import Period, Query, count, evidence, select, top, total
-from .sinks import export
+from .sinks import export, payload
 from .session import written
 from .sources import adapter, load, tables, words
 from .streaming import budget
@@ -404,6 +404,41 @@ def request_budget(spark, sf_dir):
     return budget.admitted(e, seconds=86_400, allowance=3)
 
 
+@query("""q as (select user_id client, cast(floor(epoch(ts::timestamp)) as bigint) "at", event_id seq, event_type <> 'error' reachable, cast(json_extract_string(props, '$.k') as bigint) % 3 <> 0 good from events),
+o as (select *, row_number() over (partition by client order by "at", seq) rn from q),
+step as (select client, cast(0 as bigint) rn, cast(null as bigint) "at", cast(null as bigint) seq, cast(null as varchar) source, false good, cast(null as bigint) since, false was from (select distinct client from q)
+  union all
+  select s.client, o.rn, o."at", o.seq, w.source, case w.source when 'asked' then o.good when 'unreachable' then false else s.was end, case when w.source = 'asked' then o."at" else s.since end, case when w.source = 'asked' then o.good else s.was end
+  from step s join o on o.client = s.client and o.rn = s.rn + 1, lateral (select case when o."at" - s.since < 43200 then 'remembered' when o.reachable then 'asked' when s.was and o."at" - s.since < 259200 then 'grace' else 'unreachable' end source) w)
+select client, "at", seq, source, good from step where rn > 0""", recursive=True)
+def remembered_verdicts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("long")
+    lookups = e.select(F.col("user_id").alias("client"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("reachable"), (k % 3 != 0).alias("good"))
+    return budget.remembered(lookups, fresh=43_200, grace=259_200)
+
+
+@query(BOOKS + """, p as (select statement_id, count(*) k, string_agg('{"seq":' || seq || ',"date":"' || cast("date" as varchar) || '","direction":"' || direction || '","amount":' || amount || ',"balance":' || coalesce(cast(balance as varchar), 'null') || '}', ',' order by seq) j from t group by 1),
+f as (select statement_id, string_agg('{"seq":' || seq || ',"row":' || "row" || ',"expected":' || expected || ',"actual":' || actual || ',"delta":' || delta || '}', ',' order by seq) j from (""" + ORACLE["chain_faults"] + """) group by 1),
+d as (select statement_id, string_agg('{"name":"' || "name" || '","amount":' || amount || ',"n":' || n || ',"exposure":' || exposure || '}', ',' order by "name", amount, n, exposure) j from (""" + ORACLE["duplicates"] + """) group by 1),
+c as (select statement_id, string_agg('{"name":"' || "name" || '","typical":' || typical || ',"annualised":' || annualised || '}', ',' order by "name", typical, annualised) j from (""" + ORACLE["recurring"] + """) group by 1)
+select s.statement_id, '{"statement_id":"' || s.statement_id || '","totals":{"opening":' || s.opening || ',"closing":' || cast(s.closing as bigint) || '},"transactions":[' || coalesce(p.j, '') || '],"discrepancies":[' || coalesce(f.j, '') || '],"doubled":[' || coalesce(d.j, '') || '],"recurring":[' || coalesce(c.j, '') || ']}' payload
+from s left join p using (statement_id) left join f using (statement_id) left join d using (statement_id) left join c using (statement_id)""", recursive=True)
+def statement_payloads(spark, sf_dir):
+    """One JSON document for each statement, from five tables that are grouped once."""
+    ledger = adapter.ledger(spark, sf_dir)
+    rows, books = adapter.transactions(ledger), adapter.statements(ledger)
+    return payload.payloads(
+        {"totals": books.select("statement_id", "opening", "closing")},
+        {
+            "transactions": (rows.select("statement_id", "seq", "date", "direction", "amount", "balance"), ["seq"]),
+            "discrepancies": (reconcile.chain_faults(rows, books), ["seq"]),
+            "doubled": (patterns.duplicates(ledger).select("statement_id", "name", "amount", "n", "exposure"), ["name", "amount", "n", "exposure"]),
+            "recurring": (patterns.recurring(ledger).select("statement_id", "name", "typical", "annualised"), ["name", "typical", "annualised"]),
+        },
+    )
+
+
 # statement files
 
 

@@ -33,9 +33,9 @@ def from_grid(grid: DataFrame, rejects: DataFrame | None = None) -> Loaded:
     return Loaded(banks, card, rows, out if rejects is None else out.unionByName(rejects))
 
 
-def load(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt,xlsx,xls,pdf}", formats: tuple[Format, ...] = ()) -> Loaded:
-    """All statement files under the paths; formats: further formats, tried first."""
-    files = written(statements.read_files(spark, path, pattern, formats), "grid")
+def load(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt,xlsx,xls,pdf}", formats: tuple[Format, ...] = (), **limits: int) -> Loaded:
+    """All statement files under the paths; formats: further formats, tried first; limits: those of read_files()."""
+    files = written(statements.read_files(spark, path, pattern, formats, **limits), "grid")
     return from_grid(files.filter("reason is null").drop("reason"), files.filter("reason is not null").select(KEY, "reason"))
 
 

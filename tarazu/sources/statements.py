@@ -38,6 +38,8 @@ MASKED = r"((?:[Xx]{2,}|\*{2,})\s?\d{3,6})\b"
 LABELLED = r"(?i)\baccount\s*(?:no\.?|number|#)?\s*[:\-]\s*(\d{6,20})\b"
 OLE2 = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 HEADER_ROWS, LOOK_AHEAD, SNIFFED = 40, 6, 4096
+#: Files are one value each here, which can't be larger than 2 GiB.
+MOST_BYTES = 1 << 30
 KEY = "statement_id"
 
 
@@ -75,9 +77,24 @@ def delimited(content: bytes, path: str) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
 
 
-def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt,xlsx,xls,pdf}", formats: tuple[Format, ...] = ()) -> DataFrame:
-    """cut_files() of every file under the paths. A file that several paths reach is read once."""
-    return cut_files(found_files(spark, path, pattern), formats)
+def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt,xlsx,xls,pdf}", formats: tuple[Format, ...] = (), most_bytes: int = MOST_BYTES, most_files: int | None = None) -> DataFrame:
+    """cut_files() of every file under the paths. A file that several paths reach is read once.
+
+    Larger files, and those of a folder after its first most_files by name, are refused unread: what is too large is
+    told by the listing, and the limit reaches the scan. Spark lists no empty files. Delimited files of any size:
+    sources.delimited.
+    """
+    files = found_files(spark, path, pattern)
+    listing = files.select("path", "length")
+    reason = F.when(F.col("length") > most_bytes, f"larger than {most_bytes} bytes")
+    taken = files.filter(F.col("length") <= most_bytes)
+    if most_files is not None:
+        folder = Window.partitionBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).orderBy("path")
+        listing = listing.withColumn("k", F.row_number().over(folder))
+        reason = F.coalesce(reason, F.when(F.col("k") > most_files, f"over {most_files} files in a folder"))
+        taken = taken.join(listing.filter(F.col("k") <= most_files).select("path"), "path", "left_semi")
+    refused = listing.select(F.col("path").alias(KEY), reason.alias("reason")).filter("reason is not null")
+    return cut_files(taken, formats).unionByName(refused.withColumns({"number": F.lit(1), "cells": F.lit(None).cast("array<string>")}).select(KEY, "number", "cells", "reason"))
 
 
 def cut_files(files: DataFrame, formats: tuple[Format, ...] = ()) -> DataFrame:

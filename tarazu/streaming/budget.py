@@ -1,13 +1,11 @@
-"""Request budgets: at most so many admitted requests of a client in any window; refusals aren't counted."""
+"""Request budgets, at most so many admitted requests of a client in any window (refusals aren't counted); remembered verdicts; sums and sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SCHEMA = "client long, at long, seq long, admitted boolean"
+from ..functions.bind import bind
+from .folds import in_event_time
 
 
 def admitted(requests: DataFrame, seconds: int = 60, allowance: int = 12) -> DataFrame:
@@ -26,26 +24,55 @@ def admitted(requests: DataFrame, seconds: int = 60, allowance: int = 12) -> Dat
     return out.select("client", "x.at", "x.seq", "x.admitted")
 
 
-def admitted_stream(requests: DataFrame, seconds: int = 60, allowance: int = 12) -> DataFrame:
-    """The same over a stream, with the client's hits as state that times out after the window."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-        out = []
-        for at in rows["at"]:
-            hits = [h for h in hits if h > at - seconds]
-            out.append(len(hits) < allowance)
-            if out[-1]:
-                hits.append(int(at))
-        state.update((hits,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield rows.assign(admitted=out)[["client", "at", "seq", "admitted"]]
-
-    return requests.select("client", "at", "seq").groupBy("client").applyInPandasWithState(step, SCHEMA, "hits array<long>", "append", "ProcessingTimeTimeout")
+def admitted_stream(requests: DataFrame, seconds: int = 60, allowance: int = 12, late: str = "1 minute") -> DataFrame:
+    """The same over a stream, whatever triggers its rows lie in and however long these are apart; a request is judged once the watermark has passed it."""
+
+    def step(memory: tuple, row: tuple) -> tuple[tuple, tuple]:
+        hits = [h for h in memory[0] if h > row[0] - seconds]
+        ok = len(hits) < allowance
+        return ([*hits, row[0]] if ok else hits,), (ok,)
+
+    return in_event_time(requests, [], ([],), step, "hits array<long>", "admitted boolean", seconds, late)
+
+
+def remembered(lookups: DataFrame, fresh: int = 300, grace: int = 86_400) -> DataFrame:
+    """lookups(client, at, seq, reachable, good) -> (client, at, seq, source, good): verdicts on a key, remembered for a while.
+
+    A verdict is used again for fresh seconds. After that the source is asked; where it can't be reached, a good
+    verdict is still used for grace seconds, and else there is none (source 'unreachable', good false).
+    """
+    ordered = lookups.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "reachable", "good"))).alias("r"))
+    out = "array<struct<at:bigint,seq:bigint,source:string,good:boolean>>"
+    start = F.struct(F.lit(None).cast("long").alias("since"), F.lit(False).alias("was"), F.array().cast(out).alias("out"))
+
+    def step(acc, x):
+        age = x["at"] - acc["since"]
+        source = F.when(age < fresh, "remembered").when(x["reachable"], "asked").when(acc["was"] & (age < grace), "grace").otherwise("unreachable")
+
+        def judge(source):
+            asked = source == "asked"
+            verdict = F.when(asked, x["good"]).when(source == "unreachable", False).otherwise(acc["was"])
+            row = F.struct(x["at"].alias("at"), x["seq"].alias("seq"), source.alias("source"), verdict.alias("good"))
+            return F.struct(F.when(asked, x["at"]).otherwise(acc["since"]).alias("since"), F.when(asked, x["good"]).otherwise(acc["was"]).alias("was"), F.array_append(acc["out"], row).alias("out"))
+
+        return bind(source, judge)
+
+    return ordered.select("client", F.inline(F.aggregate("r", start, step, lambda a: a["out"])))
+
+
+def remembered_stream(lookups: DataFrame, fresh: int = 300, grace: int = 86_400, late: str = "1 minute") -> DataFrame:
+    """The same over a stream."""
+
+    def step(memory: tuple, row: tuple) -> tuple[tuple, tuple]:
+        since, was = memory
+        at, reachable, good = row
+        if since is not None and at - since < fresh:
+            return memory, ("remembered", was)
+        if reachable:
+            return (at, good), ("asked", good)
+        return memory, ("grace", True) if was and at - since < grace else ("unreachable", False)
+
+    return in_event_time(lookups, ["reachable", "good"], (None, False), step, "since long, was boolean", "source string, good boolean", grace, late)
 
 
 def daily_totals(ledger: DataFrame, late: str = "2 days") -> DataFrame:

@@ -5,7 +5,7 @@ import io
 import random
 
 import pytest
-from tarazu.sources import delimited, load
+from tarazu.sources import datasource, delimited, load, statements
 
 
 def by_reader(text, delimiter=","):
@@ -69,3 +69,43 @@ def test_an_open_cell_is_followed_through_a_line():
     assert not delimited.open_after('a,"b"', False, ",") and delimited.open_after('a,"b', False, ",") and delimited.open_after('a"b', False, ",") is False
     assert delimited.open_after("b", True, ",") and not delimited.open_after('b",c', True, ",") and delimited.open_after('b"",c', True, ",") and delimited.open_after('b","c', True, ",")
     assert delimited.open_after('b";"c', True, ";") and not delimited.open_after('b";"c', True, ",")
+
+
+def test_limits_refuse_files_unread(spark, tmp_path, capsys):
+    bank = "HDFC Bank\nDate,Narration,Withdrawal Amt.,Deposit Amt.,Closing Balance\n03-Jan-2024,x,100.00,,900.00\n"
+    for k in range(4):
+        (tmp_path / f"b{k}.csv").write_text(bank)
+    (tmp_path / "large.csv").write_text(bank + "," * 5000)
+    found = load.load(spark, str(tmp_path), "*.csv", most_bytes=1000, most_files=3)
+    assert {r["statement_id"].rpartition("/")[2]: r["reason"] for r in found.rejects.collect()} == {"b3.csv": "over 3 files in a folder", "large.csv": "larger than 1000 bytes"}
+    assert found.banks.count() == 3
+    statements.read_files(spark, str(tmp_path), "*.csv", most_bytes=1000).explain("formatted")
+    assert "LessThanOrEqual(length,1000)" in capsys.readouterr().out
+
+
+BARS = (lambda content, path: path.endswith(".bar"), lambda content, path: [x.split("/") for x in content.decode().splitlines()])
+
+
+def test_statements_are_a_data_source(spark, tmp_path):
+    """Batch and stream give the rows of read_files(); a format of one's own is found by its name."""
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.csv").write_text("Date,Amount\n1,2\n")
+    (tmp_path / "in" / "deep" / "b.tsv").write_text("Date\tAmount\n")
+    (tmp_path / "in" / "c.bar").write_text("x/y\nz")
+    (tmp_path / "in" / "old.xls").write_bytes(statements.OLE2)
+    datasource.register(spark)
+    plain = lambda rows: sorted((r["statement_id"].rpartition("/")[2], r["number"], r["cells"], r["reason"]) for r in rows)
+    own = "statement_formats:BARS"
+    (tmp_path / "statement_formats.py").write_text("BARS = (lambda content, path: path.endswith('.bar'), lambda content, path: [x.split('/') for x in content.decode().splitlines()])\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "statement_formats.py"))
+    options = {"pattern": "*.{csv,tsv,bar,xls}", "formats": own}
+    batch = spark.read.format("statements").options(**options, partition_bytes="10").load(str(tmp_path / "in"))
+    expected = plain(statements.read_files(spark, str(tmp_path / "in"), options["pattern"], (BARS,)).collect())
+    assert plain(batch.collect()) == expected and len(expected) == 6 and batch.rdd.getNumPartitions() > 1
+    stream = lambda: spark.readStream.format("statements").options(**options).load(str(tmp_path / "in"))
+    run = lambda: stream().writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "marks")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(100)
+    assert run()
+    assert plain(spark.read.parquet(str(tmp_path / "out")).collect()) == expected
+    (tmp_path / "in" / "later.csv").write_text("Date,Amount\n")
+    assert run()
+    assert len(plain(spark.read.parquet(str(tmp_path / "out")).collect())) == len(expected) + 1
