@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.money import rupees
 from ..sources import workbook
+from .published import publish_csv, publish_workbook
 
 
 def rows(transactions: DataFrame, certificates: DataFrame) -> DataFrame:
@@ -83,11 +84,22 @@ def certificate_text(certificate: dict) -> str:
     return "\n".join(lines)
 
 
-def write(df: DataFrame, path: str) -> None:
-    """By suffix: .csv, .txt and none are CSV, .json is JSON lines."""
+def certificate_lines(certificates: DataFrame) -> DataFrame:
+    """(statement_id, line, text): what certificate_text() says of each, a row a line."""
+    of = lambda c: F.transform(c, lambda x: F.concat(F.lit(f"  {c[:-1]}: "), x))
+    head = F.concat(F.col("statement_id"), F.when(F.col("reconciled"), ": reconciled").otherwise(": NOT RECONCILED"))
+    return certificates.select("statement_id", F.posexplode(F.concat(F.array(head), *(of(c) for c in ("checks", "caveats", "failures")))).alias("line", "text"))
+
+
+def write(df: DataFrame, path: str, order: list[str] | None = None, certificates: DataFrame | None = None) -> None:
+    """One file, by suffix: .csv, .txt and none are CSV, .xlsx is a workbook with the certificates' lines beside the ledger; .json is a folder of JSON lines."""
     suffix = path.rpartition("/")[2].rpartition(".")[2].lower() if "." in path.rpartition("/")[2] else ""
+    order = [c for c in (order or ("date", "source", "source_file", "row", "seq")) if c in df.columns]
     if suffix in ("", "csv", "txt"):
-        write_csv(df, path)
+        publish_csv(df, path, order)
+    elif suffix == "xlsx":
+        proof = {} if certificates is None else {"Certificate": (certificate_lines(certificates), ["statement_id", "line"])}
+        publish_workbook({"Ledger": (df, order)} | proof, path)
     elif suffix == "json":
         write_json(df, path)
     else:

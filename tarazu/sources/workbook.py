@@ -85,22 +85,31 @@ def _name(k: int) -> str:
     return (_name(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
 
 
-def book(rows: list[list[object]]) -> bytes:
-    """A workbook of one sheet; numbers are numbers, null is no cell, all else is text."""
-    cell = lambda k, r, v: f'<c r="{_name(k)}{r}"><v>{v}</v></c>' if isinstance(v, int | float) and not isinstance(v, bool) or type(v).__name__ == "Decimal" else f'<c r="{_name(k)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-    body = "".join(f'<row r="{r}">' + "".join(cell(k, r, v) for k, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1))
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+MAIN, REL = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+SHEET_HEAD, SHEET_FOOT = f'{HEAD}<worksheet xmlns="{MAIN}"><sheetData>', "</sheetData></worksheet>"
+
+
+def frame(sheets: list[str]) -> dict[str, str]:
+    """The parts of a workbook around its sheets of these names."""
     package = "http://schemas.openxmlformats.org/package/2006"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    numbers = range(1, len(sheets) + 1)
     parts = {
-        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/{SHEET}1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="ledger" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        f"{SHEET}1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/{SHEET}{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in numbers) + "</Types>",
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets>' + "".join(f'<sheet name="{escape(name)}" sheetId="{k}" r:id="r{k}"/>' for k, name in zip(numbers, sheets, strict=True)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{REL}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>",
     }
+    return {name: HEAD + text for name, text in parts.items()}
+
+
+def book(rows: list[list[object]]) -> bytes:
+    """A workbook of one sheet; numbers are numbers, null is no cell, all else is text."""
+    cell = lambda k, r, v: f'<c r="{_name(k)}{r}"><v>{v}</v></c>' if isinstance(v, int | float) and not isinstance(v, bool) or type(v).__name__ == "Decimal" else f'<c r="{_name(k)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+    body = "".join(f'<row r="{r}">' + "".join(cell(k, r, v) for k, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
-        for path, text in parts.items():
-            target.writestr(path, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+        for path, text in (frame(["ledger"]) | {f"{SHEET}1.xml": SHEET_HEAD + body + SHEET_FOOT}).items():
+            target.writestr(path, text)
     return out.getvalue()
