@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -60,7 +61,25 @@ def cut(content: bytes, path: str, formats: tuple[Format, ...] = ()) -> list[lis
         raise Refused("an old binary workbook: save it as .xlsx or .csv")
     if content.startswith(b"%PDF"):
         raise Refused("needs_password" if b"/Encrypt" in content else "a PDF: words with their places are read by sources.words")
-    return workbook.grid(content) if content.startswith(b"PK\x03\x04") else delimited(content, path)
+    return first_table(content) if content.startswith(b"PK\x03\x04") else delimited(content, path)
+
+
+def names_money(cells: list[str]) -> bool:
+    """What names_columns() says of a row, for rows that aren't in Spark yet."""
+    plain = [re.sub(CURRENCY_SUFFIX, "", re.sub(TIME_SUFFIX, "", re.sub(r"[.:]+$", "", " ".join(c.lower().split())))).strip() for c in cells]
+    field = {name: f for f, names in ALIASES.items() for name in names}
+    found = {field.get(c) or field.get(c[:-1] if c.endswith("s") else "") for c in plain}
+    return "date" in found and bool({"balance", "amount"} & found or {"debit", "credit"} <= found)
+
+
+def first_table(content: bytes) -> list[list[str]]:
+    """The rows of a workbook's first sheet that has a header, or of its first sheet."""
+    first = None
+    for rows in workbook.sheets(content):
+        if any(map(names_money, rows[:HEADER_ROWS])):
+            return rows
+        first = rows if first is None else first
+    return first
 
 
 def delimited(content: bytes, path: str) -> list[list[str]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from datetime import date, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -13,7 +14,6 @@ from xml.sax.saxutils import escape
 DATE_FORMATS = frozenset((*range(14, 23), *range(45, 48)))
 DAY_ZERO = date(1899, 12, 30)
 SHEET = "xl/worksheets/sheet"
-MOST_BYTES = 1 << 30
 
 
 class Unreadable(ValueError):
@@ -46,6 +46,11 @@ def _date_styles(book: zipfile.ZipFile) -> list[bool]:
 
 
 def _shown(kind: str, value: str, dated: bool) -> str:
+    """A cell's value as a delimited file would have it: dates without times, neither truth values nor times of day, figures to the paisa."""
+    if kind == "b" or (dated and kind == "n" and 0 <= float(value) < 1):
+        return ""
+    if kind == "d":
+        return value[:10]
     if dated and kind == "n":
         return (DAY_ZERO + timedelta(days=int(float(value)))).isoformat()
     if kind == "n" and re.fullmatch(r"-?\d+\.\d{3,}(E-?\d+)?|-?\d+(\.\d+)?E[+-]?\d+", value):
@@ -53,34 +58,51 @@ def _shown(kind: str, value: str, dated: bool) -> str:
     return value
 
 
-def grid(content: bytes) -> list[list[str]]:
-    """The first sheet's rows; cells that aren't there are empty."""
+def _in_order(book: zipfile.ZipFile) -> list[str]:
+    """The parts of the sheets as the workbook orders them; by number where it doesn't say."""
+    parts = sorted((n for n in book.namelist() if n.startswith(SHEET)), key=lambda n: int(re.sub(r"\D", "", n) or 0))
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(book.namelist()):
+        return parts
+    targets = {e.get("Id"): "xl/" + e.get("Target", "").removeprefix("/xl/").removeprefix("xl/") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    named = [targets.get(v) for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(e) == "sheet" for k, v in e.attrib.items() if k.endswith("}id")]
+    return [x for x in named if x in parts] or parts
+
+
+def sheets(content: bytes) -> Iterator[list[list[str]]]:
+    """Each sheet's rows, in the workbook's order; cells that aren't there are empty. Sheets are read as they are asked for, row by row."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as book:
-            if sum(x.file_size for x in book.infolist()) > MOST_BYTES:
-                raise Unreadable("the workbook unpacks to more than can be read")
             strings = [_text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if _local(e) == "si"] if "xl/sharedStrings.xml" in book.namelist() else []
             dated = _date_styles(book)
-            first = min((n for n in book.namelist() if n.startswith(SHEET)), key=lambda n: int(re.sub(r"\D", "", n) or 0), default=None)
-            if first is None:
+            if not (parts := _in_order(book)):
                 raise Unreadable("the workbook has no sheet")
-            out: list[list[str]] = []
-            for row in (e for e in ElementTree.fromstring(book.read(first)).iter() if _local(e) == "row"):
-                while len(out) < int(row.get("r", len(out) + 1)) - 1:
-                    out.append([])
-                cells: list[str] = []
-                for cell in row:
-                    at, kind = column(cell.get("r")) if cell.get("r") else len(cells), cell.get("t", "n")
-                    cells += [""] * (at - len(cells))
-                    value = next((x.text or "" for x in cell if _local(x) == "v"), "")
-                    style = int(cell.get("s", 0))
-                    cells.append(_text(cell) if kind == "inlineStr" else strings[int(value)] if kind == "s" and value else _shown(kind, value, style < len(dated) and dated[style]) if value else "")
-                out.append(cells)
-            return out
+            for part in parts:
+                out: list[list[str]] = []
+                with book.open(part) as f:
+                    for _, row in ElementTree.iterparse(f):
+                        if _local(row) != "row":
+                            continue
+                        while len(out) < int(row.get("r", len(out) + 1)) - 1:
+                            out.append([])
+                        cells: list[str] = []
+                        for cell in row:
+                            at, kind = column(cell.get("r")) if cell.get("r") else len(cells), cell.get("t", "n")
+                            cells += [""] * (at - len(cells))
+                            value = next((x.text or "" for x in cell if _local(x) == "v"), "")
+                            style = int(cell.get("s", 0))
+                            cells.append(_text(cell) if kind == "inlineStr" else strings[int(value)] if kind == "s" and value else _shown(kind, value, style < len(dated) and dated[style]) if value else "")
+                        out.append(cells)
+                        row.clear()
+                yield out
     except (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError, OverflowError) as e:
         raise Unreadable(f"not a workbook: {e}") from None
 
 
+def grid(content: bytes) -> list[list[str]]:
+    """The first sheet's rows."""
+    return next(sheets(content))
+
+
 def _name(k: int) -> str:
     return (_name(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
 

@@ -156,6 +156,24 @@ def test_workbooks_round_trip_and_dates():
         workbook.grid(b"PK\x03\x04")
 
 
+def test_the_first_sheet_with_a_header_is_read(tmp_path):
+    """Sheets lie in the workbook's order; truth values and times of day are empty, dates lose their times."""
+    row = lambda *cells: "<row>" + "".join(cells) + "</row>"
+    text = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+    cover = row(text("Cover"), '<c t="b"><v>1</v></c>')
+    ledger = row(*map(text, ("Txn Date:", "Details", "Amount (INR)", "Balance"))) + row('<c s="1"><v>45292.75</v></c>', '<c s="1"><v>0.5</v></c>', "<c><v>12.5000000001</v></c>", '<c t="d"><v>2024-01-02T10:00:00</v></c>')
+    styles = f'<styleSheet xmlns="{workbook.MAIN}"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>'
+    frame = workbook.frame(["Ledger", "Cover"])
+    frame["xl/_rels/workbook.xml.rels"] = frame["xl/_rels/workbook.xml.rels"].replace("sheet1.xml", "sheetX.xml").replace("sheet2.xml", "sheet1.xml").replace("sheetX.xml", "sheet2.xml")
+    out = workbook.io.BytesIO()
+    with workbook.zipfile.ZipFile(out, "w") as book:
+        for name, part in (frame | {"xl/styles.xml": styles, "xl/worksheets/sheet1.xml": workbook.SHEET_HEAD + cover + workbook.SHEET_FOOT, "xl/worksheets/sheet2.xml": workbook.SHEET_HEAD + ledger + workbook.SHEET_FOOT}).items():
+            book.writestr(name, part)
+    found = list(workbook.sheets(out.getvalue()))
+    assert found == [[["Txn Date:", "Details", "Amount (INR)", "Balance"], ["2024-01-01", "", "12.50", "2024-01-02"]], [["Cover", ""]]]
+    assert statements.cut(out.getvalue(), "x.xlsx") == found[0] and statements.names_money(found[0][0]) and not statements.names_money(["Date", "Debit"])
+
+
 def test_export_has_all_columns(spark, ledger):
     rows = ledger.withColumns({"value_date": F.lit(None).cast("date"), "narration": F.lit("n"), "kind": F.lit("merchant"), "balance": F.lit(None).cast("long")})
     books = spark.createDataFrame([("a", "HDFC", "XX12"), ("b", "ICICI", "")], "statement_id string, institution string, account_hint string")
