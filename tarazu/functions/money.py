@@ -47,6 +47,16 @@ def parse_optional_amount(text: Column) -> Column:
     return F.when(~_bare(text).isin(*BLANKS) & ~is_placeholder(text), parse_amount(text))
 
 
+def reading(text: Column) -> Column:
+    """struct<amount, bad>: parse_optional_amount() and unreadable() of a text at once."""
+
+    def read(bare: Column) -> Column:
+        absent = bare.isNull() | bare.isin(*BLANKS) | bare.rlike(PLACEHOLDER)
+        return F.when(absent, F.struct(F.lit(None).cast("long").alias("amount"), F.lit(False).alias("bad"))).otherwise(bind(parse_amount(bare), lambda v: F.struct(v.alias("amount"), v.isNull().alias("bad"))))
+
+    return bind(_bare(text), read)
+
+
 def unreadable(text: Column) -> Column:
     """True where a cell holds something that isn't absence and isn't an amount."""
     return F.coalesce(~_bare(text).isin(*BLANKS) & ~is_placeholder(text) & parse_amount(text).isNull(), F.lit(False))

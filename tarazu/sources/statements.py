@@ -212,37 +212,40 @@ def cells_of(grid: DataFrame, header: DataFrame) -> DataFrame:
 
 def classified(grid: DataFrame, header: DataFrame) -> DataFrame:
     """The rows under each header with their fields as text, amounts, and kind: skip, totals, opening, closing, entry, wrapped or bad."""
-    rows = cells_of(grid, header)
-    amount = lambda f: money.parse_optional_amount(F.col(f"{f}_text"))
-    rows = rows.withColumns({f: amount(f) for f in ("debit", "credit", "balance", "amount")} | {"found": F.array_compact(F.transform("cells", money.parse_optional_amount))})
+    rows = cells_of(grid, header).withColumn("readings", F.transform("cells", money.reading))
+    of = lambda f: F.get("readings", F.try_element_at("columns", F.lit(f)))
+    rows = rows.withColumns({f: of(f)["amount"] for f in ("debit", "credit", "balance", "amount")} | {"found": F.array_compact(F.transform("readings", lambda r: r["amount"]))})
+    marks = lambda c: F.when(c.rlike(OPENING), "opening").when(c.rlike(CLOSING), "closing").when(c.rlike(TOTALS), "totals").when(c.rlike(SUMMARY), "summary").otherwise("")
+    rows = rows.withColumn("marks", F.transform("cells", marks))
     pair = F.map_contains_key("columns", "debit") | F.map_contains_key("columns", "credit")
     d, c, a = F.col("debit"), F.col("credit"), F.col("amount")
     # nought beside a figure is absence
     rows = rows.withColumns({
         "out": F.when(pair, F.when((d == 0) & (F.coalesce(c, F.lit(0)) != 0), None).otherwise(d)).otherwise(F.when(a < 0, -a)),
         "into": F.when(pair, F.when((c == 0) & (F.coalesce(d, F.lit(0)) != 0), None).otherwise(c)).otherwise(F.when(a >= 0, a)),
-        "label": F.get(F.array_compact(F.transform("cells", lambda x: F.when(x.rlike(OPENING), "opening").when(x.rlike(CLOSING), "closing"))), F.lit(0)),
+        "label": F.get(F.filter("marks", lambda x: x.isin("opening", "closing")), F.lit(0)),
         "joined": F.array_join(F.filter("cells", lambda x: F.trim(x) != ""), " "),
-        "has_opening": F.exists("cells", lambda x: x.rlike(OPENING)),
-        "has_closing": F.exists("cells", lambda x: x.rlike(CLOSING)),
+        "has_opening": F.array_contains("marks", "opening"),
+        "has_closing": F.array_contains("marks", "closing"),
     })
     spread = F.when(F.size("found") > 0, F.when(F.col("joined").rlike(OPENING), "opening").when(F.col("joined").rlike(CLOSING), "closing"))
-    garbled = F.greatest(*(money.unreadable(F.col(f"{f}_text")) for f in ("debit", "credit", "balance", "amount")))
+    garbled = F.greatest(*(F.coalesce(of(f)["bad"], F.lit(False)) for f in ("debit", "credit", "balance", "amount")))
     rows = rows.withColumn("label", F.coalesce("label", spread))
     kind = (
         F.when(F.forall("cells", lambda x: (F.trim(x) == "") | money.is_placeholder(x)), "skip")
-        .when(F.exists("cells", lambda x: x.rlike(TOTALS)), "totals")
+        .when(F.array_contains("marks", "totals"), "totals")
         .when(F.col("label").isNotNull(), F.col("label"))
         .when(garbled | (F.col("out").isNotNull() & F.col("into").isNotNull()), "bad")
         .when(F.col("out").isNotNull() | F.col("into").isNotNull(), "entry")
         .when(F.col("balance").isNull() & ~F.coalesce(dates.looks_like_date(F.col("date_text")), F.lit(False)), "wrapped")
         .otherwise("bad")
     )
-    summary = (F.exists("cells", lambda x: x.rlike(SUMMARY)) | (F.col("has_opening") & F.col("has_closing"))) & (kind != "skip")
+    summary = (F.array_contains("marks", "summary") | (F.col("has_opening") & F.col("has_closing"))) & (kind != "skip")
     rows = rows.withColumns({"kind": kind, "summary": summary, "value": F.coalesce("balance", F.get("found", F.lit(0)))})
     before = Window.partitionBy(KEY).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("entries", F.coalesce(F.count(F.when(F.col("kind") == "entry", 1)).over(before), F.lit(0)))
     ends = (F.col("entries") > 0) & (F.col("summary") | (F.col("kind") == "closing"))
+    rows = rows.drop("readings", "marks")
     return rows.withColumn("end", F.min(F.when(ends, F.col("number"))).over(Window.partitionBy(KEY)))
 
 
@@ -259,12 +262,12 @@ def summary_block(rows: DataFrame) -> DataFrame:
     return rows.groupBy(KEY).agg(pick("ov").alias("s_opening"), pick("cv").alias("s_closing"))
 
 
-def parsed(grid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parsed(grid: DataFrame, header: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statements, transactions, rejects). A file with a row that can't be read is refused whole: a ledger with a gap proves nothing.
 
     Rows are read several times over, so the headers, the classified rows and the settled dates are written first.
     """
-    header = written(headers(grid), "headers")
+    header = written(headers(grid), "headers") if header is None else header
     rows = written(classified(grid, header), "rows")
     order = written(dates.settle_order(rows.select(KEY, F.col("number").alias("pos"), F.col("date_text"))), "orders")
     ledger = rows.filter(F.col("end").isNull() | (F.col("number") < F.col("end"))).join(order, KEY)
@@ -281,6 +284,7 @@ def parsed(grid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.min_by(F.abs(F.coalesce("out", "into")), "number").alias("amount"),
         F.min_by("balance", "number").alias("balance"),
     )
+    entries = written(entries, "entries")
     move = money.signed(F.col("direction"), F.col("amount"))
     ends = entries.groupBy(KEY).agg(F.min("date").alias("_any"), F.min_by(F.col("balance") - move, "seq").alias("d_opening"), F.max_by("balance", "seq").alias("d_closing"), F.min_by("date", "seq").alias("period_start"), F.max_by("date", "seq").alias("period_end"))
     marks = rows.filter(F.col("end").isNull() | (F.col("number") <= F.col("end"))).filter(F.coalesce(F.col("number") < F.col("end"), F.lit(True)) | ~F.col("summary"))
@@ -306,7 +310,7 @@ def parsed(grid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .when(F.col("opening").isNull(), "no opening balance stated, and none to derive it from")
         .when(F.col("closing").isNull(), "no closing balance stated, and none to derive it from")
     )
-    facts = facts.withColumns({"reason": reason, "opening_source": F.when(opening.isNull(), "derived").otherwise("explicit"), "closing_source": F.when(closing.isNull(), "derived").otherwise("explicit")})
+    facts = written(facts.withColumns({"reason": reason, "opening_source": F.when(opening.isNull(), "derived").otherwise("explicit"), "closing_source": F.when(closing.isNull(), "derived").otherwise("explicit")}), "facts")
     good = facts.filter("reason is null")
     statements = good.select(KEY, "bank", "account_hint", "opening", "closing", "opening_source", "closing_source", "stated_debits", "stated_credits", "date_order", F.col("observed").alias("date_order_observed"), "period_start", "period_end")
     headless = grid.select(KEY).distinct().join(header, KEY, "left_anti").select(KEY, F.lit("no header row").alias("reason"))
