@@ -7,9 +7,10 @@ draw the same (term, t) with the probability sum min / sum max of their weights,
 Jaccard similarity. As ln a is made of the term, its hash function and t alone, equal least values
 stand for equal samples, and the signature is the vector of least ln a.
 
-Order: a document is compared with the next one. Documents are dealt by runs of ``RUN`` ids, so a
-text moves once and each run finds its successors inside; the first document of a run is also sent
-to the run before (the first of all to the last run).
+Order: a document is compared with the next one. Documents are range-partitioned by id and a hash of
+the text, whatever the ids are, and written; a run is what one partition holds, and finds its
+successors inside. The first document of a run is also sent to the run before (the first of all to
+the last run), by a table of a row for each run.
 
 Defined cases: a null text is the empty text; a text without words has a signature of its own, equal
 to that of other such texts; a null id comes after all others; repeated rows follow each other;
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import keyed_rows, materialize, words_of
 
-SAMPLES, RUN, COARSE = 32, 256, 4096
+SAMPLES = 32
 NO_TERMS = 1e300
 
 
@@ -64,16 +65,18 @@ def as_string(signature: Column) -> Column:
 def in_runs(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(_run, _guest, _pos, doc_id, text, next_text): guests are the first documents of the following run."""
     rows = keyed_rows(df.select(id_column, text_column), id_column, text_column, ()).select("_id", "_h", F.col("own").getField(id_column).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("_run", F.floor(F.col("_id") / RUN))
-    runs = rows.groupBy("_run").agg(F.min("_id").alias("_id")).withColumn("_coarse", F.floor(F.col("_run") / COARSE))
-    coarse = runs.groupBy("_coarse").agg(F.max("_run").alias("_most"))
-    coarse = coarse.select("_coarse", F.coalesce(F.lag("_most").over(Window.orderBy("_coarse")), F.max("_most").over(Window.partitionBy())).alias("_before"))
-    runs = runs.withColumn("_lag", F.lag("_run").over(Window.partitionBy("_coarse").orderBy("_run"))).join(coarse, "_coarse")
-    firsts = materialize(runs.select("_id", F.coalesce("_lag", "_before").alias("_to")), "runs")
-    guests = rows.join(firsts, "_id").select(F.col("_to").alias("_run"), F.lit(1).alias("_guest"), "_id", "_h", "doc_id", "text")
-    every = rows.select("_run", F.lit(0).alias("_guest"), "_id", "_h", "doc_id", "text").unionByName(guests)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows.repartitionByRange(n, "_id", "_h").withColumn("_run", F.spark_partition_id()), "runs")
+    # a row for each run, of which there are n at most
+    firsts = rows.groupBy("_run").agg(F.min(F.struct("_id", "_h")).alias("_first"))
+    every = Window.orderBy("_run")
+    firsts = firsts.withColumn("_to", F.coalesce(F.lag("_run").over(every), F.max("_run").over(Window.partitionBy()))).select("_run", "_to", "_first._id", "_first._h")
+    # of rows that repeat a run's first, one is enough
+    guests = rows.join(firsts, ["_run", "_id", "_h"]).groupBy("_to").agg(F.first(F.struct("_id", "_h", "doc_id", "text")).alias("g"))
+    guests = guests.select(F.col("_to").alias("_run"), F.lit(1).alias("_guest"), "g.*")
+    both = rows.select("_run", F.lit(0).alias("_guest"), "_id", "_h", "doc_id", "text").unionByName(guests)
     order = Window.partitionBy("_run").orderBy("_guest", "_id", "_h")
-    return every.select("_run", "_guest", F.row_number().over(order).alias("_pos"), "doc_id", "text", F.lead("text").over(order).alias("next_text"))
+    return both.select("_run", "_guest", F.row_number().over(order).alias("_pos"), "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
 def edited_neighbours(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", samples: int = SAMPLES) -> DataFrame:

@@ -211,3 +211,24 @@ def test_the_risk_is_corrected_by_the_prior():
     mark = lambda n, y: np.c_[(g.random((n, 1)) < (0.95 if y else 0.02)).astype(float), np.ones((n, 1))]
     w = toxicity.non_negative_fit(mark(200, 1), np.r_[mark(300, 1), mark(700, 0)], 0.3)
     assert toxicity.sigmoid(w.sum()) > 0.7 and toxicity.sigmoid(w[-1]) < 0.15
+
+
+def test_neighbours_whatever_the_ids_are(spark):
+    """Hashed, repeated and null ids, repeated rows and clashing names: each document's edited text is made of the one after it, by id and then by a hash of the text."""
+    import hashlib
+
+    from tarazu.llm import sampling
+
+    own = random.Random(12)
+    rows = [(own.choice([own.randrange(-(1 << 62), 1 << 62), own.randrange(30), None]), " ".join(own.choice(WORDS) for _ in range(own.choice([0, 1, 40])))) for _ in range(300)]
+    rows += [rows[0], rows[0], (5, None), (5, ""), (None, rows[0][1])]
+    docs = spark.createDataFrame([(*r, "en", 1, "p", 2, 3, "e", 4, 1, 1, "w", 5, 0.5) for r in rows], DOCS).repartition(4)
+    found = sampling.edited_neighbours(docs).collect()
+    keyed = sorted((r["id"], r["h"], r["text"]) for r in docs.select(sampling.F.coalesce("doc_id", sampling.F.lit((1 << 63) - 1)).alias("id"), sampling.F.xxhash64(sampling.F.coalesce("text", sampling.F.lit(""))).alias("h"), sampling.F.coalesce("text", sampling.F.lit("")).alias("text")).collect())
+    expected = []
+    for k, (i, _, t) in enumerate(keyed):
+        after, cut = keyed[(k + 1) % len(keyed)][2], len(t) // 4
+        expected.append((None if i == (1 << 63) - 1 else i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found), key=key) == sorted(expected, key=key)
+    assert sampling.edited_neighbours(docs.filter("false")).count() == 0 and sampling.edited_neighbours(docs.limit(1)).count() == 1
