@@ -23,7 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Hashable, Iterable, Iterator
-from functools import cache, lru_cache
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,12 @@ def features_of(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in STEMS if k <= len(word))]
 
 
+def finder(bases: set[str]) -> Callable[[str], list[str]]:
+    """features_of(), of the given ones only. All features of a word begin alike, which most words tell at once."""
+    heads = {f[: STEMS.start] for f in bases}
+    return lambda w: [f for f in features_of(w) if f in bases] if f"{w[: STEMS.start]}$"[: STEMS.start] in heads else []
+
+
 def words_in(text: bytes) -> dict[str, int]:
     return Counter(LETTERS.findall(text.decode().lower()))
 
@@ -73,15 +80,30 @@ def chosen(positive: list[list[tuple[str, int]]], unlabelled: list[list[tuple[st
     return {f: j for j, f in enumerate(names)}
 
 
-def design(texts: list[list[tuple[str, int]]], names: dict[tuple[str, int], int]) -> np.ndarray:
-    """A row a text: 1 where it has a feature, and a last column of ones."""
-    out, bases = np.zeros((len(texts), len(names) + 1), np.float32), {f for f, _ in names}
-    known = cache(lambda w: [f for f in features_of(w) if f in bases])
-    for i, words in enumerate(texts):
-        if at := [names[f] for f in leveled(words, known) if f in names]:
-            out[i, at] = 1
-    out[:, -1] = 1
-    return out
+@dataclass
+class Marks:
+    """Which texts have which features, as pairs of places; the last column is of ones."""
+
+    row: np.ndarray
+    column: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """A score for each text."""
+        return np.bincount(self.row, weights=w[self.column], minlength=self.shape[0]) + w[-1]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """A sum of the texts' values for each weight."""
+        out = np.bincount(self.column, weights=v[self.row], minlength=self.shape[1])
+        out[-1] += v.sum()
+        return out
+
+
+def design(texts: list[list[tuple[str, int]]], names: dict[tuple[str, int], int]) -> Marks:
+    known = cache(finder({f for f, _ in names}))
+    found = [[names[f] for f in leveled(words, known) if f in names] for words in texts]
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+    return Marks(row, np.array([j for x in found for j in x], np.int64), (len(texts), len(names) + 1))
 
 
 def logit(p: float) -> float:
@@ -92,16 +114,16 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def non_negative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> np.ndarray:
+def non_negative_fit(positive: Marks, unlabelled: Marks, prior: float, steps: int = STEPS) -> np.ndarray:
     """Weights, the bias last, by Adam on the non-negative risk with the logistic loss."""
     w = np.zeros(positive.shape[1])
     w[-1] = logit(prior)
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        zp, zu = positive @ w, unlabelled @ w
+        zp, zu = positive.times(w), unlabelled.times(w)
         negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = unlabelled.T @ sigmoid(zu) / len(zu) - prior * (positive.T @ sigmoid(zp)) / len(zp)
-        of_positive = -prior * (positive.T @ sigmoid(-zp)) / len(zp)
+        of_negative = unlabelled.back(sigmoid(zu)) / len(zu) - prior * positive.back(sigmoid(zp)) / len(zp)
+        of_positive = -prior * positive.back(sigmoid(-zp)) / len(zp)
         slope = of_positive + of_negative if negative_risk >= 0 else -of_negative
         slope[:-1] += DECAY * w[:-1]
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
@@ -158,10 +180,18 @@ def scorer(models: list[Model]) -> Callable[[bytes], float]:
     bases = {f for f, _ in number}
     table = np.array([[weights.get(f, 0.0) for f in number] for weights, _ in models]).reshape(len(models), len(number))
     bias = np.array([b for _, b in models])
-    known = lru_cache(CACHED)(lambda w: [f for f in features_of(w) if f in bases])
+    find, held = finder(bases), {}
 
     def score(text: bytes) -> float:
-        at = sorted(number[f] for f in leveled(words_in(text).items(), known) if f in number)
+        counts: dict[str, int] = {}
+        for w, n in words_in(text).items():
+            if (found := held.get(w)) is None:
+                if len(held) >= CACHED:
+                    held.clear()
+                found = held[w] = find(w)
+            for f in found:
+                counts[f] = counts.get(f, 0) + n
+        at = sorted(number[f, k] for f, n in counts.items() for k in range(min(n, LEVELS)) if (f, k) in number)
         return float(sigmoid(bias + table[:, at].sum(axis=1)).mean())
 
     return score if models else lambda text: 0.0

@@ -208,11 +208,19 @@ def test_toxicity_without_labels_or_rows(toxic):
 def test_the_risk_is_corrected_by_the_prior():
     """Unlabelled rows hold positives: the fit tells them from negatives though it sees them as unlabelled."""
     g = np.random.default_rng(0)
-    mark = lambda n, y: np.c_[(g.random((n, 1)) < (0.95 if y else 0.02)).astype(float), np.ones((n, 1))]
-    w = toxicity.non_negative_fit(mark(200, 1), np.r_[mark(300, 1), mark(700, 0)], 0.3)
+    names = {("bad$", 0): 0}
+    some = lambda n, share: [[("bad", 1)] if g.random() < share else [("good", 2)] for _ in range(n)]
+    w = toxicity.non_negative_fit(toxicity.design(some(200, 0.95), names), toxicity.design(some(300, 0.95) + some(700, 0.02), names), 0.3)
     assert toxicity.sigmoid(w.sum()) > 0.7 and toxicity.sigmoid(w[-1]) < 0.15
 
 
+def test_finding_features_skips_none():
+    bases = {"a$", "ab$", "abc", "abcd$", "xyzz"}
+    find = toxicity.finder(bases)
+    for w in ("a", "ab", "abc", "abcd", "abcde", "xyz", "xyzzy", "q", "axyzz"):
+        assert find(w) == [f for f in toxicity.features_of(w) if f in bases]
+
+
 def test_neighbours_whatever_the_ids_are(spark):
     """Hashed, repeated and null ids, repeated rows and clashing names: each document's edited text is made of the one after it, by id and then by a hash of the text."""
     import hashlib
