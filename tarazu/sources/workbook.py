@@ -41,7 +41,7 @@ def _date_styles(book: zipfile.ZipFile) -> list[bool]:
         return []
     root = ElementTree.fromstring(book.read("xl/styles.xml"))
     own = {int(e.get("numFmtId")): e.get("formatCode", "") for e in root.iter() if _local(e) == "numFmt"}
-    dated = lambda n: n in DATE_FORMATS or bool(re.search("[dy]", re.sub(r'"[^"]*"|\\[[^]]*]|\\\\.', "", own.get(n, "")), re.I))
+    dated = lambda n: n in DATE_FORMATS or bool(re.search("[dy]", re.sub(r'"[^"]*"|\[[^]]*\]|\\.', "", own.get(n, "")), re.I))
     return [dated(int(x.get("numFmtId", 0))) for e in root.iter() if _local(e) == "cellXfs" for x in e]
 
 

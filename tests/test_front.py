@@ -161,8 +161,8 @@ def test_the_first_sheet_with_a_header_is_read(tmp_path):
     row = lambda *cells: "<row>" + "".join(cells) + "</row>"
     text = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
     cover = row(text("Cover"), '<c t="b"><v>1</v></c>')
-    ledger = row(*map(text, ("Txn Date:", "Details", "Amount (INR)", "Balance"))) + row('<c s="1"><v>45292.75</v></c>', '<c s="1"><v>0.5</v></c>', "<c><v>12.5000000001</v></c>", '<c t="d"><v>2024-01-02T10:00:00</v></c>')
-    styles = f'<styleSheet xmlns="{workbook.MAIN}"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>'
+    ledger = row(*map(text, ("Txn Date:", "Details", "Amount (INR)", "Balance"))) + row('<c s="1"><v>45292.75</v></c>', '<c s="1"><v>0.5</v></c>', '<c s="2"><v>12.5000000001</v></c>', '<c t="d"><v>2024-01-02T10:00:00</v></c>')
+    styles = f'<styleSheet xmlns="{workbook.MAIN}"><numFmts><numFmt numFmtId="170" formatCode="[Red]0.00&quot;day&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="170"/></cellXfs></styleSheet>'
     frame = workbook.frame(["Ledger", "Cover"])
     frame["xl/_rels/workbook.xml.rels"] = frame["xl/_rels/workbook.xml.rels"].replace("sheet1.xml", "sheetX.xml").replace("sheet2.xml", "sheet1.xml").replace("sheetX.xml", "sheet2.xml")
     out = workbook.io.BytesIO()
