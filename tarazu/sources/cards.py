@@ -57,8 +57,23 @@ def summary(grid: DataFrame) -> DataFrame:
     return found.groupBy(KEY).agg(*fields, due)
 
 
-def parsed(grid: DataFrame, header: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statements, transactions, rejects) of the card files of a grid. Only dated rows with an amount are transactions; other rows of the table are its summary and its foot."""
+def box_patterns() -> dict[str, str]:
+    """The labels of the summary box by field, for words.labelled_values()."""
+    return {name: rf"^\s*(?:{pattern})" for name, pattern in (*BOX, ("due_date", DUE_DATE))}
+
+
+def overridden(summaries: DataFrame, labelled: DataFrame) -> DataFrame:
+    """summaries with what stands under the labels on the page, by labelled(statement_id, field, value): places on a page are surer than cells, where they give a figure or a day."""
+    amount, day = money.parse_optional_amount(F.col("value")), dates.parse_date(F.col("value"))
+    of = lambda name: F.max(F.when(F.col("field") == name, day if name == "due_date" else F.col("value_amount")))
+    names = [*(name for name, _ in BOX), "due_date"]
+    placed = labelled.withColumn("value_amount", amount).groupBy(KEY).agg(*(of(name).alias(f"_{name}") for name in names))
+    both = summaries.join(placed, KEY, "full")
+    return both.select(KEY, *(F.coalesce(f"_{name}", name).alias(name) for name in names))
+
+
+def parsed(grid: DataFrame, header: DataFrame | None = None, labelled: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statements, transactions, rejects) of the card files of a grid; labelled: see overridden(). Only dated rows with an amount are transactions; other rows of the table are its summary and its foot."""
     header = headers(grid) if header is None else header
     files = card_files(grid, header)
     rows = cells_of(grid, header.join(files, KEY, "left_semi"))
@@ -87,6 +102,6 @@ def parsed(grid: DataFrame, header: DataFrame | None = None) -> tuple[DataFrame,
     above = grid.join(header.select(KEY, "header"), KEY).filter("number < header").groupBy(KEY).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", F.array_join("cells", " ").alias("x")))), lambda r: r["x"]), " ")).alias("top"))
     stem = F.regexp_replace(F.lower(F.substring_index(KEY, "/", -1)), r"\.[^.]*$", "")
     identity = identities(grid, header).select(KEY, "account_hint")
-    statements = good.join(periods, KEY).join(identity, KEY, "left").join(above, KEY, "left").join(summary(grid), KEY, "left")
+    statements = good.join(periods, KEY).join(identity, KEY, "left").join(above, KEY, "left").join(summary(grid) if labelled is None else overridden(summary(grid), labelled), KEY, "left")
     statements = statements.select(KEY, F.coalesce(issuer_of(F.coalesce("top", F.lit(""))), issuer_of(stem), F.lit("unknown")).alias("issuer"), F.coalesce("account_hint", F.lit("")).alias("account_hint"), *(name for name, _ in BOX), "due_date", "period_start", "period_end")
     return statements, entries, facts.filter("reason is not null").select(KEY, "reason")

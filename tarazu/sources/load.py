@@ -21,12 +21,12 @@ class Loaded:
     rejects: DataFrame
 
 
-def from_grid(grid: DataFrame, rejects: DataFrame | None = None) -> Loaded:
-    """grid(statement_id, number, cells)."""
+def from_grid(grid: DataFrame, rejects: DataFrame | None = None, labelled: DataFrame | None = None) -> Loaded:
+    """grid(statement_id, number, cells); labelled: words.labelled_values(words, cards.box_patterns()) of paged cards."""
     header = written(statements.headers(grid), "headers")
     on_card = written(cards.card_files(grid, header), "cards")
     banks, entries, refused = statements.parsed(grid.join(on_card, KEY, "left_anti"), header.join(on_card, KEY, "left_anti"))
-    card, card_entries, card_refused = cards.parsed(grid.join(on_card, KEY, "left_semi"), header.join(on_card, KEY, "left_semi"))
+    card, card_entries, card_refused = cards.parsed(grid.join(on_card, KEY, "left_semi"), header.join(on_card, KEY, "left_semi"), labelled)
     columns = [KEY, "seq", "row", "date", "value_date", "narration", "direction", "amount", "balance"]
     rows = entries.select(*columns, F.lit(False).alias("on_card")).unionByName(card_entries.select(*columns, F.lit(True).alias("on_card")))
     out = refused.unionByName(card_refused)

@@ -1,7 +1,7 @@
 """Tables on pages: drawn rules, headings, white space, and what is refused."""
 
 
-from tarazu.sources import load, tables
+from tarazu.sources import cards, load, tables, words
 
 WORDS = "statement_id string, page int, top double, x0 double, x1 double, text string"
 RULES = "statement_id string, page int, x0 double, y0 double, x1 double, y1 double"
@@ -115,3 +115,15 @@ def test_no_files_give_no_rows(spark):
     empty = lambda s: spark.createDataFrame([], s)
     grid, rejects = tables.recovered(empty("statement_id string"), empty(WORDS), empty(RULES))
     assert grid.count() == 0 and rejects.count() == 0
+
+
+def test_a_card_box_on_a_page_overrides_the_grid(spark):
+    """Two labels side by side with figures below: cells pair them wrongly, places don't; what places don't give stays the grid's."""
+    page = put("c", 1, 10, 10, "ICICI credit card") + put("c", 1, 30, 10, "Total Dues") + put("c", 1, 30, 200, "Minimum Due") + put("c", 1, 45, 205, "150.00") + put("c", 1, 45, 12, "1,150.00") + put("c", 1, 30, 330, "Payment Due Date") + put("c", 1, 45, 335, "15-Feb-2024")
+    words_ = spark.createDataFrame(page, WORDS).repartition(2)
+    grid = [["ICICI credit card"], ["Total Dues", "9.00"], ["Previous Balance", "1000.00"], ["Date", "Details", "Amount (INR)"], ["05-Jan-2024", "POS ZOMATO", "250.00"]]
+    table = spark.createDataFrame([("c", k, row) for k, row in enumerate(grid, 1)], "statement_id string, number int, cells array<string>")
+    labelled = words.labelled_values(words_, cards.box_patterns())
+    plain, placed = (load.from_grid(table, labelled=x).cards.first() for x in (None, labelled))
+    assert (plain["total_due"], plain["minimum_due"], plain["due_date"], plain["previous_balance"]) == (900, None, None, 100_000)
+    assert (placed["total_due"], placed["minimum_due"], str(placed["due_date"]), placed["previous_balance"]) == (115_000, 15_000, "2024-02-15", 100_000)
