@@ -46,6 +46,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """A written table with a bucket for each shuffle partition by hash of the column: groups and joins on it move none of its rows."""
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._folder = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes materialized tables that no later plan reads."""
     for df in tables:

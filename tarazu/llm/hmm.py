@@ -1,21 +1,20 @@
 """Language-model scoring with a hidden Markov model.
 
 Tokens are the words of the text with A-Z lower-cased, then one end. P(text) = sum over state paths of
-product P(state | state before) P(word | state). A word that the training text has ``OWN_COUNT`` times or
-more has emissions of its own; rarer words share their count's class, evenly; a word that it lacks goes
-with those seen once. So what is learnt grows with the text, and its vocabulary has no cap. Words of under
-``COMMON_COUNT`` times get theirs in the last round; until then they too share classes.
-
-Texts are read once, into blocks of word numbers. The blocks' words are counted over all training text and
-joined back, which turns words into classes. Then ``ROUNDS`` rounds of Baum-Welch start from states that
-chance tilts: tasks run forward and backward over all training text, and Spark sums their expected counts
-by word. Texts are cut into segments of ``SEGMENT`` tokens there; a segment also holds the token before it,
-so that each move between tokens is counted once, and only real starts count as starts. A word's
-share of a state leans on the state's share of all tokens by ``BACK_OFF`` tokens. Scoring runs the scaled
-forward recursion over the whole text, so the likelihood is exact.
-
-Size: emissions are a table keyed by word; a task gets those of a block's words by a join, so neither the
-driver nor a task holds the vocabulary. Words are told apart by 64-bit hashes.
+product P(state | state before) P(word | state). Every word of the training text has emissions of its own in
+every round; a word that it lacks goes with those seen once. So what is learnt grows with the text, and its
+vocabulary has no cap.
+
+Texts are read once, into blocks of word numbers (bucketed by block), and each block's words are dealt by
+their hashes into shards (bucketed by shard). Then ``ROUNDS`` rounds of Baum-Welch start from states that
+chance tilts. In each round shards send every block the emissions of its words, tasks run the scaled forward
+and backward recursions over all whole training texts, and blocks send the expected counts back, which shards
+add up by word: two shuffles of packed numbers, while neither texts nor shards move. A word's share of a state
+leans on the state's share of all tokens by ``BACK_OFF`` tokens. Scoring runs the forward recursion over the
+whole text, so the likelihood is exact.
+
+Size: a shard holds about ``SHARD_WORDS`` words of blocks, a block ``BLOCK_BYTES`` of text or one longer text,
+so neither the driver nor a task holds the vocabulary. Words are told apart by 64-bit hashes.
 
 Defined cases: a null text is the empty text (one end token); a null doc_id is hashed as an empty
 name and belongs to training; repeated rows are counted and scored each; other columns are ignored;
@@ -36,16 +35,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import blocks, by_block, byte_column, discard, materialize, read_blocks
+from .common import blocks, bucketed, byte_column, discard
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
-SEGMENT, BATCH = 64, 4096
-OWN_COUNT, COMMON_COUNT, PRIOR, BACK_OFF, TILTED_SHARE = 2, 16, 50.0, 3.0, 0.001
-BLOCK_BYTES = 32 << 20
+PRIOR, BACK_OFF, TILTED_SHARE = 50.0, 3.0, 0.001
+BLOCK_BYTES, SHARD_WORDS = 32 << 20, 1 << 20
 END = b""
-#: Kinds of expected counts: words of their own, starts, moves from each state, and classes by count.
-WORD, START, MOVE, RARE = 0, 1, 2, 1000
 
 
 class Numbers(dict):
@@ -68,111 +64,96 @@ def fold(id_column: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % FOLDS
 
 
-STATE_COLUMNS = [f"s{s}" for s in range(STATES)]
-
-
 @dataclass
 class Fit:
-    """What every task needs beside its words' emissions; no part grows with the vocabulary. rare: emissions of the classes by count from 0 (unseen) on, for each word; words of more than these have their own; total: of all words."""
+    """What every task needs beside its words' counts; no part grows with the vocabulary. unseen: the weight of a word without counts; total: of all words; tilts: of the frequent words, in the first round."""
 
     n: int
     v: int
     start: np.ndarray
     move: np.ndarray
     share: np.ndarray
-    rare: np.ndarray
+    unseen: np.ndarray
     total: np.ndarray
-
-
-class Model:
-    """Emissions by class, as shares of their states: the classes by count under OWN_COUNT, then the block's words, which come by falling count.
-
-    cuts: how many words have a count of at least OWN_COUNT, one more, and so on to COMMON_COUNT. coarse: each class's number where the fit's own classes by count come first.
-    """
-
-    def __init__(self, fit: Fit, weight: np.ndarray, cuts: np.ndarray):
-        self.start, self.move, self.share = fit.start, fit.move, fit.share
-        least, words = fit.rare.shape[1], int(cuts[0])
-        count = OWN_COUNT - 1 + len(cuts) - np.searchsorted(cuts[::-1], np.arange(words), side="right")  # at most COMMON_COUNT
-        self.coarse = np.r_[np.arange(OWN_COUNT), np.where(count < least, count, least + np.arange(words))]
-        emit = np.zeros((STATES, least + words))
-        emit[:, :least], emit[:, least : least + weight.shape[1]] = fit.rare, weight
-        self.emit = emit[:, self.coarse] / fit.total[:, None]
-        self.classes = self.emit.shape[1]
-
-
-def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Baum-Welch counts (start, move, emit) of class sequences, cut into segments."""
-    k, c = STATES, model.classes
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, c + 1))
-    table = np.c_[model.emit, np.ones(k)]  # the last class stands for no token
-    flat = np.concatenate(sequences) if sequences else np.zeros(0, np.int32)
-    if not len(flat):
-        return start, move, emit[:, :c]
-    ends = np.cumsum([len(s) for s in sequences])
-    firsts = [np.arange(e - len(s), e, SEGMENT) for s, e in zip(sequences, ends, strict=True)]
-    inner = np.concatenate([np.arange(len(f)) > 0 for f in firsts])
-    sizes = np.minimum(np.concatenate([e - f for f, e in zip(firsts, ends, strict=True)]), SEGMENT) + inner
-    cuts = np.concatenate(firsts) - inner
-    order = np.argsort(-sizes, kind="stable")
-    for at in range(0, len(order), BATCH):
-        own = order[at : at + BATCH]
-        steps, inside = int(sizes[own[0]]), inner[own]
-        grid = np.minimum(cuts[own][None, :] + np.arange(steps)[:, None], len(flat) - 1)
-        grid = np.where(np.arange(steps)[:, None] < sizes[own][None, :], flat[grid], c)
-        alphas, scales = np.empty((steps, k, len(own))), np.empty((steps, len(own)))
-        emitted = [table[:, row] for row in grid]
-        alpha = np.where(inside, model.share[:, None], model.start[:, None]) * emitted[0]
-        for t in range(steps):
-            if t:
-                alpha = (model.move.T @ alphas[t - 1]) * emitted[t]
-            scales[t] = alpha.sum(axis=0)
-            alphas[t] = alpha / scales[t]
-        beta = np.ones((k, len(own)))
-        for t in range(steps - 1, -1, -1):
-            gamma = alphas[t] * beta
+    tilts: dict[int, np.ndarray] | None = None
+
+    def weights(self, keys: np.ndarray, c: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """(word, state) from the words' counts and expected counts by state."""
+        if self.tilts is None:
+            return (c[:, None] + 1) * ((s + BACK_OFF * self.share) / (c[:, None] + BACK_OFF) + PRIOR / (self.n + self.v + 1))
+        out = np.repeat((c[:, None] + 1.0) / (self.n + self.v + 1), STATES, axis=1)
+        for key, tilt in self.tilts.items():
+            out[keys == key] *= tilt
+        return out
+
+
+class InStep:
+    """Texts (arrays of word numbers) side by side, the longest first: ``order[at[t] : at[t + 1]]`` are the t-th tokens of those that have one."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        sizes = np.array([len(s) for s in sequences], np.int64)
+        self.rows = np.argsort(-sizes, kind="stable")
+        sizes = sizes[self.rows]
+        starts = np.cumsum(sizes) - sizes
+        self.live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+        self.at = np.r_[0, np.cumsum(self.live)]
+        flat = np.concatenate([sequences[k] for k in self.rows])
+        self.order = np.empty(len(flat), np.int32)
+        for t, n in enumerate(self.live):
+            self.order[self.at[t] : self.at[t + 1]] = flat[starts[:n] + t]
+
+    def forward(self, fit: Fit, emit: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+        """The scale of each token's step; kept takes the scaled messages."""
+        move, start = fit.move.astype(emit.dtype), fit.start.astype(emit.dtype)
+        scales, ones, alpha = np.empty(len(self.order), emit.dtype), np.ones(STATES, emit.dtype), None
+        for t, n in enumerate(self.live):
+            a, b = self.at[t], self.at[t + 1]
+            alpha = (np.broadcast_to(start, (n, STATES)) if alpha is None else alpha[:n] @ move) * emit[self.order[a:b]]
+            scales[a:b] = scale = alpha @ ones
+            alpha /= scale[:, None]
+            if kept is not None:
+                kept[a:b] = alpha
+        return scales
+
+    def expected_counts(self, fit: Fit, emit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Baum-Welch counts (start, move, word by state) of the whole texts."""
+        emit = emit.astype(np.float32)
+        gamma = np.empty((len(self.order), STATES), np.float32)
+        scales = self.forward(fit, emit, gamma)
+        move, back, beta = np.zeros((STATES, STATES)), fit.move.T.astype(np.float32), np.ones((0, STATES), np.float32)
+        for t in range(len(self.live) - 1, -1, -1):
+            a, b, n = self.at[t], self.at[t + 1], self.live[t]
+            ahead = np.ones((n, STATES), np.float32)
+            ahead[: len(beta)] = beta
+            gamma[a:b] *= ahead
             if t:
-                ahead = emitted[t] * beta / scales[t]
-                move += model.move * ((alphas[t - 1] * (grid[t] < c)) @ ahead.T)
-                beta = model.move @ ahead
-            alphas[t] = gamma
-        start += alphas[0][:, ~inside].sum(axis=1)
-        grid[0, inside] = c  # the segment before counts this token
-        for s in range(k):
-            emit[s] += np.bincount(grid.ravel(), weights=alphas[:, s, :].ravel(), minlength=c + 1)
-    return start, move, emit[:, :c]
-
-
-def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 P(classes) of each whole sequence, by the scaled forward recursion."""
-    sizes = np.array([len(s) for s in sequences], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    flat, sizes = np.concatenate([sequences[i] for i in order]), sizes[order]
-    starts, logs = np.cumsum(sizes) - sizes, np.zeros(len(order))
-    alpha, live = None, len(order)
-    for t in range(int(sizes[0])):
-        while sizes[live - 1] <= t:
-            live -= 1
-        seen = model.emit[:, flat[starts[:live] + t]]
-        alpha = model.start[:, None] * seen if alpha is None else (model.move.T @ alpha[:, :live]) * seen
-        scale = alpha.sum(axis=0)
-        alpha = alpha / scale
-        logs[:live] += np.log10(scale)
-    out = np.empty(len(order))
-    out[order] = logs
-    return out
+                ahead *= emit[self.order[a:b]] / scales[a:b, None]
+                before = self.at[t - 1]
+                move += gamma[before : before + n].T @ ahead
+                beta = ahead @ back
+        counts = np.stack([np.bincount(self.order, weights=gamma[:, s], minlength=len(emit)) for s in range(STATES)], axis=1)
+        return gamma[: self.live[0]].sum(axis=0, dtype=np.float64), move * fit.move, counts
 
+    def log_likelihoods(self, fit: Fit, emit: np.ndarray) -> np.ndarray:
+        """log10 P of each text, in the order given."""
+        logs, out = np.log10(self.forward(fit, emit)), np.zeros(len(self.rows))
+        for t, n in enumerate(self.live):
+            out[:n] += logs[self.at[t] : self.at[t + 1]]
+        given = np.empty(len(out))
+        given[self.rows] = out
+        return given
 
-def packed(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype("<u4").tobytes(), 1)
 
+def packed(numbers: np.ndarray, kind: str) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(numbers).astype(kind).tobytes(), 1)
 
-def unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), "<u4").astype(np.int32)
+
+def unpacked(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, text, train) -> (b, doc_id, train, seq, words array<struct<w, c>>): texts as numbers of their block's words; the block's first row has the words, with their counts in training texts."""
+    """rows(doc_id, text, train) -> (b, doc_id, train, seq, words, counts): texts as numbers of their block's words; the block's first row has the words' hashes, with their counts in training texts, and n_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = TaskContext.get().partitionId() << 32
@@ -180,68 +161,116 @@ def in_blocks(rows: DataFrame) -> DataFrame:
             numbers, train = Numbers(), batch.column(2).to_pylist()
             seqs = [np.fromiter(map(numbers.__getitem__, tokens(x)), np.uint32) for x in byte_column(batch, "text")]
             learnt = [x for x, t in zip(seqs, train, strict=True) if t]
-            counts = np.bincount(np.concatenate(learnt), minlength=len(numbers)) if learnt else np.zeros(len(numbers), np.int64)
-            words = np.fromiter(map(word_key, numbers), np.uint64, len(numbers)).view(np.int64)
-            first = pa.ListArray.from_arrays(pa.array([0] + [len(words)] * len(seqs), pa.int32()), pa.StructArray.from_arrays([pa.array(words), pa.array(counts.astype(np.int64))], ["w", "c"]), mask=pa.array([False] + [True] * (len(seqs) - 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seqs), b)), batch.column(0), batch.column(2), pa.array([packed(x) for x in seqs], pa.binary()), first], ["b", "doc_id", "train", "seq", "words"])
+            counts = np.bincount(np.concatenate(learnt), minlength=len(numbers)) if learnt else np.zeros(len(numbers))
+            words, rest = np.fromiter(map(word_key, numbers), np.uint64, len(numbers)), [None] * (len(seqs) - 1)
+            columns = [pa.array(np.full(len(seqs), b)), batch.column(0), batch.column(2), pa.array([packed(x, "<u4") for x in seqs], pa.binary())]
+            columns += [pa.array([packed(words, "<u8"), *rest], pa.binary()), pa.array([packed(counts, "<u4"), *rest], pa.binary()), pa.array([len(words), *rest], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["b", "doc_id", "train", "seq", "words", "counts", "n_words"])
             b += 1
 
-    schema = "b long, doc_id {}, train boolean, seq binary, words array<struct<w:long,c:long>>".format(rows.schema["doc_id"].dataType.simpleString())
-    return materialize(rows.select("doc_id", "text", "train").mapInArrow(run, schema), "blocks")
+    schema = "b long, doc_id {}, train boolean, seq binary, words binary, counts binary, n_words long".format(rows.schema["doc_id"].dataType.simpleString())
+    return bucketed(rows.select("doc_id", "text", "train").mapInArrow(run, schema), "blocks", "b")
+
 
+def by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of a block's words by shard, and (shard, from, to) of each shard that has any."""
+    h = (words % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    cuts = np.r_[0, np.nonzero(np.diff(h[order]))[0] + 1, len(h)]
+    return order, [(int(h[order[a]]), int(a), int(z)) for a, z in zip(cuts, cuts[1:], strict=False)]
 
-def word_counts(blocked: DataFrame) -> DataFrame:
-    """(w long, c long): the words of all training texts."""
-    return blocked.filter("words is not null").select(F.inline("words")).groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0")
 
+def in_shards(blocked: DataFrame, shards: int) -> DataFrame:
+    """(h, b, words, counts): each block's words, dealt to shards."""
 
-def columns_of(own: pa.StructArray) -> list[np.ndarray]:
-    return [x.to_numpy(zero_copy_only=False) for x in own.flatten()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words, counts = unpacked(words, "<u8"), unpacked(counts, "<u4")
+                order, parts = by_shard(words, shards)
+                out = [(h, b, packed(words[order[a:z]], "<u8"), packed(counts[order[a:z]], "<u4")) for h, a, z in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["h", "b", "words", "counts"])
+
+    rows = blocked.filter("words is not null").select("b", "words", "counts").mapInArrow(run, "h long, b long, words binary, counts binary")
+    return bucketed(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h"), "places", "h")
+
+
+#: What a shard adds up, beside its words with their counts and expected counts by state; parameters are made from these.
+SUMS = ["n", "v", "n_once", "leaning", *(f"{x}{s}" for x in ("mass", "once", "lean") for s in range(STATES)), *(f"step{k}" for k in range(STATES + STATES**2))]
+STATE_TYPES = {"h": pa.int64(), **dict.fromkeys(("words", "c", "s"), pa.binary()), **dict.fromkeys(SUMS, pa.float64())}
+STATE_SCHEMA = "h long, words binary, c binary, s binary, " + ", ".join(f"{x} double" for x in SUMS)
+
+
+def added_up(places: pa.Table, parts: pa.Table | None = None) -> pa.Table:
+    """A shard's row from its blocks' words and, if given, what the blocks send: expected counts, and those of starts and moves with one of a block's parts."""
+    places = places.sort_by("b")
+    words = [unpacked(x, "<u8") for x in places.column("words").to_pylist()]
+    found, place = np.unique(np.concatenate(words), return_inverse=True)
+    c = np.bincount(place, weights=np.concatenate([unpacked(x, "<u4") for x in places.column("counts").to_pylist()]), minlength=len(found))
+    s, steps = np.zeros((len(found), STATES)), np.zeros(STATES + STATES**2)
+    if parts is not None:
+        parts = parts.sort_by("b")
+        sent = dict(zip(parts.column("b").to_pylist(), parts.column("s").to_pylist(), strict=True))
+        moved = np.concatenate([unpacked(sent[b], "<f4").reshape(-1, STATES) if b in sent else np.zeros((len(w), STATES), np.float32) for b, w in zip(places.column("b").to_pylist(), words, strict=True)])
+        s = np.stack([np.bincount(place, weights=moved[:, k], minlength=len(found)) for k in range(STATES)], axis=1)
+        steps = sum((np.frombuffer(x) for x in parts.column("steps").to_pylist() if x is not None), steps)
+    known = c > 0
+    found, c, s = found[known], c[known], s[known]
+    once, part = c == 1, (c + 1) / (c + BACK_OFF)
+    sums = [c.sum(), len(c), once.sum(), part.sum(), *s.sum(axis=0), *s[once].sum(axis=0), *(part @ s), *steps]
+    row = [places.column("h")[0].as_py(), packed(found, "<u8"), packed(c, "<u8"), packed(s, "<f4"), *map(float, sums)]
+    return pa.table({f: pa.array([x], t) for (f, t), x in zip(STATE_TYPES.items(), row, strict=True)})
+
+
+def words_of_shard(state: pa.Table | pa.RecordBatch, row: int = 0) -> tuple[np.ndarray, ...]:
+    """(hashes in order, counts, expected counts by state)."""
+    words, c, s = (unpacked(state.column(x)[row].as_py(), kind) for x, kind in (("words", "<u8"), ("c", "<u8"), ("s", "<f4")))
+    return words, c.astype(np.float64), s.reshape(-1, STATES)
+
+
+def emissions(places: DataFrame, state: DataFrame, fit: Fit, counts: bool = False) -> DataFrame:
+    """(b, h, e, c): for each block and shard the weights of its words there, with their training counts if asked for."""
+
+    def run(rows: pa.Table, state: pa.Table) -> pa.Table:
+        keys, c, s = words_of_shard(state)
+        weights, often, e, n = np.vstack([fit.weights(keys, c, s), fit.unseen]), np.r_[c, 0], [], []
+        for x in rows.column("words").to_pylist():
+            words = unpacked(x, "<u8")
+            place = np.searchsorted(keys, words)
+            place[np.r_[keys, np.uint64(0)][place] != words] = len(keys)
+            e.append(packed(weights[place], "<f4"))
+            n.append(packed(often[place], "<u8") if counts else None)
+        return pa.table({"b": rows.column("b"), "h": rows.column("h"), "e": pa.array(e, pa.binary()), "c": pa.array(n, pa.binary())})
+
+    return places.select("h", "b", "words").groupBy("h").cogroup(state.select("h", "words", "c", "s").groupBy("h")).applyInArrow(run, "b long, h long, e binary, c binary")
+
+
+def as_sent(words: np.ndarray, sent: pa.ChunkedArray, kind: str, shards: int) -> np.ndarray:
+    """What the shards, in their order, sent of a block's words, in the words' order."""
+    values = np.concatenate([unpacked(x, kind) for x in sent.to_pylist()])
+    values = values.reshape(len(words), -1)
+    out = np.empty_like(values)
+    out[by_shard(words, shards)[0]] = values
+    return out
 
 
-def in_classes(blocked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(b, doc_id, train, seq, cuts, n_tokens, n_known, base, words array<struct<w, c>>): texts as classes (see Model); the block's first row has its words of OWN_COUNT and more. base: the sum of log10(c + 1)."""
-    words = blocked.filter("words is not null").select("b", F.posexplode("words").alias("i", "x")).select("b", "i", F.col("x.w").alias("w"))
-    counts = words.join(vocabulary, "w").groupBy("b").agg(F.collect_list(F.struct("i", "w", "c")).alias("own"))
+def expected(blocked: DataFrame, sent: DataFrame, fit: Fit, shards: int) -> DataFrame:
+    """(h, b, s, steps): each block's expected counts by shard; one row of a block has those of its starts and moves."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, rows in read_blocks(batches):
-            seqs = [unpacked(x) for x in rows.column("seq").to_pylist()]
-            i, w, c = columns_of(own) if own else (np.zeros(0, np.int64) for _ in range(3))
-            number = np.zeros(max(int(x.max()) for x in [i, *seqs] if len(x)) + 1, np.int64)
-            keys = np.zeros(len(number), np.int64)
-            number[i], keys[i] = c, w
-            order = np.argsort(-number, kind="stable")
-            often = order[: int((number >= OWN_COUNT).sum())]
-            classes = np.minimum(number, OWN_COUNT - 1)
-            classes[often] = OWN_COUNT + np.arange(len(often))
-            cuts = [int((number >= k).sum()) for k in range(OWN_COUNT, COMMON_COUNT + 1)]
-            logs, one = np.log10(number + 1.0), [None] * (len(seqs) - 1)
-            first = pa.ListArray.from_arrays(pa.array([0] + [len(often)] * len(seqs), pa.int32()), pa.StructArray.from_arrays([pa.array(keys[often]), pa.array(number[often])], ["w", "c"]), mask=pa.array([False] + [True] * len(one)))
-            out = [*(rows.column(x).combine_chunks() for x in ("b", "doc_id", "train")), pa.array([packed(classes[x]) for x in seqs], pa.binary()), pa.array([cuts] * len(seqs), pa.list_(pa.int32()))]
-            out += [pa.array([len(x) for x in seqs], pa.int64()), pa.array([int((number[x] > 0).sum()) for x in seqs], pa.int64()), pa.array([float(logs[x].sum()) for x in seqs]), first]
-            yield pa.RecordBatch.from_arrays(out, ["b", "doc_id", "train", "seq", "cuts", "n_tokens", "n_known", "base", "words"])
-
-    schema = "b long, doc_id {}, train boolean, seq binary, cuts array<int>, n_tokens long, n_known long, base double, words array<struct<w:long,c:long>>".format(blocked.schema["doc_id"].dataType.simpleString())
-    return materialize(by_block(blocked.select("b", "doc_id", "train", "seq"), counts).mapInArrow(run, schema), "classes")
-
-
-def with_emissions(texts: DataFrame, coded: DataFrame, emissions: DataFrame, least: int) -> DataFrame:
-    """texts by block, after the block's words of a count of least or more; of those without emissions, the states are null."""
-    words = coded.filter("words is not null").select("b", F.posexplode("words").alias("i", "x")).filter(F.col("x.c") >= least).select("b", "i", F.col("x.w").alias("w"))
-    return by_block(texts, words.join(emissions, "w", "left").groupBy("b").agg(F.collect_list(F.struct("i", "w", *STATE_COLUMNS)).alias("own")))
-
-
-def models(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[tuple[Model, np.ndarray, list[np.ndarray], pa.Table]]:
-    """(model, keys of the words that came with it, class sequences, rows) of each block."""
-    for own, rows in read_blocks(batches):
-        keys, weight = np.zeros(0, np.int64), np.zeros((STATES, 0))
-        if own:
-            fields = columns_of(own)
-            order = np.argsort(fields[0])
-            keys, weight = fields[1][order], np.nan_to_num(np.array([x[order] for x in fields[2:]], np.float64))
-        cuts = np.array(rows.column("cuts")[0].as_py(), np.int64)
-        yield Model(fit, weight, cuts), keys, [unpacked(x) for x in rows.column("seq").to_pylist()], rows
+    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        out, b = [], rows.column("b")[0].as_py()
+        words = unpacked(rows.column("words").drop_null()[0].as_py(), "<u8")
+        seqs = [unpacked(x, "<u4").astype(np.int32) for x in rows.column("seq").drop_null().to_pylist()]
+        if seqs:
+            emit = as_sent(words, sent.sort_by("h").column("e"), "<f4", shards) / fit.total
+            start, move, counts = InStep(seqs).expected_counts(fit, emit)
+            order, parts = by_shard(words, shards)
+            steps = {b % len(parts): np.r_[start, move.ravel()].astype("<f8").tobytes()}
+            out = [(h, b, packed(counts[order[a:z]], "<f4"), steps.get(k)) for k, (h, a, z) in enumerate(parts)]
+        return pa.table({f: pa.array([x[k] for x in out], t) for k, (f, t) in enumerate((("h", pa.int64()), ("b", pa.int64()), ("s", pa.binary()), ("steps", pa.binary())))})
+
+    texts = blocked.filter("train or words is not null").select("b", F.when(F.col("train"), F.col("seq")).alias("seq"), "words")
+    return texts.groupBy("b").cogroup(sent.select("b", "h", "e").groupBy("b")).applyInArrow(run, "h long, b long, s binary, steps binary")
 
 
 def forget(df: DataFrame) -> None:
@@ -252,97 +281,77 @@ def forget(df: DataFrame) -> None:
         time.sleep(0.5)
 
 
-def totals(emissions: DataFrame, rare: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    return np.array([x or 0.0 for x in emissions.agg(*(F.sum(c) for c in STATE_COLUMNS)).first()]) + rare @ kinds
-
-
 def uniform_moves(k: int = STATES) -> np.ndarray:
     return np.full((k, k), 0.02 / (k - 1)) + np.eye(k) * (0.98 - 0.02 / (k - 1)) if k > 1 else np.ones((1, 1))
 
 
-def first_guess(own: DataFrame, n: int, v: int, kinds: np.ndarray) -> tuple[Fit, DataFrame]:
+def summed(state: DataFrame) -> dict[str, float]:
+    return {k: x or 0.0 for k, x in state.agg(*(F.sum(x).alias(x) for x in SUMS)).first().asDict().items()}
+
+
+def first_guess(state: DataFrame) -> Fit:
     """States that differ by chance in their frequent words only (at most 1 / TILTED_SHARE of them); others follow their neighbours."""
-    share, k = (F.col("c") + 1.0) / (n + v + 1.0), STATES
-    often = sorted(r["w"] for r in own.filter(share >= TILTED_SHARE).select("w").collect())
-    tilt = np.random.default_rng(7).gamma(0.5, 2.0, (k, len(often)))
-    tilts = own.sparkSession.createDataFrame([(w, *x) for w, x in zip(often, tilt.T.tolist(), strict=True)], "w long, " + ", ".join(f"t{s} double" for s in range(k)))
-    emissions = materialize(own.join(F.broadcast(tilts), "w", "left").select("w", *((share * F.coalesce(f"t{s}", F.lit(1.0))).cast("float").alias(f"s{s}") for s in range(k))), "emissions")
-    rare = np.tile((np.arange(len(kinds)) + 1.0) / (n + v + 1), (k, 1))
-    return Fit(n, v, np.full(k, 1 / k), uniform_moves(), np.full(k, 1 / k), rare, totals(emissions, rare, kinds)), emissions
-
-
-def refitted(fit: Fit, own: DataFrame, kinds: np.ndarray, counts: DataFrame) -> tuple[Fit, DataFrame]:
-    """Parameters from expected counts (r, w, s0...). own(w, c): the words of len(kinds) times and more; kinds: how many words each class by count has (one for unseen words)."""
-    parts = {r["r"]: np.array([r[c] for c in STATE_COLUMNS]) for r in counts.groupBy("r").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)).collect()}
-    none, least = np.zeros(STATES), len(kinds)
-    start, move = parts.get(START, none) + 1, np.array([parts.get(MOVE + s, none) for s in range(STATES)]).T + 1
-    seen = np.array([parts.get(RARE + k, none) for k in range(least)]).T
-    mass = parts.get(WORD, none) + seen.sum(axis=1)
-    state, u = mass / mass.sum(), PRIOR / (fit.n + fit.v + 1)
-    c, words = F.col("c"), counts.filter(F.col("r") == WORD).select("w", *STATE_COLUMNS)
-    weight = lambda s: (c + 1.0) * ((F.coalesce(f"s{s}", F.lit(0.0)) + BACK_OFF * float(state[s])) / (c + BACK_OFF) + u)
-    emissions = materialize(own.join(words, "w", "left").select("w", *(weight(s).cast("float").alias(f"s{s}") for s in range(STATES))), "emissions")
-    lean = (seen + BACK_OFF * state[:, None]) / (np.arange(least) * kinds + BACK_OFF)
-    lean[:, 0] = lean[:, 1] if least > 1 else state
-    rare = (np.arange(least) + 1.0) * (lean + u)
-    return Fit(fit.n, fit.v, start / start.sum(), move / move.sum(axis=1, keepdims=True), state, rare, totals(emissions, rare, kinds)), emissions
-
-
-def counted(batches: Iterator[pa.RecordBatch], fit: Fit, least: int) -> Iterator[pa.RecordBatch]:
-    """The expected counts of each block; words of under ``least`` times are counted by class."""
-    for model, keys, sequences, rows in models(batches, fit):
-        start, move, fine = expected_counts(model, sequences)
-        cuts = np.array(rows.column("cuts")[0].as_py(), np.int64)
-        by_class = np.zeros((STATES, least))
-        by_class[:, :OWN_COUNT] = fine[:, :OWN_COUNT]
-        for k in range(OWN_COUNT, least):  # words by falling count: those of k stand between two cuts
-            by_class[:, k] = fine[:, OWN_COUNT + cuts[k - OWN_COUNT + 1] : OWN_COUNT + cuts[k - OWN_COUNT]].sum(axis=1)
-        own = fine[:, OWN_COUNT : OWN_COUNT + cuts[least - OWN_COUNT]]
-        used = np.nonzero(own.any(axis=0))[0]
-        out = np.concatenate([own[:, used], start[:, None], move, by_class], axis=1).astype(np.float32)
-        r = np.r_[np.full(len(used), WORD), START, MOVE + np.arange(STATES), RARE + np.arange(least)].astype(np.int32)
-        w = np.r_[keys[used], np.zeros(1 + STATES + least, np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(w), *(pa.array(x) for x in out)], ["r", "w", *STATE_COLUMNS])
-
-
-def baum_welch(coded: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> tuple[Fit, DataFrame]:
-    """Rounds over all training text -> the fit and its emissions (w, s0...)."""
-    classes = {r["k"]: r for r in vocabulary.groupBy(F.least("c", F.lit(COMMON_COUNT)).alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
-    n, v = (sum(r[x] for r in classes.values()) for x in ("n", "v"))
-    kinds = np.array([1, *(classes[k]["v"] if k in classes else 0 for k in range(1, COMMON_COUNT))], np.float64)
-    own = lambda least: vocabulary.filter(F.col("c") >= least)
-    fit, emissions = first_guess(own(COMMON_COUNT), n, v, kinds)
-    for k in range(rounds if n else 0):
-        least = OWN_COUNT if k == rounds - 1 else COMMON_COUNT
-        rows = with_emissions(coded.filter("train").select("b", "seq", "cuts"), coded, emissions, least)
-        parts = rows.mapInArrow(lambda batches, fit=fit, least=least: counted(batches, fit, least), "r int, w long, " + ", ".join(f"{c} float" for c in STATE_COLUMNS))
-        counts = materialize(parts.groupBy("r", "w").agg(*(F.sum(c).alias(c) for c in STATE_COLUMNS)), "counts")
-        before, (fit, emissions) = emissions, refitted(fit, own(least), kinds[:least], counts)
-        discard(before, counts)
-        del rows, parts, counts, before
-        forget(vocabulary)
-    return fit, emissions
+    sums, k = summed(state), STATES
+    n, v = int(sums["n"]), int(sums["v"])
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words, c, _ = words_of_shard(batch, row)
+                often = (c + 1) / (n + v + 1) >= TILTED_SHARE
+                yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(c[often])], ["w", "c"])
+
+    often = sorted((r["w"], r["c"]) for r in state.select("h", "words", "c", "s").mapInArrow(frequent, "w long, c double").collect())
+    tilts = np.random.default_rng(7).gamma(0.5, 2.0, (k, len(often))).T
+    total = np.full(k, 1.0) + sum(((c + 1) / (n + v + 1) * (x - 1) for (_, c), x in zip(often, tilts, strict=True)), np.zeros(k))
+    return Fit(n, v, np.full(k, 1 / k), uniform_moves(), np.full(k, 1 / k), np.full(k, 1 / (n + v + 1)), total, {w % (1 << 64): x for (w, _), x in zip(often, tilts, strict=True)})
+
+
+def refitted(fit: Fit, sums: dict[str, float]) -> Fit:
+    """Parameters from what the shards have added up."""
+    mass, once, lean = (np.array([sums[f"{x}{s}"] for s in range(STATES)]) for x in ("mass", "once", "lean"))
+    steps = np.array([sums[f"step{k}"] for k in range(STATES + STATES**2)]) + 1
+    start, move = steps[:STATES], steps[STATES:].reshape(STATES, STATES)
+    share, u = mass / mass.sum(), PRIOR / (fit.n + fit.v + 1)
+    unseen = (once + BACK_OFF * share) / (sums["n_once"] + BACK_OFF) + u
+    total = lean + BACK_OFF * share * sums["leaning"] + u * (fit.n + fit.v) + unseen
+    return Fit(fit.n, fit.v, start / start.sum(), move / move.sum(axis=1, keepdims=True), share, unseen, total)
+
+
+def baum_welch(blocked: DataFrame, places: DataFrame, shards: int, rounds: int = ROUNDS) -> tuple[Fit, DataFrame]:
+    """Rounds over all training text -> the fit and the shards' words with their expected counts."""
+    state = bucketed(places.groupBy("h").applyInArrow(lambda rows: added_up(rows), STATE_SCHEMA), "state", "h")
+    fit = first_guess(state)
+    for _ in range(rounds if fit.n else 0):
+        parts = expected(blocked, emissions(places, state, fit), fit, shards)
+        after = bucketed(places.groupBy("h").cogroup(parts.groupBy("h")).applyInArrow(added_up, STATE_SCHEMA), "state", "h")
+        discard(state)
+        state, fit = after, refitted(fit, summed(after))
+        del parts, after
+        forget(state)
+    return fit, state
 
 
 def scored(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("train", fold("doc_id") != held_out)
     blocked = in_blocks(rows)
-    vocabulary = materialize(word_counts(blocked), "vocabulary")
-    forget(vocabulary)
-    coded = in_classes(blocked, vocabulary)
-    discard(blocked)
-    forget(coded)
-    fit, emissions = baum_welch(coded, vocabulary, rounds)
-    names = ["doc_id", "n_tokens", "n_known", "base"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for model, _, sequences, table in models(batches, fit):
-            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in names), pa.array(log_likelihoods(model, sequences))], [*names, "score"])
+    shards = 1 + (blocked.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS
+    places = in_shards(blocked, shards)
+    forget(places)
+    fit, state = baum_welch(blocked, places, shards, rounds)
+    names = ["doc_id", "n_tokens", "n_known", "base", "score"]
+
+    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        words, sent = unpacked(rows.column("words").drop_null()[0].as_py(), "<u8"), sent.sort_by("h")
+        seqs = [unpacked(x, "<u4").astype(np.int32) for x in rows.column("seq").to_pylist()]
+        emit, c = as_sent(words, sent.column("e"), "<f4", shards) / fit.total, as_sent(words, sent.column("c"), "<u8", shards)[:, 0]
+        logs = np.log10(c + 1.0)
+        columns = [rows.column("doc_id"), pa.array([len(x) for x in seqs], pa.int64()), pa.array([int((c[x] > 0).sum()) for x in seqs], pa.int64()), pa.array([float(logs[x].sum()) for x in seqs]), pa.array(InStep(seqs).log_likelihoods(fit, emit))]
+        return pa.table(dict(zip(names, columns, strict=True)))
 
     schema = "doc_id {}, n_tokens long, n_known long, base double, score double".format(rows.schema["doc_id"].dataType.simpleString())
-    least = fit.rare.shape[1]
-    out = with_emissions(coded.select("b", "doc_id", "seq", "cuts", "n_tokens", "n_known", "base"), coded, emissions, least).mapInArrow(run, schema)
+    out = blocked.select("b", "doc_id", "seq", "words").groupBy("b").cogroup(emissions(places, state, fit, counts=True).groupBy("b")).applyInArrow(run, schema)
     return out.select(
         "doc_id",
         (fold("doc_id") == held_out).alias("held_out"),
