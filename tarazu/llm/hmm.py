@@ -40,7 +40,7 @@ from .common import blocks, bucketed, byte_column, discard
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
 PRIOR, BACK_OFF, TILTED_SHARE = 50.0, 3.0, 0.001
-BLOCK_BYTES, SHARD_WORDS = 32 << 20, 1 << 20
+BLOCK_BYTES, SHARD_WORDS = 16 << 20, 1 << 20
 END = b""
 
 
