@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -224,12 +225,11 @@ def test_mixture(spark):
     assert mixture.emitted(mixture.mixed(df)).count() == sum(r["copies"] for r in out)
 
 
-def brute_forward(model, cls):
-    alpha, logs = model.start * model.emit[:, cls[0]], 0.0
-    for c in cls[1:]:
-        alpha = (model.move.T @ alpha) * model.emit[:, c]
-        s = alpha.sum()
-        logs, alpha = logs + math.log10(s), alpha / s
+def brute_forward(fit, emit, words):
+    alpha, logs = fit.start * emit[words[0]], 0.0
+    for w in words[1:]:
+        alpha = (alpha @ fit.move) * emit[w]
+        logs, alpha = logs + math.log10(alpha.sum()), alpha / alpha.sum()
     return logs + math.log10(alpha.sum())
 
 
@@ -237,8 +237,6 @@ def test_hmm(spark, docs):
     out = hmm.scored(docs).collect()
     assert len(out) == len(ROWS)
     counts, n = Counter(), 0
-    import zlib
-
     fold = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7
     for i, t, _ in ROWS:
         if fold(i) != 2:
@@ -256,50 +254,46 @@ def test_hmm(spark, docs):
 
 
 def brute_fit(texts, rounds):
-    """Baum-Welch in plain Python, segment by segment -> ((start, move), weights by word; None: an unseen word)."""
+    """Baum-Welch in plain Python, text by text -> ((start, move), weights by word; None: an unseen word)."""
     k, counts = hmm.STATES, Counter(w for t in texts for w in t)
     n, v = sum(counts.values()), len(counts)
     share = lambda w: (counts[w] + 1) / (n + v + 1)
     signed = lambda w: hmm.word_key(w) - (1 << 64) * (hmm.word_key(w) >> 63)
-    often = sorted((w for w in counts if counts[w] >= hmm.COMMON_COUNT and share(w) >= hmm.TILTED_SHARE), key=signed)
+    often = sorted((w for w in counts if share(w) >= hmm.TILTED_SHARE), key=signed)
     tilt = np.random.default_rng(7).gamma(0.5, 2.0, (k, len(often)))
     weight = {w: np.full(k, share(w)) for w in [*counts, None]}
     for j, w in enumerate(often):
         weight[w] = weight[w] * tilt[:, j]
     start, move, state = np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1)), np.full(k, 1 / k)
     np.fill_diagonal(move, 0.98)
-    for r in range(rounds):
-        least = hmm.OWN_COUNT if r == rounds - 1 else hmm.COMMON_COUNT
+    for _ in range(rounds):
         total = sum(weight.values())
         starts, moves, emits = np.zeros(k), np.zeros((k, k)), {w: np.zeros(k) for w in counts}
         for t in texts:
-            for at in range(0, len(t), hmm.SEGMENT):
-                first = at - (at > 0)
-                part = t[first : at + hmm.SEGMENT]
-                e = [weight[w] / total for w in part]
-                alpha = [(state if at else start) * e[0]]
-                for x in e[1:]:
-                    alpha.append(alpha[-1] @ move * x)
-                    alpha[-1] /= alpha[-1].sum()
-                beta = [np.ones(k)]
-                for x in e[:0:-1]:
-                    beta.append(move @ (x * beta[-1]))
-                    beta[-1] /= beta[-1].sum()
-                beta.reverse()
-                for j, w in enumerate(part):
-                    gamma = alpha[j] * beta[j] / (alpha[j] @ beta[j])
-                    if j or not at:
-                        emits[w] += gamma
-                    if not j and not at:
-                        starts += gamma
-                    if j:
-                        xi = alpha[j - 1][:, None] * move * (e[j] * beta[j])[None, :]
-                        moves += xi / xi.sum()
+            e = [weight[w] / total for w in t]
+            alpha = [start * e[0]]
+            for x in e[1:]:
+                alpha.append(alpha[-1] @ move * x)
+                alpha[-1] /= alpha[-1].sum()
+            beta = [np.ones(k)]
+            for x in e[:0:-1]:
+                beta.append(move @ (x * beta[-1]))
+                beta[-1] /= beta[-1].sum()
+            beta.reverse()
+            for j, w in enumerate(t):
+                gamma = alpha[j] * beta[j] / (alpha[j] @ beta[j])
+                emits[w] += gamma
+                if j:
+                    xi = alpha[j - 1][:, None] * move * (e[j] * beta[j])[None, :]
+                    moves += xi / xi.sum()
+                else:
+                    starts += gamma
         start, move = (starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True)
         mass = sum(emits.values())
         state, u = mass / mass.sum(), hmm.PRIOR / (n + v + 1)
-        lean = {c: (sum((emits[w] for w in counts if counts[w] == c), np.zeros(k)) + hmm.BACK_OFF * state) / (sum(c for w in counts if counts[w] == c) + hmm.BACK_OFF) for c in range(1, least)}
-        weight = {w: (counts[w] + 1) * ((lean[counts[w]] if counts[w] < least else (emits[w] + hmm.BACK_OFF * state) / (counts[w] + hmm.BACK_OFF)) + u) for w in counts} | {None: lean[1] + u}
+        once = [emits[w] for w in counts if counts[w] == 1]
+        weight = {w: (counts[w] + 1) * ((emits[w] + hmm.BACK_OFF * state) / (counts[w] + hmm.BACK_OFF) + u) for w in counts}
+        weight[None] = (sum(once, np.zeros(k)) + hmm.BACK_OFF * state) / (len(once) + hmm.BACK_OFF) + u
     return (start, move), weight
 
 
@@ -315,37 +309,45 @@ def brute_score(fit, weight, words):
 def test_hmm_likelihoods_are_those_of_the_plain_recursion():
     k, n = hmm.STATES, 50
     some = np.random.default_rng(1)
-    rare = some.random((k, hmm.OWN_COUNT))
-    fit = hmm.Fit(9, 9, some.dirichlet(np.ones(k)), some.dirichlet(np.ones(k), k), np.full(k, 1 / k), rare, rare.sum(axis=1) + 9)
-    model = hmm.Model(fit, some.random((k, n)), np.array([n] * (hmm.COMMON_COUNT - hmm.OWN_COUNT + 1)))
-    seqs = [some.integers(0, model.classes, m) for m in (1, 2, 70, 3, 700)]
-    assert np.allclose(hmm.log_likelihoods(model, seqs), [brute_forward(model, s) for s in seqs])
+    fit = hmm.Fit(9, 9, some.dirichlet(np.ones(k)), some.dirichlet(np.ones(k), k), np.full(k, 1 / k), np.ones(k), np.ones(k))
+    emit = some.random((n, k))
+    seqs = [some.integers(0, n, m) for m in (1, 2, 70, 3, 700)]
+    assert np.allclose(hmm.InStep(seqs).log_likelihoods(fit, emit), [brute_forward(fit, emit, s) for s in seqs])
 
 
-def test_hmm_every_word_seen_twice_has_emissions_of_its_own(spark):
-    """More words than any cap there was: each of two kinds of word is told apart from the other, and nothing is dropped."""
+def test_hmm_every_word_has_emissions(spark):
+    """More words than any cap there was, some of them seen once: each has its own expected counts, which sum to its count."""
     kinds = [[f"{x}{j}" for j in range(15_000)] for x in "ab"]
-    rows = [(i, " ".join(kinds[i // 2 % 2][(i // 4 * 100 + j) % 15_000] for j in range(100))) for i in range(1200)]
+    rows = [(i, f"once{i} " + " ".join(kinds[i // 2 % 2][(i // 4 * 100 + j) % 15_000] for j in range(100))) for i in range(1200)]
     training = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(True))
-    counts = {hmm.word_key(w) - (1 << 64) * (hmm.word_key(w) >> 63): n for w, n in Counter(x for _, t in rows for x in hmm.tokens(t.encode())).items()}
+    counts = {hmm.word_key(w): n for w, n in Counter(x for _, t in rows for x in hmm.tokens(t.encode())).items()}
     blocked = hmm.in_blocks(training)
-    vocabulary = hmm.materialize(hmm.word_counts(blocked), "vocabulary")
-    assert {r["w"]: r["c"] for r in vocabulary.collect()} == counts and len(counts) > 24_096
-    fit, emissions = hmm.baum_welch(hmm.in_classes(blocked, vocabulary), vocabulary, rounds=2)
-    found = emissions.collect()
-    assert {r["w"] for r in found} == {w for w, n in counts.items() if n >= hmm.OWN_COUNT} and len(found) > 24_096
-    kinds_left = np.array([1] + [sum(n == c for n in counts.values()) for c in range(1, hmm.OWN_COUNT)])
-    assert np.allclose((np.array([r[1:] for r in found]).sum(axis=0) + fit.rare @ kinds_left) / fit.total, 1) and np.allclose(fit.move.sum(axis=1), 1)
+    fit, state = hmm.baum_welch(blocked, hmm.in_shards(blocked, 7), 7, rounds=2)
+    found = state.select("words", "c", "s").toArrow()
+    shards = [hmm.words_of_shard(found, k) for k in range(found.num_rows)]
+    keys, c, s = (np.concatenate([x[k] for x in shards]) for k in range(3))
+    assert dict(zip(keys.tolist(), c.astype(int).tolist(), strict=True)) == counts and len(counts) > 24_096 and len(shards) == 7
+    assert np.allclose(s.sum(axis=1), c, rtol=1e-3) and np.allclose(fit.move.sum(axis=1), 1)
+    assert np.allclose((fit.weights(keys, c, s).sum(axis=0) + fit.unseen) / fit.total, 1, rtol=1e-5)
 
 
 def test_hmm_blocks_of_any_size_give_the_same_scores(spark, docs, monkeypatch):
     scores = lambda: [(str(r["doc_id"]), r["score"]) for r in hmm.scored(docs, rounds=2).orderBy("doc_id", "n_tokens", "score").collect()]
     whole = scores()
     monkeypatch.setattr(hmm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(hmm, "SHARD_WORDS", 100)
     small = scores()
     assert [x for x, _ in whole] == [x for x, _ in small] and np.allclose([x for _, x in whole], [x for _, x in small], rtol=1e-4)
 
 
+def test_hmm_without_training_rows_scores_words_as_unseen(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == hmm.HELD_OUT]
+    df = spark.createDataFrame([(i, "a b" * (i % 3)) for i in held], "doc_id long, text string")
+    for r in hmm.scored(df).collect():
+        assert r["held_out"] and r["n_known"] == 0 == r["train_tokens"] and abs(r["base_score"]) < 1e-12 and math.isfinite(r["score"])
+    assert hmm.scored(df.limit(0)).count() == 0
+
+
 def test_hmm_beats_base_on_held_out_text(spark, sf_dir):
     out = queries.op8_hmm(spark, sf_dir).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
