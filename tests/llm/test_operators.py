@@ -385,6 +385,19 @@ def test_bpe(docs):
     assert {str(r["doc_id"]): r["n_tokens"] for r in out.filter("doc_id < 16").collect()} == {str(i): len(library.encode(t or "", add_special_tokens=False).ids) for i, t, _ in ROWS[:16]}
 
 
+def test_bpe_digests_over_a_whole_table_are_the_librarys(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = []
+    for r in queries.table(spark, sf_dir, "documents").select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        expected.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    out = queries.op10_bpe(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, out), key=str) == sorted(expected, key=str)
+
+
 def test_a_lower_rank_that_a_merge_makes_goes_first():
     ranks = {(1, 2): (5, 10), (10, 3): (1, 11), (11, 1): (0, 12)}
     index = bpe.PairIndex(ranks)
