@@ -12,7 +12,7 @@ from .operators import insights, linking, patterns, reconcile, report
 from .plans import evaluation, ledger as labels, question
 from .plans.query import Period, Query, count, evidence, select, top, total
 from .sinks import export, payload
-from .session import written
+from .session import shuffled, written
 from .sources import adapter, load, tables, words
 from .streaming import budget
 
@@ -475,8 +475,8 @@ def _bank_grid(spark, sf_dir) -> DataFrame:
   arg_min("date", seq) period_start, arg_max("date", seq) period_end, true ok from l where not on_card group by statement_id, pos""")
 def bank_files(spark, sf_dir):
     """Grids to statements and rows, proved."""
-    found = load.from_grid(written(_bank_grid(spark, sf_dir), "grid"))
-    rows = written(found.transactions, "transactions")
+    found = load.from_grid(shuffled(_bank_grid(spark, sf_dir), "grid"))
+    rows = shuffled(found.transactions, "transactions")
     of = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount"))).alias(f"{d}s")
     moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
     verdict = reconcile.verdicts(rows, found.banks).select("statement_id", "ok")
@@ -503,8 +503,8 @@ def _card_grid(spark, sf_dir) -> DataFrame:
 from s join (select statement_id, count(*) n from l group by 1) using (statement_id) where on_card""")
 def card_files(spark, sf_dir):
     """Grids to card statements, their summary boxes and rows, proved."""
-    found = load.from_grid(written(_card_grid(spark, sf_dir), "grid"))
-    rows, statements = written(found.transactions, "transactions"), written(found.cards, "cards")
+    found = load.from_grid(shuffled(_card_grid(spark, sf_dir), "grid"))
+    rows, statements = shuffled(found.transactions, "transactions"), shuffled(found.cards, "cards")
     of = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("amount"))), F.lit(0)).alias(f"{d}s")
     moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
     summaries = statements.select("statement_id", F.col("previous_balance").alias("previous"), "payments", "purchases", "fees", F.col("total_due").alias("due"))
@@ -659,8 +659,8 @@ def _printed(grid: DataFrame) -> DataFrame:
   cast(sum(exact) filter (direction = 'debit') as bigint) debits, cast(sum(exact) filter (direction = 'credit') as bigint) credits, true ok from l where not on_card group by statement_id""")
 def printed_statements(spark, sf_dir):
     """Words with their places to statements and rows, proved."""
-    found = load.from_grid(written(words.grid(_printed(_bank_grid(spark, sf_dir))), "grid"))
-    rows = written(found.transactions, "transactions")
+    found = load.from_grid(shuffled(words.grid(_printed(_bank_grid(spark, sf_dir))), "grid"))
+    rows = shuffled(found.transactions, "transactions")
     of = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount"))).alias(f"{d}s")
     moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
     verdict = reconcile.verdicts(rows, found.banks).select("statement_id", "ok")
@@ -674,7 +674,7 @@ DRAWN, SPACED = (10.0, 100.0, 320.0, 420.0, 550.0, 680.0), ((10.0, None), (110.0
 def _laid_out(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, words, rules): the bank grids by their account numbers in drawn tables, printed under headings, and spaced out with headings that fall apart; cards as letters without a table, and as pages without text."""
     cut = F.substring("statement_id", 6, 20).cast("long")
-    grid = written(_bank_grid(spark, sf_dir).withColumn("layout", cut % 3), "grid")
+    grid = shuffled(_bank_grid(spark, sf_dir).withColumn("layout", cut % 3), "grid")
     rows = grid.filter("number > 3").select("statement_id", "layout", (F.col("number") - 4).alias("k"), "cells")
     at = lambda h: (50 + h * (F.col("k") % PAGE_ROWS + 1)).cast("double").alias("top")
     page = F.expr(f"k div {PAGE_ROWS} + 1").cast("int").alias("page")
@@ -725,12 +725,12 @@ union all select distinct statement_id, null, case when pos % 8 = 0 then '{table
 def recovered_tables(spark, sf_dir):
     """Drawn, headed and spaced tables to statements and rows, proved; what has none is refused with a reason."""
     grid, rejects = tables.recovered(*_laid_out(spark, sf_dir))
-    grid = written(grid, "recovered")
+    grid = shuffled(grid, "recovered")
     found = load.from_grid(grid.drop("how"), rejects)
-    rows = written(found.transactions, "transactions")
+    rows = shuffled(found.transactions, "transactions")
     of = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount"))).alias(f"{d}s")
     moved = rows.groupBy("statement_id").agg(F.count("*").alias("n"), of("debit"), of("credit"))
     verdict = reconcile.verdicts(rows, found.banks).select("statement_id", "ok")
-    good = found.banks.join(moved, "statement_id").join(verdict, "statement_id").join(grid.select("statement_id", "how").distinct(), "statement_id")
+    good = found.banks.join(moved, "statement_id").join(verdict, "statement_id").join(grid.select("statement_id", "how").distinct().hint("merge"), "statement_id")
     columns = ["statement_id", "how", F.lit(None).cast("string").alias("reason"), "opening", "closing", "n", "debits", "credits", "ok"]
     return good.select(*columns).unionByName(found.rejects, allowMissingColumns=True)

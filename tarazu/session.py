@@ -51,3 +51,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame, label: str) -> DataFrame:
+    """written(), for tables that grow with the statements: joins shuffle them.
+
+    Words and rules repeat their values, so their files weigh a small part of their rows; by the files' weight Spark
+    would gather millions of rows in the driver for a broadcast.
+    """
+    return written(df, label).hint("merge")

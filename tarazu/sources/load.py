@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import written
+from ..session import shuffled
 from . import cards, delimited, statements
 from .statements import KEY, Format
 
@@ -23,8 +23,8 @@ class Loaded:
 
 def from_grid(grid: DataFrame, rejects: DataFrame | None = None, labelled: DataFrame | None = None) -> Loaded:
     """grid(statement_id, number, cells); labelled: words.labelled_values(words, cards.box_patterns()) of paged cards."""
-    header = written(statements.headers(grid), "headers")
-    on_card = written(cards.card_files(grid, header), "cards")
+    header = shuffled(statements.headers(grid), "headers")
+    on_card = shuffled(cards.card_files(grid, header), "cards")
     banks, entries, refused = statements.parsed(grid.join(on_card, KEY, "left_anti"), header.join(on_card, KEY, "left_anti"))
     card, card_entries, card_refused = cards.parsed(grid.join(on_card, KEY, "left_semi"), header.join(on_card, KEY, "left_semi"), labelled)
     columns = [KEY, "seq", "row", "date", "value_date", "narration", "direction", "amount", "balance"]
@@ -35,11 +35,11 @@ def from_grid(grid: DataFrame, rejects: DataFrame | None = None, labelled: DataF
 
 def load(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt,xlsx,xls,pdf}", formats: tuple[Format, ...] = (), **limits: int) -> Loaded:
     """All statement files under the paths; formats: further formats, tried first; limits: those of read_files()."""
-    files = written(statements.read_files(spark, path, pattern, formats, **limits), "grid")
+    files = shuffled(statements.read_files(spark, path, pattern, formats, **limits), "grid")
     return from_grid(files.filter("reason is null").drop("reason"), files.filter("reason is not null").select(KEY, "reason"))
 
 
 def load_delimited(spark: SparkSession, path: str | list[str], pattern: str = "*.{csv,tsv,txt}") -> Loaded:
     """Delimited files under the paths, scanned in splits: a file may be of any size."""
-    rows = written(delimited.scan(spark, path, pattern), "grid")
+    rows = shuffled(delimited.scan(spark, path, pattern), "grid")
     return from_grid(rows.filter("reason is null").select(KEY, "number", "cells"), rows.filter("reason is not null").select(KEY, "reason"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dates, money
-from ..session import written
+from ..session import shuffled
 from . import workbook
 
 #: Column headings by field, bank names, and patterns of labels.
@@ -177,9 +177,18 @@ def names_columns(columns: Column) -> Column:
     return has("date") & (has("balance") | has("amount") | (has("debit") & has("credit")))
 
 
+def may_name(cells: Column) -> Column:
+    """False where names_columns() is false: each heading of a date holds this word. Few rows pass, so few are mapped."""
+    return F.exists(cells, lambda c: c.rlike("(?i)date"))
+
+
+def is_header(cells: Column) -> Column:
+    return F.when(F.coalesce(may_name(cells), F.lit(False)), names_columns(column_map(cells))).otherwise(False)
+
+
 def headers(grid: DataFrame) -> DataFrame:
     """(statement_id, header, columns): the first of a file's first rows that names a date and money."""
-    rows = grid.filter(F.col("number") <= HEADER_ROWS).select(KEY, "number", column_map(F.col("cells")).alias("columns"))
+    rows = grid.filter((F.col("number") <= HEADER_ROWS) & may_name(F.col("cells"))).select(KEY, "number", column_map(F.col("cells")).alias("columns"))
     rows = rows.filter(names_columns(F.col("columns")))
     return rows.groupBy(KEY).agg(F.min("number").alias("header"), F.min_by("columns", "number").alias("columns"))
 
@@ -267,13 +276,13 @@ def parsed(grid: DataFrame, header: DataFrame | None = None) -> tuple[DataFrame,
 
     Rows are read several times over, so the headers, the classified rows and the settled dates are written first.
     """
-    header = written(headers(grid), "headers") if header is None else header
-    rows = written(classified(grid, header), "rows")
-    order = written(dates.settle_order(rows.select(KEY, F.col("number").alias("pos"), F.col("date_text"))), "orders")
+    header = shuffled(headers(grid), "headers") if header is None else header
+    rows = shuffled(classified(grid, header), "rows")
+    order = shuffled(dates.settle_order(rows.select(KEY, F.col("number").alias("pos"), F.col("date_text"))), "orders")
     ledger = rows.filter(F.col("end").isNull() | (F.col("number") < F.col("end"))).join(order, KEY)
     read = lambda f: F.when(F.col("date_order") == "month_first", dates.parse_date(F.col(f), "month_first")).otherwise(dates.parse_date(F.col(f), "day_first"))
     ledger = ledger.withColumns({"date": read("date_text"), "value_date": read("value_date_text"), "seq": F.col("entries") + (F.col("kind") == "entry").cast("long")})
-    ledger = written(ledger.select(KEY, "number", "kind", "seq", "date", "value_date", "narration_text", "out", "into", "balance"), "ledger")
+    ledger = shuffled(ledger.select(KEY, "number", "kind", "seq", "date", "value_date", "narration_text", "out", "into", "balance"), "ledger")
 
     spent = F.col("out").isNotNull()
     entries = ledger.filter("kind in ('entry', 'wrapped') and seq > 0").groupBy(KEY, "seq").agg(
@@ -284,7 +293,7 @@ def parsed(grid: DataFrame, header: DataFrame | None = None) -> tuple[DataFrame,
         F.min_by(F.abs(F.coalesce("out", "into")), "number").alias("amount"),
         F.min_by("balance", "number").alias("balance"),
     )
-    entries = written(entries, "entries")
+    entries = shuffled(entries, "entries")
     move = money.signed(F.col("direction"), F.col("amount"))
     ends = entries.groupBy(KEY).agg(F.min("date").alias("_any"), F.min_by(F.col("balance") - move, "seq").alias("d_opening"), F.max_by("balance", "seq").alias("d_closing"), F.min_by("date", "seq").alias("period_start"), F.max_by("date", "seq").alias("period_end"))
     marks = rows.filter(F.col("end").isNull() | (F.col("number") <= F.col("end"))).filter(F.coalesce(F.col("number") < F.col("end"), F.lit(True)) | ~F.col("summary"))
@@ -310,7 +319,7 @@ def parsed(grid: DataFrame, header: DataFrame | None = None) -> tuple[DataFrame,
         .when(F.col("opening").isNull(), "no opening balance stated, and none to derive it from")
         .when(F.col("closing").isNull(), "no closing balance stated, and none to derive it from")
     )
-    facts = written(facts.withColumns({"reason": reason, "opening_source": F.when(opening.isNull(), "derived").otherwise("explicit"), "closing_source": F.when(closing.isNull(), "derived").otherwise("explicit")}), "facts")
+    facts = shuffled(facts.withColumns({"reason": reason, "opening_source": F.when(opening.isNull(), "derived").otherwise("explicit"), "closing_source": F.when(closing.isNull(), "derived").otherwise("explicit")}), "facts")
     good = facts.filter("reason is null")
     statements = good.select(KEY, "bank", "account_hint", "opening", "closing", "opening_source", "closing_source", "stated_debits", "stated_credits", "date_order", F.col("observed").alias("date_order_observed"), "period_start", "period_end")
     headless = grid.select(KEY).distinct().join(header, KEY, "left_anti").select(KEY, F.lit("no header row").alias("reason"))

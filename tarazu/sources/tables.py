@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import written
+from ..session import shuffled
 from . import words as positions
-from .statements import KEY, column_map, names_columns
+from .statements import KEY, is_header
 
 #: How far apart rules on one line lie, and how far rules that meet fall short of each other.
 SNAP, REACH = 3.0, 3.0
@@ -86,12 +86,12 @@ def ruled_cells(points: DataFrame) -> DataFrame:
 
 def ruled_rows(words: DataFrame, rules: DataFrame) -> DataFrame:
     """(statement_id, page, top, table, cells): the rows of every drawn table, a cell for each left edge that its table has; text above a page's tables as rows of its labels, of table 0."""
-    cells = ruled_cells(written(crossings(merged_rules(rules)), "crossings"))
+    cells = ruled_cells(shuffled(crossings(merged_rules(rules)), "crossings"))
     cells = cells.withColumn("i", F.sum(_islands(PAGE, "x0", "x1", 0.5)).over(Window.partitionBy(*PAGE).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, 0)))
     block = [*PAGE, "i"]
     cells = cells.withColumn("j", F.sum(_islands(block, "y0", "y1", 0.5)).over(Window.partitionBy(*block).orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, 0)))
-    cells = written(cells, "cells")
-    placed = written(positions.lines(words), "lines").withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": F.col("top") + HALF_LINE})
+    cells = shuffled(cells, "cells")
+    placed = shuffled(positions.lines(words), "lines").withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": F.col("top") + HALF_LINE})
     inside = placed.select(*PAGE, "line", F.col("x0").alias("wx"), "text", "cx", "cy", F.floor(F.col("cy") / BAND).alias("band")).join(cells.select("*", _bands(F.col("y0"), F.col("y1")).alias("band")), [*PAGE, "band"]).filter("cx >= x0 and cx < x1 and cy >= y0 and cy < y1")
     table = [*block, "j"]
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "wx", "text"))), lambda w: w["text"]), " ")
@@ -120,7 +120,7 @@ def gutters(labelled: DataFrame) -> DataFrame:
 
 def spaced_rows(words: DataFrame) -> DataFrame:
     """(statement_id, page, top, table, cells): each line's words under the columns between a file's gutters."""
-    placed = written(positions.lines(words), "lines")
+    placed = shuffled(positions.lines(words), "lines")
     cuts = gutters(positions.labels(placed))
     centre = (F.col("x0") + F.col("x1")) / 2
     at = placed.join(cuts, KEY).withColumn("at", F.size(F.filter("cuts", lambda c: c <= centre)))
@@ -133,7 +133,7 @@ def spaced_rows(words: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """(statement_id, number, cells) of the files that have a header; headers that later pages repeat are dropped."""
     order = Window.partitionBy(KEY).orderBy("page", "table", "top")
-    rows = rows.withColumns({"head": names_columns(column_map(F.col("cells"))), "k": F.row_number().over(order)})
+    rows = rows.withColumns({"head": is_header(F.col("cells")), "k": F.row_number().over(order)})
     first = F.min(F.when(F.col("head"), F.col("k"))).over(Window.partitionBy(KEY))
     kept = rows.withColumn("first", first).filter("first is not null and (not head or k = first)")
     return kept.select(KEY, F.row_number().over(Window.partitionBy(KEY).orderBy("k")).alias("number"), "cells")
@@ -141,14 +141,14 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def recovered(files: DataFrame, words: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((statement_id, number, cells, how), (statement_id, reason)) of files(statement_id): how is ruled, headings or spaces. Each way reads only the files that those before left."""
-    ids = lambda grid: grid.select(KEY).distinct()
-    words = words.join(files.select(KEY).distinct(), KEY, "left_semi")
+    ids = lambda grid: grid.select(KEY).distinct().hint("merge")
+    words = words.join(ids(files), KEY, "left_semi")
     drawn = words.join(ids(rules), KEY, "left_semi")
-    ruled = written(numbered(ruled_rows(drawn, rules)), "ruled")
+    ruled = shuffled(numbered(ruled_rows(drawn, rules)), "ruled")
     words = words.join(ids(ruled), KEY, "left_anti")
-    headed = written(positions.grid(words), "headed")
+    headed = shuffled(positions.grid(words), "headed")
     words = words.join(ids(headed), KEY, "left_anti")
-    spaced = written(numbered(spaced_rows(words)), "spaced")
+    spaced = shuffled(numbered(spaced_rows(words)), "spaced")
     grid = ruled.withColumn("how", F.lit("ruled")).unionByName(headed.withColumn("how", F.lit("headings"))).unionByName(spaced.withColumn("how", F.lit("spaces")))
-    left = files.select(KEY).distinct().join(ids(grid), KEY, "left_anti").join(words.filter("trim(text) <> ''").select(KEY, F.lit(NO_TABLE).alias("found")).distinct(), KEY, "left")
+    left = files.select(KEY).distinct().join(ids(grid), KEY, "left_anti").join(words.filter("trim(text) <> ''").select(KEY, F.lit(NO_TABLE).alias("found")).distinct().hint("merge"), KEY, "left")
     return grid, left.select(KEY, F.coalesce("found", F.lit(NO_TEXT)).alias("reason"))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates, money
 from ..functions.bind import bind
-from ..session import written
-from .statements import CLOSING, KEY, OPENING, SUMMARY, column_map, names_columns
+from ..session import shuffled
+from .statements import CLOSING, KEY, OPENING, SUMMARY, column_map, may_name, names_columns
 
 #: How far words of one line lie apart vertically; the gaps inside a heading; a gap that sets a line apart; how far below a label its value stands.
 LINE_TOLERANCE, LABEL_GAP, GAP_RATIO, MIN_LABEL_GAP, BREAK_RATIO, VALUE_DROP = 3.0, 12.0, 3.0, 4.0, 1.6, 40.0
@@ -48,7 +48,8 @@ def labels(placed: DataFrame) -> DataFrame:
 
 def page_columns(labelled: DataFrame) -> DataFrame:
     """(statement_id, page, header, names, fields, edges): each page's columns, by its own header or the last one before. Boundaries lie midway between headings."""
-    heads = labelled.filter(F.size("labels") >= 3).withColumn("fields", column_map(F.transform("labels", lambda x: x["text"])))
+    texts = F.transform("labels", lambda x: x["text"])
+    heads = labelled.filter((F.size("labels") >= 3) & may_name(texts)).withColumn("fields", column_map(texts))
     heads = heads.filter(names_columns(F.col("fields")))
     first = heads.groupBy(*PAGE).agg(F.min("line").alias("header"), F.min_by(F.struct("labels", "fields"), "line").alias("h"))
     pages = labelled.select(*PAGE).distinct().join(first, PAGE, "left")
@@ -92,9 +93,9 @@ def assembled(by_line: DataFrame) -> DataFrame:
 def grid(words: DataFrame) -> DataFrame:
     """(statement_id, number, cells) as delimited files give them: lines above the first header by their labels, the header, the rows of all pages."""
     # lines, labels and columns are read several times each
-    placed = written(lines(words), "lines")
-    labelled = written(labels(placed), "labels")
-    columns = written(page_columns(labelled), "columns")
+    placed = shuffled(lines(words), "lines")
+    labelled = shuffled(labels(placed), "labels")
+    columns = shuffled(page_columns(labelled), "columns")
     rows = assembled(cells(placed, columns)).select(*PAGE, "line", "cells")
     first = columns.filter("header is not null").groupBy(KEY).agg(F.min(F.struct("page", "header")).alias("first"), F.min_by("names", "page").alias("names"))
     texts = F.transform("labels", lambda x: x["text"])
@@ -104,7 +105,7 @@ def grid(words: DataFrame) -> DataFrame:
 
 def labelled_values(words: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """(statement_id, field, value): for each field the first label, in reading order, with a figure or a date below it within its width."""
-    placed = written(lines(words), "lines")
+    placed = shuffled(lines(words), "lines")
     named = labels(placed).select(*LINE, "top", F.posexplode("labels").alias("at", "label"))
     wanted = F.array_compact(F.array(*(F.when(F.col("label.text").rlike(f"(?i){p}"), f) for f, p in patterns.items())))
     named = named.select(*PAGE, F.col("line").alias("from"), F.col("top").alias("from_top"), "at", "label", F.explode(wanted).alias("field"))

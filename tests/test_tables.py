@@ -1,6 +1,7 @@
 """Tables on pages: drawn rules, headings, white space, and what is refused."""
 
 
+from tarazu.session import shuffled
 from tarazu.sources import cards, load, tables, words
 
 WORDS = "statement_id string, page int, top double, x0 double, x1 double, text string"
@@ -127,3 +128,11 @@ def test_a_card_box_on_a_page_overrides_the_grid(spark):
     plain, placed = (load.from_grid(table, labelled=x).cards.first() for x in (None, labelled))
     assert (plain["total_due"], plain["minimum_due"], plain["due_date"], plain["previous_balance"]) == (900, None, None, 100_000)
     assert (placed["total_due"], placed["minimum_due"], str(placed["due_date"]), placed["previous_balance"]) == (115_000, 15_000, "2024-02-15", 100_000)
+
+
+def test_joins_of_recovered_rows_shuffle(spark):
+    """Repeated values make small files of many rows, which a broadcast would gather in the driver."""
+    points = shuffled(spark.createDataFrame([("a", 1, h, v, 10.0 * v, 10.0 * h) for h in range(1, 4) for v in range(4, 8)], "statement_id string, page int, h int, v int, x double, y double"), "points")
+    found = tables.ruled_cells(points)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 6
