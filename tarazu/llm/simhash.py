@@ -46,7 +46,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_intdigest
     values = np.fromiter((digest(joined[a:b], SEED) for a, b in zip((ends - sizes)[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
-    return sum(1 << j for j in np.nonzero(2 * bit_counts(values) > n)[0].tolist())
+    return of_values(values)
+
+
+def of_values(values: np.ndarray) -> int:
+    """The fingerprint of shingle values, repeats included; 0 of none."""
+    return sum(1 << j for j in np.nonzero(2 * bit_counts(values) > len(values))[0].tolist())
 
 
 def bit_counts(values: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from tarazu.llm import minhash, simhash
 
 
 def test_stages_keep_clean_documents_and_drop_copies(spark, sf_dir):
@@ -58,3 +59,12 @@ def test_near_dedup_finds_what_brute_force_finds(spark, sf_dir):
     assert len(rows) - len(expected) > 80
     # two texts without words are equal by definition, though their Jaccard similarity is 0 / 0
     assert sorted(r["doc_id"] for r in out) == expected
+
+
+def test_near_dedup_takes_simhash_links_as_candidates(spark):
+    """Fingerprints three bits apart are candidates though no band is shared; four bits apart and texts without words aren't."""
+    signed = spark.createDataFrame([(1, 0, [1]), (2, 0b111, [2]), (3, 0b1111 << 20, [3]), (4, 0, []), (5, 0b111, [5])], "g long, fp long, bands array<long>")
+    assert {tuple(sorted(r)) for r in minhash.candidates(signed).collect()} == {(1, 2), (2, 5)}
+    text = b"one two three four five six seven one two three four five"
+    assert simhash.of_values(minhash.shingle_values(text)) == simhash.fingerprint(text, minhash.SHINGLE)
+    assert simhash.of_values(minhash.shingle_values(b"")) == 0
