@@ -17,13 +17,14 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from tokenizers import Tokenizer
 from .common import blocks, byte_column, made
 
 #: Words, and pieces, of one generation that a worker keeps.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 BLOCK_BYTES = 2 << 20
 #: Stands between words that are cut together: a private character, which normalising leaves alone.
 MARK = "\ue000"
@@ -55,33 +56,32 @@ def byte_letters() -> list[str]:
 
 
 class PairIndex:
-    """The positions of each ranked pair in a sequence of symbols."""
+    """The positions of each ranked pair in a sequence of symbols. Pieces stand between symbols of -1, which no pair has."""
 
     def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
-        self.ranks, self.symbols, self.before, self.after = ranks, [], [], []
-        self.places: dict[int, list[int]] = {}
-        self.active: list[int] = []
+        self.ranks, self.symbols, self.ends = ranks, [-1], [0]
 
     def add(self, symbols: list[int]) -> tuple[int, int]:
         """Appends a piece; returns where it starts and ends."""
-        if not symbols:
-            return 0, 0
-        first, end = len(self.symbols), len(self.symbols) + len(symbols)
+        first = len(self.symbols)
         self.symbols += symbols
-        self.before += [-1, *range(first, end - 1)]
-        self.after += [*range(first + 1, end), -1]
-        ranks, places = self.ranks, self.places
-        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False), first):
-            if (found := ranks.get(pair)) is not None:
-                if (rank := found[0]) in places:
-                    places[rank].append(i)
-                else:
-                    places[rank] = [i]
-                    heapq.heappush(self.active, rank)
-        return first, end
+        self.ends.append(len(self.symbols))
+        self.symbols.append(-1)
+        return first, self.ends[-1]
+
+    def places(self) -> dict[int, list[int]]:
+        """The positions of each rank, ascending ones, in ascending order of ranks."""
+        found = map(self.ranks.get, pairwise(self.symbols), repeat((-1, -1)))
+        rank = np.fromiter(map(itemgetter(0), found), np.int64, len(self.symbols) - 1)
+        at = np.nonzero(rank >= 0)[0]
+        at = at[np.argsort(rank[at], kind="stable")]
+        ranks, starts = np.unique(rank[at], return_index=True)
+        at, starts = at.tolist(), starts.tolist()
+        return {r: at[a:b] for r, a, b in zip(ranks.tolist(), starts, [*starts[1:], len(at)], strict=True)}
 
     def apply(self) -> None:
-        symbols, before, after, places, active, get = self.symbols, self.before, self.after, self.places, self.active, self.ranks.get
+        symbols, places, get, n = self.symbols, self.places(), self.ranks.get, len(self.symbols)
+        before, after, active = list(range(-1, n - 1)), list(range(1, n + 1)), list(places)  # sorted, so a heap
         while active:
             rank = heapq.heappop(active)
             own = places.pop(rank)
@@ -89,23 +89,28 @@ class PairIndex:
                 own.sort()
             for k, i in enumerate(own):
                 j = after[i]
-                if j < 0 or (found := get((symbols[i], symbols[j]))) is None or found[0] != rank:
+                if (found := get((symbols[i], symbols[j]))) is None or found[0] != rank:
                     continue  # an earlier merge took one of the two
                 merged = symbols[i] = found[1]
                 symbols[j] = -1
                 after[i] = n = after[j]
-                after[j] = -1
+                before[n] = i
                 lower = False
-                for at, pair in ((i, (merged, symbols[n]) if n >= 0 else None), (p := before[i], (symbols[p], merged) if p >= 0 else None)):
-                    if pair and (new := get(pair)) is not None:
-                        if (r := new[0]) in places:
-                            places[r].append(at)
-                        else:
-                            places[r] = [at]
-                            heapq.heappush(active, r)
-                        lower |= r < rank
-                if n >= 0:
-                    before[n] = i
+                if (new := get((merged, symbols[n]))) is not None:
+                    if (r := new[0]) in places:
+                        places[r].append(i)
+                    else:
+                        places[r] = [i]
+                        heapq.heappush(active, r)
+                    lower = r < rank
+                p = before[i]
+                if (new := get((symbols[p], merged))) is not None:
+                    if (r := new[0]) in places:
+                        places[r].append(p)
+                    else:
+                        places[r] = [p]
+                        heapq.heappush(active, r)
+                    lower |= r < rank
                 if lower and k + 1 < len(own):  # the lower rank goes first, the rest of this list after it
                     if rank in places:
                         places[rank] += own[k + 1 :]
@@ -117,6 +122,14 @@ class PairIndex:
     def piece(self, first: int, end: int) -> tuple[int, ...]:
         return tuple([s for s in self.symbols[first:end] if s >= 0])
 
+    def packed(self) -> list[bytes]:
+        """What is left of each piece, as packed 32-bit numbers."""
+        symbols = np.array(self.symbols, np.int32)
+        keep = symbols >= 0
+        left = (np.r_[0, np.cumsum(keep)][self.ends] * 4).tolist()
+        whole = symbols[keep].tobytes()
+        return [whole[a:b] for a, b in pairwise(left)]
+
 
 class Kept(dict):
     """Word or piece -> ids as packed 32-bit numbers, in two generations: what a full generation's time didn't use goes."""
@@ -229,12 +242,12 @@ class Encoder:
         """Encodes new words, their new pieces all in one index."""
         known, pieces = self.words, self.pieces
         cut = list(self.cut_words(words))
-        index = PairIndex(self.ranks)
         new = pieces.known(dict.fromkeys(p for _, parts in cut for p in parts if isinstance(p, str)))
-        places = [index.add(self.symbols(p)) for p in new]
+        index = PairIndex(self.ranks)
+        for p in new:
+            index.add(self.symbols(p))
         index.apply()
-        for p, place in zip(new, places, strict=True):
-            pieces[p] = array("i", index.piece(*place)).tobytes()
+        pieces.update(zip(new, index.packed(), strict=True))
         for w, parts in cut:
             known[w] = pieces[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else b"".join([pack(p) if isinstance(p, int) else pieces[p] for p in parts])
         pieces.age()
@@ -242,7 +255,14 @@ class Encoder:
     def ids_of(self, texts: list[bytes]) -> pa.ListArray:
         """The ids of each text."""
         split = [t.split() for t in texts]
-        self.learn(self.words.known(set(chain.from_iterable(split))))
+        # millions of lists and tuples are made here, and no cycles
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            self.learn(self.words.known(set(chain.from_iterable(split))))
+        finally:
+            if was:
+                gc.enable()
         get = self.words.__getitem__
         packed = [b"".join(map(get, words)) for words in split]
         self.words.age()

@@ -406,6 +406,16 @@ def test_a_lower_rank_that_a_merge_makes_goes_first():
     assert index.piece(*place) == (12, 2)
 
 
+def test_pairs_of_all_pieces_are_indexed_at_once():
+    ranks = {(1, 2): (5, 10), (2, 1): (3, 20), (10, 10): (1, 30)}
+    index = bpe.PairIndex(ranks)
+    for piece in ([1, 2, 1, 2], [], [2], [1, 2]):
+        index.add(piece)
+    assert index.places() == {3: [2], 5: [1, 3, 9]}  # no pair across pieces
+    index.apply()
+    assert [np.frombuffer(x, np.int32).tolist() for x in index.packed()] == [[1, 20, 2], [], [2], [10]]
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "<p>ä</p>"), (2, None, "<p>ä</p>"), (3, "http://b c\n", None), (4, "u", ""), (None, "n", "only"), (7, "x", "y" * 300_000), (7, "x", "y" * 300_000)]
     rows += [(100 + i, f"http://{i}", f"<html><body>{prose(200)}</body></html>") for i in range(300)]
