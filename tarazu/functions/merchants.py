@@ -83,10 +83,11 @@ def classify(counterparty: Column, channel: Column, handle: Column) -> Column:
     return bind(F.filter(F.split(F.lower(counterparty), r"\s+"), lambda w: w != ""), of)
 
 
-def identify(raw: Column, words: Column | None = None) -> Column:
+def identify(raw: Column, words: Column | None = None, parts: Column | None = None) -> Column:
     """struct(name, category, kind, source, channel, counterparty, vpa, handle, reference).
 
-    words: the counterparty's words as the segmenter cut them; by default its words at spaces.
+    words: the counterparty's words as the segmenter cut them; by default its words at spaces. parts: parse_narration()
+    of raw, where it is known.
     """
     raw = F.coalesce(raw, F.lit(""))
 
@@ -109,7 +110,7 @@ def identify(raw: Column, words: Column | None = None) -> Column:
         source = F.coalesce(hit["s"], F.when(F.size(cut) > 0, "segmented").otherwise("raw"))
         return F.struct(name.alias("name"), category.alias("category"), kind.alias("kind"), source.alias("source"), *(n[c].alias(c) for c in ("channel", "counterparty", "vpa", "handle", "reference")))
 
-    return bind(parse_narration(raw), label)
+    return bind(parse_narration(raw) if parts is None else parts, label)
 
 
 def confident(source: Column) -> Column:

@@ -17,11 +17,13 @@ def labelled(transactions: DataFrame, words: list[str] | None = None) -> DataFra
     Each statement's narrations teach it words, and those of several teach all; each distinct counterparty of a
     statement is cut and labelled once. words: known ones, commonest first, in place of the lexicon's.
     """
-    seed = segments.vocabulary(transactions, words)
-    own = segments.learnt(transactions, seed)
-    narrations = written(transactions.select(KEY, "narration").distinct().withColumn("text", parse_narration(F.col("narration"))["counterparty"]), "narrations")
+    spoken = written(segments.firsts(transactions), "spoken")
+    seed = segments.vocabulary(spoken, words)
+    own = written(segments.learnt(spoken, seed), "learnt")
+    parts = transactions.select(KEY, "narration").distinct().withColumn("parts", parse_narration(F.col("narration")))
+    narrations = written(parts.withColumn("text", F.col("parts.counterparty")), "narrations")
     cut = segments.segmented(narrations, own, seed)
-    labels = narrations.join(cut, [KEY, "text"]).select(KEY, "narration", merchants.identify(F.col("narration"), F.col("words")).alias("label"))
+    labels = narrations.join(cut, [KEY, "text"]).select(KEY, "narration", merchants.identify(F.col("narration"), F.col("words"), F.col("parts")).alias("label"))
     # a null narration meets its own label
     same = [transactions[KEY] == labels[KEY], transactions["narration"].eqNullSafe(labels["narration"])]
     rows = transactions.join(labels, same).select(transactions["*"], "label")
