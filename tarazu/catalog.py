@@ -622,9 +622,9 @@ def evaluation_cards(spark, sf_dir):
     refused = F.size("refused") > 0
     fields = [F.when(~refused, F.col(c)).alias(c) for c in question.QUERY]
     taken = found.select("text", *fields, F.length("text").cast("double").alias("latency_ms"), F.lit(0.0).alias("cost"))
-    careless = taken.withColumns({"start": F.lit(None).cast("date"), "end": F.lit(None).cast("date"), "direction": F.when(F.col("intent").isNotNull(), "debit"), "latency_ms": F.col("latency_ms") + 10})
     # only questions of income keep their year, so that the direction alone is misread there
-    careless = careless.alias("c").join(taken.select("text", F.col("start").alias("s"), F.col("end").alias("e"), F.col("direction").alias("side")), "text").withColumns({"start": F.when(F.col("side") == "credit", F.col("s")), "end": F.when(F.col("side") == "credit", F.col("e"))}).drop("s", "e", "side")
+    income = lambda c: F.when(F.col("direction") == "credit", F.col(c))
+    careless = taken.withColumns({"start": income("start"), "end": income("end"), "direction": F.when(F.col("intent").isNotNull(), "debit"), "latency_ms": F.col("latency_ms") + 10})
     attempts = taken.withColumn("reader", F.lit("reader")).unionByName(careless.withColumn("reader", F.lit("careless")))
     word = lambda k: F.regexp_extract("text", k, 1)
     g = F.col("g")

@@ -99,8 +99,10 @@ def merchants_in(texts: DataFrame, ledger: DataFrame) -> DataFrame:
     first = F.get(F.filter(F.split(low, r"\s+"), lambda w: w != ""), F.lit(0))
     names = ledger.select("name").distinct().select("name", low.alias("low"), first.alias("first")).filter("first is not null and not startswith(low, '(')").withColumn("gram", F.substring(F.ltrim("low"), 1, GRAM))
     size = F.length("text")
-    grams = F.transform(F.sequence(F.lit(1), size), lambda p: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.substring(F.lower("text"), p, k)))
-    met = texts.filter(size > 0).select("text", F.explode(F.array_distinct(F.flatten(grams))).alias("gram")).join(names, "gram")
+    long = sorted(r[0] for r in names.select(F.length("gram")).distinct().collect())  # GRAM values at most
+    of = lambda t, k: F.transform(F.sequence(F.lit(1), F.length(t)), lambda p: F.substring(t, p, F.lit(k)))
+    grams = bind(F.lower("text"), lambda t: F.array_distinct(F.concat(*(of(t, k) for k in long or [GRAM]))))
+    met = texts.filter(size > 0).select("text", F.explode(grams).alias("gram")).join(names, "gram")
     hit = F.lower("text").contains(F.col("low")) | ((F.length("first") >= 4) & F.array_contains(tokens(F.col("text")), F.col("first")))
     return met.filter(hit).groupBy("text").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("merchant"))
 
@@ -131,7 +133,7 @@ def masked(queries: DataFrame) -> DataFrame:
 
 def read(questions: DataFrame, ledger: DataFrame) -> DataFrame:
     """questions(text, ...) with a query's fields and strange. intent is null where a text is no question that is taken, or the ledger has no rows."""
-    texts = questions.select("text").distinct().filter("text is not null")
+    texts = written(questions.select("text").distinct().filter("text is not null"), "texts")
     as_of, cards = ledger.agg(F.max("date"), F.max("on_card")).first()  # two values
     low, intent = F.lower(F.trim("text")), F
     for name, pattern in INTENTS:

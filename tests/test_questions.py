@@ -90,3 +90,12 @@ def test_scorecards_by_kind_and_split(spark, ledger):
     test = sum(int(hashlib.sha256(t.strip().lower().encode()).hexdigest()[:8], 16) % 100 < 40 for t in texts)
     assert cards["good", "all", "test"]["n"] == test and cards["good", "all", "dev"]["n"] == n - test
     assert evaluation.missed(judged).filter("reader = 'silent'").count() == n - refusals and evaluation.missed(judged).filter("reader = 'good'").isEmpty()
+
+
+def test_names_are_cut_at_the_lengths_that_they_have(spark):
+    """Texts are cut at the lengths of the names' first letters only, of which there are GRAM at most."""
+    ledger = spark.createDataFrame([("m3",), ("Zomato",)], "name string")
+    texts = spark.createDataFrame([("paid M3 twice",), ("at zomato",), ("none",), ("",)], "text string")
+    found = question.merchants_in(texts, ledger)
+    assert {tuple(r) for r in found.collect()} == {("paid M3 twice", "m3"), ("at zomato", "Zomato")}
+    assert "sequence(1, 4" not in found._jdf.queryExecution().optimizedPlan().toString()
