@@ -21,8 +21,12 @@ def _bare(text: Column) -> Column:
 
 def parse_amount(text: Column) -> Column:
     """Paise of an Indian-format amount; null if it isn't one. A leading minus and parentheses toggle the sign, Dr sets it."""
+    return _paise(_bare(text))
+
+
+def _paise(bare: Column) -> Column:
     # one match gives all parts: sign, number in parentheses, number, side; a text that doesn't match stays whole
-    parts = F.split(F.regexp_replace(_bare(text), _AMOUNT, "$1\u0001$2\u0001$3\u0001$4"), "\u0001", -1)
+    parts = F.split(F.regexp_replace(bare, _AMOUNT, "$1\u0001$2\u0001$3\u0001$4"), "\u0001", -1)
 
     def read(p: Column) -> Column:
         bracketed = F.get(p, 1) != ""
@@ -52,7 +56,7 @@ def reading(text: Column) -> Column:
 
     def read(bare: Column) -> Column:
         absent = bare.isNull() | bare.isin(*BLANKS) | bare.rlike(PLACEHOLDER)
-        return F.when(absent, F.struct(F.lit(None).cast("long").alias("amount"), F.lit(False).alias("bad"))).otherwise(bind(parse_amount(bare), lambda v: F.struct(v.alias("amount"), v.isNull().alias("bad"))))
+        return F.when(absent, F.struct(F.lit(None).cast("long").alias("amount"), F.lit(False).alias("bad"))).otherwise(bind(_paise(bare), lambda v: F.struct(v.alias("amount"), v.isNull().alias("bad"))))
 
     return bind(_bare(text), read)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates, money
+from ..session import shuffled
 from .statements import KEY, cells_of, heading, headers, identities
 
 #: Labels that only cards have, labels of the summary box by field, and issuers.
@@ -19,6 +20,9 @@ BOX = (
 )
 DUE_DATE = r"payment\s+due\s+date|due\s+date"
 ISSUERS = ("hdfc", "icici", "sbi", "axis", "kotak", "amex", "american express", "citi", "standard chartered", "rbl", "indusind", "au bank", "yes bank", "onecard", "slice", "idfc")
+#: What every label of BOX and DUE_DATE holds, and the columns that hold figures.
+HOLDS = "due|payable|bal|payment|credit|purchase|debit|spend|charge|fee"
+FIGURES = ("debit", "credit", "amount")
 BELOW = 2
 
 
@@ -40,7 +44,7 @@ def summary(grid: DataFrame) -> DataFrame:
     """(statement_id, the fields of BOX, due_date): of the labels of a field the first, in reading order, that has a figure beside it or below."""
     rows = Window.partitionBy(KEY).orderBy("number")
     grid = grid.select(KEY, "number", "cells", *(F.lead("cells", k).over(rows).alias(f"below{k}") for k in range(1, BELOW + 1)))
-    labels = grid.select(KEY, "number", "cells", *(f"below{k}" for k in range(1, BELOW + 1)), F.posexplode("cells").alias("at", "cell")).withColumn("label", heading(F.col("cell")))
+    labels = grid.select(KEY, "number", "cells", *(f"below{k}" for k in range(1, BELOW + 1)), F.posexplode("cells").alias("at", "cell")).filter(F.lower("cell").rlike(HOLDS)).withColumn("label", heading(F.col("cell")))
 
     def near(read) -> Column:
         """What read() makes of the cells beside, then of those below."""
@@ -77,19 +81,21 @@ def parsed(grid: DataFrame, header: DataFrame | None = None, labelled: DataFrame
     header = headers(grid) if header is None else header
     files = card_files(grid, header)
     rows = cells_of(grid, header.join(files, KEY, "left_semi"))
-    amount = lambda f: money.parse_optional_amount(F.col(f"{f}_text"))
     sided = F.map_contains_key("columns", F.lit("debit")) | F.map_contains_key("columns", F.lit("credit"))
-    rows = rows.withColumns({f: amount(f) for f in ("debit", "credit", "amount")})
+    rows = rows.withColumns({f"{f}_read": money.reading(F.col(f"{f}_text")) for f in FIGURES} | {"days": dates.readings(F.col("date_text"))})
+    rows = rows.withColumns({f: F.col(f"{f}_read.amount") for f in FIGURES})
     text = F.lower(F.trim("amount_text"))
     # on a card, Cr, a minus and a leading plus all take off what is owed
     off = text.endswith("cr") | (F.col("amount") < 0) | text.startswith("+")
     direction = F.when(sided, F.when(F.col("debit").isNotNull(), "debit").otherwise("credit")).otherwise(F.when(off, "credit").otherwise("debit"))
     figure = F.when(sided, F.coalesce("debit", "credit")).otherwise(F.col("amount"))
-    garbled = F.greatest(*(money.unreadable(F.col(f"{f}_text")) for f in ("debit", "credit", "amount")))
-    dated = rows.filter(F.coalesce(dates.looks_like_date(F.col("date_text")), F.lit(False))).withColumns({"direction": direction, "figure": figure, "bad": garbled})
-    order = dates.settle_order(dated.select(KEY, F.col("number").alias("pos"), "date_text"))
+    garbled = F.greatest(*(F.col(f"{f}_read.bad") for f in FIGURES))
+    dated = rows.filter("days.d is not null or days.m is not null").select(KEY, "number", "date_text", "narration_text", F.col("days.d").alias("d"), F.col("days.m").alias("m"), direction.alias("direction"), figure.alias("figure"), garbled.alias("bad"))
+    # faults, orders and entries are read from these rows
+    dated = shuffled(dated, "dated")
+    order = dates.settle_order(dated.select(KEY, F.col("number").alias("pos"), "date_text", "d", "m"))
     dated = dated.join(order, KEY)
-    day = F.when(F.col("date_order") == "month_first", dates.parse_date(F.col("date_text"), "month_first")).otherwise(dates.parse_date(F.col("date_text"), "day_first"))
+    day = F.when(F.col("date_order") == "month_first", F.col("m")).otherwise(F.col("d"))
     faults = dated.groupBy(KEY).agg(F.min(F.when(F.col("bad"), F.col("number"))).alias("bad_row"), F.count(F.when(~F.col("bad"), F.col("figure"))).alias("n"))
     facts = files.join(faults, KEY, "left")
     reason = F.when(F.col("bad_row").isNotNull(), F.concat(F.lit("row "), F.col("bad_row").cast("string"), F.lit(" can't be read"))).when(F.coalesce("n", F.lit(0)) == 0, "no transaction rows under the header")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dates, money
+from ..functions.bind import bind
 from ..session import shuffled
 from . import workbook
 
@@ -33,6 +34,8 @@ OPENING = r"(?i)^\s*(opening\s+bal(?:ance)?\.?|bal(?:ance)?\.?\s+b[/\s.]*f|b[/\s
 CLOSING = r"(?i)^\s*(closing\s+bal(?:ance)?\.?|bal(?:ance)?\.?\s+c[/\s.]*f|c[/\s.]*f|carried\s+forward)\b"
 SUMMARY = r"(?i)^\s*((statement|account|transaction)\s+summary\b|summary\s*[:\-])"
 TOTALS = r"(?i)^\s*(transaction|grand|statement)?\s*totals?(\s+(of\s+)?transactions?)?\s*$"
+#: How a cell begins that one of the patterns above can match.
+MARKED = r"(?i)^\s*(?:open|clos|bal|b[/\s.]*f|brought|c[/\s.]*f|carried|statement|account|transaction|summary|grand|total)"
 TIME_SUFFIX = r"\s*(?:[&/]|and)\s*time\s*$"
 CURRENCY_SUFFIX = r"\s*(?:[(\[]\s*(?:in\s+)?(?:inr|rs\.?|₹|usd|\$)\s*[)\]]|\sin\s(?:inr|rs\.?|₹))\s*$"
 MASKED = r"((?:[Xx]{2,}|\*{2,})\s?\d{3,6})\b"
@@ -221,10 +224,10 @@ def cells_of(grid: DataFrame, header: DataFrame) -> DataFrame:
 
 def classified(grid: DataFrame, header: DataFrame) -> DataFrame:
     """The rows under each header with their fields as text, amounts, and kind: skip, totals, opening, closing, entry, wrapped or bad."""
-    rows = cells_of(grid, header).withColumn("readings", F.transform("cells", money.reading))
+    rows = cells_of(grid, header).withColumns({"readings": F.transform("cells", money.reading), "days": dates.readings(F.col("date_text"))})
     of = lambda f: F.get("readings", F.try_element_at("columns", F.lit(f)))
     rows = rows.withColumns({f: of(f)["amount"] for f in ("debit", "credit", "balance", "amount")} | {"found": F.array_compact(F.transform("readings", lambda r: r["amount"]))})
-    marks = lambda c: F.when(c.rlike(OPENING), "opening").when(c.rlike(CLOSING), "closing").when(c.rlike(TOTALS), "totals").when(c.rlike(SUMMARY), "summary").otherwise("")
+    marks = lambda c: F.when(~c.rlike(MARKED), "").when(c.rlike(OPENING), "opening").when(c.rlike(CLOSING), "closing").when(c.rlike(TOTALS), "totals").when(c.rlike(SUMMARY), "summary").otherwise("")
     rows = rows.withColumn("marks", F.transform("cells", marks))
     pair = F.map_contains_key("columns", "debit") | F.map_contains_key("columns", "credit")
     d, c, a = F.col("debit"), F.col("credit"), F.col("amount")
@@ -246,7 +249,7 @@ def classified(grid: DataFrame, header: DataFrame) -> DataFrame:
         .when(F.col("label").isNotNull(), F.col("label"))
         .when(garbled | (F.col("out").isNotNull() & F.col("into").isNotNull()), "bad")
         .when(F.col("out").isNotNull() | F.col("into").isNotNull(), "entry")
-        .when(F.col("balance").isNull() & ~F.coalesce(dates.looks_like_date(F.col("date_text")), F.lit(False)), "wrapped")
+        .when(F.col("balance").isNull() & F.col("days.d").isNull() & F.col("days.m").isNull(), "wrapped")
         .otherwise("bad")
     )
     summary = (F.array_contains("marks", "summary") | (F.col("has_opening") & F.col("has_closing"))) & (kind != "skip")
@@ -254,7 +257,7 @@ def classified(grid: DataFrame, header: DataFrame) -> DataFrame:
     before = Window.partitionBy(KEY).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("entries", F.coalesce(F.count(F.when(F.col("kind") == "entry", 1)).over(before), F.lit(0)))
     ends = (F.col("entries") > 0) & (F.col("summary") | (F.col("kind") == "closing"))
-    rows = rows.drop("readings", "marks")
+    rows = rows.withColumns({"d": F.col("days.d"), "m": F.col("days.m")}).drop("readings", "marks", "days")
     return rows.withColumn("end", F.min(F.when(ends, F.col("number"))).over(Window.partitionBy(KEY)))
 
 
@@ -278,10 +281,10 @@ def parsed(grid: DataFrame, header: DataFrame | None = None) -> tuple[DataFrame,
     """
     header = shuffled(headers(grid), "headers") if header is None else header
     rows = shuffled(classified(grid, header), "rows")
-    order = shuffled(dates.settle_order(rows.select(KEY, F.col("number").alias("pos"), F.col("date_text"))), "orders")
+    order = shuffled(dates.settle_order(rows.select(KEY, F.col("number").alias("pos"), "date_text", "d", "m")), "orders")
     ledger = rows.filter(F.col("end").isNull() | (F.col("number") < F.col("end"))).join(order, KEY)
-    read = lambda f: F.when(F.col("date_order") == "month_first", dates.parse_date(F.col(f), "month_first")).otherwise(dates.parse_date(F.col(f), "day_first"))
-    ledger = ledger.withColumns({"date": read("date_text"), "value_date": read("value_date_text"), "seq": F.col("entries") + (F.col("kind") == "entry").cast("long")})
+    in_order = lambda r: F.when(F.col("date_order") == "month_first", r["m"]).otherwise(r["d"])
+    ledger = ledger.withColumns({"date": in_order({c: F.col(c) for c in "dm"}), "value_date": bind(dates.readings(F.col("value_date_text")), in_order), "seq": F.col("entries") + (F.col("kind") == "entry").cast("long")})
     ledger = shuffled(ledger.select(KEY, "number", "kind", "seq", "date", "value_date", "narration_text", "out", "into", "balance"), "ledger")
 
     spent = F.col("out").isNotNull()

@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from tarazu.functions import dates, merchants, money, narration
+from tarazu.functions import dates, merchants, money, narration, segments
 
 AMOUNTS = [
     ("1,23,456.78", 12345678), ("₹ 4,500.00", 450000), ("+ ₹ 4,500.00", 450000), ("₹-500.00", -50000), ("-(5)", 500), ("(5) dr", 500), ("--5", None), ("(₹1,200.00)", -120000),
@@ -57,3 +57,21 @@ def test_identify(spark):
     assert [(x["name"], x["category"], x["kind"]) for x in found] == [
         ("Swiggy", "food", "merchant"), ("Rahul Sharma", "transfer", "person"), ("CRED", "card bill", "card bill"), ("435584xxxxxx8918", "card bill", "card bill"), ("(no narration)", "uncategorised", "unknown"), ("Gst Charges", "fees", "bank"), ("Acme Pvt Ltd", "uncategorised", "unknown"),
     ]
+
+
+def test_readings_are_those_of_both_orders(spark):
+    texts = ["05-Jan-2024", "5 january 2024", "03/04/24", "13/04/2024", "04-13-2024", "1/2-2024", "2024-1-5", "5-Jan-70", "05-Jan-2024 10:30 am", "5 Jan 2024,; ", "", "UPI/x", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.readings(F.col("t")).alias("r"), dates.parse_date(F.col("t"), "day_first").alias("d"), dates.parse_date(F.col("t"), "month_first").alias("m")).collect()
+    assert [(r["r"]["d"], r["r"]["m"]) if r["r"] else (None, None) for r in rows] == [(r["d"], r["m"]) for r in rows]
+    assert [str(r["d"]) for r in rows][:8] == ["2024-01-05", "2024-01-05", "2024-04-03", "2024-04-13", "None", "None", "2024-01-05", "1970-01-05"]
+    assert [str(r["m"]) for r in rows][2:5] == ["2024-03-04", "None", "2024-04-13"]
+
+
+def test_known_words_cut_alike_and_own_words_cut_one_statement(spark):
+    seed = spark.createDataFrame([("fresh", 1.0), ("dairy", 2.0)], "word string, cost double")
+    own = spark.createDataFrame([("b", "milk", 5.0)], "statement_id string, word string, cost double")
+    names = spark.createDataFrame([(s, t) for s in "ab" for t in ("FRESHDAIRY", "FRESHMILK")], "statement_id string, text string")
+    out = {(r["statement_id"], r["text"]): r["words"] for r in segments.segmented(names, own, seed).collect()}
+    assert out == {("a", "FRESHDAIRY"): ["fresh", "dairy"], ("b", "FRESHDAIRY"): ["fresh", "dairy"], ("a", "FRESHMILK"): ["FRESHMILK"], ("b", "FRESHMILK"): ["fresh", "milk"]}
+    spoken = segments.firsts(spark.createDataFrame([("a", 2, "UPI Fresh"), ("a", 1, "fresh")], "statement_id string, seq long, narration string"))
+    assert segments.firsts(spoken) is spoken and {(r["word"], r["first"]["seq"]) for r in spoken.collect()} == {("upi", 2), ("fresh", 1)}
