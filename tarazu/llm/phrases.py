@@ -7,7 +7,7 @@ it also starts, word for word, in a document with a smaller id. Windows are judg
    last), so equal windows select equal phrases, some 6 % of positions. A phrase that documents of
    different ids selected is confirmed as recurring.
 2. Automata: documents are dealt by a hash into shards of about ``SHARD_BYTES`` of text. Each shard
-   compiles the recurring phrases of its documents, as word sequences, into one Aho-Corasick
+   compiles the recurring phrases of its documents, as words spelt in digits, into one Aho-Corasick
    automaton, and every document of the shard is streamed through it. Its hits are the places where
    phrases recur; nothing else is looked at from here on.
 3. Exact check: the windows that selected a located phrase form a span. Spans are compared whole
@@ -42,6 +42,8 @@ BASES = (0x9E3779B97F4A7C13, 0xD6E8FEB86659FD93)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 POSITION_BITS = np.uint64(26)
 CACHE_WORDS = 400_000
+#: The automaton's alphabet: a node has at most 2^DIGIT_BITS children, however many words there are.
+DIGIT_BITS = 6
 
 
 class Words(dict):
@@ -142,10 +144,28 @@ def selected_phrases(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
     return keyed.select("b", "_id", "_h", "text").mapInArrow(run, "p long, at int, b long, _id long, _h long")
 
 
-def compiled(phrases: list[tuple[int, ...]]) -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for k, sequence in enumerate(phrases):
-        automaton.add_word(sequence, k)
+class Spelling:
+    """Word numbers as strings of digits, one string a word and all of one length; words that no phrase has are spelt alike.
+
+    The automaton looks for a node's child one by one, and over whole words its root has a child for each
+    word that begins a phrase. Each place of a digit has symbols of its own, so matches begin and end with words.
+    """
+
+    def __init__(self, phrases: np.ndarray, n_words: int):
+        used = np.unique(phrases)
+        self.digits = max(1, -(-(len(used) - 1).bit_length() // DIGIT_BITS))
+        self.symbols = np.zeros((n_words, self.digits), "<u2")
+        for d in range(self.digits):
+            self.symbols[used, d] = 1 + (d << DIGIT_BITS) + (np.arange(len(used)) >> d * DIGIT_BITS) % (1 << DIGIT_BITS)
+
+    def of(self, words: np.ndarray) -> str:
+        return self.symbols[words].tobytes().decode("utf-16-le")
+
+
+def compiled(phrases: list[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, spelt in enumerate(phrases):
+        automaton.add_word(spelt, k)
     if phrases:
         automaton.make_automaton()
     return automaton
@@ -153,19 +173,25 @@ def compiled(phrases: list[tuple[int, ...]]) -> ahocorasick.Automaton:
 
 def spans_in_shard(texts: list[bytes], holders: list[tuple[int, int]], window: int, phrase: int, build=compiled) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """holders: a text and a position of each recurring phrase. Yields (text, (p, s1, s2, n, at)) where the automaton has hits: n windows from word at selected p."""
+    if not holders:
+        return
     numbers = Numbers()
-    coded = [tuple(map(numbers.__getitem__, words)) for words in map(bytes.split, texts)]
-    automaton = build([coded[k][at : at + phrase] for k, at in holders])
+    coded = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in map(bytes.split, texts)]
+    held = np.array([coded[k][at : at + phrase] for k, at in holders])
+    spelling = Spelling(held, len(numbers))
+    automaton = build([spelling.of(words) for words in held])
     if not len(automaton):
         return
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
     for k, sequence in enumerate(coded):
-        ends = [end for end, _ in automaton.iter(sequence)]
-        if not ends or len(sequence) < window:
+        if len(sequence) < window:
+            continue
+        ends = [end for end, _ in automaton.iter(spelling.of(sequence))]
+        if not ends:
             continue
-        rolling = Rolling(hashes[np.array(sequence)])
+        rolling = Rolling(hashes[sequence])
         p, position, first, last = selections(rolling, len(sequence), window, phrase)
-        keep = np.isin(position, np.array(ends, np.int64) - (phrase - 1))
+        keep = np.isin(position, np.array(ends, np.int64) // spelling.digits - (phrase - 1))
         if keep.any():
             p, first, last = p[keep], first[keep], last[keep]
             yield k, (p.view(np.int64), rolling.of(first, last + window, 0).view(np.int64), rolling.of(first, last + window, 1).view(np.int64), last - first + 1, first)

@@ -116,6 +116,24 @@ def test_the_automaton_decides_what_is_removed():
     assert not list(phrases.spans_in_shard(texts, inside, phrases.WINDOW, phrases.PHRASE, build=lambda _: phrases.compiled([])))
 
 
+def test_an_automatons_nodes_have_few_children_however_many_words_there_are():
+    from tarazu.llm import phrases
+
+    own = random.Random(5)
+    texts = [" ".join(f"w{own.randrange(9000)}" for _ in range(own.choice([20, 60, 400]))).encode() for _ in range(120)]
+    chosen = {}
+    for k, text in enumerate(texts):
+        if len(words := text.split()) >= phrases.WINDOW:
+            _, position, *_ = phrases.selections(phrases.Rolling(phrases.hashed(words, phrases.Words())), len(words))
+            chosen[k] = position.tolist()
+    holders = [(k, at) for k, places in chosen.items() for at in places[::2]]
+    built = []
+    found = dict(phrases.spans_in_shard(texts, holders, phrases.WINDOW, phrases.PHRASE, build=lambda x: built.append(phrases.compiled(x)) or built[0]))
+    children = Counter(parent for parent, *_ in built[0].dump()[1])
+    assert len({texts[k].split()[at] for k, at in holders}) > 300 and max(children.values()) <= 64
+    assert {k: len(x[0]) for k, x in found.items()} == {k: len(places[::2]) for k, places in chosen.items()}
+
+
 def brute_templates(rows, least=10):
     """Templates in plain Python -> lines that each document drops."""
     own = {i: {tuple("<*>" if any(c.isdigit() for c in w) else w for w in x.split()) for x in t.split("\n")} for i, t in rows}
