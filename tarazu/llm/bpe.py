@@ -76,8 +76,8 @@ class PairIndex:
         at = np.nonzero(rank >= 0)[0]
         at = at[np.argsort(rank[at], kind="stable")]
         ranks, starts = np.unique(rank[at], return_index=True)
-        at, starts = at.tolist(), starts.tolist()
-        return {r: at[a:b] for r, a, b in zip(ranks.tolist(), starts, [*starts[1:], len(at)], strict=True)}
+        at = at.tolist()
+        return {r: at[a:b] for r, (a, b) in zip(ranks.tolist(), pairwise([*starts.tolist(), len(at)]), strict=True)}
 
     def apply(self) -> None:
         symbols, places, get, n = self.symbols, self.places(), self.ranks.get, len(self.symbols)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from tarazu.llm import mixture, quality, warc
+from tarazu.llm import bpe, mixture, quality, queries, warc
 from tarazu.llm.common import discard, materialize, shared_dir
 
 rng = random.Random(11)
@@ -189,3 +189,13 @@ def test_a_damaged_dictionary_is_an_error_row():
         broken = warc.struct.pack("<II", warc.SKIPPABLE_MAGIC, len(raw)) + raw + bytes(data[8:])
         found = list(warc.frames(broken))
         assert found[0][1] is None and found[0][2] is not None
+
+
+def test_blocks_without_new_pairs_are_encoded():
+    """Words that are known, single characters and texts without words give no pair to index, in any order of blocks."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(open(path, encoding="utf-8").read())
+    for texts in ([""], ["a"], ["known words"], ["known words", "words"], [" ", "words a"], ["<|endoftext|>"], ["knownwords!", "a b"], ["!"], []):
+        assert encoder.encode([t.encode() for t in texts]) == [library.encode(t, add_special_tokens=False).ids for t in texts]
