@@ -6,7 +6,9 @@ what ``bytes.split()`` gives on the Python side and ``WORD_PATTERN`` gives on th
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -63,6 +65,14 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(folder, True)
 
 
+def forget(df: DataFrame) -> None:
+    """Spark drops shuffle files once the driver has forgotten their plans."""
+    for _ in range(2):  # the first makes plans unreachable, the second finds what they held
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def row_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 

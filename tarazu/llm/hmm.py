@@ -23,8 +23,6 @@ an empty table, or one without training rows, gives unseen-word scores.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import blocks, bucketed, byte_column, discard
+from .common import blocks, bucketed, byte_column, discard, forget
 
 FOLDS, HELD_OUT = 7, 2
 STATES, ROUNDS = 4, 4
@@ -273,14 +271,6 @@ def expected(blocked: DataFrame, sent: DataFrame, fit: Fit, shards: int) -> Data
     return texts.groupBy("b").cogroup(sent.select("b", "h", "e").groupBy("b")).applyInArrow(run, "h long, b long, s binary, steps binary")
 
 
-def forget(df: DataFrame) -> None:
-    """Spark drops shuffle files once the driver has forgotten their plans."""
-    for _ in range(2):  # the first makes plans unreachable, the second finds what they held
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def uniform_moves(k: int = STATES) -> np.ndarray:
     return np.full((k, k), 0.02 / (k - 1)) + np.eye(k) * (0.98 - 0.02 / (k - 1)) if k > 1 else np.ones((1, 1))
 
