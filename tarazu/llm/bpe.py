@@ -37,7 +37,7 @@ from .common import blocks, byte_column, made
 
 #: Words, and pieces, of one generation that a worker keeps.
 CACHE_WORDS = 150_000
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Stands between words that are cut together: a private character, which normalising leaves alone.
 MARK = "\ue000"
 pack = struct.Struct("=i").pack
